@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import media
+from factloom.llm import media, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": media.op2_media,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
