@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import media, packing
+from factloom.llm import bpe, media, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": media.op2_media,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_secrets": secrets.op4_secrets,
     "op10_packing": packing.op10_packing,
 }
 
