@@ -1,0 +1,45 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+All state stays in tables; a round is two shuffled aggregations and joins, and
+is written to the shared folder, so that lineage ends with each round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factloom.plans.scratch import Scratch
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours, hung on the smallest of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    joined = both.join(least, "u").where("v > u")
+    return joined.select("v", F.least("u", "m").alias("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours, hung on the smallest of these; edges run from larger to smaller."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
+
+    Edges with a null end and loops are left out: a node that has no others has
+    no row. No edges, no rows.
+    """
+    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    seen = None
+    while True:
+        sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not sums[0] or sums == seen:
+            break
+        after = scratch.save(_small(_large(now).distinct()).distinct(), "edges")
+        scratch.drop(now)
+        now, seen = after, sums
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, media, packing, secrets
+from factloom.llm import bpe, media, minhash, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": minhash.op1_minhash,
     "op2_media": media.op2_media,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
