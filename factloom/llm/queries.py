@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, media, minhash, packing, secrets
+from factloom.llm import bpe, media, minhash, packing, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op2_media": media.op2_media,
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
+    "op5_topk": topk.op5_topk,
+    "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": topk.OP5_SQL,
+}
