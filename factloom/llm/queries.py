@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, media, minhash, packing, secrets, sharding, topk
+from factloom.llm import bpe, media, minhash, packing, quality, secrets, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op5_topk": topk.op5_topk,
+    "op7_quality": quality.op7_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
 }
