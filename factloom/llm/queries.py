@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, media, minhash, packing, quality, secrets, sharding, topk
+from factloom.llm import bpe, licenses, media, minhash, packing, quality, secrets, sharding, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,10 +15,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": secrets.op4_secrets,
     "op5_topk": topk.op5_topk,
     "op7_quality": quality.op7_quality,
+    "op6_urlfilter": urlfilter.op6_urlfilter,
+    "op8_licenses": licenses.op8_licenses,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_topk": topk.OP5_SQL,
+    "op6_urlfilter": urlfilter.OP6_SQL,
+    "op8_licenses": licenses.OP8_SQL,
 }
