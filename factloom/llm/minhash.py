@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from factloom.llm.components import connected_components
 from factloom.llm.rows import map_rows
@@ -196,6 +197,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` that are kept, one for each group; of rows that share an id one stays."""
+    named = df.where(F.col(id_col).isNotNull())
+    kept = near_duplicates(df, id_col, text_col, shingle, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    chosen = named.join(kept, id_col, "left_semi").withColumn("__first", first).where("__first = 1").select(*df.columns)
+    return chosen.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on four-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
