@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not sums[0] or sums == seen:
             break
-        after = scratch.save(_small(_large(now).distinct()).distinct(), "edges")
+        after = scratch.save(_small(_large(now)).distinct(), "edges")
         scratch.drop(now)
         now, seen = after, sums
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,14 +5,17 @@ random permutations of one domain make all coordinates of its signature: the
 first scatters the shingles, the second, shifted circularly by k, gives
 coordinate k. Coordinates in bands are the keys under which documents meet.
 
-Documents with equal sets are one node. In each bucket of a band the nodes are
-compared to a centre, not all to each other: first to the smallest node of the
-bucket, then, as long as a bucket holds nodes of different components, to 8,
-64, 512, ... centres chosen by hash. A bucket is done when its nodes are in one
-component or when all of them have been centres, so no link that the bands find
-is lost, while a bucket of many copies costs a multiple of its size. Links count
-only if the full sets confirm them, by integers. With 40 bands of 5 a pair at
-the threshold of 0.8 meets in none with a probability of 1.3e-7.
+Documents with equal sets are one node. A node whose shingles occur in no other
+candidate for more than a fifth can't be linked, and two nodes can't be if what
+their lone shingles leave is too little; this exact bound comes before any pair.
+In each bucket of a band the nodes left are compared to a centre, not all to
+each other: first to the smallest node of the bucket, then, where a bucket holds
+nodes of different components, to some centres chosen by hash, and at last all
+nodes of different components that the bound allows, each pair in the first band
+that it shares. So no link that the bands find is lost, while a bucket of many
+copies costs a multiple of its size. Links count only if the full sets confirm
+them, by integers. With 40 bands of 5 a pair at the threshold of 0.8 meets in
+none with a probability of 1.3e-7.
 
 Defined results: null and empty texts, and texts without words, have an empty
 set and no links; with fewer words than a shingle has, the whole sequence is
@@ -34,8 +37,8 @@ from factloom.llm.rows import map_rows
 from factloom.plans.scratch import Scratch
 
 BANDS, ROWS, DOMAIN, SEED = 40, 5, 1 << 20, 20240229
-#: Centres of a bucket in each round after the first grow by this factor.
-GROWTH = 8
+#: Centres of a bucket in the second round.
+CENTRES = 8
 _PART = 512
 _U64 = np.uint64
 
@@ -145,6 +148,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _viable(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, lone): nodes that can have a link, and how many of their shingles no other node has."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    lone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("node")).where("f = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    nodes = sets.groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))  # rows of one id with several texts are not bound
+    found = nodes.join(lone, "node", "left").select("node", "n", F.when(F.col("rows") == 1, F.coalesce("lone", F.lit(0))).otherwise(0).alias("lone"))
+    return found.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")).select("node", "lone")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``df``: id, n_shingles, component_id (smallest id reachable), kept.
 
@@ -157,30 +169,48 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with_set = sketches.where("id is not null and set_hash is not null")
     classes = scratch.save(with_set.groupBy("set_hash").agg(F.min("id").alias("node")), "classes")
     nodes = with_set.select(F.col("id").alias("node"), "set_hash", "n", "bands").join(classes, ["node", "set_hash"], "left_semi")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).where("size > 1")
-    buckets = scratch.save(keyed.join(shared, "key"), "buckets")
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
+    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    met = scratch.save(keyed.join(crowded, "key", "left_semi"), "met")
+    wanted = met.select(F.col("node").alias("id")).distinct()
     sets = scratch.save(shingle_sets(docs.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), shingle), "sets")
+    buckets = scratch.save(met.join(_viable(sets, percent), "node"), "buckets")
+    scratch.drop(met)
+
+    def possible(a: str, b: str) -> F.Column:
+        """The bound on two nodes, whose columns end in ``a`` and ``b``."""
+        n, m = F.col(f"n{a}"), F.col(f"n{b}")
+        common = F.least(n - F.col(f"lone{a}"), m - F.col(f"lone{b}"))
+        return 100 * common >= percent * (n + m - common)
 
-    close = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)
     same_id = with_set.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi")
     by_id = with_set.join(same_id.select("id"), "id", "left_semi").join(classes, "set_hash").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    pairs = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    least = buckets.groupBy("key").agg(F.min(F.struct("node", "n", "lone")).alias("c"))
+    least = least.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.lone").alias("lone_a"))
+    pairs = buckets.join(least, "key").where((F.col("node") != F.col("a")) & possible("", "_a")).select("a", F.col("node").alias("b")).distinct()
     labels = scratch.save(connected_components(_confirmed(pairs, sets, percent).unionByName(by_id), scratch), "labels")
 
-    centres = 1
-    while True:
-        member = buckets.where(F.col("size") > max(2, centres)).join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
-        mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        active = scratch.save(member.join(mixed, "key", "left_semi"), "active")
+    for last in (False, True):
+        member = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "band", "node", "n", "lone", "component")
+        mixed = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
+        active = scratch.save(member.join(mixed, "key").where("size > 2"), "active")
         if active.isEmpty():
             break
-        centres *= GROWTH
-        place = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(1 << 30))
-        centre = active.where(place < F.ceil(F.lit(float(1 << 30) * centres) / F.col("size"))).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        met = active.join(centre, "key").where((F.col("component") != F.col("ca")) & close(F.col("n"), F.col("na")))
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        centre = active
+        if not last:
+            place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+            centre = active.where(place < F.ceil(F.lit(float(1 << 30) * CENTRES) / F.col("size")))
+        centre = centre.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("lone").alias("lone_a"), F.col("component").alias("component_a"))
+        apart = (F.col("component") != F.col("component_a")) & possible("", "_a")
+        if last:
+            bands = nodes.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.min("bands")).alias("bands"))  # null: an id with several sets
+            centre = centre.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
+            active_now = active.join(bands, "node")
+            first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
+            apart = apart & (F.col("a") < F.col("node")) & F.coalesce(first, F.lit(True))
+        else:
+            active_now = active
+        pairs = active_now.join(centre, "key").where(apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = _confirmed(pairs, sets, percent)
         known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         after = scratch.save(connected_components(links.unionByName(known), scratch), "labels")
