@@ -81,7 +81,8 @@ def op6_urlfilter(spark, sf_dir: str) -> DataFrame:
     since = F.date_add(start, F.pmod(number(F.col("key"), 1), F.lit(366)))
     listed = hosts.select("key", F.explode(F.array(F.struct(F.lit("block").alias("action"), since.alias("day")), F.struct(F.lit("remove").alias("action"), F.date_add(since, 60).alias("day")))).alias("e"))
     fixed = spark.createDataFrame(FIXED_ENTRIES, "key string, action string, day string").withColumn("day", F.col("day").cast("date"))
-    return judge(pages, fixed.unionByName(listed.select("key", "e.action", "e.day")))
+    judged = judge(pages, fixed.unionByName(listed.select("key", "e.action", "e.day")))
+    return judged.withColumn("fetch_day", F.col("fetch_day").cast("string"))
 
 
 OP6_SQL = rf"""
@@ -104,6 +105,6 @@ WITH pages0 AS (
   SELECT p.page_id, h.key, h.action, row_number() OVER (PARTITION BY p.page_id ORDER BY length(h.key) DESC) AS r
   FROM pages0 p JOIN held h ON (p.host = h.key OR ends_with(p.host, '.' || h.key)) AND p.fetch_day >= h.since AND (h.until IS NULL OR p.fetch_day < h.until)
 )
-SELECT p.page_id, p.host, p.fetch_day, r.key AS entry, r.action, coalesce(r.action = 'block', false) AS blocked
+SELECT p.page_id, p.host, strftime(p.fetch_day, '%Y-%m-%d') AS fetch_day, r.key AS entry, r.action, coalesce(r.action = 'block', false) AS blocked
 FROM pages0 p LEFT JOIN ranked r ON p.page_id = r.page_id AND r.r = 1
 """
