@@ -45,27 +45,28 @@ def chapter_rules(rules: DataFrame, chapter: str, fallback: str | None = None) -
     return found.groupBy("kind", "key").agg(F.min(F.struct("rank", "property")).alias("best")).select("kind", "key", F.col("best.property").alias("property"))
 
 
-def mapped_rows(rows: DataFrame, rules: DataFrame, page_key: str = "resource") -> DataFrame:
-    """Rows of tables whose section has a property, numbered from 1 within a page.
+def mapped_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of tables whose section has a property, numbered from 1 within a resource.
 
-    ``rules``: of one chapter. Only rows that stay take a number.
+    ``rules``: of one chapter. Only rows that stay take a number. The numbering
+    is a sum over tables, not over rows; the rows are taken apart behind it.
     """
     sections = rules.where("kind = 'section' and property <> ''").select(F.expr("substring(key, 9)").alias("section"), F.col("property").alias("section_property"))
-    tables = rows.join(sections, "section")
-    each = tables.select(page_key, "table_ord", "section", "section_property", F.explode("rows").alias("row")).where("not row.removed")
-    place = Window.partitionBy(page_key).orderBy("table_ord", "row.row_ord")
-    return each.select(page_key, "table_ord", "section", "section_property", "row.row_ord", "row.cells", F.row_number().over(place).alias("row_index"))
+    kept = F.filter("rows", lambda r: ~r["removed"])
+    tables = rows.join(sections, "section").select("resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
+    place = Window.partitionBy("resource").orderBy("page_id", "table_ord").rowsBetween(Window.unboundedPreceding, -1)
+    counted = tables.withColumn("before", F.coalesce(F.sum(F.size("kept")).over(place), F.lit(0)))
+    each = counted.select("resource", "table_ord", "section", "section_property", "before", F.posexplode("kept").alias("at", "row"))
+    return each.select("resource", "table_ord", "section", "section_property", (F.col("before") + F.col("at") + 1).alias("row_index"), F.col("row.cells").alias("cells"))
 
 
-def mapped_cells(numbered: DataFrame, rules: DataFrame, page_key: str = "resource") -> DataFrame:
-    """Cells with a property: the strict rule if there is one, even an empty one, else the loose rule."""
-    cells = numbered.select(page_key, "table_ord", "section", "row_ord", "row_index", F.explode("cells").alias("cell"))
-    keyed = cells.withColumn("header", F.col("cell.header")).withColumn("strict_key", F.concat_ws("_", "section", "cell.header"))
+def with_property(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    """``cells`` (section, header) with ``property``: of the strict rule if there is one, even an empty one, else of the loose rule."""
     strict = rules.where("kind = 'strict'").select(F.col("key").alias("strict_key"), F.col("property").alias("strict_property"))
     loose = rules.where("kind = 'loose'").select(F.col("key").alias("header"), F.col("property").alias("loose_property"))
-    found = keyed.join(strict, "strict_key", "left").join(loose, "header", "left")
+    found = cells.withColumn("strict_key", F.concat_ws("_", "section", "header")).join(strict, "strict_key", "left").join(loose, "header", "left")
     chosen = F.when(F.col("strict_property").isNotNull(), F.col("strict_property")).otherwise(F.col("loose_property"))
-    return found.select(page_key, "table_ord", "section", "row_ord", "row_index", "header", F.col("cell.value").alias("value"), F.col("cell.links").alias("links"), chosen.alias("property"))
+    return found.withColumn("property", chosen).drop("strict_key", "strict_property", "loose_property")
 
 
 def literal_kind(value: Column) -> Column:
@@ -73,16 +74,16 @@ def literal_kind(value: Column) -> Column:
     return F.when(is_float(value), F.lit(XSD + "float")).when(is_int(value), F.lit(XSD + "int")).otherwise(F.lit(XSD + "string"))
 
 
-def link_entities(cells: DataFrame, kb: DataFrame, base: str, value_col: str = "value") -> DataFrame:
-    """``cells`` with ``entity``: the address of a value that is a subject of ``kb`` (s, p, o), else null.
+def link_entities(cells: DataFrame, kb: DataFrame, base: str, is_text: Column, other: Column, value_col: str = "value") -> DataFrame:
+    """``cells`` with ``entity``: the address of a text that is a subject of ``kb`` (s, p, o), else null.
 
-    Distinct texts are looked up once, by equality.
+    By equality. ``other`` is a key that spreads the rows that are no text.
     """
-    texts = cells.where(~is_float(F.col(value_col))).select(F.col(value_col).alias("__text")).distinct()
-    key = resource_key(F.col("__text"))
-    named = texts.select("__text", F.concat(F.lit(base), plain_accents(key)).alias("s"), F.concat(F.lit(base), key).alias("entity"))
-    known = named.join(kb.select("s").distinct(), "s", "left_semi").select("__text", "entity")
-    return cells.join(known, cells[value_col] == known["__text"], "left").drop("__text")
+    key = resource_key(F.col(value_col))
+    keyed = cells.withColumn("__s", F.when(is_text, F.concat(F.lit(base), plain_accents(key))).otherwise(other))
+    known = kb.select(F.col("s").alias("__s")).distinct().withColumn("__known", F.lit(True))
+    found = keyed.join(known, "__s", "left")
+    return found.withColumn("entity", F.when(F.col("__known") & is_text, F.concat(F.lit(base), key))).drop("__s", "__known")
 
 
 def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), fallback: str | None = None, prefer_link: bool = False) -> DataFrame:
@@ -90,34 +91,30 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
 
     Empty cells (-) and cells without a property give none; a row gives its own
     triple even if no cell does. ``prefer_link`` maps a cell's first link rather
-    than its text. Without a ``kb`` no text becomes an address.
+    than its text. Without a ``kb`` no text becomes an address. Rows and cells
+    come from one pass: a row's own triple is a cell before its first.
     """
     own = chapter_rules(rules, chapter, fallback)
     base = names.resource(chapter)
-    subject = F.concat(F.lit(base), F.replace(plain_accents(F.col("resource")), F.lit("'"), F.lit("")))
-    numbered = mapped_rows(rows.withColumn("subject", subject), own, "subject")
-    row_of = F.concat("subject", F.lit("__"), F.col("row_index").cast("string"))
-    row_triples = numbered.select(
-        F.col("subject").alias("s"),
-        F.concat(F.lit(names.ontology), "section_property").alias("p"),
-        row_of.alias("o"),
-        F.lit("iri").alias("o_kind"),
-        F.lit(None).cast("string").alias("datatype"),
-        F.lit("row").alias("kind"),
+    subject = F.concat(F.lit(base), F.replace(plain_accents(F.coalesce("resource", F.lit(""))), F.lit("'"), F.lit("")))
+    numbered = mapped_rows(rows, own).withColumn("subject", subject)
+    numbered = numbered.withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
+    each = numbered.select("subject", "row_of", "section", "section_property", F.explode(F.concat(F.array(F.lit(None)), "cells")).alias("cell"))
+    apart = F.concat(F.lit("\0"), "row_of")  # no key; spreads rows over a join
+    value = F.coalesce(F.get("cell.links", F.lit(0)), "cell.value") if prefer_link else F.col("cell.value")
+    flat = each.select("subject", "row_of", "section", "section_property", F.col("cell").isNull().alias("own"), F.coalesce("cell.header", apart).alias("header"), value.alias("value"))
+    found = with_property(flat, own).where("own or (value <> '-' and property <> '')")
+    is_text = ~F.col("own") & ~is_float(F.col("value"))
+    found = link_entities(found, kb, base, is_text, apart) if kb is not None else found.withColumn("entity", F.lit(None).cast("string"))
+    address = F.col("own") | F.col("entity").isNotNull()
+    return found.select(
+        F.when(F.col("own"), F.col("subject")).otherwise(F.col("row_of")).alias("s"),
+        F.concat(F.lit(names.ontology), F.when(F.col("own"), F.col("section_property")).otherwise(F.col("property"))).alias("p"),
+        F.when(F.col("own"), F.col("row_of")).otherwise(F.coalesce("entity", "value")).alias("o"),
+        F.when(address, "iri").otherwise("literal").alias("o_kind"),
+        F.when(~address, literal_kind(F.col("value"))).alias("datatype"),
+        F.when(F.col("own"), "row").otherwise("cell").alias("kind"),
     )
-    cells = mapped_cells(numbered, own, "subject").where("value <> '-' and property <> ''")
-    if prefer_link:
-        cells = cells.withColumn("value", F.coalesce(F.get("links", F.lit(0)), "value"))
-    cells = link_entities(cells, kb, base) if kb is not None else cells.withColumn("entity", F.lit(None).cast("string"))
-    cell_triples = cells.select(
-        row_of.alias("s"),
-        F.concat(F.lit(names.ontology), "property").alias("p"),
-        F.coalesce("entity", "value").alias("o"),
-        F.when(F.col("entity").isNotNull(), "iri").otherwise("literal").alias("o_kind"),
-        F.when(F.col("entity").isNull(), literal_kind(F.col("value"))).alias("datatype"),
-        F.lit("cell").alias("kind"),
-    )
-    return row_triples.unionByName(cell_triples)
 
 
 def graph(triples: DataFrame) -> DataFrame:
