@@ -11,8 +11,8 @@ their lone shingles leave is too little; this exact bound comes before any pair.
 In each bucket of a band the nodes left are compared to a centre, not all to
 each other: first to the smallest node of the bucket, then, where a bucket holds
 nodes of different components, to some centres chosen by hash, and at last all
-nodes of different components that the bound allows, each pair in the first band
-that it shares. So no link that the bands find is lost, while a bucket of many
+nodes of different components that the bound allows. A pair counts in the first
+band that it shares, so that it is one row. So no link that the bands find is lost, while a bucket of many
 copies costs a multiple of its size. Links count only if the full sets confirm
 them, by integers. With 40 bands of 5 a pair at the threshold of 0.8 meets in
 none with a probability of 1.3e-7.
@@ -201,16 +201,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
             centre = active.where(place < F.ceil(F.lit(float(1 << 30) * CENTRES) / F.col("size")))
         centre = centre.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("lone").alias("lone_a"), F.col("component").alias("component_a"))
-        apart = (F.col("component") != F.col("component_a")) & possible("", "_a")
+        bands = nodes.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.min("bands")).alias("bands"))  # null: an id with several sets
+        centre = centre.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
+        first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
+        apart = (F.col("component") != F.col("component_a")) & possible("", "_a") & F.coalesce(first, F.lit(True))
         if last:
-            bands = nodes.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.min("bands")).alias("bands"))  # null: an id with several sets
-            centre = centre.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
-            active_now = active.join(bands, "node")
-            first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
-            apart = apart & (F.col("a") < F.col("node")) & F.coalesce(first, F.lit(True))
-        else:
-            active_now = active
-        pairs = active_now.join(centre, "key").where(apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            apart = apart & (F.col("a") < F.col("node"))
+        pairs = active.join(bands, "node").join(centre, "key").where(apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = _confirmed(pairs, sets, percent)
         known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         after = scratch.save(connected_components(links.unionByName(known), scratch), "labels")
