@@ -67,8 +67,8 @@ def header_vocabulary(refined: DataFrame, sections: DataFrame, rules: DataFrame,
     """
     used = refined.where("n_rows > 1 and status <> 'E2'").select("section", F.explode("headers_refined").alias("header"))
     pairs = used.join(sections.select("section", "group"), "section").select("group", F.replace("header", F.lit("'"), F.lit("")).alias("header")).distinct()
-    strict = rules.where("kind = 'strict'").select(F.col("key").alias("strict_key"), F.col("property").alias("a"))
-    loose = rules.where("kind = 'loose'").select(F.col("key").alias("header"), F.col("property").alias("b"))
+    strict = rules.where("kind in ('strict', 'any')").select(F.col("key").alias("strict_key"), F.col("property").alias("a"))
+    loose = rules.where("kind in ('loose', 'any')").select(F.col("key").alias("header"), F.col("property").alias("b"))
     found = pairs.withColumn("strict_key", F.concat_ws("_", "group", "header")).join(strict, "strict_key", "left").join(loose, "header", "left")
     if kb is not None:
         found = found.join(property_by_label(found.where("a is null and b is null").select("header"), kb, lang).withColumnRenamed("property", "c"), "header", "left")

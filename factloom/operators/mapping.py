@@ -1,7 +1,8 @@
 """Rows into triples, by rules that name a property for a section or a header.
 
 Rules are a frame (chapter, kind, section, header, key, property); ``kind`` is
-section, strict (section and header) or loose (header alone). The rules of a
+section, strict (section and header), loose (header alone) or any (the key may
+be either). The rules of a
 chapter are few, and Spark's own size check decides whether they are broadcast.
 Sections without a rule are dropped before their cells are touched.
 """
@@ -62,8 +63,8 @@ def mapped_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 def with_property(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """``cells`` (section, header) with ``property``: of the strict rule if there is one, even an empty one, else of the loose rule."""
-    strict = rules.where("kind = 'strict'").select(F.col("key").alias("strict_key"), F.col("property").alias("strict_property"))
-    loose = rules.where("kind = 'loose'").select(F.col("key").alias("header"), F.col("property").alias("loose_property"))
+    strict = rules.where("kind in ('strict', 'any')").select(F.col("key").alias("strict_key"), F.col("property").alias("strict_property"))
+    loose = rules.where("kind in ('loose', 'any')").select(F.col("key").alias("header"), F.col("property").alias("loose_property"))
     found = cells.withColumn("strict_key", F.concat_ws("_", "section", "header")).join(strict, "strict_key", "left").join(loose, "header", "left")
     chosen = F.when(F.col("strict_property").isNotNull(), F.col("strict_property")).otherwise(F.col("loose_property"))
     return found.withColumn("property", chosen).drop("strict_key", "strict_property", "loose_property")

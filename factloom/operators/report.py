@@ -34,7 +34,7 @@ def unmapped(rows: DataFrame, rules: DataFrame, chapter: str) -> DataFrame:
     All headers of a table count whose section has none.
     """
     own = chapter_rules(rules, chapter)
-    by = lambda kind, name: own.where(F.col("kind") == kind).select(F.col("key").alias(f"{name}_key"), F.col("property").alias(name))
+    by = lambda kind, name: own.where(F.col("kind").isin(kind, "any")).select(F.col("key").alias(f"{name}_key"), F.col("property").alias(name))
     first = F.filter("rows", lambda r: ~r["removed"])
     tables = rows.select("resource", "table_ord", "section", first.alias("rows"), F.concat(F.lit("SECTION_"), "section").alias("section_key"))
     tables = tables.join(by("section", "section_property").withColumnRenamed("section_property_key", "section_key"), "section_key", "left").withColumn("bare", F.coalesce("section_property", F.lit("")) == "")

@@ -17,6 +17,12 @@ SECTION_PREFIX, SECTION_PROPERTY, SEPARATOR = "SECTION_", "sectionProperty", "_t
 RULES = "chapter string, kind string, section string, header string, key string, property string"
 
 
+def rules_from_dict(spark: SparkSession, given: dict[str, str], chapter: str) -> DataFrame:
+    """Rules of a plain dictionary of keys to properties; only a section's key tells its kind."""
+    kind = lambda key: "section" if key.startswith(SECTION_PREFIX) else "any"
+    return spark.createDataFrame([(chapter, kind(k), None, None, k, v) for k, v in given.items()], RULES)
+
+
 def parse_rules(template: DataFrame, chapter: str, output_format: int = 1) -> DataFrame:
     """Rules of a template: format 1 gives strict rules, format 2 rules by header alone.
 

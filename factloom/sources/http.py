@@ -26,6 +26,11 @@ def fetch(url: str, tries: int = TRIES, pause: float = PAUSE, timeout: float = T
     return None
 
 
+def compose(base: str, **parameters: str) -> str:
+    """An address with parameters, blanks as plus signs."""
+    return base + ("?" + urllib.parse.urlencode(parameters).replace("~", "%7E") if parameters else "")
+
+
 class _Names(InputPartition):
     def __init__(self, names: list[tuple[int, str]]) -> None:
         self.names = names
