@@ -35,7 +35,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}")
 _ANYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.S)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
 #: How base64 of a DER sequence with a two-byte, one-byte and short length, or of the OpenSSH container, begins.
@@ -180,7 +180,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = m[2]
+            body = m[2].replace("\\r", "").replace("\\n", "\n")  # also as written in JSON
             locked = "ENCRYPTED" in m[1] or "ENCRYPTED" in body
             raw = decode_base64(re.sub(r"(?m)^\s*[A-Za-z-]+:.*$", "", body))
             if raw and (private_der(raw) or private_ssh(raw) or locked and len(raw) >= 32 and (len(raw) % 8 == 0 or der_head(raw) is not None and der_head(raw)[2] == len(raw))):
