@@ -9,6 +9,7 @@ where the session names none (tests, a laptop) is a local one made.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -33,13 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """The scratch tables of one run; ``drop`` removes those no longer read."""
+    """The scratch tables of one run; ``drop`` removes those no longer read.
+
+    What is left goes when the program ends, as results are read from it until then.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        atexit.register(self._clean)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _clean(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if self.count and not self.spark.sparkContext._jsc.sc().isStopped():
+                self._delete(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read from the written files."""
@@ -53,8 +67,5 @@ class Scratch:
     def drop(self, saved: DataFrame) -> None:
         """Delete a table that ``save`` returned."""
         path = self.paths.pop(id(saved), None)
-        if path is None:
-            return
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path is not None:
+            self._delete(path)
