@@ -1,13 +1,12 @@
-"""Column functions on text and numbers; all but two run inside the JVM."""
+"""Column functions on text and numbers, all inside the JVM."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 NBSP = " "
 _FLOAT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
@@ -85,12 +84,15 @@ def char_distance(a: Column, b: Column) -> Column:
     return F.size(F.array_except(letters(a), letters(b))) + F.size(F.array_except(letters(b), letters(a)))
 
 
-@F.pandas_udf(T.StringType())
-def de_accent(x: pd.Series) -> pd.Series:
-    """Text in compatible ASCII: accents dropped, other characters beyond ASCII removed."""
-    return x.map(lambda t: None if t is None else unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode())
+@functools.cache
+def _accented() -> tuple[str, str]:
+    """Characters beyond ASCII whose canonical decomposition holds an ASCII one, and these."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i)).encode("ascii", "ignore").decode()) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000]
+    kept = [(c, a) for c, a in pairs if len(a) == 1]
+    return "".join(c for c, _ in kept), "".join(a for _, a in kept)
 
 
 def plain_accents(x: Column) -> Column:
-    """``de_accent``, but texts that are ASCII already never reach Python's normaliser."""
-    return F.when(x.rlike(r"^\p{ASCII}*$"), x).otherwise(de_accent(x))
+    """Text in ASCII: canonically decomposed, all but ASCII dropped."""
+    accented, plain = _accented()
+    return F.regexp_replace(F.translate(x, accented, plain), r"[^\x00-\x7F]", "")

@@ -46,19 +46,20 @@ def chapter_rules(rules: DataFrame, chapter: str, fallback: str | None = None) -
     return found.groupBy("kind", "key").agg(F.min(F.struct("rank", "property")).alias("best")).select("kind", "key", F.col("best.property").alias("property"))
 
 
-def mapped_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows of tables whose section has a property, numbered from 1 within a resource.
+def mapped_rows(rows: DataFrame, rules: DataFrame, base: str) -> DataFrame:
+    """Rows of tables whose section has a property, numbered from 1 within a resource, and their subject.
 
-    ``rules``: of one chapter. Only rows that stay take a number. The numbering
+    ``rules``: of one chapter; ``base``: where addresses of resources begin. Only rows that stay take a number. The numbering
     is a sum over tables, not over rows; the rows are taken apart behind it.
     """
     sections = rules.where("kind = 'section' and property <> ''").select(F.expr("substring(key, 9)").alias("section"), F.col("property").alias("section_property"))
     kept = F.filter("rows", lambda r: ~r["removed"])
-    tables = rows.join(sections, "section").select("resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
+    subject = F.concat(F.lit(base), F.replace(plain_accents(F.coalesce("resource", F.lit(""))), F.lit("'"), F.lit("")))
+    tables = rows.join(sections, "section").select(subject.alias("subject"), "resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
     place = Window.partitionBy("resource").orderBy("page_id", "table_ord").rowsBetween(Window.unboundedPreceding, -1)
     counted = tables.withColumn("before", F.coalesce(F.sum(F.size("kept")).over(place), F.lit(0)))
-    each = counted.select("resource", "table_ord", "section", "section_property", "before", F.posexplode("kept").alias("at", "row"))
-    return each.select("resource", "table_ord", "section", "section_property", (F.col("before") + F.col("at") + 1).alias("row_index"), F.col("row.cells").alias("cells"))
+    each = counted.select("subject", "resource", "table_ord", "section", "section_property", "before", F.posexplode("kept").alias("at", "row"))
+    return each.select("subject", "resource", "table_ord", "section", "section_property", (F.col("before") + F.col("at") + 1).alias("row_index"), F.col("row.cells").alias("cells"))
 
 
 def with_property(cells: DataFrame, rules: DataFrame) -> DataFrame:
@@ -97,9 +98,7 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
     """
     own = chapter_rules(rules, chapter, fallback)
     base = names.resource(chapter)
-    subject = F.concat(F.lit(base), F.replace(plain_accents(F.coalesce("resource", F.lit(""))), F.lit("'"), F.lit("")))
-    numbered = mapped_rows(rows, own).withColumn("subject", subject)
-    numbered = numbered.withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
+    numbered = mapped_rows(rows, own, base).withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
     each = numbered.select("subject", "row_of", "section", "section_property", F.explode(F.concat(F.array(F.lit(None)), "cells")).alias("cell"))
     apart = F.concat(F.lit("\0"), "row_of")  # no key; spreads rows over a join
     value = F.coalesce(F.get("cell.links", F.lit(0)), "cell.value") if prefer_link else F.col("cell.value")

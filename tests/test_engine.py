@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import http.server
 import threading
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,14 @@ def test_functions(spark):
     assert got[:] == ("Citt. .", "a+b%2A%7E", "AC", None, "DC", "Citta [1]?")
 
 
+def test_accents_as_the_standard_has_them(spark):
+    chars = [chr(i) for i in range(0x20, 0x3000) if not 0xD800 <= i < 0xE000] + ["\U0001d400", "e\u0301x", "\uff21"]
+    df = spark.createDataFrame([(c,) for c in chars], "x string")
+    got = {r[0]: r[1] for r in df.select("x", fn.plain_accents(F.col("x"))).collect()}
+    assert all(got[c] == unicodedata.normalize("NFD", c).encode("ascii", "ignore").decode() for c in chars)
+    assert not any(unicodedata.normalize("NFD", chr(i)).encode("ascii", "ignore") for i in range(0x10000, 0x110000))
+
+
 def test_statistics_of_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, html string")
     assert stats.running_total(stats.count_structures(empty, "list")).count() == 0
