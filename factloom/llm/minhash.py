@@ -9,12 +9,13 @@ Documents with equal sets are one node. A node whose shingles occur in no other
 candidate for more than a fifth can't be linked, and two nodes can't be if what
 their lone shingles leave is too little; this exact bound comes before any pair.
 In each bucket of a band the nodes left are compared to a centre, not all to
-each other: first to the smallest node of the bucket, then, where a bucket holds
-nodes of different components, to some centres chosen by hash, and at last all
-nodes of different components that the bound allows. A pair counts in the first
-band that it shares, so that it is one row. So no link that the bands find is lost, while a bucket of many
-copies costs a multiple of its size. Links count only if the full sets confirm
-them, by integers. With 40 bands of 5 a pair at the threshold of 0.8 meets in
+each other: first to the node with the fewest lone shingles, then, where a
+bucket holds nodes of different components, to some centres chosen by hash. At
+last nodes of different components meet if the bound allows it, once, in the
+first band that they share; there the sets go along, so that only links leave
+the join. So no link that the bands find is lost, while a bucket of many copies
+costs a multiple of its size. Links count only if the full sets confirm them, by
+integers. With 40 bands of 5 a pair at the threshold of 0.8 meets in
 none with a probability of 1.3e-7.
 
 Defined results: null and empty texts, and texts without words, have an empty
@@ -185,7 +186,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     same_id = with_set.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi")
     by_id = with_set.join(same_id.select("id"), "id", "left_semi").join(classes, "set_hash").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    least = buckets.groupBy("key").agg(F.min(F.struct("node", "n", "lone")).alias("c"))
+    least = buckets.groupBy("key").agg(F.min(F.struct("lone", "node", "n")).alias("c"))
     least = least.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.lone").alias("lone_a"))
     pairs = buckets.join(least, "key").where((F.col("node") != F.col("a")) & possible("", "_a")).select("a", F.col("node").alias("b")).distinct()
     labels = scratch.save(connected_components(_confirmed(pairs, sets, percent).unionByName(by_id), scratch), "labels")
@@ -205,10 +206,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         centre = centre.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
         first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
         apart = (F.col("component") != F.col("component_a")) & possible("", "_a") & F.coalesce(first, F.lit(True))
-        if last:
-            apart = apart & (F.col("a") < F.col("node"))
-        pairs = active.join(bands, "node").join(centre, "key").where(apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = _confirmed(pairs, sets, percent)
+        if last:  # the sets go along, and the join itself confirms: only links leave it
+            centre = centre.join(sets.select(F.col("node").alias("a"), F.col("n").alias("m_a"), F.col("shingles").alias("set_a")), "a")
+            others = active.join(bands, "node").join(sets.select("node", F.col("n").alias("m"), "shingles"), "node")
+            alike = (100 + percent) * F.size(F.array_intersect("shingles", "set_a")).cast("long") >= percent * (F.col("m") + F.col("m_a"))
+            links = others.join(centre, "key").where(apart & (F.col("a") < F.col("node")) & alike).select(F.col("a").alias("u"), F.col("node").alias("v")).distinct()
+        else:
+            pairs = active.join(bands, "node").join(centre, "key").where(apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            links = _confirmed(pairs, sets, percent)
         known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         after = scratch.save(connected_components(links.unionByName(known), scratch), "labels")
         scratch.drop(active)
