@@ -3,8 +3,11 @@
 A text is cut into its lines and sentences. Each is normalised (lower case, all
 but letters and digits is a space) and becomes its set of word bigrams. It is
 compared only to templates of a size that can reach the threshold: with a and b
-bigrams Dice is at most 2 min(a, b) / (a + b). All of it is one projection over
-a row, in DataFrame functions, so nothing is shuffled.
+bigrams Dice is at most 2 min(a, b) / (a + b). Notices that span lines or go on
+within a sentence are found by windows over the words of the whole text, but for
+the parts that match already, against the templates and the full sentences in
+``BODIES``. All of it is one projection over a row, in DataFrame functions, so
+nothing is shuffled.
 
 Defined results: null and empty texts match nothing; texts of any length are
 scanned whole; repeated rows are scanned each; a null id stays null; an empty
@@ -39,9 +42,19 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Full sentences of licences that only windows are compared to: (name, text). Fixed values.
+BODIES = (
+    ("bsd-3-clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mit", "Licensed under the MIT License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+)
 THRESHOLD = 0.8
 _CUT = r"\n|[.!?] "
 _GAP = r"[^\p{L}\p{N}]+"
+_WALL = "\n \n"
+#: Words that tell little, tried last.
+_COMMON = ("a", "any", "by", "for", "in", "is", "of", "or", "the", "this", "to", "use", "with", "work")
 
 
 def _bigrams(text: str) -> list[str]:
@@ -49,8 +62,74 @@ def _bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(x) for x in zip(words, words[1:])))  # noqa: B905
 
 
-def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: id, and matches (segment, license, dice), a segment counted from 0."""
+def _some(sets: list[tuple[str, list[str]]], reach: float) -> str:
+    """A pattern that every text with a window near one of ``sets`` matches: it holds one of so many of a set's bigrams."""
+    chosen: set[str] = set()
+    for _, b in sets:
+        words, own = sorted({w for x in b for w in x.split()}, key=lambda w: (w in _COMMON, -len(w), w)), set()
+        while sum(not own.isdisjoint(x.split()) for x in b) <= len(b) - math.ceil(len(b) * reach - 1e-9):
+            own.add(words.pop(0))
+        chosen |= own
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(chosen))})(?![\p{{L}}\p{{N}}])"
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _windows(rest: Column, templates, threshold: float) -> Column:
+    """Matches of windows over ``rest`` (w, segment): of those of a licence that overlap, the best.
+
+    A window begins and ends with a bigram of the template: without others at its edges its Dice is higher.
+    """
+    reach = threshold / (2 - threshold)
+    sets = [(name, _bigrams(text), len(re.sub(r"[\W_]+", " ", text).split()) - 1) for name, text in templates]
+    sets = [x for x in sets if x[1]]
+    known = F.array(
+        *[
+            F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(math.ceil(len(b) * reach - 1e-9)).alias("least"), F.lit(math.floor(size / reach + 1e-9)).alias("most"))
+            for n, b, size in sets
+        ]
+    )
+    every = F.array(*[F.lit(x) for x in sorted({x for _, b, _ in sets for x in b})])
+
+    def of_template(t: Column, b: Column, hits: Column) -> Column:
+        def best(s: Column, k: Column, own: Column) -> Column:
+            near = F.filter(F.slice(own, k + 1, t["most"]), lambda e: e["at"] < s["at"] + t["most"])
+
+            def scored(e: Column) -> Column:
+                size = e["at"] - s["at"] + 1
+                dice = lambda d: F.when(F.array_contains(d, _WALL), 0.0).otherwise(F.size(F.array_intersect(d, t["b"])) * F.lit(2.0) / (F.size(d) + t["n"]))
+                return F.struct((-_let(F.array_distinct(F.slice(b, s["at"] + 1, size)), dice)).alias("d"), (-size).alias("size"), s["at"].alias("at"), t["license"].alias("license"))
+
+            ends = lambda near: F.when(F.size(F.array_distinct(F.transform(near, lambda e: e["g"]))) >= t["least"], F.array_min(F.transform(F.filter(near, lambda e: e["at"] - s["at"] + 1 >= t["least"]), scored)))
+            return _let(near, ends)
+
+        starts = lambda own: F.filter(F.transform(own, lambda s, k: best(s, k, own)), lambda x: F.coalesce(-x["d"] >= threshold, F.lit(False)))
+        return _let(F.filter(hits, lambda h: F.array_contains(t["b"], h["g"])), starts)
+
+    def kept(found: Column) -> Column:
+        apart = lambda k, x: (k["license"] != x["license"]) | (k["at"] - k["size"] < x["at"]) | (x["at"] - x["size"] < k["at"])
+        return F.aggregate(F.array_sort(found), F.filter(found, lambda x: F.lit(False)), lambda done, x: F.when(F.forall(done, lambda k: apart(k, x)), F.concat(done, F.array(x))).otherwise(done))
+
+    def of_text(r: Column) -> Column:
+        words = F.transform(r, lambda x: x["w"])
+        grams = F.zip_with(F.slice(words, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(words, 2, F.size(r)), lambda x, y: F.concat_ws(" ", x, y))
+        hits = lambda b: F.filter(F.transform(b, lambda g, i: F.struct(i.alias("at"), g.alias("g"))), lambda h: F.array_contains(every, h["g"]))
+        found = lambda b: _let(hits(b), lambda h: F.flatten(F.transform(known, lambda t: of_template(t, b, h))))
+        out = _let(_let(grams, found), kept)
+        return F.transform(out, lambda x: F.struct(r[x["at"]]["segment"].alias("segment"), x["license"].alias("license"), (-x["d"]).alias("dice")))
+
+    return _let(rest, of_text)
+
+
+def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bodies: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """One row for each row of ``df``: id, and matches (segment, license, dice), a segment counted from 0.
+
+    ``bodies``: windows over what no segment matches are compared to these and ``templates``
+    as well, and counted at the segment in which they begin; None: segments only.
+    """
     sets = [(name, _bigrams(text)) for name, text in templates]
     sets = [(name, b) for name, b in sets if b]
     reach = threshold / (2 - threshold)
@@ -71,12 +150,19 @@ def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         return F.transform(near, lambda t: F.struct(x["segment"].alias("segment"), t["license"].alias("license"), dice(t).alias("dice")))
 
     found = F.filter(F.flatten(F.transform(paired, against)), lambda m: m["dice"] >= threshold)
-    return df.select(F.col(id_col).alias(id_col), found.alias("matches"))
+    if bodies is None:
+        return df.select(F.col(id_col).alias(id_col), found.alias("matches"))
+    wall = F.array(F.lit("\n"), F.lit("\n"))  # no window reaches over a match
+    plain = lambda x, done: F.when(F.array_contains(done, x["segment"]), wall).otherwise(F.filter(x["w"], lambda w: w != ""))
+    rest = lambda done: F.flatten(F.transform(words, lambda x: F.transform(plain(x, done), lambda w: F.struct(w.alias("w"), x["segment"].alias("segment")))))
+    some = F.lower(F.col(text_col).cast("string")).rlike(_some([*sets, *((n, _bigrams(t)) for n, t in bodies)], reach))
+    both = lambda m: F.when(some, F.concat(m, _let(F.transform(m, lambda x: x["segment"]), lambda done: _windows(rest(done), (*templates, *bodies), threshold)))).otherwise(m)
+    return df.select(F.col(id_col).alias(id_col), _let(found, both).alias("matches"))
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
     """The licences named in every document."""
-    found = match_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = match_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), bodies=BODIES)
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
     return found.select(
         "doc_id",

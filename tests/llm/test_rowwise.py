@@ -258,3 +258,26 @@ def test_license_dice_by_brute_force(spark):
         own = set(licenses._bigrams(given[r["doc_id"]]))
         expected = [(n, round(2 * len(own & set(b)) / (len(own) + len(b)), 9)) for n, b in ((n, licenses._bigrams(t)) for n, t in licenses.TEMPLATES) if own and 2 * len(own & set(b)) / (len(own) + len(b)) >= 0.5]
         assert sorted(x[:] for x in r["m"]) == sorted(expected)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def test_license_notices_over_lines(spark):
+    prose = "It was a long day. The shop is under the bridge and nothing of it is for sale\n"
+    flat = lambda x: x.replace("\n", " ")
+    given = [MIT, flat(MIT), f"{prose}\n{MIT}\n\n{prose}", f"{ISC}\n{prose}", flat(ISC), prose + BSD, "so it is\nLicensed under the MIT License.", prose, f"{MIT}\n{MIT}", "Released under the MIT License.\n" + BSD, None, "", "MIT", "we have it licensed under the\n  Apache License, Version 2.0, I think"]
+    names = [["mit"], ["mit"], ["mit"], ["isc"], ["isc"], ["bsd-3-clause"], ["mit"], [], ["mit"] * 2, ["mit", "bsd-3-clause"], [], [], [], ["apache-2.0"]]
+    rows = {r["doc_id"]: [(m["license"], round(m["dice"], 3)) for m in r["matches"]] for r in licenses.match_licenses(texts(spark, *given), bodies=licenses.BODIES).collect()}
+    assert [[n for n, _ in rows[i]] for i in range(len(given))] == names
+    assert all(d == 1.0 for i in range(len(given)) for _, d in rows[i])
