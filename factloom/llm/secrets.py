@@ -19,6 +19,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +35,15 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}")
-_ANYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+#: Runs, which go on over single line breaks with indentation.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++|(?<=[A-Za-z0-9+/_-]{40}))")
+_ANYHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]++(?:(?:[ \t]*+\r?\n[ \t]*+[0-9A-Fa-f]++)++|(?<=[0-9A-Fa-f]{48}))")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.S)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
-#: How base64 of a DER sequence with a two-byte, one-byte and short length, or of the OpenSSH container, begins.
-_STARTS = re.compile(r"MI[A-P]|M[CDEFGH]|b3BlbnNzaC1rZXktdjE")
+#: How a DER sequence that begins with a number of one byte, or the OpenSSH container, begins.
+_STARTS = re.compile(rb"\x30(?=(?:[\x03-\x7F]|\x81.|\x82..|\x83...|\x84....)\x02\x01)|openssh-key-v1\0", re.S)
+_STANDARD = str.maketrans("-_", "+/")
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -80,9 +84,9 @@ def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return found
 
 
-def private_der(data: bytes) -> int | None:
-    """The length of the private key that ``data`` begins with; None if it isn't one."""
-    head = der_head(data)
+def private_der(data: bytes, start: int = 0) -> int | None:
+    """The length of the private key at ``start`` of ``data``; None if it isn't one."""
+    head = der_head(data, start)
     if head is None or head[0] != 0x30 or head[2] > len(data):
         return None
     items = der_items(data, head[1], head[2])
@@ -91,21 +95,21 @@ def private_der(data: bytes) -> int | None:
     version, tags = data[items[0][1]], [t for t, _, _ in items]
     if version in (0, 1) and tags[1:3] == [0x30, 0x04]:  # algorithm and key, of any kind
         inner = der_items(data, items[1][1], items[1][2])
-        return head[2] if inner and inner[0][0] == 0x06 and items[2][2] - items[2][1] >= 16 else None
+        return head[2] - start if inner and inner[0][0] == 0x06 and items[2][2] - items[2][1] >= 16 else None
     if version in (0, 1) and len(tags) >= 9 and set(tags[:9]) == {2}:  # two primes and what follows from them
-        return head[2] if items[1][2] - items[1][1] >= 32 else None
+        return head[2] - start if items[1][2] - items[1][1] >= 32 else None
     if version == 0 and tags == [2] * 6:  # p, q, g and two keys
-        return head[2] if items[1][2] - items[1][1] >= 64 else None
+        return head[2] - start if items[1][2] - items[1][1] >= 64 else None
     if version == 1 and tags[1:2] == [0x04] and set(tags[2:]) <= {0xA0, 0xA1}:  # a curve's key
-        return head[2] if 16 <= items[1][2] - items[1][1] <= 72 and len(tags) > 2 else None
+        return head[2] - start if 16 <= items[1][2] - items[1][1] <= 72 and len(tags) > 2 else None
     return None
 
 
-def private_ssh(data: bytes) -> int | None:
-    """The length of the OpenSSH private key container at the start of ``data``."""
-    if not data.startswith(_SSH):
+def private_ssh(data: bytes, start: int = 0) -> int | None:
+    """The length of the OpenSSH private key container at ``start`` of ``data``."""
+    if not data.startswith(_SSH, start):
         return None
-    at = len(_SSH)
+    at = start + len(_SSH)
 
     def field() -> bytes | None:
         nonlocal at
@@ -128,7 +132,7 @@ def private_ssh(data: bytes) -> int | None:
         if not key or not 3 <= n <= len(key) - 4:
             return None
     body = field()
-    return at if body and len(body) % 8 == 0 else None
+    return at - start if body and len(body) % 8 == 0 else None
 
 
 def _jwt(head: str, body: str) -> bool:
@@ -145,27 +149,37 @@ def _jwt(head: str, body: str) -> bool:
     return True
 
 
-def _encoded(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
-    """Keys in the base64 run ``text[lo:hi]``."""
-    found, at = [], lo
-    for m in _STARTS.finditer(text, lo, hi):
-        start = m.start()
-        if start < at or hi - start < 40:
-            continue
-        if m[0][0] == "M":
-            first = decode_base64(text[start : start + 8])
-            head = der_head(first or b"")
-            if head is None or head[2] > (hi - start) * 3 // 4 + 2 or first[head[1] : head[1] + 2] != b"\x02\x01":
+def _encoded(text: str, lo: int, hi: int, bits: int) -> list[tuple[str, int, int]]:
+    """Keys in the run ``text[lo:hi]`` of base64 (6 bits a character) or hex (4), at any byte of any phase."""
+    pieces = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\r\n]+", text[lo:hi])]
+    run = "".join([text[lo + i : lo + j] for i, j in pieces])
+    if len(run) < (40 if bits == 6 else 48):
+        return []
+    ends = list(accumulate(j - i for i, j in pieces))
+
+    def place(i: int) -> int:
+        k = bisect_right(ends, i)
+        return lo + pieces[k][1] - (ends[k] - i)
+
+    unit = 4 if bits == 6 else 2
+    run, found = run.translate(_STANDARD) if bits == 6 else run, []
+    for phase in range(unit):
+        part = run[phase : len(run) - (len(run) - phase) % unit] if bits == 4 or (len(run) - phase) % 4 == 1 else run[phase:]
+        raw, done = bytes.fromhex(part) if bits == 4 else binascii.a2b_base64(part + "=" * (-len(part) % 4)), 0
+        for m in _STARTS.finditer(raw):
+            at = m.start()
+            if at < done:
                 continue
-            raw, parse, kind = decode_base64(text[start : start + 4 * -(-head[2] // 3)]), private_der, "der"
-        else:
-            raw, parse, kind = decode_base64(text[start : hi - (hi - start) % 4 if (hi - start) % 4 == 1 else hi]), private_ssh, "ssh"
-        n = parse(raw) if raw else None
-        if n is not None:
-            at = start + -(-n * 4 // 3)
-            while at < len(text) and text[at] == "=" and at - start < 4 * -(-n // 3):
-                at += 1
-            found.append((kind, start, at))
+            kind, parse = ("der", private_der) if m[0] == b"\x30" else ("ssh", private_ssh)
+            n = parse(raw, at)
+            if n is None:
+                continue
+            done = at + n
+            end = place(phase + -(-done * 8 // bits) - 1) + 1
+            pad = -done % 3 if bits == 6 else 0
+            while pad and end < len(text) and text[end] == "=":
+                end, pad = end + 1, pad - 1
+            found.append((kind, place(phase + at * 8 // bits), end))
     return found
 
 
@@ -186,12 +200,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if raw and (private_der(raw) or private_ssh(raw) or locked and len(raw) >= 32 and (len(raw) % 8 == 0 or der_head(raw) is not None and der_head(raw)[2] == len(raw))):
                 found.append(("pem", *m.span()))
     for m in _BASE64.finditer(text):
-        found += _encoded(text, *m.span())
-    if "30" in text:
-        for m in _ANYHEX.finditer(text):
-            raw = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
-            if (n := private_der(raw)) is not None:
-                found.append(("der", m.start(), m.start() + 2 * n))
+        if m.end() - m.start() >= 40:
+            found += _encoded(text, *m.span(), 6)
+    for m in _ANYHEX.finditer(text):
+        if m.end() - m.start() >= 48:
+            found += _encoded(text, *m.span(), 4)
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if _jwt(m[1], m[2])]
     return sorted(found, key=lambda x: (x[1], _ORDER[x[0]], x[2]))

@@ -202,6 +202,27 @@ def test_random_runs_are_no_keys():
     assert kinds("MI" * 20_000) == []
 
 
+@pytest.mark.parametrize("key", [RSA, EC, PKCS8, SSH])
+@pytest.mark.parametrize("width", [16, 64, 76])
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    "])
+def test_wrapped_keys(key, width, gap):
+    kind = "ssh" if key is SSH else "der"
+    for whole in (b64(key), base64.urlsafe_b64encode(key).decode(), key.hex(), key.hex().upper()):
+        lines = gap.join(re.findall(f".{{1,{width}}}", whole))
+        assert (kind, 6, 6 + len(lines)) in secrets.find(f"key: |{lines}\n\nend")
+        masked = secrets.mask(f"a {lines}", secrets.find(f"a {lines}"))
+        assert masked in (f"a [{kind}]", "a [hex]")
+
+
+@pytest.mark.parametrize("key", [RSA, EC, PKCS8, SSH])
+def test_keys_behind_other_digits(key):
+    kind = "ssh" if key is SSH else "der"
+    for before in (1, 2, 3, 7):
+        front = os.urandom(before).replace(b"\x30", b"\1")
+        assert kind in kinds(b64(front + key)) and kind in kinds((front + key).hex().upper())
+        assert (kind, 2 + before, 2 + before + 2 * len(key)) in secrets.find("x " + "A" * before + key.hex().upper() + " y")
+
+
 PATTERNS = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
