@@ -2,12 +2,14 @@
 
 A document is described by ratios and counts of its whole text. Of a labelled
 pair the better one wins with probability sigmoid(w.(x - y)): the logistic loss
-on feature differences gives w. The scores of the labelled sample then give the
-threshold: the quantile that leaves below it the share of documents labelled 0.
+on feature differences gives w. The scores of all labelled documents that are
+not held out then give the threshold: the quantile that leaves below it the
+share of them labelled 0.
 A score is mapped to 0..1 so that the threshold lies at ``CUT``.
 
 The fit is on at most ``SAMPLE`` labelled documents, those of the smallest hash
-of their id; features, scores and decisions cover every row, and are row-local.
+of their id; threshold and spread cover all that may be learned from. Features,
+scores and decisions cover every row, and are row-local.
 Labels are joined to features, not to texts.
 
 Defined results: null and empty texts have the features of an empty text, and
@@ -110,11 +112,14 @@ class Model(NamedTuple):
     shift: float
     slopes: tuple[float, ...]
 
-    def column(self, x: str) -> F.Column:
+    def linear(self, x: str) -> F.Column:
         total = F.lit(self.shift)
         for i, v in enumerate(self.slopes):
             total = total + F.col(x)[i] * F.lit(v)
-        return 1 / (1 + F.exp(-total))
+        return total
+
+    def column(self, x: str) -> F.Column:
+        return 1 / (1 + F.exp(-self.linear(x)))
 
 
 def held_out(id_column: F.Column) -> F.Column:
@@ -135,6 +140,22 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(df.select(id_col, text_col), make, schema)
 
 
+def quantile(df: DataFrame, column: str, n: int, share: float, accuracy: int = 10_000) -> float:
+    """The exact quantile of ``n`` values, between two of them as in numpy; only values near it reach the driver."""
+    at = share * (n - 1)
+    k, v = int(at), F.col(column)
+    near = [max(0.0, k / n - 2 / accuracy), min(1.0, (k + 2) / n + 2 / accuracy)]
+    low, high = df.agg(F.percentile_approx(v, near, accuracy)).first()[0]
+    seen = df.where(v < low).count()
+    found: list[float] = []
+    for value, count in df.where(v.between(low, high)).groupBy(v).count().orderBy(v).collect():
+        seen += count
+        found += [value] * (int(seen > k) + int(seen > k + 1) - len(found))
+    if not found:
+        raise ValueError("the quantile lies outside of its bounds")
+    return float(found[0] + (found[-1] - found[0]) * (at - k))
+
+
 def learn(described: DataFrame, labels: DataFrame, id_col: str, label_col: str, cut: float, sample: int) -> Model | None:
     """The model of the labelled rows of ``described``; None without labels of both kinds."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -145,8 +166,12 @@ def learn(described: DataFrame, labels: DataFrame, id_col: str, label_col: str,
         return None
     x = np.array([r["x"] for r in known])
     centre, scale, w = fit(x, y)
-    s = (x - centre) / scale @ w
-    threshold, spread = float(np.quantile(s, (y == 0).mean())), float(max(s.std(), 1e-9))
+    raw = Model(float(-(centre @ (w / scale))), tuple(map(float, w / scale)))
+    scratch = Scratch(described.sparkSession, "quality")
+    scored = scratch.save(used.select(raw.linear("x").alias("s"), "y"), "scores")
+    n, worse, deviation = scored.agg(F.count("s"), F.count_if(F.col("y") == 0), F.stddev_pop("s")).first()
+    threshold, spread = quantile(scored, "s", n, worse / n), max(deviation, 1e-9)
+    scratch.drop(scored)
     slopes = w / scale / spread * 2
     return Model(float(-(centre @ slopes) - 2 * threshold / spread + np.log(cut / (1 - cut))), tuple(map(float, slopes)))
 

@@ -204,6 +204,23 @@ def test_quality_edge_cases(spark):
     assert quality.keep_good(docs, labels.limit(0)).count() == 5
 
 
+def test_threshold_covers_all_labels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = docs.select("doc_id", (F.pmod(F.hash("doc_id"), F.lit(3)) == 0).cast("int").alias("quality"))  # that texts don't tell
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for sample in (20, 30, 40):
+        rows = [r for r in quality.score_quality(docs, labels, sample=sample).collect() if r["doc_id"] in marks and not r["held_out"]]
+        assert len(rows) > sample
+        assert abs(sum(r["score"] < quality.CUT for r in rows) - sum(marks[r["doc_id"]] == 0 for r in rows)) <= 1
+
+
+def test_quantile_is_numpys(spark):
+    values = np.random.default_rng(4).normal(size=30_000).round(3)
+    df = spark.createDataFrame([(float(v),) for v in values], "s double")
+    for share in (0.0, 0.1234, 0.5, 0.9999, 1.0):
+        assert abs(quality.quantile(df, "s", len(values), share) - np.quantile(values, share)) < 1e-12
+
+
 # ---------------------------------------------------------------- shards
 
 
