@@ -58,7 +58,7 @@ def parse_tables(pages: DataFrame, mode: str = "compat", data: bool = True) -> D
     tables. The page's title is its resource, unaccented names being the scan's duty.
     """
     title = strip_punctuation(F.replace(F.coalesce("resource", F.lit("")), F.lit("_"), F.lit(" ")))
-    fitting = pages.where(F.col("html").contains("<table") & F.col("html").contains(TABLE_CLASSES[0]))
+    fitting = pages.where(F.col("html").rlike("(?i)<table") & F.col("html").contains(TABLE_CLASSES[0]))
     asked = fitting.select(F.col("page_id").cast("long"), "resource", title.alias("title"), "html")
     target = to_arrow_schema(TABLES)
 

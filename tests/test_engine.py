@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import http.server
+import re
 import threading
 import unicodedata
 
@@ -56,6 +57,14 @@ def test_status_of_tables(spark):
     assert values(refine(scan.parse_tables(frame(spark, *html))), "page_id", "status") == [(0, "E2"), (1, "E3"), (2, "E3"), (3, "OK")]
 
 
+def test_tags_in_upper_case(spark):
+    html = TABLE.format("S", ROWS)
+    upper = re.sub(r"</?[a-z0-9]+", lambda m: m[0].upper(), html)
+    assert "<TABLE" in upper
+    found = [[r.asDict() | {"page_id": 0} for r in scan.parse_tables(frame(spark, x)).collect()] for x in (html, upper)]
+    assert found[0] and found[0] == found[1]
+
+
 def test_no_pages(spark):
     rows = table_rows(refine(scan.parse_tables(frame(spark, None))))
     own = spark.createDataFrame(RULES, rules.RULES)
