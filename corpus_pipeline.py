@@ -29,11 +29,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens, with their token ids."""
     import public_tokenizers
 
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
-    return pieces.drop("piece_ids").withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", good_quality), ("near_dedup", near_dedup), ("secrets", without_secrets), ("packing", packed)]

@@ -371,6 +371,14 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == set(before)
 
 
+def test_pipeline_keeps_token_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    pieces = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+    assert len({r["doc_id"] for r in pieces}) == 20
+    for r in pieces:
+        assert len(r["piece_ids"]) == r["length"] and zlib.crc32(np.array(r["piece_ids"], "<u4").tobytes()) == r["ids_crc32"]
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
