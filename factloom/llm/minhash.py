@@ -5,18 +5,21 @@ random permutations of one domain make all coordinates of its signature: the
 first scatters the shingles, the second, shifted circularly by k, gives
 coordinate k. Coordinates in bands are the keys under which documents meet.
 
-Documents with equal sets are one node. A node whose shingles occur in no other
-candidate for more than a fifth can't be linked, and two nodes can't be if what
-their lone shingles leave is too little; this exact bound comes before any pair.
-In each bucket of a band the nodes left are compared to a centre, not all to
-each other: first to the node with the fewest lone shingles, then, where a
-bucket holds nodes of different components, to some centres chosen by hash. At
-last nodes of different components meet if the bound allows it, once, in the
-first band that they share; there the sets go along, so that only links leave
-the join. So no link that the bands find is lost, while a bucket of many copies
-costs a multiple of its size. Links count only if the full sets confirm them, by
-integers. With 40 bands of 5 a pair at the threshold of 0.8 meets in
-none with a probability of 1.3e-7.
+Documents with equal sets are one node. In each bucket of a band the nodes are
+compared to a centre, not all to each other: first to one, then, where a bucket
+holds nodes of different components, to some chosen by hash. So a bucket of many
+copies costs a multiple of its size. What is still apart in one bucket meets
+under its rarest shingles: of two sets that are similar enough one of the
+rarest of the smaller is among the rarest of the larger (prefix filter), at
+places that leave room for the rest. So pages of one template, which share most
+bands and have no link, meet only where they share what is rare among them.
+
+Each node carries a bitmap of its set. Two bitmaps differ in no more bits than
+the sets do in shingles, so that the join itself leaves out, exactly, pairs that
+are too far apart. Links count only if the full sets confirm them, by integers.
+With 40 bands of 5 a pair at the threshold of 0.8 meets in none with a
+probability of 1.3e-7; the later steps lose nothing. Hot keys are dealt in
+pieces.
 
 Defined results: null and empty texts, and texts without words, have an empty
 set and no links; with fewer words than a shingle has, the whole sequence is
@@ -28,16 +31,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from factloom.llm.components import connected_components
+from factloom.llm.components import connected_components, merge_components
 from factloom.llm.rows import map_rows
 from factloom.plans.scratch import Scratch
+from factloom.plans.skew import salted_join
 
 BANDS, ROWS, DOMAIN, SEED = 40, 5, 1 << 20, 20240229
+#: 64-bit words of a bitmap.
+WORDS = 16
 #: Centres of a bucket in the second round.
 CENTRES = 8
 _PART = 512
@@ -95,11 +100,18 @@ class Sketcher:
         rows = self.signature(shingles).astype(np.uint64).reshape(self.bands, self.rows)
         return _mix((rows * self.row_weights).sum(axis=1, dtype=np.uint64) + self.band_salt).view(np.int64)
 
+    def bitmap(self, shingles: np.ndarray) -> np.ndarray:
+        """Each shingle turns over one bit."""
+        places = (shingles & _U64(64 * WORDS - 1)).astype(np.int64)
+        odd = np.bincount(places, minlength=64 * WORDS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
 
 def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, set_hash, bands); null hash and bands where the set is empty."""
+    """Rows (id, n, set_hash, bands, bits); null hash, bands and bits where the set is empty."""
+    longs = T.ArrayType(T.LongType())
     schema = T.StructType(
-        [T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        [T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("set_hash", T.BinaryType()), T.StructField("bands", longs), T.StructField("bits", longs)]
     )
 
     def make():
@@ -112,6 +124,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
                 "n": [len(x) for x in sets],
                 "set_hash": [tool.digest(x.tobytes()) if len(x) else None for x in sets],
                 "bands": [tool.keys(x) if len(x) else None for x in sets],
+                "bits": [tool.bitmap(x) if len(x) else None for x in sets],
             }
 
         return work
@@ -135,27 +148,55 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     return map_rows(df.select("node", "text"), make, schema)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those with 100 * intersection >= percent * union over the full sets."""
+def _near(percent: int) -> Column:
+    """Whether a pair (n, bits) and (n_a, bits_a) can be similar enough, by sizes and bitmaps."""
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_a")[i])) for i in range(1, WORDS)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("bits_a")[0])))
+    sizes = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_a")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of the distinct pairs (a, b) those with 100 * intersection >= percent * union over the full sets, as a table (u, v)."""
+    pairs = scratch.save(pairs, "pairs")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    n = pairs.count()
+    both = salted_join(salted_join(pairs, left, "a", F.col("b"), n), right, "b", F.col("a"), n)
     met = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .withColumn("met", met)
-        .where(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met")))
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
+    found = both.withColumn("met", met).where(100 * F.col("met") >= percent * (F.col("na") + F.col("nb") - F.col("met")))
+    links = scratch.save(found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
+    scratch.drop(pairs)
+    return links
+
 
+def _by_rarest(active: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, n, bits, component), of different components, that prefix filter and bitmaps allow.
 
-def _viable(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, lone): nodes that can have a link, and how many of their shingles no other node has."""
-    each = sets.select("node", F.explode("shingles").alias("shingle"))
-    lone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("node").alias("node")).where("f = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    nodes = sets.groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))  # rows of one id with several texts are not bound
-    found = nodes.join(lone, "node", "left").select("node", "n", F.when(F.col("rows") == 1, F.coalesce("lone", F.lit(0))).otherwise(0).alias("lone"))
-    return found.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n")).select("node", "lone")
+    Shingles are in one order, the rarest first. If two sets, x not the larger,
+    have an overlap of at least t, the first |x| - t + 1 of x and the first
+    |y| - t + 1 of y have a shingle in common; t is bounded by either size alone.
+    At the first such shingle, i before it in x and j in y, the rest must suffice.
+    """
+    own = sets.join(active.select("node"), "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
+    own = scratch.save(own, "shingles")
+    shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = salted_join(own, shared, "shingle", F.col("node"), own.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("x"))
+    # shingles of no other node come first, and are no keys
+    lone = F.col("n") - F.size("x")
+    least = lambda share: F.ceil(F.col("n") * F.lit(share) - 1e-6).cast("long")
+    prefix = lambda share: F.slice("x", 1, F.greatest(F.lit(0), F.col("n") - least(share) + 1 - lone).cast("int"))
+    low, high = 2 * percent / (100 + percent), percent / 100
+    keyed = lambda share: ranked.select("node", "n", lone.alias("lone"), F.posexplode(prefix(share)).alias("at", "s")).select("node", "n", (F.col("lone") + F.col("at")).alias("at"), F.col("s.shingle").alias("key"))
+    info = active.select("node", "bits", "component")
+    probe = scratch.save(keyed(high).join(info, "node"), "probe")
+    small = probe.where(F.col("at") <= F.col("n") - least(low))
+    small = small.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "bits", "component")))
+    need = F.ceil((F.col("n") + F.col("n_a")) * F.lit(percent / (100 + percent)) - 1e-6)
+    room = 1 + F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) - 1 >= need
+    once = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("node_a") < F.col("node")))
+    met = salted_join(probe, small, "key", F.col("node"), probe.count())
+    pairs = met.where(once & (F.col("component") != F.col("component_a")) & room & _near(percent))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -169,58 +210,58 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = scratch.save(sketch(docs, "id", "text", shingle), "sketches")
     with_set = sketches.where("id is not null and set_hash is not null")
     classes = scratch.save(with_set.groupBy("set_hash").agg(F.min("id").alias("node")), "classes")
-    nodes = with_set.select(F.col("id").alias("node"), "set_hash", "n", "bands").join(classes, ["node", "set_hash"], "left_semi")
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    met = scratch.save(keyed.join(crowded, "key", "left_semi"), "met")
-    wanted = met.select(F.col("node").alias("id")).distinct()
-    sets = scratch.save(shingle_sets(docs.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), shingle), "sets")
-    buckets = scratch.save(met.join(_viable(sets, percent), "node"), "buckets")
-    scratch.drop(met)
-
-    def possible(a: str, b: str) -> F.Column:
-        """The bound on two nodes, whose columns end in ``a`` and ``b``."""
-        n, m = F.col(f"n{a}"), F.col(f"n{b}")
-        common = F.least(n - F.col(f"lone{a}"), m - F.col(f"lone{b}"))
-        return 100 * common >= percent * (n + m - common)
-
-    same_id = with_set.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi")
-    by_id = with_set.join(same_id.select("id"), "id", "left_semi").join(classes, "set_hash").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    least = buckets.groupBy("key").agg(F.min(F.struct("lone", "node", "n")).alias("c"))
-    least = least.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.lone").alias("lone_a"))
-    pairs = buckets.join(least, "key").where((F.col("node") != F.col("a")) & possible("", "_a")).select("a", F.col("node").alias("b")).distinct()
-    labels = scratch.save(connected_components(_confirmed(pairs, sets, percent).unionByName(by_id), scratch), "labels")
+    nodes = with_set.select(F.col("id").alias("node"), "set_hash", "n", "bands", "bits").join(classes, ["node", "set_hash"], "left_semi")
+    again = scratch.save(with_set.groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "again")
+    repeated = not again.isEmpty()
+
+    def once(rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` without repeated ones, which only ids that occur again have."""
+        if not repeated:
+            return rows
+        ids = again.select(F.col("id").alias(name))
+        return rows.join(ids, name, "left_anti").unionByName(rows.join(ids, name, "left_semi").distinct())
+
+    nodes = once(nodes, "node")
+    keyed = nodes.select("node", "n", "bits", F.explode("bands").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = scratch.save(keyed.join(crowded, "key"), "buckets")
+    total = buckets.count()
+    wanted = buckets.select(F.col("node").alias("id")).distinct()
+    sets = scratch.save(shingle_sets(once(docs.join(wanted, "id", "left_semi"), "id").select(F.col("id").alias("node"), "text"), shingle), "sets")
+
+    def apart(rows: DataFrame, centre: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the bounds allow of nodes and a centre of their bucket."""
+        met = salted_join(rows, centre, "key", F.col("node"), total).where((F.col("component") != F.col("component_a")) & _near(percent))
+        return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+    def centres(rows: DataFrame) -> DataFrame:
+        return rows.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("component").alias("component_a"))
+
+    by_id = with_set.join(again.where("lo <> hi").select("id"), "id", "left_semi").join(classes, "set_hash").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
+    alone = buckets.withColumn("component", F.col("node"))
+    first = alone.groupBy("key").agg(F.min(F.struct("node", "n", "bits", "component")).alias("c")).select("key", "c.*")
+    links = _confirmed(apart(alone, centres(first)), sets, percent, scratch)
+    labels = scratch.save(connected_components(links.unionByName(by_id), scratch), "labels")
 
     for last in (False, True):
-        member = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "band", "node", "n", "lone", "component")
-        mixed = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "size")
-        active = scratch.save(member.join(mixed, "key").where("size > 2"), "active")
+        member = buckets.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        active = scratch.save(member.join(mixed, "key", "left_semi"), "active")
         if active.isEmpty():
             break
-        centre = active
-        if not last:
-            place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-            centre = active.where(place < F.ceil(F.lit(float(1 << 30) * CENTRES) / F.col("size")))
-        centre = centre.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("lone").alias("lone_a"), F.col("component").alias("component_a"))
-        bands = nodes.join(active.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.min("bands")).alias("bands"))  # null: an id with several sets
-        centre = centre.join(bands.select(F.col("node").alias("a"), F.col("bands").alias("bands_a")), "a")
-        first = F.array_position(F.zip_with("bands", "bands_a", lambda x, y: x == y), True) == F.col("band") + 1
-        apart = (F.col("component") != F.col("component_a")) & possible("", "_a") & F.coalesce(first, F.lit(True))
-        if last:  # the sets go along, and the join itself confirms: only links leave it
-            centre = centre.join(sets.select(F.col("node").alias("a"), F.col("n").alias("m_a"), F.col("shingles").alias("set_a")), "a")
-            others = active.join(bands, "node").join(sets.select("node", F.col("n").alias("m"), "shingles"), "node")
-            alike = (100 + percent) * F.size(F.array_intersect("shingles", "set_a")).cast("long") >= percent * (F.col("m") + F.col("m_a"))
-            links = others.join(centre, "key").where(apart & (F.col("a") < F.col("node")) & alike).select(F.col("a").alias("u"), F.col("node").alias("v")).distinct()
+        if last:
+            pairs = _by_rarest(active.dropDuplicates(["node", "bits"]), sets, percent, scratch)
         else:
-            pairs = active.join(bands, "node").join(centre, "key").where(apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            links = _confirmed(pairs, sets, percent)
-        known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        after = scratch.save(connected_components(links.unionByName(known), scratch), "labels")
+            place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+            few = active.where(place < F.ceil(F.lit(float(1 << 30) * CENTRES) / F.col("size")))
+            pairs = apart(active, centres(few))
+        links = _confirmed(pairs, sets, percent, scratch)
+        if not links.isEmpty():
+            labels = scratch.save(merge_components(labels, links, scratch), "labels")
         scratch.drop(active)
-        labels = after
 
     of_class = classes.join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    found = sketches.select("id", "n", "set_hash").join(of_class, "set_hash", "left")
+    found = salted_join(sketches.select("id", "n", "set_hash"), of_class, "set_hash", F.col("id"), sketches.count(), "left")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -230,12 +271,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that are kept, one for each group; of rows that share an id one stays."""
-    named = df.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(df, id_col, text_col, shingle, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    chosen = named.join(kept, id_col, "left_semi").withColumn("__first", first).where("__first = 1").select(*df.columns)
-    return chosen.unionByName(df.where(F.col(id_col).isNull()))
+    """The rows of ``df`` that are kept, one for each group; of rows that share an id one stays.
+
+    Texts stay where they are where the ids of the rows to go are few enough for
+    Spark to broadcast; rows of ids that occur once never meet in an aggregation.
+    """
+    found = Scratch(df.sparkSession, "near").save(near_duplicates(df, id_col, text_col, shingle, percent).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
+    gone = found.where("not kept or rows > 1").select(id_col)
+    twice = df.join(found.where("kept and rows > 1").select(id_col), id_col, "left_semi")
+    one = twice.groupBy(id_col).agg(F.min_by(F.struct(*df.columns), F.xxhash64(text_col)).alias("x")).select("x.*")
+    return df.join(gone, id_col, "left_anti").select(*df.columns).unionByName(one)
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

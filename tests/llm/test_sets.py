@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from factloom.llm import components, minhash, packing, quality, queries, sharding, topk, urlfilter
 from factloom.plans.scratch import Scratch, shared_folder
+from factloom.plans.skew import salted_join
 
 
 def frame(spark, rows):
@@ -97,8 +98,41 @@ def test_near_duplicate_edge_cases(spark):
     kept = minhash.keep_one(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "id", "n", "node"]
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 4]
-    twice = minhash.keep_one(frame(spark, [(1, "a"), (1, "a"), (2, "b")]))
+    twice = minhash.keep_one(frame(spark, [(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "b")]))
     assert sorted(r["doc_id"] for r in twice.collect()) == [1, 2]
+    clash = spark.createDataFrame([(i, "a b", i + 6) for i in (1, 2)] + [(5, "c", 9), (5, "c", 9), (6, None, 3)], "doc_id long, text string, __first int")
+    assert sorted((r["doc_id"], r["__first"]) for r in minhash.keep_one(clash).collect()) == [(1, 7), (5, 9), (6, 3)]
+
+
+def template_pages(values):
+    """Pages of one template with three slots of so many values each: all pairs are under the threshold (0.75 at most)."""
+    fixed = [" ".join(f"f{i}x{j}" for j in range(7)) for i in range(4)]
+    return [(100 * values**2 * a + 100 * b * values + 100 * c, f"{fixed[0]} a{a} {fixed[1]} b{b} {fixed[2]} c{c} {fixed[3]}") for a in range(values) for b in range(values) for c in range(values)]
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    rows = template_pages(8)
+    rows += [(i + 1, t.replace("f3x6", "f3x7")) for i, t in rows[::50]] + [(i + 2, t) for i, t in rows[::70]]  # links, and copies
+    seen, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *rest: seen.append(pairs.count()) or confirmed(pairs, *rest))
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows), shingle=4).collect()}
+    assert found == brute_components(rows, 4)
+    assert max(seen) <= len(rows)  # bitmaps and prefixes leave hardly more than the links, of over 100,000 pairs that bands allow
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    """The last step alone, all nodes apart, against all pairs."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    own = [sorted({*rng.sample(base, rng.randrange(30, 60)), *(rng.getrandbits(62) for _ in range(rng.randrange(0, 6)))}) for _ in range(160)]
+    own += [sorted({*x[: rng.randrange(len(x) - 8, len(x))], *(rng.getrandbits(62) for _ in range(rng.randrange(0, 6)))}) for x in own[:60]]
+    tool = minhash.Sketcher(4, 1, 1)
+    rows = [(i, len(x), x, tool.bitmap(np.array(x, np.uint64)).tolist(), i) for i, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "node long, n long, shingles array<long>, bits array<long>, component long")
+    pairs = {tuple(sorted(r)) for r in minhash._by_rarest(df.drop("shingles"), df.select("node", "n", "shingles"), 80, Scratch(spark, "t")).collect()}
+    sets = [set(x) for x in own]
+    near = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near <= pairs and len(near) > 20 and len(pairs) < 3 * len(near)
 
 
 def test_signatures_agree_as_sets_do():
@@ -118,6 +152,20 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == {**{i: 3 for i in [3, *range(10, 61)]}, 100: 100, 101: 100, 102: 100}
     assert len(got) == len({r["node"] for r in got})
     assert components.connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+    scratch = Scratch(spark, "t")
+    star = scratch.save(spark.createDataFrame([(1, i) for i in range(2, 3000)] + [(5000, 5001)], "u long, v long"), "star")
+    labels = scratch.save(components.connected_components(star, scratch), "labels")
+    more = scratch.save(spark.createDataFrame([(5001, 9000), (9000, 17), (9001, 9002)], "u long, v long"), "more")
+    merged = {r["node"]: r["component"] for r in components.merge_components(labels, more, scratch).collect()}
+    assert merged == {**{i: 1 for i in [*range(1, 3000), 5000, 5001, 9000]}, 9001: 9001, 9002: 9001}
+
+
+def test_salted_joins_are_joins(spark):
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)] + [(None, i) for i in range(300)], "k long, x long")
+    one = spark.createDataFrame([(1, "a"), (3, "b"), (4, "c")], "k long, y string")
+    for how in ("inner", "left"):
+        got, expected = salted_join(many, one, "k", F.col("x"), 1200, how), many.join(one, "k", how)
+        assert got.columns == expected.columns and sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
 def test_op1(spark, sf_dir):
