@@ -32,8 +32,8 @@ from factloom.llm.rows import no_cycles, slices
 from factloom.llm.words import WordTokens
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 128, 1
-#: Examples that wait for a place at most, and at which filling stops.
-OPEN, LOW = 768, 384
+#: Examples that wait for a place at most, and at which filling stops; bytes of text that are encoded at once.
+OPEN, LOW, PART = 768, 384, 2 << 20
 
 
 class Packer:
@@ -182,6 +182,11 @@ def pack(
             out, packer.placed = packer.placed, []
             if out:
                 parts = [memoryview(k[1])[4 * s : 4 * (s + n)] for k, s, n, _, _ in out]
+                if keep_ids:
+                    ends = np.cumsum([0, *(n for _, _, n, *_ in out)], dtype=np.int32)
+                    pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")), type=target.field("piece_ids").type)
+                else:
+                    pieces = pa.nulls(len(out), target.field("piece_ids").type)
                 columns = [
                     [k[0] for k, *_ in out],
                     [s for _, s, *_ in out],
@@ -190,12 +195,11 @@ def pack(
                     [len(k[1]) // 4 for k, *_ in out],
                     [q for *_, q, _ in out],
                     [o for *_, o in out],
-                    [np.frombuffer(x, "<u4").astype(np.int32) for x in parts] if keep_ids else [None] * len(out),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, target)), pieces], schema=target)  # noqa: B905
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, PART):
                 ids, texts, *loss = (c.to_pylist() for c in batch.columns)
                 with no_cycles():
                     encoded = [x + end for x in tokens.encode([t or "" for t in texts])]

@@ -4,6 +4,10 @@ The tokenizer drops white space and no token spans it, so the ids of a text are
 those of its parts between spaces in a row. Parts recur; each new one is encoded
 once, in bulk, and kept. A part of Latin letters with marks behind it is two
 words to the tokenizer, so that its letters, in lower case, are kept instead.
+
+This holds of byte-level vocabularies whose tokens at a word's end say so. Words
+are encoded in rows and told apart by such tokens; that each word has got its
+own number of bytes is tested, and what fails is encoded word by word.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ import re
 
 import numpy as np
 
-#: Parts kept at most; beyond it the store starts anew.
-KEPT = 600_000
+#: Parts kept at most; beyond it the store starts anew. Words that are encoded in one row.
+KEPT, ROW = 400_000, 512
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
@@ -29,6 +33,9 @@ class WordTokens:
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)  # of the tokens that end a word
         self.ends[[i for x, i in names.items() if x.endswith("</w>")]] = True
+        self.bytes = np.zeros(len(self.ends), np.int64)  # a character of a name stands for a byte
+        for x, i in names.items():
+            self.bytes[i] = len(x.removesuffix("</w>"))
         self.parts: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
 
@@ -38,13 +45,18 @@ class WordTokens:
 
     def _whole_words(self, words: list[str]) -> list[bytes]:
         """Ids of strings that are one word each: encoded in rows, told apart by the tokens that end a word."""
-        rows = [" ".join(words[i : i + 512]) for i in range(0, len(words), 512)]
-        ids = [i for x in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False) for i in x.ids]
-        flat = np.array(ids, "<u4")
-        at = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
-        if len(at) != len(words):
+        rows = [words[i : i + ROW] for i in range(0, len(words), ROW)]
+        out = []
+        for own, x in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            out += self._apart(own, np.array(x.ids, "<u4"))
+        return out
+
+    def _apart(self, words: list[str], ids: np.ndarray) -> list[bytes]:
+        """The ids of each word of a row."""
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or at[-1] != len(ids) or not np.array_equal(np.add.reduceat(self.bytes[ids], [0, *at[:-1]]), [len(w.encode()) for w in words]):
             return self._plain(words)
-        raw = flat.tobytes()
+        raw, at = ids.tobytes(), (4 * at).tolist()
         return [raw[i:j] for i, j in zip([0, *at], at)]  # noqa: B905
 
     def _learn(self, new: list[str]) -> None:
