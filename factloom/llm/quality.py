@@ -8,13 +8,14 @@ share of them labelled 0.
 A score is mapped to 0..1 so that the threshold lies at ``CUT``.
 
 The fit is on at most ``SAMPLE`` labelled documents, those of the smallest hash
-of their id; threshold and spread cover all that may be learned from. Features,
+of their id, which a cut on the hash picks before anything is sent to the
+driver; threshold and spread cover all that may be learned from. Features,
 scores and decisions cover every row, and are row-local.
 Labels are joined to features, not to texts.
 
 Defined results: null and empty texts have the features of an empty text, and
 so a score; a null id is scored, and never used to learn; repeated rows get
-equal scores; without labels of both kinds every score is 1; an empty table
+equal scores; a label that is repeated counts once for each row of its id; without labels of both kinds every score is 1; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -35,6 +36,8 @@ from factloom.plans.scratch import Scratch
 
 #: Labelled documents that are learned from at most, pairs drawn of them, and the score at the threshold.
 SAMPLE, PAIRS, CUT = 20_000, 100_000, 0.3
+#: Labels up to which their ids are broadcast, so that only labelled texts are described to learn from.
+FEW = 1_000_000
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[list(range(0x61, 0x7B))] = 1
@@ -88,12 +91,16 @@ def features(text: str) -> list[float]:
 
 
 def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centre, scale, weights) from features and labels; pairs are drawn from all of better x worse."""
+    """(centre, scale, weights) from features and labels, of all pairs of better and worse, or of so many drawn of them."""
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - centre) / scale
     better, worse = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    rng = np.random.default_rng(0)
-    d = z[rng.choice(better, pairs)] - z[rng.choice(worse, pairs)]
+    if len(better) * len(worse) <= pairs:
+        pairs = len(better) * len(worse)
+        d = (z[better][:, None] - z[worse][None]).reshape(pairs, -1)
+    else:
+        rng = np.random.default_rng(0)
+        d = z[rng.choice(better, pairs)] - z[rng.choice(worse, pairs)]
     w = np.zeros(x.shape[1])
     for _ in range(rounds):  # Newton's method on the mean logistic loss
         p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
@@ -156,22 +163,39 @@ def quantile(df: DataFrame, column: str, n: int, share: float, accuracy: int = 1
     return float(found[0] + (found[-1] - found[0]) * (at - k))
 
 
-def learn(described: DataFrame, labels: DataFrame, id_col: str, label_col: str, cut: float, sample: int) -> Model | None:
-    """The model of the labelled rows of ``described``; None without labels of both kinds."""
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    used = described.where(F.col("id").isNotNull() & ~held_out(F.col("id"))).join(marks, "id")
-    known = used.select("x", "y", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "y").limit(sample).collect()
+def usable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """Distinct (id, y) of the labels that may be learned from."""
+    given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
+    return given.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+
+
+def smallest(df: DataFrame, n: int, sample: int) -> list:
+    """The ``sample`` rows of the smallest hash of ``df`` (h, id, y) of ``n`` rows; hardly more of them reach the driver."""
+    share = 1.2 * sample / max(n, 1) + 1e-9
+    while True:
+        under = df.where(F.col("h") <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * 2.0**64)))) if share < 1 else df
+        rows = under.orderBy("h", "id", "y").limit(sample).collect()
+        if share >= 1 or len(rows) >= min(n, sample):
+            return rows
+        share *= 2
+
+
+def learn(described: DataFrame, marks: DataFrame, cut: float, sample: int) -> Model | None:
+    """The model of the rows of ``described`` that ``marks`` (id, y) label; None without labels of both kinds."""
+    scratch = Scratch(described.sparkSession, "quality")
+    used = scratch.save(described.where(F.col("id").isNotNull()).join(marks, "id"), "used")
+    known = smallest(used.withColumn("h", F.xxhash64("id")), used.count(), sample)
     y = np.array([r["y"] for r in known])
     if len(set(y.tolist())) < 2:
         return None
     x = np.array([r["x"] for r in known])
     centre, scale, w = fit(x, y)
     raw = Model(float(-(centre @ (w / scale))), tuple(map(float, w / scale)))
-    scratch = Scratch(described.sparkSession, "quality")
     scored = scratch.save(used.select(raw.linear("x").alias("s"), "y"), "scores")
     n, worse, deviation = scored.agg(F.count("s"), F.count_if(F.col("y") == 0), F.stddev_pop("s")).first()
     threshold, spread = quantile(scored, "s", n, worse / n), max(deviation, 1e-9)
     scratch.drop(scored)
+    scratch.drop(used)
     slopes = w / scale / spread * 2
     return Model(float(-(centre @ slopes) - 2 * threshold / spread + np.log(cut / (1 - cut))), tuple(map(float, slopes)))
 
@@ -182,7 +206,7 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     Labels whose id has crc32(id as text) mod 5 = 0 are held out of learning.
     """
     described = Scratch(df.sparkSession, "quality").save(describe(df, id_col, text_col), "features")
-    model = learn(described, labels, id_col, label_col, cut, sample)
+    model = learn(described, usable(labels, id_col, label_col), cut, sample)
     score = F.lit(1.0) if model is None else model.column("x")
     out = described.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))
@@ -191,10 +215,14 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``df`` that ``score_quality`` predicts as 1, all columns as they are.
 
-    The texts stay where they are: the model goes to the rows.
+    The texts stay where they are: the model goes to the rows, which are
+    described again, as that is cheaper than to write and read them once more.
     """
-    described = Scratch(df.sparkSession, "quality").save(describe(df, id_col, text_col), "features")
-    model = learn(described, labels, id_col, label_col, cut, sample)
+    marks = Scratch(df.sparkSession, "quality").save(usable(labels, id_col, label_col), "marks")
+    few = marks.count() <= FEW
+    labelled = df.join(F.broadcast(marks.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi") if few else df
+    described = Scratch(df.sparkSession, "quality").save(describe(labelled, id_col, text_col), "features")
+    model = learn(described, marks, cut, sample)
     if model is None:
         return df
     at, floor = df.columns.index(text_col), np.log(cut / (1 - cut))

@@ -262,6 +262,51 @@ def test_threshold_covers_all_labels(spark, sf_dir):
         assert abs(sum(r["score"] < quality.CUT for r in rows) - sum(marks[r["doc_id"]] == 0 for r in rows)) <= 1
 
 
+def test_quality_by_brute_force(spark, sf_dir):
+    """The loss over all pairs by plain gradient descent, the threshold as numpy's quantile, against the query."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    learned = [i for i in texts if i in marks and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.features(texts[i]) for i in learned], float), np.array([marks[i] for i in learned])
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    pairs = np.array([z[i] - z[j] for i in np.flatnonzero(y == 1) for j in np.flatnonzero(y == 0)])
+    w, speed = np.zeros(z.shape[1]), np.zeros(z.shape[1])
+    for _ in range(60_000):
+        ahead = w + 0.995 * speed
+        speed = 0.995 * speed - 0.05 * (1e-4 * ahead - (pairs / (1 + np.exp(np.clip(pairs @ ahead, -700, 700)))[:, None]).mean(axis=0))
+        w = w + speed
+    scores = z @ w
+    cut = np.quantile(scores, (y == 0).mean())
+    expected = dict(zip(learned, 1 / (1 + np.exp(-(2 * (scores - cut) / scores.std() + np.log(0.3 / 0.7)))), strict=True))
+    found = {r["doc_id"]: r for r in quality.op7_quality(spark, sf_dir).collect()}
+    assert set(found) == set(texts)
+    assert max(abs(found[i]["score"] - s) for i, s in expected.items()) < 2e-3
+    assert all(found[i]["predicted"] == (s >= 0.3) for i, s in expected.items() if abs(s - 0.3) > 2e-3)
+
+
+def test_the_sample_is_of_the_smallest_hashes(spark):
+    df = spark.range(3000).select("id", F.lit(1).alias("y"), F.xxhash64("id").alias("h"))
+    every = [r["id"] for r in df.orderBy("h").collect()]
+    for n in (1, 50, 2999, 3000, 9000):
+        assert [r["id"] for r in quality.smallest(df, 3000, n)] == every[:n]
+    assert [r["id"] for r in quality.smallest(df, 10**9, 50)] == every[:50]  # the cut grows until it suffices
+
+
+def test_good_rows_are_those_predicted(spark, monkeypatch):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["The house is old.", "We went to see it.", "Nobody was there then."]) for _ in range(9))
+    rows = [(i, good() if i % 2 else "!!! $$$ " * rng.randrange(1, 9)) for i in range(80)] + [(80, good())] * 3 + [(None, good()), (None, None), (81, ""), (82, None)]
+    docs = spark.createDataFrame([(i, t, "s", 1, [0.5]) for i, t in rows], "doc_id long, text string, score string, id int, x array<double>")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(1, 1), (80, 1), (None, 0), (99, 1)], "doc_id long, quality int")
+    scored = quality.score_quality(docs, labels).collect()
+    expected = Counter(r["doc_id"] for r in scored if r["predicted"])
+    assert len(scored) == len(rows) and expected[80] == 3 and expected[1] == 1 and expected[0] == 0
+    for few in (quality.FEW, 0):
+        monkeypatch.setattr(quality, "FEW", few)
+        kept = quality.keep_good(docs, labels)
+        assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == expected
+
+
 def test_quantile_is_numpys(spark):
     values = np.random.default_rng(4).normal(size=30_000).round(3)
     df = spark.createDataFrame([(float(v),) for v in values], "s double")
