@@ -350,8 +350,60 @@ def test_shards_with_a_hot_group(spark):
     assert max(sizes.values()) < 1.05 * sum(sizes.values()) / 8
 
 
+@pytest.mark.parametrize("one_id", [None, 5])
+def test_shards_with_a_hot_group_of_one_id(spark, one_id):
+    rng = random.Random(6)
+    given = [(one_id, "the hot text " * 30)] * 4000 + [(i, "x" * rng.randrange(100, 600)) for i in range(10, 1010)]
+    rows = sharding.shard(frame(spark, given), 8).collect()
+    check_shards(rows, given, 8, False)
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 8
+
+
+def test_placement_by_brute_force():
+    """The rule, one group after the other, in plain Python."""
+    rng = random.Random(9)
+    demand = [[rng.random() ** 3 * 9 + 0.01 for _ in range(3)] for _ in range(150)] + [[0.5, 0.5, 0.5]] * 20
+    shards, slack = 7, (0.2, 0.0, 0.2)
+    full = [sum(d[j] for d in demand) / shards for j in range(3)]
+    need = [[d[j] / full[j] for j in range(3)] for d in demand]
+    room, expected = [[1 + s for s in slack] for _ in range(shards)], {}
+    for i in sorted(range(len(need)), key=lambda i: (-max(need[i]), i)):
+        fits = [s for s in range(shards) if all(room[s][j] >= need[i][j] - 1e-12 for j in range(3))]
+        expected[i] = max(fits, key=lambda s: (round(sum(a * b for a, b in zip(room[s], need[i], strict=True)), 12), -s)) if fits else max(range(shards), key=lambda s: (room[s][1], -s))
+        room[expected[i]] = [a - b for a, b in zip(room[expected[i]], need[i], strict=True)]
+    assert sharding.place(np.array(demand), shards, slack).tolist() == [expected[i] for i in range(len(demand))]
+
+
+def test_op9(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = sharding.op9_sharding(spark, sf_dir).collect()
+    assert len(rows) == len(docs) == len({r["doc_id"] for r in rows})
+    check_shards(rows, list(docs.items()), 40, False)
+    sizes, tokens = Counter(), Counter()
+    for r in rows:
+        raw = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        sizes[r["shard"]] += r["size"]
+        tokens[r["shard"]] += len(TOKENIZER.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
+    assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) < 0.1 * sum(sizes.values()) / 40
+    assert max(tokens.values()) < 1.5 * sum(tokens.values()) / 40  # words only stand for tokens
+
+
+def test_shards_balance_given_tokens(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, "w" * rng.randrange(1, 300), rng.randrange(1, 900)) for i in range(4000)], "doc_id long, text string, tokens long")
+    count = {r["doc_id"]: r["tokens"] for r in df.collect()}
+    tokens = Counter()
+    for r in sharding.shard(df, 10, tokens_col="tokens").collect():
+        tokens[r["shard"]] += count[r["doc_id"]]
+    assert max(tokens.values()) < 1.25 * sum(tokens.values()) / 10
+
+
 def test_shard_groups_and_edge_cases(spark):
-    given = [(i, f"text {i % 700} " * (1 + i % 9)) for i in range(2100)]
     given = [(i, f"text {i % 700} " * (1 + i % 7)) for i in range(2100)]
     check_shards(sharding.shard(frame(spark, given), 10).collect(), given, 10, True)
     odd = [(None, None), (None, "a"), (1, ""), (1, ""), (2, None), (3, "é" * 50_000)]
