@@ -1,114 +1,170 @@
 """Exact search for the k largest inner products: ball trees, branch and bound.
 
-Vectors become integers, floor(scale * x). They are dealt into shards by the
-hash of their id; each shard builds a ball tree, and a query visits its nodes
-best bound first: no vector in a ball with centre c and radius r scores over
-q.c + |q| r. It stops where the bound falls under the query's kth score so far.
-That score is shared: a first pass over one small shard gives every query a kth
-score from the start, and within a shard it passes on from leaf to leaf. Blocks
-of queries meet shards of bounded size, so one task's memory is bounded, and
-each shard returns at most k rows for a query.
+Vectors become integers, floor(scale * x). They are dealt once into cells, by
+the nearest of some of them, and each cell into shards of bounded bytes; a shard
+builds one ball tree, and queries stream through it. A query visits a tree's
+nodes best bound first: no vector in a ball with centre c and radius r scores
+over q.c + |q| r. It stops where the bound falls under the query's kth score so
+far. That score is shared: a first wave takes each query to one shard of the
+cell of its best bound, and only cells whose bound reaches the kth score found
+there are visited in the second; within a shard the score passes on from leaf to
+leaf. Vectors are shuffled twice, whatever the number of queries, a task's
+memory is a shard and a batch of queries, and each shard returns at most k rows
+for a query.
 
 Defined results: vectors that are null or hold a null or non-finite component,
-and rows with a null id, take no part; of rows with one id the least vector
-counts; a shorter vector counts as filled up with zeros; ties go to the smaller
+and rows with a null id, take no part; every other row is a candidate of every
+query but its own row, also if ids are repeated, and each row that asks is a
+query; a shorter vector counts as filled up with zeros; ties go to the smaller
 id; an empty table or one without queries gives no rows; other columns are
-ignored. Scores are exact while they fit 63 bits; larger ones are cut to them.
+ignored. Scores are exact while they fit 63 bits; larger ones are cut to them,
+and are then ties.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from factloom.plans.scratch import Scratch
 
-#: Rows of a shard and of its tree's leaf, queries of a block, rows of the first pass at most.
-SHARD, LEAF, BLOCK, FIRST = 8192, 64, 2048, 2048
+#: Bytes and rows of a shard at most, rows of a tree's leaf, cells at most, queries whose bounds are computed at once.
+SHARD_BYTES, SHARD, LEAF, CELLS, BATCH = 32 << 20, 1 << 16, 256, 256, 256
 
 
-def scaled(vectors: list, scale: float) -> np.ndarray:
+def matrix(vectors: pa.ListArray, width: int, scale: float) -> np.ndarray:
     """floor(scale * x) as doubles, short vectors filled up with zeros."""
-    width = max((len(x) for x in vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for i, x in enumerate(vectors):
-        out[i, : len(x)] = x
+    ends = vectors.offsets.to_numpy()
+    sizes, flat = np.diff(ends), vectors.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = flat
     return np.floor(scale * out)
 
 
-def _widen(x: np.ndarray, width: int) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x
-
-
 class BallTree:
-    """A ball tree over integer vectors; ids break ties."""
-
-    def __init__(self, ids: np.ndarray, points: np.ndarray) -> None:
-        self.ids, self.points = ids, points
-        self.exact = len(points) == 0 or float(np.abs(points).max(initial=0)) ** 2 * max(1, points.shape[1]) < 2.0**52
-        self.nodes: list[tuple[np.ndarray, float, int, int, np.ndarray | None]] = []
+    """A ball tree over integer vectors; ids break ties, and ``rows`` tell rows of one id apart."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, rows: np.ndarray | None = None) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.points, self.rows = ids[order], points[order], (ids if rows is None else rows)[order]
+        self.largest = float(np.abs(points).max(initial=0))
+        self.parts: list[tuple[np.ndarray, float]] = []
+        self.below: list[tuple[int, int] | None] = []
+        self.own: list[np.ndarray | None] = []
         if len(ids):
             self._build(np.arange(len(ids)))
+            self.centres, self.radii = np.array([c for c, _ in self.parts]), np.array([r for _, r in self.parts])
 
     def _build(self, own: np.ndarray) -> int:
         points = self.points[own]
         centre = points.mean(axis=0)
-        radius = float(np.sqrt(((points - centre) ** 2).sum(axis=1).max()))
-        at = len(self.nodes)
-        self.nodes.append((centre, radius, -1, -1, own))
+        away = ((points - centre) ** 2).sum(axis=1)
+        at, radius = len(self.parts), float(np.sqrt(away.max()))
+        self.parts.append((centre, radius))
+        self.below.append(None)
+        self.own.append(own)
         if len(own) > LEAF and radius > 0:
-            far = points[np.argmax(((points - centre) ** 2).sum(axis=1))]
+            far = points[np.argmax(away)]
             other = points[np.argmax(((points - far) ** 2).sum(axis=1))]
-            side = points @ (other - far)
-            order = np.argsort(side, kind="stable")
+            order = np.argsort(points @ (other - far), kind="stable")
             half = len(own) // 2
-            left, right = self._build(own[order[:half]]), self._build(own[order[half:]])
-            self.nodes[at] = (centre, radius, left, right, None)
+            self.below[at] = self._build(np.sort(own[order[:half]])), self._build(np.sort(own[order[half:]]))
+            self.own[at] = None
         return at
 
-    def _scores(self, query: np.ndarray, own: np.ndarray) -> list[int]:
-        if self.exact and float(np.abs(query).max(initial=0)) * float(np.abs(self.points[own]).max(initial=0)) * max(1, len(query)) < 2.0**52:
-            return (self.points[own] @ query).astype(np.int64).tolist()
-        whole = [int(x) for x in query]
-        edge = (1 << 63) - 1
-        return [max(-edge - 1, min(edge, sum(a * int(b) for a, b in zip(whole, p, strict=True)))) for p in self.points[own]]
-
-    def search(self, query: np.ndarray, own_id: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """At most k (score, id), best first, of those that can be in the result given the kth score ``floor``."""
+    def _scores(self, query: np.ndarray, own: np.ndarray) -> np.ndarray:
+        if float(np.abs(query).max(initial=0)) * self.largest * max(1, len(query)) < 2.0**52:
+            return self.points[own] @ query
+        whole, edge = [int(x) for x in query], (1 << 63) - 1
+        exact = [sum(a * int(b) for a, b in zip(whole, p, strict=True)) for p in self.points[own]]
+        return np.array([max(-edge - 1, min(edge, x)) for x in exact], dtype=object)
+
+    def search(self, queries: np.ndarray, own_rows: list, k: int, floors: list) -> Iterator[list[tuple[int, int]]]:
+        """For each query at most k (score, id), best first, of those that can be in the result given its kth score so far."""
+        for i in range(0, len(queries), BATCH):
+            some = queries[i : i + BATCH]
+            norms = np.sqrt((some**2).sum(axis=1))[:, None]
+            bounds = some @ self.centres.T
+            bounds += norms * self.radii
+            bounds += 1e-9 * (np.abs(bounds) + norms * (1 + np.abs(self.centres).max(initial=0)) + 1)
+            for j, q in enumerate(some):
+                yield self._best(q, bounds[j].tolist(), own_rows[i + j], k, floors[i + j])
+
+    def _best(self, query: np.ndarray, bound: list, own_row: int, k: int, floor: float) -> list[tuple[int, int]]:
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
-        if not self.nodes:
-            return []
-        norm = float(np.sqrt(query @ query))
-        bound = lambda i: (v := float(self.nodes[i][0] @ query) + norm * self.nodes[i][1]) + 1e-9 * (abs(v) + norm + 1)
-        heap = [(-bound(0), 0)]
+        heap = [(-bound[0], 0)]
         while heap:
             top, i = heapq.heappop(heap)
             if -top < floor:
                 break
-            _, _, left, right, own = self.nodes[i]
-            if own is None:
-                for j in (left, right):
-                    if (b := bound(j)) >= floor:
-                        heapq.heappush(heap, (-b, j))
+            if self.below[i] is not None:
+                for j in self.below[i]:
+                    if bound[j] >= floor:
+                        heapq.heappush(heap, (-bound[j], j))
                 continue
-            for score, point in zip(self._scores(query, own), self.ids[own].tolist(), strict=True):
-                if score >= floor and point != own_id:
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -point))
-                    else:
-                        heapq.heappushpop(best, (score, -point))
-                    if len(best) == k:
-                        floor = max(floor, best[0][0])
+            own = self.own[i]
+            scores = self._scores(query, own)
+            near = np.flatnonzero((scores >= floor) & (self.rows[own] != own_row))
+            if len(near) > k:  # ids are in order, so that of equal scores the smaller ids come first
+                near = near[np.argsort(-scores[near], kind="stable")[:k]]
+            for score, point in zip(scores[near].tolist(), self.ids[own[near]].tolist(), strict=True):
+                if len(best) < k:
+                    heapq.heappush(best, (int(score), -point))
+                else:
+                    heapq.heappushpop(best, (int(score), -point))
+            if len(best) == k:
+                floor = max(floor, best[0][0])
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+FOUND = T.StructType([T.StructField(k, T.LongType()) for k in ("query_row", "query_id", "vec_id", "score")])
+
+
+def _visit(points: DataFrame, queries: DataFrame, shards: int, width: int, scale: float, k: int) -> DataFrame:
+    """``FOUND`` of queries (shard, row, id, v, floor) in the trees over points (shard, row, id, v)."""
+    target = to_arrow_schema(FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, tree = None, [], None
+        for batch in batches:
+            shard, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard) | np.diff(asks)) + 1).tolist(), len(shard)]
+            for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+                if lo == hi:
+                    continue
+                if shard[lo] != now:
+                    now, held, tree = shard[lo], [], None
+                rows, ids, vectors, floors = (batch.column(i).slice(lo, hi - lo) for i in (2, 3, 4, 5))
+                own = rows.to_numpy(), ids.to_numpy(), matrix(vectors, width, scale)
+                if not asks[lo]:
+                    held.append(own)
+                    continue
+                if tree is None and held:
+                    tree, held = BallTree(*(np.concatenate([h[i] for h in held]) for i in (1, 2, 0))), []
+                if tree is None:
+                    continue
+                floor = [-np.inf if x is None else x for x in floors.to_pylist()]
+                out = [(r, q, point, score) for r, q, best in zip(own[0].tolist(), own[1].tolist(), tree.search(own[2], own[0].tolist(), k, floor), strict=True) for score, point in best]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=target)
+
+    blank = F.lit(None).cast("double").alias("floor")
+    both = points.select("shard", F.lit(0).alias("asks"), "row", "id", "v", blank).unionByName(queries.select("shard", F.lit(1).alias("asks"), "row", "id", "v", "floor"))
+    return both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, FOUND)
+
+
+def _near(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector, and the distance."""
+    cell = np.argmin((centres**2).sum(axis=1) - 2 * (vectors @ centres.T), axis=1)
+    return cell, np.sqrt(((vectors - centres[cell]) ** 2).sum(axis=1))
 
 
 def top_inner_products(df: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -117,37 +173,62 @@ def top_inner_products(df: DataFrame, is_query, k: int = 10, scale: float = 1024
     vector = F.col(vector_col).cast("array<double>")
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     given = df.where(F.col(id_col).isNotNull() & vector.isNotNull() & whole)
-    rows = scratch.save(given.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), is_query.alias("asks")).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")), "vectors")
-    n, asking = rows.agg(F.count(F.lit(1)), F.coalesce(F.count_if("asks"), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asking // BLOCK))
-    first = max(1, -(-n // FIRST))
-    ask = rows.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).alias("block"))
-
-    def passed(rows_in: DataFrame, n_shards: int, asked: DataFrame) -> DataFrame:
-        """Each block of ``asked`` against each shard of ``rows_in``."""
-        near = rows_in.select("id", "v", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n_shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
-        far = asked.select("query_id", "q", "floor", "block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)).cast("array<bigint>")).alias("shard"))
-
-        def work(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple[int, int, int]] = []
-            if len(points) and len(queries):
-                a, b = scaled(points["v"].tolist(), scale), scaled(queries["q"].tolist(), scale)
-                width = max(a.shape[1], b.shape[1])
-                order = np.argsort(points["id"].to_numpy(), kind="stable")
-                tree = BallTree(points["id"].to_numpy()[order], _widen(a, width)[order])
-                for query_id, floor, q in zip(queries["query_id"].tolist(), queries["floor"].tolist(), _widen(b, width), strict=True):
-                    floor = -np.inf if floor is None or floor != floor else floor
-                    out += [(query_id, point, score) for score, point in tree.search(q, query_id, k, floor)]
-            return pd.DataFrame(out, columns=FOUND.names).astype("int64")
-
-        return near.groupBy("shard", "block").cogroup(far.groupBy("shard", "block")).applyInPandas(work, FOUND)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pilot = rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(first)) == 0)
-    ahead = passed(pilot, 1, ask.withColumn("floor", F.lit(None).cast("double")))
-    kth = ahead.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    found = passed(rows, shards, ask.join(scratch.save(kth, "kth"), "query_id", "left"))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rows = scratch.save(given.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
+    n, asking, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
+    if not n or not asking:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(1, width)
+    size = max(1, min(SHARD, SHARD_BYTES // (8 * width)))
+    chosen = rows.orderBy(F.xxhash64("row"), "row").select("v").limit(min(CELLS, -(-n // size))).toArrow()["v"].combine_chunks()
+    centres = matrix(chosen, width, scale)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, away = _near(matrix(b.column(2), width, scale), centres)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=["row", "id", "v", "asks", "cell", "away"])
+
+    dealt = scratch.save(rows.mapInArrow(deal, T.StructType([*rows.schema, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])), "cells")
+    found = {r["cell"]: (r["n"], r["r"]) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()}
+    cells = sorted(found)
+    pieces = np.array([-(-found[c][0] // size) for c in cells])  # shards of a cell
+    start = np.cumsum([0, *pieces])
+    middles, radii = centres[cells], np.array([found[c][1] for c in cells])
+    first_of = F.create_map(*(F.lit(int(x)) for c, s in zip(cells, start) for x in (c, s)))  # noqa: B905
+    pieces_of = F.create_map(*(F.lit(int(x)) for c, p in zip(cells, pieces, strict=True) for x in (c, p)))
+    points = dealt.select((first_of[F.col("cell")] + F.pmod(F.xxhash64("row", F.lit(5)), pieces_of[F.col("cell")]).cast("int")).alias("shard"), "row", "id", "v")
+    shape = "row long, id long, v array<double>, floor double, shard int"
+
+    def aim(wave: int):
+        """Queries (row, id, v, floor) with the shards of the wave: one of the best cell, then all others that the floor allows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                q = matrix(b.column(2), width, scale)
+                norms = np.sqrt((q**2).sum(axis=1))[:, None]
+                bounds = q @ middles.T + norms * radii
+                bounds += 1e-9 * (np.abs(bounds) + norms * (1 + np.abs(middles).max(initial=0)) + 1)
+                best = start[np.argmax(bounds, axis=1)]
+                if wave == 1:
+                    at, shard = np.arange(len(q)), best
+                else:
+                    floor = np.array([-np.inf if x is None else x for x in b.column(3).to_pylist()])
+                    at, shard = np.nonzero(np.repeat(bounds >= floor[:, None], pieces, axis=1))
+                    at, shard = at[shard != best[at]], shard[shard != best[at]]
+                for i in range(0, len(at), 4096):
+                    part = b.take(pa.array(at[i : i + 4096]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard[i : i + 4096].astype(np.int32))], names=["row", "id", "v", "floor", "shard"])
+
+        return run
+
+    asked = rows.where("asks").select("row", "id", "v")
+    shards = int(start[-1])
+    ahead = asked.withColumn("floor", F.lit(None).cast("double")).mapInArrow(aim(1), shape)
+    one = scratch.save(_visit(points.where(F.col("shard").isin([int(x) for x in start[:-1]])), ahead, len(cells), width, scale, k), "ahead")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    kth = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    rest = asked.join(kth, "row", "left").select("row", "id", "v", "floor").mapInArrow(aim(2), shape)
+    every = one.unionByName(_visit(points, rest, shards, width, scale, k))
+    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -158,15 +239,14 @@ def op5_topk(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, min([floor(1024 * x::DOUBLE) FOR x IN embedding]) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
-), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+), n AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10
 """

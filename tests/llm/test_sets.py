@@ -179,34 +179,48 @@ def test_op1(spark, sf_dir):
 
 def brute_top(vectors, k=10):
     out = []
-    good = {i: v for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v in good.items()}
-    for q in whole:
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for at, (q, x) in enumerate(whole):
         if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]  # noqa: B905
+            scores = sorted((-sum(a * b for a, b in zip(x, v)), i) for j, (i, v) in enumerate(whole) if j != at)[:k]  # noqa: B905
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
+@pytest.mark.parametrize("shard", [1 << 16, 40])
 def test_top_by_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(topk, "SHARD", shard)
-    monkeypatch.setattr(topk, "FIRST", 60)
     monkeypatch.setattr(topk, "LEAF", 8)
+    monkeypatch.setattr(topk, "BATCH", 3)
     rng = random.Random(2)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
     vectors += [(i, [1.0] * 6) for i in range(300, 420)]  # ties
     vectors += [(500, None), (501, [float("nan")] * 6), (502, [float("inf")] + [0.0] * 5), (503, [None] * 6), (None, [9.0] * 6), (600, [0.5]), (700, [])]
+    vectors += [(800, [0.5] * 6)] * 3 + [(801, [2.0] * 6)] * 12 + [(900, [0.1] * 6), (900, [-3.0] * 6)]  # repeated ids
     df = spark.createDataFrame([(i, v, 0, 0.5) for i, v in vectors], "vec_id long, embedding array<double>, shard int, floor double")
     found = topk.top_inner_products(df, F.pmod(F.col("vec_id"), F.lit(100)) == 0)
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(vectors)
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert topk.top_inner_products(df, F.lit(False)).count() == 0
+    assert topk.top_inner_products(df.limit(4), F.col("vec_id") == 0).count() == 3
+
+
+def test_few_cells_are_visited(spark, monkeypatch):
+    """Vectors in far groups: a query goes to its own group's shards and hardly to others."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    visited, visit = [], topk._visit
+    monkeypatch.setattr(topk, "_visit", lambda points, queries, *rest: visited.append(queries.count()) or visit(points, queries, *rest))
+    rng = random.Random(4)
+    vectors = [(i, [(20.0 if j == i % 8 else 0.0) + rng.gauss(0, 0.1) for j in range(8)]) for i in range(1600)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = topk.top_inner_products(df, F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+    assert sorted(tuple(r) for r in found.collect()) == brute_top(vectors)
+    assert visited[0] == 16 and visited[1] < 16 * 32 / 2
 
 
 def test_huge_components_are_exact():
     tree = topk.BallTree(np.array([1, 2]), np.array([[2.0**40, 1.0], [2.0**40, 0.0]]))
-    assert tree.search(np.array([2.0**20, 1.0]), 0, 1, -np.inf) == [(2**60 + 1, 1)]
+    assert list(tree.search(np.array([[2.0**20, 1.0]]), [0], 1, [-np.inf])) == [[(2**60 + 1, 1)]]
 
 
 # ---------------------------------------------------------------- URL lists
