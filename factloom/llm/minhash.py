@@ -177,10 +177,10 @@ def _by_rarest(active: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     |y| - t + 1 of y have a shingle in common; t is bounded by either size alone.
     At the first such shingle, i before it in x and j in y, the rest must suffice.
     """
-    own = sets.join(active.select("node"), "node", "left_semi").select("node", "n", F.explode("shingles").alias("shingle"))
+    own = sets.join(active.select("node"), "node", "left_semi").select("node", "n", F.xxhash64("shingles").alias("which"), F.explode("shingles").alias("shingle"))
     own = scratch.save(own, "shingles")
     shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ranked = salted_join(own, shared, "shingle", F.col("node"), own.count()).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("x"))
+    ranked = salted_join(own, shared, "shingle", F.col("node"), own.count()).groupBy("node", "n", "which").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("x"))
     # shingles of no other node come first, and are no keys
     lone = F.col("n") - F.size("x")
     least = lambda share: F.ceil(F.col("n") * F.lit(share) - 1e-6).cast("long")
@@ -222,11 +222,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return rows.join(ids, name, "left_anti").unionByName(rows.join(ids, name, "left_semi").distinct())
 
     nodes = once(nodes, "node")
-    keyed = nodes.select("node", "n", "bits", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = scratch.save(keyed.join(crowded, "key"), "buckets")
+    met = scratch.save(keyed.join(crowded, "key"), "met")
+    # bitmaps follow once it is clear who meets at all
+    buckets = scratch.save(met.join(nodes.select("node", "n", "bits"), "node"), "buckets")
     total = buckets.count()
-    wanted = buckets.select(F.col("node").alias("id")).distinct()
+    wanted = met.select(F.col("node").alias("id")).distinct()
     sets = scratch.save(shingle_sets(once(docs.join(wanted, "id", "left_semi"), "id").select(F.col("id").alias("node"), "text"), shingle), "sets")
 
     def apart(rows: DataFrame, centre: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for last in (False, True):
         member = buckets.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        active = scratch.save(member.join(mixed, "key", "left_semi"), "active")
+        active = scratch.save(salted_join(member, mixed, "key", F.col("node"), total), "active")
         if active.isEmpty():
             break
         if last:
