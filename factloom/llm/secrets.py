@@ -2,8 +2,10 @@
 
 Three kinds come from patterns alone (``assign``, ``access``, ``hex``). The
 others are reported only if what they encode parses: base64 or hex runs are
-decoded, key encodings are walked (DER with its nested lengths, the OpenSSH
-container), and signed tokens must have a header that names an algorithm.
+decoded, key encodings are walked (DER with its nested lengths, a wrapped key
+by what its algorithm asks for, the OpenSSH container, armour within what is
+decoded), and tokens must have a header that names a known algorithm, claims and
+a signature, or the five parts of an encrypted one.
 
 ``scan`` gives the spans, ``redact`` the text without them; both are row-local.
 
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from factloom.llm.rows import map_rows
 
 BASE_KINDS = ("assign", "access", "hex")
-KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
+KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt", "jwe")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,6 +42,18 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:[ \t]*+\r?\n[
 _ANYHEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]++(?:(?:[ \t]*+\r?\n[ \t]*+[0-9A-Fa-f]++)++|(?<=[0-9A-Fa-f]{48}))")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.S)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_JWE = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+_DEK = re.compile(r"(?m)^\s*DEK-Info:\s*[A-Z0-9-]+,(?:[0-9A-Fa-f]{2})+\s*$")
+_PROC = re.compile(r"(?m)^\s*Proc-Type:\s*4\s*,\s*ENCRYPTED\s*$")
+#: Names of signature algorithms. Fixed values.
+SIGNATURES = frozenset(("HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "PS256", "PS384", "PS512", "ES256", "ES256K", "ES384", "ES512", "EdDSA", "Ed25519", "Ed448"))
+#: Object identifiers of key algorithms, as DER has them. Fixed values.
+_RSA = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+_EC = bytes.fromhex("2a8648ce3d0201")
+_NUMBERS = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))
+_RAW = {bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57, bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56}
+#: Elements of a key's sequence at most: those of RSA with further primes are ten.
+_ITEMS = 16
 _SSH = b"openssh-key-v1\0"
 #: How a DER sequence that begins with a number of one byte, or the OpenSSH container, begins.
 _STARTS = re.compile(rb"\x30(?=(?:[\x03-\x7F]|\x81.|\x82..|\x83...|\x84....)\x02\x01)|openssh-key-v1\0", re.S)
@@ -73,17 +87,50 @@ def der_head(data: bytes, at: int = 0) -> tuple[int, int, int] | None:
 
 
 def der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill ``data[start:end]`` exactly; None if they don't."""
+    """The elements that fill ``data[start:end]`` exactly; None if they don't, or are more than a key has."""
     found = []
     while start < end:
         head = der_head(data, start)
-        if head is None or head[2] > end:
+        if head is None or head[2] > end or len(found) == _ITEMS:
             return None
         found.append(head)
         start = head[2]
     return found
 
 
+def _bits(data: bytes, item: tuple[int, int, int]) -> int:
+    return int.from_bytes(data[item[1] : item[2]], "big").bit_length()
+
+
+def _rsa(data: bytes, items: list[tuple[int, int, int]]) -> bool:
+    """Whether the numbers have the sizes of an RSA key: two primes as long as the modulus, the rest no longer than what they belong to."""
+    if len(items) not in (9, 10) or any(t != 2 for t, _, _ in items[:9]) or len(items) == 10 and items[9][0] != 0x30:
+        return False
+    _, n, e, d, p, q, dp, dq, inverse = (_bits(data, x) for x in items[:9])
+    return n >= 256 and 2 <= e < n and 0 < d <= n and abs(n - p - q) <= 16 and min(p, q) >= n // 4 and 0 < dp <= p and 0 < dq <= q and 0 < inverse <= p + 8
+
+
+def _wrapped(data: bytes, algorithm: tuple[int, int, int], key: tuple[int, int, int]) -> bool:
+    """Whether the octet string ``key`` holds what its algorithm asks for."""
+    named = der_items(data, algorithm[1], algorithm[2])
+    if not named or named[0][0] != 0x06:
+        return False
+    name, inner = data[named[0][1] : named[0][2]], der_items(data, key[1], key[2])
+    if not inner or len(inner) != 1:
+        return False
+    tag, start, end = inner[0]
+    if name in _RAW:
+        return tag == 0x04 and end - start == _RAW[name]
+    if name in _NUMBERS:
+        return tag == 0x02 and end - start >= 16
+    parts = der_items(data, start, end) if tag == 0x30 else None
+    if name in _RSA:
+        return bool(parts) and _rsa(data, parts)
+    if name == _EC:
+        return bool(parts) and [t for t, _, _ in parts[:2]] == [2, 4] and 16 <= parts[1][2] - parts[1][1] <= 72 and {t for t, _, _ in parts[2:]} <= {0xA0, 0xA1}
+    return end - start >= 16  # another algorithm: one element that fills the string
+
+
 def private_der(data: bytes, start: int = 0) -> int | None:
     """The length of the private key at ``start`` of ``data``; None if it isn't one."""
     head = der_head(data, start)
@@ -93,16 +140,26 @@ def private_der(data: bytes, start: int = 0) -> int | None:
     if not items or items[0][0] != 2 or items[0][2] - items[0][1] != 1:
         return None
     version, tags = data[items[0][1]], [t for t, _, _ in items]
-    if version in (0, 1) and tags[1:3] == [0x30, 0x04]:  # algorithm and key, of any kind
-        inner = der_items(data, items[1][1], items[1][2])
-        return head[2] - start if inner and inner[0][0] == 0x06 and items[2][2] - items[2][1] >= 16 else None
-    if version in (0, 1) and len(tags) >= 9 and set(tags[:9]) == {2}:  # two primes and what follows from them
-        return head[2] - start if items[1][2] - items[1][1] >= 32 else None
-    if version == 0 and tags == [2] * 6:  # p, q, g and two keys
-        return head[2] - start if items[1][2] - items[1][1] >= 64 else None
-    if version == 1 and tags[1:2] == [0x04] and set(tags[2:]) <= {0xA0, 0xA1}:  # a curve's key
-        return head[2] - start if 16 <= items[1][2] - items[1][1] <= 72 and len(tags) > 2 else None
-    return None
+    found = False
+    if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
+        found = _wrapped(data, items[1], items[2])
+    elif version in (0, 1) and len(tags) >= 9:
+        found = _rsa(data, items)
+    elif version == 0 and tags == [2] * 6:  # p, q, g and two keys
+        found = items[1][2] - items[1][1] >= 64 and 16 <= items[2][2] - items[2][1] <= 64
+    elif version == 1 and tags[1:2] == [0x04] and set(tags[2:]) <= {0xA0, 0xA1}:  # a curve's key
+        found = 16 <= items[1][2] - items[1][1] <= 72 and len(tags) > 2
+    return head[2] - start if found else None
+
+
+def locked_der(data: bytes) -> bool:
+    """Whether ``data`` is an encrypted private key: its algorithm, then the encrypted bytes."""
+    head = der_head(data)
+    items = der_items(data, head[1], head[2]) if head and head[0] == 0x30 and head[2] == len(data) else None
+    if not items or [t for t, _, _ in items] != [0x30, 0x04] or items[1][2] - items[1][1] < 16:
+        return False
+    named = der_items(data, items[0][1], items[0][2])
+    return bool(named) and named[0][0] == 0x06
 
 
 def private_ssh(data: bytes, start: int = 0) -> int | None:
@@ -135,18 +192,37 @@ def private_ssh(data: bytes, start: int = 0) -> int | None:
     return at - start if body and len(body) % 8 == 0 else None
 
 
-def _jwt(head: str, body: str) -> bool:
-    for part in (head, body):
-        raw = decode_base64(part)
-        if raw is None:
-            return False
-        try:
-            value = json.loads(raw)
-        except (ValueError, RecursionError):
-            return False
-        if not isinstance(value, dict) or part is head and not isinstance(value.get("alg"), str):
-            return False
-    return True
+def _object(part: str) -> dict | None:
+    """The JSON object that ``part`` encodes."""
+    raw = decode_base64(part)
+    try:
+        value = json.loads(raw) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _jwt(head: str, body: str, signature: str) -> bool:
+    """A signed token: a known algorithm, claims, a signature."""
+    top = _object(head)
+    return top is not None and top.get("alg") in SIGNATURES and bool(_object(body)) and bool(signature) and decode_base64(signature) is not None
+
+
+def _jwe(head: str, *parts: str) -> bool:
+    """An encrypted token: names of two algorithms, and parts that decode."""
+    top = _object(head)
+    return top is not None and isinstance(top.get("alg"), str) and isinstance(top.get("enc"), str) and all(decode_base64(x) is not None for x in parts)
+
+
+def _armoured(text: str) -> list[tuple[int, int]]:
+    """Where armoured keys lie in ``text``."""
+    found = []
+    for m in _PEM.finditer(text):
+        body = m[2].replace("\\r", "").replace("\\n", "\n")  # also as written in JSON
+        raw = decode_base64(re.sub(r"(?m)^\s*[A-Za-z-]+:.*$", "", body))
+        if raw and (private_der(raw) or private_ssh(raw) or locked_der(raw) or _PROC.search(body) and _DEK.search(body) and len(raw) >= 16 and len(raw) % 8 == 0):
+            found.append(m.span())
+    return found
 
 
 def _encoded(text: str, lo: int, hi: int, bits: int) -> list[tuple[str, int, int]]:
@@ -166,6 +242,9 @@ def _encoded(text: str, lo: int, hi: int, bits: int) -> list[tuple[str, int, int
     for phase in range(unit):
         part = run[phase : len(run) - (len(run) - phase) % unit] if bits == 4 or (len(run) - phase) % 4 == 1 else run[phase:]
         raw, done = bytes.fromhex(part) if bits == 4 else binascii.a2b_base64(part + "=" * (-len(part) % 4)), 0
+        whole = [("pem", a, b - a) for a, b in _armoured(raw.decode("latin-1"))] if b"-----BEGIN " in raw else []
+        for kind, at, n in whole:
+            found.append((kind, place(phase + at * 8 // bits), place(phase + -(-(at + n) * 8 // bits) - 1) + 1))
         for m in _STARTS.finditer(raw):
             at = m.start()
             if at < done:
@@ -193,12 +272,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = m[2].replace("\\r", "").replace("\\n", "\n")  # also as written in JSON
-            locked = "ENCRYPTED" in m[1] or "ENCRYPTED" in body
-            raw = decode_base64(re.sub(r"(?m)^\s*[A-Za-z-]+:.*$", "", body))
-            if raw and (private_der(raw) or private_ssh(raw) or locked and len(raw) >= 32 and (len(raw) % 8 == 0 or der_head(raw) is not None and der_head(raw)[2] == len(raw))):
-                found.append(("pem", *m.span()))
+        found += [("pem", *x) for x in _armoured(text)]
     for m in _BASE64.finditer(text):
         if m.end() - m.start() >= 40:
             found += _encoded(text, *m.span(), 6)
@@ -206,7 +280,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
         if m.end() - m.start() >= 48:
             found += _encoded(text, *m.span(), 4)
     if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if _jwt(m[1], m[2])]
+        found += [("jwt", *m.span()) for m in _JWT.finditer(text) if _jwt(*m.groups())]
+        found += [("jwe", *m.span()) for m in _JWE.finditer(text) if _jwe(*m.groups())]
     return sorted(found, key=lambda x: (x[1], _ORDER[x[0]], x[2]))
 
 

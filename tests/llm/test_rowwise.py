@@ -9,6 +9,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -188,10 +189,58 @@ def test_ssh_containers_and_tokens():
     assert kinds(b64(SSH)) == ["ssh"] and kinds(b64(SSH)[:120]) == []
     assert kinds(f"Bearer {JWT}.") == ["jwt"]
     assert kinds(f"{url({'typ': 'JWT'})}.{url({'a': 1})}.x") == [] and kinds("eyJhbGciOiJIUzI1NiJ9.bm90anNvbg.x") == []
-    locked = b64(os.urandom(64))
+    locked = b64(os.urandom(64))  # bytes without a structure are no encrypted key
     legacy = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{locked}\n-----END RSA PRIVATE KEY-----"
     assert "pem" in kinds(legacy) and "pem" not in kinds(legacy.replace("ENCRYPTED", "PLAIN"))
-    assert kinds(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{locked}\n-----END ENCRYPTED PRIVATE KEY-----") == ["pem"]
+    armour = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n{}\n-----END ENCRYPTED PRIVATE KEY-----"
+    info = der(0x30, der(0x30, der(6, b"*\x86H\x86\xf7\r\1\5\r"), der(0x30, der(4, os.urandom(8)))), der(4, os.urandom(64)))
+    assert kinds(armour.format(b64(info))) == ["pem"]
+    assert kinds(armour.format(locked)) == [] and kinds(armour.format(b64(b"some plain prose of forty bytes in all.."))) == []
+
+
+def test_wrapped_keys_hold_what_their_algorithm_says():
+    names = {"rsa": b"*\x86H\x86\xf7\r\1\1\1", "ec": b"*\x86H\xce=\2\1", "ed25519": b"+ep", "other": b"*\3\4"}
+    wrap = lambda name, inner: der(0x30, der(2, b"\0"), der(0x30, der(6, names[name])), der(4, inner))
+    bare = der(0x30, der(2, b"\1"), der(4, os.urandom(32)))
+    good = {"rsa": RSA, "ec": bare, "ed25519": der(4, os.urandom(32)), "other": der(0x30, number(40))}
+    prose = b"this is nothing but some ordinary prose, and no key at all"
+    for name, inner in good.items():
+        assert secrets.private_der(wrap(name, inner)) == len(wrap(name, inner))
+        for bad in (prose, der(4, prose), inner[:-3], b""):
+            assert name == "other" and bad == der(4, prose) or secrets.private_der(wrap(name, bad)) is None
+        assert name == "other" or all(secrets.private_der(wrap(name, x)) is None for other, x in good.items() if other != name)
+    lopsided = der(0x30, der(2, b"\0"), number(128), der(2, b"\1\0\1"), number(128), number(64), number(9), *[number(64)] * 3)
+    assert secrets.private_der(lopsided) is None
+
+
+def test_tokens_are_whole():
+    head, claims = url({"alg": "HS256"}), url({"sub": "1"})
+    assert kinds(f"{head}.{claims}.c2ln") == ["jwt"]
+    for bad in (f"{head}.{url({})}.c2ln", f"{url({'alg': 'XX1'})}.{claims}.c2ln", f"{head}.{claims}.", f"{url({'alg': 'none'})}.{claims}."):
+        assert kinds(bad) == []
+    sealed = f"{url({'alg': 'RSA-OAEP', 'enc': 'A256GCM'})}.{'QUJD' * 9}.QUJDRA.{'QUJD' * 5}.QUJD"
+    direct = f"{url({'alg': 'dir', 'enc': 'A256GCM'})}..QUJDRA.{'QUJD' * 5}.QUJD"
+    assert secrets.find(f"x {sealed} y") == [("jwe", 2, 2 + len(sealed))] and kinds(direct) == ["jwe"]
+    assert kinds(sealed.replace(url({"alg": "RSA-OAEP", "enc": "A256GCM"}), url({"alg": "RSA-OAEP"}))) == []
+
+
+@pytest.mark.parametrize("key", [RSA, EC, PKCS8])
+def test_armour_that_is_encoded_again(key):
+    """As cluster manifests hold keys: the whole armour in base64."""
+    lines = "\n".join(re.findall(".{1,64}", b64(key)))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n"
+    for text in (b64(pem.encode()), pem.encode().hex().upper(), "\n  ".join(re.findall(".{1,76}", b64(pem.encode())))):
+        (found,) = [x for x in secrets.find(f"tls.key: {text} end") if x[0] == "pem"]
+        assert found[1] == 9 and abs(found[2] - 9 - len(text)) <= 5
+        assert secrets.mask(f"k {text}", secrets.find(f"k {text}")).startswith("k [pem]")
+    assert "pem" not in kinds(b64(pem.replace(b64(key)[:8], "AAAAAAAA").encode()))
+
+
+@pytest.mark.parametrize("text", ["MIIEvAIBADAN" * 90_000, "MIICAgEA" * 130_000, b64(b"\x30\x84\0\1\0\0\2\1\0" * 90_000), "eyJ" * 300_000, "eyJh." * 200_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "ab\n" * 340_000, "30820401020100" * 75_000, "token=" * 170_000])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    secrets.find(text)
+    assert time.process_time() - began < 8  # a megabyte; a few seconds at most, even under load
 
 
 def test_random_runs_are_no_keys():
