@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.llm.rows import map_rows, no_cycles, slices
+from factloom.plans.arrow import map_rows, no_cycles, slices
 
 #: Bytes that are merged directly at the leaves, entries kept of each store, tokens joined at a leaf of decoding.
 LEAF, KEPT, BLOCK = 4, 300_000, 4096
@@ -165,9 +165,10 @@ class ByteBPE:
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ``ids``; KeyError for an id that has none."""
+        """The bytes of ``ids``, by halves; KeyError for an id that has none."""
         if len(ids) > BLOCK:
-            return b"".join(self.decode(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK))
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 

@@ -6,7 +6,8 @@ the pixels, numpy for the row filters, and a cosine-transform hash as feature.
 Both are row-local, so no row moves between tasks and a lost task is redone alone.
 
 Defined results: null or empty content is stored as one row of zero bytes; a
-null id stays null; equal payloads give equal files and features; repeated rows
+null file, or one that is damaged or no such image, is read as null payload and
+feature with the reason in ``error``, and stops nothing; a null id stays null; equal payloads give equal files and features; repeated rows
 are stored each. Content of any length becomes more rows of the image.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.rows import map_rows
+from factloom.plans.arrow import map_rows
 
 #: Pixels in a row of the image, and so the unit of padding.
 WIDTH = 64
@@ -67,37 +68,40 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The pixels again: runs of rows with one filter are undone at once where the filter allows it."""
     out = np.empty_like(rows)
     above = np.zeros(rows.shape[1], np.uint8)
-    edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+    if kinds.max(initial=0) > 4:
+        raise ValueError(f"unknown row filter {kinds.max()}")
+    how = np.minimum(kinds, 3)  # 3 and 4 are undone together
+    edges = [0, *(np.flatnonzero(np.diff(how)) + 1).tolist(), len(how)]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if lo == hi:
             continue
-        kind, part = int(kinds[lo]), rows[lo:hi]
+        kind, part = int(how[lo]), rows[lo:hi]
         if kind == 0:
             out[lo:hi] = part
         elif kind == 1:
             np.cumsum(part, axis=1, dtype=np.uint8, out=out[lo:hi])
         elif kind == 2:
             out[lo:hi] = np.cumsum(np.vstack([above, part]), axis=0, dtype=np.uint8)[1:]
-        elif kind in (3, 4):
-            for y in range(lo, hi):
-                left = corner = 0
-                for x, value in enumerate(rows[y].tolist()):
-                    up = int(above[x])
-                    if kind == 3:
-                        guess = (left + up) >> 1
-                    else:
-                        p = left + up - corner
-                        pa, pb, pc = abs(p - left), abs(p - up), abs(p - corner)
-                        guess = left if pa <= pb and pa <= pc else up if pb <= pc else corner
-                    left, corner = (value + guess) & 255, up
-                    out[y, x] = left
-                above = out[y]
         else:
-            raise ValueError(f"unknown row filter {kind}")
+            out[lo:hi] = _by_diagonals(kinds[lo:hi] == 4, part, above)
         above = out[hi - 1]
     return out
 
 
+def _by_diagonals(paeth: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Mean and Paeth filters undone: pixels of one diagonal need only those of the two before it."""
+    height, width = rows.shape
+    whole = np.zeros((height + 1, width + 1), np.int16)
+    whole[0, 1:] = above
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up = whole[y + 1, x], whole[y, x + 1]
+        guess = np.where(paeth[y], _paeth(left, up, whole[y, x]), (left + up) >> 1)
+        whole[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return whole[1:, 1:].astype(np.uint8)
+
+
 def encode_png(payload: bytes, level: int = 6) -> bytes:
     """``payload`` (a multiple of the width) as an 8-bit greyscale PNG.
 
@@ -127,8 +131,10 @@ def decode_png(stored: bytes) -> np.ndarray:
         if stored[at + 8 + n : at + 12 + n] != struct.pack(">I", zlib.crc32(kind + body)):
             raise ValueError(f"checksum of chunk {kind!r} at {at}")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("wrong header")
             width, height, depth, colour, _, _, laced = struct.unpack(">IIBBBBB", body)
-            if (depth, colour, laced) != (8, 0, 0):
+            if (depth, colour, laced) != (8, 0, 0) or not width or not height:
                 raise ValueError("not 8-bit greyscale")
             size = (height, width)
         elif kind == b"IDAT":
@@ -139,10 +145,14 @@ def decode_png(stored: bytes) -> np.ndarray:
         at += 12 + n
     if size is None or not ended:
         raise ValueError("a chunk is missing")
-    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
-    if len(lines) != size[0] * (size[1] + 1):
+    wanted = size[0] * (size[1] + 1)
+    try:  # no more is unpacked than the header says
+        raw = zlib.decompressobj().decompress(b"".join(parts), wanted + 1)
+    except zlib.error as e:
+        raise ValueError(f"pixels can't be unpacked: {e}") from e
+    if len(raw) != wanted:
         raise ValueError("wrong number of pixels")
-    lines = lines.reshape(size[0], size[1] + 1)
+    lines = np.frombuffer(raw, np.uint8).reshape(size[0], size[1] + 1)
     return unfilter(lines[:, 0], lines[:, 1:])
 
 
@@ -157,7 +167,12 @@ _BASIS = _cosines(GRID)[:CORNER]
 
 
 def cosine_hash(image: np.ndarray) -> str:
-    """64 bits as hex: the low-frequency cosine coefficients of the block means, against their median."""
+    """64 bits as hex: the low-frequency cosine coefficients of the block means, against their median.
+
+    Some columns are repeated where their number is no multiple of the grid.
+    """
+    if image.shape[1] % GRID:
+        image = image[:, np.arange(-(-image.shape[1] // GRID) * GRID) * image.shape[1] // (-(-image.shape[1] // GRID) * GRID)]
     rows = np.linspace(0, len(image), GRID + 1).astype(np.int64)
     low, high = np.minimum(rows[:-1], len(image) - 1), np.maximum(rows[1:], np.minimum(rows[:-1], len(image) - 1) + 1)
     sums = np.vstack([np.zeros((1, GRID), np.int64), np.cumsum(image.reshape(len(image), GRID, -1).sum(axis=2, dtype=np.int64), axis=0)])
@@ -181,23 +196,34 @@ def store(df: DataFrame, id_col: str = "doc_id", content_col: str = "text", leve
     return map_rows(df.select(F.col(id_col), F.col(content_col).cast("binary")), make, schema)
 
 
+def _read(stored: bytes | None) -> tuple[bytes | None, str | None, str | None]:
+    """(payload, feature, error) of a file."""
+    if stored is None:
+        return None, None, "no file"
+    try:
+        image = decode_png(stored)
+    except ValueError as e:
+        return None, None, str(e)
+    return image.tobytes(), cosine_hash(image), None
+
+
 def load(media: DataFrame) -> DataFrame:
-    """Rows of ``store`` read back: (id, n_bytes, media_bytes, media_sha256, payload, feature)."""
-    schema = T.StructType(
-        [T.StructField("id", media.schema["id"].dataType)]
-        + [T.StructField(k, t) for k, t in (("n_bytes", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("payload", T.BinaryType()), ("feature", T.StringType()))]
-    )
+    """Rows of ``store`` read back: (id, n_bytes, media_bytes, media_sha256, payload, feature, error).
+
+    Null files have null in all but id, n_bytes and error, damaged ones in payload and feature.
+    """
+    kinds = (("n_bytes", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("payload", T.BinaryType()), ("feature", T.StringType()), ("error", T.StringType()))
+    schema = T.StructType([T.StructField("id", media.schema["id"].dataType)] + [T.StructField(k, t) for k, t in kinds])
 
     def make():
         def work(ids, lengths, files):
-            images = [decode_png(x) for x in files]
+            found = [_read(x) for x in files]
             return {
                 "id": ids,
                 "n_bytes": lengths,
-                "media_bytes": [len(x) for x in files],
-                "media_sha256": [hashlib.sha256(x).hexdigest() for x in files],
-                "payload": [x.tobytes() for x in images],
-                "feature": [cosine_hash(x) for x in images],
+                "media_bytes": [None if x is None else len(x) for x in files],
+                "media_sha256": [None if x is None else hashlib.sha256(x).hexdigest() for x in files],
+                **{k: [x[i] for x in found] for i, k in enumerate(("payload", "feature", "error"))},
             }
 
         return work

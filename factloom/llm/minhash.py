@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.components import connected_components, merge_components
-from factloom.llm.rows import map_rows
+from factloom.plans.arrow import map_rows
 from factloom.plans.scratch import Scratch
 from factloom.plans.skew import salted_join
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.llm.rows import no_cycles, slices
+from factloom.plans.arrow import no_cycles, slices
 from factloom.llm.words import WordTokens
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 128, 1

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.rows import map_rows, slices
+from factloom.plans.arrow import map_rows, slices
 from factloom.plans.scratch import Scratch
 
 #: Labelled documents that are learned from at most, pairs drawn of them, and the score at the threshold.

@@ -46,6 +46,21 @@ def test_every_row_filter_is_undone(kinds):
     assert (media.decode_png(_png(image, kinds)) == image).all()
 
 
+def test_filters_by_the_standards_own_words():
+    """Pixel by pixel, over images of many shapes and mixed filters."""
+    rng = np.random.default_rng(7)
+    for height, width in ((1, 1), (1, 64), (40, 3), (70, 64), (5, 200)):
+        kinds, rows = rng.integers(0, 5, height).astype(np.uint8), rng.integers(0, 256, (height, width), dtype=np.uint8)
+        out = [[0] * (width + 1) for _ in range(height + 1)]
+        for y in range(height):
+            for x in range(width):
+                a, b, c = out[y + 1][x], out[y][x + 1], out[y][x]
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                out[y + 1][x + 1] = (int(rows[y, x]) + (0, a, b, (a + b) // 2, near)[kinds[y]]) % 256
+        assert media.unfilter(kinds, rows).tolist() == [r[1:] for r in out[1:]]
+
+
 @given(st.binary(max_size=4000))
 @settings(max_examples=60, deadline=None)
 def test_png_round_trip(content):
@@ -75,6 +90,21 @@ def test_media_rows(spark):
     assert media.store(texts(spark, "a").limit(0)).count() == 0
 
 
+def test_media_that_cannot_be_read(spark):
+    good = media.encode_png(media.pad(b"abc"))
+    huge = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(50_000_000))) + media._chunk(b"IEND", b"")
+    odd = _png(np.zeros((1, 7), np.uint8), [4])
+    bad_filter = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes([9] + [0] * 64))) + media._chunk(b"IEND", b"")
+    files = [good, None, b"", b"no image", good[:-1], good[:30] + b"x" + good[31:], huge, odd, bad_filter, good.replace(media._chunk(b"IHDR", good[16:29]), media._chunk(b"IHDR", good[16:20]))]
+    df = spark.createDataFrame([(i, 3, x, "clash") for i, x in enumerate(files)], "id int, n_bytes long, media binary, error string")
+    rows = {r["id"]: r for r in media.load(df).collect()}
+    assert rows[0]["payload"] == media.pad(b"abc") and rows[0]["error"] is None
+    assert rows[7]["payload"] == bytes(7) and len(rows[7]["feature"]) == 16
+    for i in (1, 2, 3, 4, 5, 6, 8, 9):
+        assert rows[i]["payload"] is None and rows[i]["feature"] is None and rows[i]["error"] and rows[i]["n_bytes"] == 3
+        assert (rows[i]["media_bytes"], rows[i]["media_sha256"]) == ((None, None) if i == 1 else (len(files[i]), hashlib.sha256(files[i]).hexdigest()))
+
+
 def test_op2(spark, sf_dir):
     rows = {r["doc_id"]: r for r in media.op2_media(spark, sf_dir).collect()}
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
