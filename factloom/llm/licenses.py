@@ -3,11 +3,14 @@
 A text is cut into its lines and sentences. Each is normalised (lower case, all
 but letters and digits is a space) and becomes its set of word bigrams. It is
 compared only to templates of a size that can reach the threshold: with a and b
-bigrams Dice is at most 2 min(a, b) / (a + b). Notices that span lines or go on
-within a sentence are found by windows over the words of the whole text, but for
-the parts that match already, against the templates and the full sentences in
-``BODIES``. All of it is one projection over a row, in DataFrame functions, so
-nothing is shuffled.
+bigrams Dice is at most 2 min(a, b) / (a + b). Notices that span lines, go on
+within a sentence, or stand behind comment marks, and the clauses of whole
+licences (``BODIES``), are found by windows over the words of the whole text, but
+for the parts that match already. The bound gives the lengths of windows, and
+how many bigrams of a template a text must hold before any window is looked at;
+texts without any of some rare words, of which every match has one, are passed
+by. All of it is one projection over a row, in DataFrame functions, so nothing
+is shuffled.
 
 Defined results: null and empty texts match nothing; texts of any length are
 scanned whole; repeated rows are scanned each; a null id stays null; an empty
@@ -23,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.license_texts import clauses
+
 #: Notices and opening clauses of public licences: (name, text). Fixed values.
 TEMPLATES = (
     ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -34,6 +39,7 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -42,13 +48,8 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-#: Full sentences of licences that only windows are compared to: (name, text). Fixed values.
-BODIES = (
-    ("bsd-3-clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mit", "Licensed under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-)
+#: What only windows are compared to: clauses of whole licences, and a notice.
+BODIES = (("mit", "Licensed under the MIT License."), *clauses())
 THRESHOLD = 0.8
 _CUT = r"\n|[.!?] "
 _GAP = r"[^\p{L}\p{N}]+"
@@ -62,15 +63,16 @@ def _bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(x) for x in zip(words, words[1:])))  # noqa: B905
 
 
-def _some(sets: list[tuple[str, list[str]]], reach: float) -> str:
-    """A pattern that every text with a window near one of ``sets`` matches: it holds one of so many of a set's bigrams."""
+def _rare(sets: list[tuple[str, list[str]]], reach: float) -> list[str]:
+    """Words of which every window near one of ``sets`` holds one: one of so many of a set's bigrams has one of them."""
     chosen: set[str] = set()
     for _, b in sets:
-        words, own = sorted({w for x in b for w in x.split()}, key=lambda w: (w in _COMMON, -len(w), w)), set()
+        own = {w for w in chosen if any(w in x.split() for x in b)}
+        words = sorted({w for x in b for w in x.split()} - own, key=lambda w: (w in _COMMON, -len(w), w))
         while sum(not own.isdisjoint(x.split()) for x in b) <= len(b) - math.ceil(len(b) * reach - 1e-9):
             own.add(words.pop(0))
         chosen |= own
-    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(chosen))})(?![\p{{L}}\p{{N}}])"
+    return sorted(chosen)
 
 
 def _let(value: Column, f) -> Column:
@@ -92,7 +94,7 @@ def _windows(rest: Column, templates, threshold: float) -> Column:
             for n, b, size in sets
         ]
     )
-    every = F.array(*[F.lit(x) for x in sorted({x for _, b, _ in sets for x in b})])
+    every = sorted({x for _, b, _ in sets for x in b})
 
     def of_template(t: Column, b: Column, hits: Column) -> Column:
         def best(s: Column, k: Column, own: Column) -> Column:
@@ -116,8 +118,10 @@ def _windows(rest: Column, templates, threshold: float) -> Column:
     def of_text(r: Column) -> Column:
         words = F.transform(r, lambda x: x["w"])
         grams = F.zip_with(F.slice(words, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(words, 2, F.size(r)), lambda x, y: F.concat_ws(" ", x, y))
-        hits = lambda b: F.filter(F.transform(b, lambda g, i: F.struct(i.alias("at"), g.alias("g"))), lambda h: F.array_contains(every, h["g"]))
-        found = lambda b: _let(hits(b), lambda h: F.flatten(F.transform(known, lambda t: of_template(t, b, h))))
+        hits = lambda b: F.filter(F.transform(b, lambda g, i: F.struct(i.alias("at"), g.alias("g"))), lambda h: h["g"].isin(every))
+        held = lambda h: F.array_distinct(F.transform(h, lambda x: x["g"]))
+        near = lambda d: F.filter(known, lambda t: F.size(F.array_intersect(t["b"], d)) >= t["least"])
+        found = lambda b: _let(hits(b), lambda h: _let(_let(held(h), near), lambda few: F.flatten(F.transform(few, lambda t: of_template(t, b, h)))))
         out = _let(_let(grams, found), kept)
         return F.transform(out, lambda x: F.struct(r[x["at"]]["segment"].alias("segment"), x["license"].alias("license"), (-x["d"]).alias("dice")))
 
@@ -137,11 +141,8 @@ def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     most = max((math.floor(len(b) / reach + 1e-9) for _, b in sets), default=0)
     known = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for n, b in sets])
     parts = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _CUT)
-    words: Column = F.transform(parts, lambda s, i: F.struct(i.alias("segment"), F.split(F.trim(F.regexp_replace(s, _GAP, " ")), " ").alias("w")))
-    # repeated bigrams count once, so that a part may have more words than bigrams, but not fewer
-    sized = F.filter(words, lambda x: F.size(x["w"]) > least)
+    every_word: Column = F.transform(parts, lambda s, i: F.struct(i.alias("segment"), F.split(F.trim(F.regexp_replace(s, _GAP, " ")), " ").alias("w")))
     pair = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
-    paired = F.filter(F.transform(sized, lambda x: F.struct(x["segment"].alias("segment"), pair(x["w"]).alias("b"))), lambda x: F.size(x["b"]).between(least, most))
 
     def against(x: Column) -> Column:
         n = F.size(x["b"])
@@ -149,15 +150,22 @@ def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         dice = lambda t: F.size(F.array_intersect(x["b"], t["b"])) * F.lit(2.0) / (n + t["n"])
         return F.transform(near, lambda t: F.struct(x["segment"].alias("segment"), t["license"].alias("license"), dice(t).alias("dice")))
 
-    found = F.filter(F.flatten(F.transform(paired, against)), lambda m: m["dice"] >= threshold)
+    def by_parts(words: Column) -> Column:
+        # repeated bigrams count once, so that a part may have more words than bigrams, but not fewer
+        sized = F.filter(words, lambda x: F.size(x["w"]) > least)
+        paired = F.filter(F.transform(sized, lambda x: F.struct(x["segment"].alias("segment"), pair(x["w"]).alias("b"))), lambda x: F.size(x["b"]).between(least, most))
+        return F.filter(F.flatten(F.transform(paired, against)), lambda m: m["dice"] >= threshold)
+
     if bodies is None:
-        return df.select(F.col(id_col).alias(id_col), found.alias("matches"))
+        return df.select(F.col(id_col).alias(id_col), by_parts(every_word).alias("matches"))
     wall = F.array(F.lit("\n"), F.lit("\n"))  # no window reaches over a match
     plain = lambda x, done: F.when(F.array_contains(done, x["segment"]), wall).otherwise(F.filter(x["w"], lambda w: w != ""))
-    rest = lambda done: F.flatten(F.transform(words, lambda x: F.transform(plain(x, done), lambda w: F.struct(w.alias("w"), x["segment"].alias("segment")))))
-    some = F.lower(F.col(text_col).cast("string")).rlike(_some([*sets, *((n, _bigrams(t)) for n, t in bodies)], reach))
-    both = lambda m: F.when(some, F.concat(m, _let(F.transform(m, lambda x: x["segment"]), lambda done: _windows(rest(done), (*templates, *bodies), threshold)))).otherwise(m)
-    return df.select(F.col(id_col).alias(id_col), _let(found, both).alias("matches"))
+    rest = lambda words, done: F.flatten(F.transform(words, lambda x: F.transform(plain(x, done), lambda w: F.struct(w.alias("w"), x["segment"].alias("segment")))))
+    rare = _rare([*sets, *((n, _bigrams(t)) for n, t in bodies)], reach)
+    some = lambda words: F.exists(words, lambda x: F.exists(x["w"], lambda w: w.isin(rare)))
+    more = lambda words, m: _let(F.transform(m, lambda x: x["segment"]), lambda done: _windows(rest(words, done), (*templates, *bodies), threshold))
+    both = lambda words: _let(by_parts(words), lambda m: F.when(some(words), F.concat(m, more(words, m))).otherwise(m))
+    return df.select(F.col(id_col).alias(id_col), _let(every_word, both).alias("matches"))
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, licenses, media, secrets
+from factloom.llm import bpe, license_texts, licenses, media, secrets
 
 TEXTS = "doc_id long, text string, id string, media string, spans string"
 
@@ -381,3 +381,71 @@ def test_license_notices_over_lines(spark):
     rows = {r["doc_id"]: [(m["license"], round(m["dice"], 3)) for m in r["matches"]] for r in licenses.match_licenses(texts(spark, *given), bodies=licenses.BODIES).collect()}
     assert [[n for n, _ in rows[i]] for i in range(len(given))] == names
     assert all(d == 1.0 for i in range(len(given)) for _, d in rows[i])
+
+
+def brute_windows(text, bodies):
+    """{licence: highest Dice of any window of the text that begins and ends with a bigram of a clause}, from 0.8 on."""
+    words, out = re.findall(r"[^\W_]+", text.lower()), {}
+    grams = list(zip(words, words[1:]))  # noqa: B905
+    for name, clause in bodies:
+        own = re.findall(r"[^\W_]+", clause.lower())
+        b = set(zip(own, own[1:]))  # noqa: B905
+        hits = [i for i, g in enumerate(grams) if g in b]
+        for at, i in enumerate(hits):
+            window = set()
+            for j in range(i, min(len(grams), i + 2 * len(own))):
+                window.add(grams[j])
+                if grams[j] in b and hits[at:]:
+                    dice = 2 * len(window & b) / (len(window) + len(b))
+                    if dice >= 0.8:
+                        out[name] = max(out.get(name, 0), round(dice, 9))
+    return out
+
+
+def test_license_windows_by_brute_force(spark):
+    rng = random.Random(12)
+    prose = "the river was high that day and nobody knew what to do with the software or the notice of it".split()
+    given = []
+    for _, clause in licenses.BODIES:
+        for share in (0.0, 0.06, 0.12):
+            words = [w for w in clause.split() if rng.random() >= share]
+            for _ in range(int(share * len(words))):
+                words[rng.randrange(len(words))] = rng.choice(prose)
+            words = [rng.choice(prose) for _ in range(rng.randrange(12))] + words + [rng.choice(prose) for _ in range(rng.randrange(12))]
+            mark = rng.choice(["", "# ", " * ", "// ", "> "])
+            given.append("".join(mark + " ".join(words[i : i + 9]) + "\n" for i in range(0, len(words), 9)))
+    for text in license_texts.TEXTS.values():  # whole, and cut off
+        given += [text, text[: len(text) * 2 // 3]]
+    given += [" ".join(rng.choice(prose) for _ in range(400)), "\n".join(given[:8])]
+    never = (("none", "no such words anywhere"),)
+    found = licenses.match_licenses(texts(spark, *given), templates=never, bodies=licenses.BODIES).collect()
+    assert len(found) == len(given) > 170
+    for r in found:
+        best = {}
+        for m in r["matches"]:
+            best[m["license"]] = max(best.get(m["license"], 0), round(m["dice"], 9))
+        assert best == brute_windows(given[r["doc_id"]], licenses.BODIES), given[r["doc_id"]]
+    assert sum(not r["matches"] for r in found) > 5
+
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_whole_notices_and_near_misses(spark):
+    commented = lambda text, mark: "\n".join(mark + x for x in text.split("\n"))
+    given = [GPL, APACHE, commented(GPL, "# "), commented(APACHE, " * "), f"int x;\n/*\n{commented(MIT, ' * ')}\n */", BSD, *license_texts.TEXTS.values()]
+    names = ["gpl-3.0", "apache-2.0", "gpl-3.0", "apache-2.0", "mit", "bsd-3-clause", *license_texts.TEXTS]
+    misses = ["Permission was granted to the software of the above notice, and copies of it are free", "The program is free and the library is free; you can modify either", "You may obtain a license at the office, or see the office for more details", "This software is provided in the hope that some copyright holders shall be held liable"]
+    rows = {r["doc_id"]: r["matches"] for r in licenses.match_licenses(texts(spark, *given, *misses), bodies=licenses.BODIES).collect()}
+    for i, name in enumerate(names):
+        best = max(m["dice"] for m in rows[i])  # a line that matches by itself, as of the second notice, ends the search there
+        assert best > 0.85 and name in {m["license"] for m in rows[i] if m["dice"] == best}
+    assert not any(rows[len(given) + i] for i in range(len(misses)))
