@@ -133,15 +133,16 @@ def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """Rows (node, n, shingles) of rows (node, text)."""
-    schema = T.StructType([T.StructField("node", df.schema["node"].dataType), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """Rows (node, n, which, shingles) of rows (node, text); ``which``: the set's hash."""
+    schema = T.StructType([T.StructField("node", df.schema["node"].dataType), T.StructField("n", T.LongType()), T.StructField("which", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def make():
         tool = Sketcher(shingle, 1, 1)
 
         def work(nodes, texts):
             sets = [tool.shingles(x or "").view(np.int64) for x in texts]
-            return {"node": nodes, "n": [len(x) for x in sets], "shingles": pa.array(sets, pa.list_(pa.int64()))}
+            which = [int.from_bytes(tool.digest(x.tobytes())[:8], "little", signed=True) for x in sets]
+            return {"node": nodes, "n": [len(x) for x in sets], "which": which, "shingles": pa.array(sets, pa.list_(pa.int64()))}
 
         return work
 
@@ -177,7 +178,7 @@ def _by_rarest(active: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     |y| - t + 1 of y have a shingle in common; t is bounded by either size alone.
     At the first such shingle, i before it in x and j in y, the rest must suffice.
     """
-    own = sets.join(active.select("node"), "node", "left_semi").select("node", "n", F.xxhash64("shingles").alias("which"), F.explode("shingles").alias("shingle"))
+    own = sets.join(active.select("node"), "node", "left_semi").select("node", "n", "which", F.explode("shingles").alias("shingle"))
     own = scratch.save(own, "shingles")
     shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = salted_join(own, shared, "shingle", F.col("node"), own.count()).groupBy("node", "n", "which").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("x"))

@@ -129,7 +129,7 @@ def test_rarest_shingles_lose_no_pair(spark):
     tool = minhash.Sketcher(4, 1, 1)
     rows = [(i, len(x), x, tool.bitmap(np.array(x, np.uint64)).tolist(), i) for i, x in enumerate(own)]
     df = spark.createDataFrame(rows, "node long, n long, shingles array<long>, bits array<long>, component long")
-    pairs = {tuple(sorted(r)) for r in minhash._by_rarest(df.drop("shingles"), df.select("node", "n", "shingles"), 80, Scratch(spark, "t")).collect()}
+    pairs = {tuple(sorted(r)) for r in minhash._by_rarest(df.drop("shingles"), df.select("node", "n", F.lit(0).alias("which"), "shingles"), 80, Scratch(spark, "t")).collect()}
     sets = [set(x) for x in own]
     near = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert near <= pairs and len(near) > 20 and len(pairs) < 3 * len(near)
