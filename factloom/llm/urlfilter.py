@@ -8,7 +8,9 @@ hold on its fetch day, of these by the longest key.
 Captures are reduced to distinct pairs of host and day before anything meets
 the list; one host with many captures is then a row for each day. The list is
 joined by key and interval, and a pair meets at most one interval of a key, so
-the join makes no more rows than hosts have labels.
+the join makes no more rows than hosts have labels. A top-level domain is a
+parent of half of all hosts, and one host may have half of a day's captures:
+both joins deal such keys in pieces.
 
 Defined results: a null or unparsable url and a null day match nothing and are
 not blocked; of entries with one key and day the last action by name counts; an
@@ -23,6 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.plans.scratch import Scratch
+from factloom.plans.skew import salted_join
+
 _HOST = r"^[a-z][a-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)"
 #: Entries of the registered query besides those that it makes of the hosts.
 FIXED_ENTRIES = (
@@ -50,15 +55,17 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
     """One row for each capture: id, host, fetch_day, entry (its key), action, blocked."""
-    rows = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).alias("day"))
-    pairs = rows.where("host is not null and day is not null").select("host", "day").distinct()
+    scratch = Scratch(captures.sparkSession, "urls")
+    parsed = captures.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).alias("day"))
+    rows = scratch.save(parsed.withColumn("pair", F.concat("host", F.lit(" "), F.col("day").cast("string"))), "captures")
+    pairs = rows.where("pair is not null").select("pair", "host", "day").distinct()
     labels = F.split("host", r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat_ws(".", F.slice(F.col("labels"), i, F.size("labels")))))
-    keyed = pairs.withColumn("labels", labels).select("host", "day", suffix.alias("key"))
+    keyed = scratch.save(pairs.withColumn("labels", labels).select("pair", "day", suffix.alias("key")), "keys")
     held = intervals(entries)
-    met = keyed.join(held, (keyed["key"] == held["key"]) & (keyed["day"] >= held["since"]) & (held["until"].isNull() | (keyed["day"] < held["until"])))
-    best = met.groupBy("host", "day").agg(F.max(F.struct(F.length(keyed["key"]).alias("n"), keyed["key"].alias("entry"), "action")).alias("best"))
-    return rows.join(best, ["host", "day"], "left").select(
+    met = salted_join(keyed, held, "key", F.col("pair"), keyed.count()).where("day >= since and (until is null or day < until)")
+    best = met.groupBy("pair").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("entry"), "action")).alias("best"))
+    return salted_join(rows, best, "pair", F.col("id"), rows.count(), "left").select(
         F.col("id").alias(id_col),
         "host",
         F.col("day").alias("fetch_day"),

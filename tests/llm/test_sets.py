@@ -243,6 +243,19 @@ def test_url_lists(spark):
     assert urlfilter.judge(captures.limit(0), entries).count() == 0
 
 
+def test_url_lists_with_hot_keys(spark):
+    """One host and day with half of the captures, one top-level domain with all, and that one listed."""
+    day = datetime.date(2024, 5, 5)
+    given = [(i, "http://hot.example.zz/p", day) for i in range(1500)] + [(2000 + i, f"http://h{i % 400}.zz/", day + datetime.timedelta(days=i % 3)) for i in range(1200)]
+    entries = spark.createDataFrame([("zz", "block", day), ("hot.example.zz", "allow", day), ("h7.zz", "allow", day + datetime.timedelta(days=1)), ("zz", "remove", day + datetime.timedelta(days=2))], "key string, action string, day date")
+    found = {r["page_id"]: (r["entry"], r["blocked"]) for r in urlfilter.judge(spark.createDataFrame(given, "page_id long, url string, fetch_day date"), entries).collect()}
+    assert len(found) == len(given)
+    for i, url, at in given:
+        host = url.split("/")[2]
+        expected = ("hot.example.zz", False) if host.startswith("hot") else ("h7.zz", False) if host == "h7.zz" and at > day else ("zz", True) if (at - day).days < 2 else (None, False)
+        assert found[i] == expected
+
+
 # ---------------------------------------------------------------- quality
 
 
