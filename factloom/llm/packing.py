@@ -11,8 +11,9 @@ into lengths that are powers of two, which need no padding.
 
 Defined results: a null or empty text is its end token alone; a null id stays
 null; repeated rows are packed each; an empty table gives no rows; texts of any
-length are cut. ``loss`` may hold, for each token of a row, whether it bears
-loss; null: all do.
+length are cut. A loss column says of a row, or of each of its tokens, whether
+it bears loss; null: all do, and tokens beyond its length don't. A piece never
+breaks a limit; without any room for loss, what bears it is an error.
 """
 
 from __future__ import annotations
@@ -166,8 +167,8 @@ def pack(
 ) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, piece_ids.
 
-    ``loss_col``: an array with a boolean for each token, the end token included;
-    ``keep_ids`` False leaves piece_ids null.
+    ``loss_col``: a boolean for the row, or an array with one for each token, the
+    end token included; ``keep_ids`` False leaves piece_ids null.
     """
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *PIECES])
     target = to_arrow_schema(schema)
@@ -205,10 +206,13 @@ def pack(
                     encoded = [x + end for x in tokens.encode([t or "" for t in texts])]
                 for i, (key, x) in enumerate(zip(ids, encoded, strict=True)):
                     bears = None
-                    if loss and loss[0][i] is not None:
+                    given = loss[0][i] if loss else None
+                    if given is False:
+                        bears = np.zeros(len(x) // 4 + 1, np.int64)
+                    elif given is not None and given is not True:
                         marks = np.zeros(len(x) // 4, np.int64)
-                        given = np.array([bool(v) for v in loss[0][i]], np.int64)[: len(marks)]
-                        marks[: len(given)] = given
+                        own = np.array([bool(v) for v in given], np.int64)[: len(marks)]
+                        marks[: len(own)] = own
                         bears = np.concatenate([[0], np.cumsum(marks)])
                     packer.add((key, x), len(x) // 4, bears)
                 yield from placed()
@@ -225,3 +229,13 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
     return pieces.drop("piece_ids").withColumnRenamed("id", "doc_id")
+
+
+def packing_turns(spark, sf_dir: str) -> DataFrame:
+    """The turns of conversations in sequences of at most 2048 tokens, 24 segments and 1024 tokens of the assistant, the only ones that bear loss."""
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = turns.select(F.struct("conv_id", "turn").alias("doc_id"), "text", (F.col("role") == "assistant").alias("loss"))
+    pieces = pack(rows, public_tokenizers.path("word_bpe_49k.json"), loss_col="loss", max_segments=24, max_loss=1024, keep_ids=False)
+    return pieces.select("id.conv_id", "id.turn", *(f.name for f in PIECES if f.name != "piece_ids"))

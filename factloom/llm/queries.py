@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "packing_turns": packing.packing_turns,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -516,6 +516,56 @@ def test_loss_of_conversations(spark, sf_dir):
     assert all(len(ps) <= 16 and sum(p["length"] for p in ps if role[p["doc_id"]] == "assistant") <= 1024 for ps in sequences.values())
 
 
+def next_fit(examples, limits):
+    """Sequences that the plain rule takes: pieces in order, a new sequence where a limit would break."""
+    count, used = 1, [0, 0, 0]
+    for tokens, loss in examples:
+        while tokens:
+            part = min(tokens, limits[0])
+            share = part if loss else 0
+            if used[0] + part > limits[0] or used[1] + 1 > limits[1] or used[2] + share > limits[2]:
+                count, used = count + 1, [0, 0, 0]
+                part = min(part, limits[2]) if loss else part
+                share = part if loss else 0
+            used = [used[0] + part, used[1] + 1, used[2] + share]
+            tokens -= part
+    return count
+
+
+def test_turns_within_all_limits(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    turns = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    pieces = [{**r.asDict(), "doc_id": (r["conv_id"], r["turn"])} for r in packing.packing_turns(spark, sf_dir).collect()]
+    sequences = check_pieces(pieces, [(k, r["text"]) for k, r in turns.items()])
+    loss = lambda ps: sum(p["length"] for p in ps if turns[p["doc_id"]]["role"] == "assistant")
+    assert all(len(ps) <= 24 and loss(ps) <= 1024 for ps in sequences.values())
+    assert sum(len(ps) == 24 for ps in sequences.values()) > 5  # the limits bind
+    length = {p["doc_id"]: p["doc_tokens"] for p in pieces}
+    plain = next_fit([(length[k], turns[k]["role"] == "assistant") for k in sorted(turns)], (2048, 24, 1024))
+    assert len(sequences) <= plain + 12 * spark.sparkContext.defaultParallelism  # a task cuts its last sequence into up to 11
+
+
+@pytest.mark.parametrize(("limits", "most"), [((2048, 16, 700), 0.97), ((1024, 64, 1024), 0.97), ((2048, 8, 2048), 1.03)])  # if only segments bind it is no better
+def test_dot_products_against_next_fit(limits, most):
+    rng = random.Random(1)
+    examples = [(int(rng.lognormvariate(5, 1)) + 1, rng.random() < 0.4) for _ in range(4000)]
+    packer = packing.Packer(*limits)
+    for i, (n, loss) in enumerate(examples):
+        packer.add(i, n, None if loss else np.zeros(n + 1, np.int64))
+    packer.finish()
+    assert packer.sequence < most * next_fit(examples, limits) + 12
+
+
+def test_loss_of_rows(spark):
+    rows = spark.createDataFrame([(1, "word " * 50, True), (2, "word " * 50, False), (3, "word " * 50, None), (4, None, False)], "doc_id long, text string, loss boolean")
+    pieces = packing.pack(rows, WORDS, loss_col="loss", max_tokens=100, max_loss=20).collect()
+    used = defaultdict(Counter)
+    for p in pieces:
+        used[p["sequence_id"]]["tokens"] += p["length"]
+        used[p["sequence_id"]]["loss"] += p["length"] * (p["id"] in (1, 3))
+    assert sum(u["tokens"] for u in used.values()) == 51 * 3 + 1 and all(u["loss"] <= 20 and u["tokens"] <= 100 for u in used.values())
+
+
 # ---------------------------------------------------------------- the pipeline and all queries
 
 
