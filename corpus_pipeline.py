@@ -2,7 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; what it returns is written as Parquet and read again as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, and any
+others that docs has, as they are.
+
+Defined results, of every stage: an empty table gives an empty one; no row is
+lost for a null in any column.
+
+* quality: null and empty texts are scored as the empty text; rows with a null
+  id are scored like others; of repeated rows all stay or all go; without
+  labels of both kinds all rows stay.
+* near_dedup: documents without words have no near duplicates, and stay; of
+  rows that share an id one stays; rows with a null id stay.
+* secrets: a null text stays null; ``n_chars`` follows a text that is changed.
+* packing: a null or empty text is its end token alone; repeated rows are packed
+  each; a null id stays null.
 """
 
 from __future__ import annotations
@@ -14,7 +27,7 @@ from factloom.plans.scratch import Scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the ranking learned from the labels accepts."""
+    """The documents that the ranking learned from the labels accepts, under its score's quantile those it rejects."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

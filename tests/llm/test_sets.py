@@ -593,6 +593,53 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == set(before)
 
 
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long, id string, x int, component string, node long, __first long, key string"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, and columns named as the operators' own."""
+    good = "The old house stood by the river. Nobody went there, and it was quiet. "
+    given = [(1, None), (2, ""), (3, " \n\t"), (4, good), (4, good), (5, good), (6, good + 'token = "abcdef012345"'), (7, good * 900 + "AKIA" + "Z9" * 10), (8, "word"), (8, "other"), (None, good), (None, None)]
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "i", n, "c", 5, 77, "k") for n, (i, t) in enumerate(given)] + [(9, good * 2, *[None] * 9), (None,) * 11], SHAPE)
+
+
+def plain_rows(df):
+    return Counter(map(str, df.collect()))
+
+
+def test_every_stage_on_odd_documents(spark, sf_dir):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        out = stage(spark, docs, sf_dir)
+        if name != "packing":
+            assert out.schema.simpleString() == docs.schema.simpleString()
+    stages = dict(corpus_pipeline.STAGES)
+    scored = Counter((r["doc_id"], r["predicted"]) for r in quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect())
+    kept = stages["quality"](spark, docs, sf_dir)
+    assert Counter((r["doc_id"], 1) for r in kept.collect()) == Counter({k: n for k, n in scored.items() if k[1]})
+    assert not plain_rows(kept) - plain_rows(docs)
+    kept = stages["near_dedup"](spark, docs, sf_dir)
+    # 6 is its group's own: what follows the sentences makes it too different; 7 and 9 have the set of 4, but for the words at the repeats
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 8, None, None, None] + sorted(i for i, c in brute_components([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in (4, 5, 6, 7, 9)], 5).items() if i == c))
+    assert not plain_rows(kept) - plain_rows(docs)
+    masked = stages["secrets"](spark, docs, sf_dir)
+    before, after = docs.orderBy("x").collect(), masked.orderBy("x").collect()
+    for a, b in zip(before, after, strict=True):
+        if a["doc_id"] in (6, 7):
+            assert b["text"] != a["text"] and ("[assign]" in b["text"] or "[access]" in b["text"]) and b["n_chars"] == len(b["text"])
+        else:
+            assert a == b
+    packed = stages["packing"](spark, docs, sf_dir)
+    tokens = Counter()
+    for r in packed.collect():
+        tokens[r["doc_id"]] += r["length"]
+    own = Counter()
+    for r in before:
+        own[r["doc_id"]] += len(TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    assert tokens == own
+
+
 def test_pipeline_keeps_token_ids(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
     pieces = corpus_pipeline.packed(spark, docs, sf_dir).collect()
