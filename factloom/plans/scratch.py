@@ -3,7 +3,8 @@
 A plan that is used more than once, or that grows round by round, is written
 as Parquet and read again: its lineage ends there, and the loss of an executor
 costs nothing. The folder is the one that ``spark.checkpoint.dir`` names; only
-where the session names none (tests, a laptop) is a local one made.
+where the session names none and runs on one machine (tests, a laptop) is a
+local one made. A cluster without a shared folder is refused.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
     if chosen.isDefined():
         return chosen.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _made:
         _made.append(tempfile.mkdtemp(prefix="factloom-"))
         atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
@@ -64,6 +68,12 @@ class Scratch:
         self.paths[id(saved)] = path
         return saved
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete all tables but those of ``kept``."""
+        stay = {id(x) for x in kept}
+        for key in [k for k in self.paths if k not in stay]:
+            self._delete(self.paths.pop(key))
+
     def drop(self, saved: DataFrame) -> None:
         """Delete a table that ``save`` returned."""
         path = self.paths.pop(id(saved), None)

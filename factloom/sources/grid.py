@@ -13,6 +13,8 @@ from html.parser import HTMLParser
 #: Classes of data tables, in the order in which their tables are numbered. Fixed values.
 TABLE_CLASSES = ("wikitable", "wikitable sortable", "wikitable sortable collapsible")
 EMPTY = "-"
+#: Columns that a cell spans at most, as the HTML standard has it: a browser shows no more. Rows have no limit.
+WIDEST = 1000
 NBSP = " "
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,11 +161,12 @@ def _texts(node: Node):
 
 
 def _span(attrs: dict[str, str], name: str) -> int:
-    """A span attribute; 1 where it is absent or no number."""
+    """A span attribute; 1 where it is absent or no number, and for columns ``WIDEST`` at most."""
     try:
-        return max(1, min(1000, int(attrs.get(name, "1"))))
+        n = max(1, int(attrs.get(name, "1")))
     except ValueError:
         return 1
+    return min(n, WIDEST if name == "colspan" else (1 << 31) - 1)
 
 
 def header_rows(table: Node) -> tuple[list[list[tuple[str, int, int]]], bool, int]:
