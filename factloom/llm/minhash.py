@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.components import connected_components, merge_components
+from factloom.plans.components import connected_components, merge_components
 from factloom.plans.arrow import map_rows
 from factloom.plans.scratch import Scratch
 from factloom.plans.skew import salted_join
@@ -263,6 +263,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = scratch.save(merge_components(labels, links, scratch), "labels")
         scratch.drop(active)
 
+    scratch.clear(sketches, classes, labels)  # all that the result reads
     of_class = classes.join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     found = salted_join(sketches.select("id", "n", "set_hash"), of_class, "set_hash", F.col("id"), sketches.count(), "left")
     return found.select(

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from factloom.llm import components, minhash, packing, quality, queries, sharding, topk, urlfilter
+from factloom.llm import minhash, packing, quality, queries, sharding, topk, urlfilter
+from factloom.plans import components
 from factloom.plans.scratch import Scratch, shared_folder
 from factloom.plans.skew import salted_join
 
