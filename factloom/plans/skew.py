@@ -1,4 +1,4 @@
-"""Joins on keys of which a few may hold most of the rows."""
+"""Joins on keys of which a few may hold most of the rows, and joins to few keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 #: A key is heavy that holds more than one of so many parts of the rows, so there are fewer heavy keys than parts; rows of a part at least.
 PARTS, LEAST = 1024, 64
+#: Bytes of keys up to which they are broadcast, counted before.
+FEW_BYTES = 16 << 20
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of one column, to be broadcast if its counted size is small, so that what it meets stays where it is."""
+    (name,) = keys.columns
+    each = F.octet_length(F.col(name).cast("string").cast("binary")) + 16
+    return F.broadcast(keys) if (keys.agg(F.sum(each)).first()[0] or 0) <= FEW_BYTES else keys
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, by: Column, total: int, how: str = "inner", parts: int = PARTS) -> DataFrame:
