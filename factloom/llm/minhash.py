@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from factloom.plans.components import connected_components, merge_components
 from factloom.plans.arrow import map_rows
 from factloom.plans.scratch import Scratch
-from factloom.plans.skew import salted_join
+from factloom.plans.skew import salted_join, sized
 
 BANDS, ROWS, DOMAIN, SEED = 40, 5, 1 << 20, 20240229
 #: 64-bit words of a bitmap.
@@ -229,7 +229,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # bitmaps follow once it is clear who meets at all
     buckets = scratch.save(met.join(nodes.select("node", "n", "bits"), "node"), "buckets")
     total = buckets.count()
-    wanted = met.select(F.col("node").alias("id")).distinct()
+    wanted = sized(scratch.save(met.select(F.col("node").alias("id")).distinct(), "wanted"))
     sets = scratch.save(shingle_sets(once(docs.join(wanted, "id", "left_semi"), "id").select(F.col("id").alias("node"), "text"), shingle), "sets")
 
     def apart(rows: DataFrame, centre: DataFrame) -> DataFrame:
@@ -277,14 +277,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` that are kept, one for each group; of rows that share an id one stays.
 
-    Texts stay where they are where the ids of the rows to go are few enough for
-    Spark to broadcast; rows of ids that occur once never meet in an aggregation.
+    Texts stay where they are as long as the ids of the rows to go are few, by a
+    count of their bytes; rows of ids that occur once meet in no aggregation.
     """
-    found = Scratch(df.sparkSession, "near").save(near_duplicates(df, id_col, text_col, shingle, percent).where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "kept")
-    gone = found.where("not kept or rows > 1").select(id_col)
-    twice = df.join(found.where("kept and rows > 1").select(id_col), id_col, "left_semi")
-    one = twice.groupBy(id_col).agg(F.min_by(F.struct(*df.columns), F.xxhash64(text_col)).alias("x")).select("x.*")
-    return df.join(gone, id_col, "left_anti").select(*df.columns).unionByName(one)
+    scratch = Scratch(df.sparkSession, "near")
+    ids = near_duplicates(df, id_col, text_col, shingle, percent).where(F.col(id_col).isNotNull())
+    found = scratch.save(ids.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "ids")
+    gone = scratch.save(found.where("not kept or rows > 1").select(id_col), "gone")
+    rest = df.join(sized(gone), id_col, "left_anti").select(*df.columns)
+    again = scratch.save(found.where("kept and rows > 1").select(id_col), "again")
+    if again.isEmpty():
+        return rest
+    one = df.join(sized(again), id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*df.columns), F.xxhash64(text_col)).alias("x")).select("x.*")
+    return rest.unionByName(one)
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

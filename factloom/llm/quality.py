@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.plans.arrow import map_rows, slices
+from factloom.plans import skew
 from factloom.plans.scratch import Scratch
 
 #: Labelled documents that are learned from at most, pairs drawn of them, and the score at the threshold.
 SAMPLE, PAIRS, CUT = 20_000, 100_000, 0.3
-#: Labels up to which their ids are broadcast, so that only labelled texts are described to learn from.
-FEW = 1_000_000
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[list(range(0x61, 0x7B))] = 1
@@ -219,8 +218,10 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     described again, as that is cheaper than to write and read them once more.
     """
     marks = Scratch(df.sparkSession, "quality").save(usable(labels, id_col, label_col), "marks")
-    few = marks.count() <= FEW
-    labelled = df.join(F.broadcast(marks.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi") if few else df
+    # only labelled texts are described to learn from, if their ids are few enough to come to the texts
+    ids = Scratch(df.sparkSession, "quality").save(marks.select(F.col("id").alias(id_col)).distinct(), "ids")
+    few = skew.sized(ids)
+    labelled = df if few is ids else df.join(few, id_col, "left_semi")
     described = Scratch(df.sparkSession, "quality").save(describe(labelled, id_col, text_col), "features")
     model = learn(described, marks, cut, sample)
     if model is None:

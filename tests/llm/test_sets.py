@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from factloom.llm import minhash, packing, quality, queries, sharding, topk, urlfilter
-from factloom.plans import components
+from factloom.plans import components, skew
 from factloom.plans.scratch import Scratch, shared_folder
 from factloom.plans.skew import salted_join
 
@@ -329,8 +329,8 @@ def test_good_rows_are_those_predicted(spark, monkeypatch):
     scored = quality.score_quality(docs, labels).collect()
     expected = Counter(r["doc_id"] for r in scored if r["predicted"])
     assert len(scored) == len(rows) and expected[80] == 3 and expected[1] == 1 and expected[0] == 0
-    for few in (quality.FEW, 0):
-        monkeypatch.setattr(quality, "FEW", few)
+    for few in (skew.FEW_BYTES, 0):
+        monkeypatch.setattr(skew, "FEW_BYTES", few)
         kept = quality.keep_good(docs, labels)
         assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == expected
 
