@@ -78,10 +78,17 @@ def date_stamp(t: Column) -> Column:
     return F.date_format(t, "yyyy_MM_dd")
 
 
-def char_distance(a: Column, b: Column) -> Column:
-    """How many distinct letters, spaces and case apart, one text has and the other lacks."""
-    letters = lambda x: F.array_distinct(F.split(F.lower(F.replace(x, F.lit(" "), F.lit(""))), ""))
-    return F.size(F.array_except(letters(a), letters(b))) + F.size(F.array_except(letters(b), letters(a)))
+def letter_distance(a: Column, b: Column) -> Column:
+    """How many letters one text has and the other lacks, spaces and case apart.
+
+    As ``rows.letter_distance``: a letter counts once, but in upper case each time.
+    """
+    letters = lambda x: F.split(F.replace(x, F.lit(" "), F.lit("")), "")
+    met = lambda found, c: F.when(F.array_contains(found, c), found).otherwise(F.concat(found, F.array(F.lower(c))))
+    unique = lambda x: F.aggregate(F.filter(letters(x), lambda c: c != ""), F.array().cast("array<string>"), met)
+    lacking = lambda x, y: F.size(F.filter(x, lambda c: ~F.array_contains(y, c)))
+    x, y = unique(a), unique(b)
+    return lacking(x, y) + lacking(y, x)
 
 
 @functools.cache

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,24 +12,71 @@ from pyspark.sql.window import Window
 from factloom.functions.text import plain_accents
 from factloom.operators.kb import property_by_label
 from factloom.operators.rules import SECTION_PREFIX, SECTION_PROPERTY, SEPARATOR
+from factloom.plans.components import connected_components
+from factloom.plans.scratch import Scratch
+from factloom.plans.skew import salted_join
 
-#: Example pages of a section, and sections that similarity grouping takes at most.
-EXAMPLES, VOCABULARY = 3, 100_000
+#: Example pages of a section, and letters by which names are found that may contain each other.
+EXAMPLES, GRAM = 3, 3
+
+
+def grams(low: str) -> set[str]:
+    """All parts of up to ``GRAM`` letters."""
+    return {low[i : i + k] for k in range(1, GRAM + 1) for i in range(len(low) - k + 1)}
 
 
 def group_similar(sections: list[str]) -> dict[str, str]:
-    """Each section's group, in order of appearance: a section joins the first group that contains it or that it contains, case apart."""
-    groups: dict[str, list[str]] = {}
-    for section in sections:
-        if any(section in g.split(SEPARATOR) for g in groups):
-            continue
+    """Each section's group, in order of appearance, case apart.
+
+    A section joins the first group that has a member which contains it, or
+    whose only member it contains; a group that is joined comes last from then on.
+    """
+    members: list[list[str]] = []
+    place: list[int] = []
+    holders: dict[str, set[int]] = defaultdict(set)  # groups by the parts of their members
+    single: dict[str, set[int]] = defaultdict(set)  # groups of one member by its name
+    for at, section in enumerate(dict.fromkeys(sections)):
         low = section.lower()
-        near = next((g for g in groups if low in g.lower() or g.lower() in low), None)
-        if near is None:
-            groups[section] = [section]
+        own = [holders[low[i : i + GRAM]] if low[i : i + GRAM] in holders else set() for i in range(max(1, len(low) - GRAM + 1))]
+        near = {g for g in (min(own, key=len) if low else range(len(members))) if any(low in m.lower() for m in members[g])}
+        for i in range(len(low) + 1):
+            for j in range(i, len(low) + 1):
+                near |= single.get(low[i:j], set())
+        if near:
+            group = min(near, key=place.__getitem__)
+            if len(members[group]) == 1:
+                single[members[group][0].lower()].discard(group)
         else:
-            groups[near + SEPARATOR + section] = [*groups.pop(near), section]
-    return {s: g for g, own in groups.items() for s in own}
+            group = len(members)
+            members.append([])
+            place.append(at)
+            single[low].add(group)
+        members[group].append(section)
+        place[group] = at
+        for x in grams(low):
+            holders[x].add(group)
+    return {s: SEPARATOR.join(own) for own in members for s in own}
+
+
+def may_join(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of names (section) of which one contains the other, case apart.
+
+    A name is looked up by the rarest of its parts of ``GRAM`` letters, or by itself if it is shorter.
+    """
+    low = F.lower("section")
+    part = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - k + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(k)))
+    every = names.select("section", low.alias("low"))
+    held = scratch.save(every.select("section", "low", F.explode(F.array_distinct(F.flatten(F.array(*(part(k) for k in range(1, GRAM + 1)))))).alias("gram")).where("gram <> ''"), "grams")
+    n = held.count()
+    whole = held.where((F.length("gram") == GRAM) | ((F.length("low") < GRAM) & (F.col("gram") == F.col("low"))))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
+    rarest = salted_join(whole, counts, "gram", F.col("section"), n).groupBy("section", "low").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
+    asked = rarest.select("gram", F.col("section").alias("u"), F.col("low").alias("short"))
+    met = salted_join(held, asked, "gram", F.col("section"), n).where(F.col("low").contains(F.col("short")) & (F.col("section") != F.col("u")))
+    found = met.select("u", F.col("section").alias("v"))
+    if every.where("low = ''").isEmpty():
+        return found
+    return found.unionByName(every.where("low <> ''").select(F.lit("").alias("u"), F.col("section").alias("v")))
 
 
 def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
@@ -37,8 +84,9 @@ def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
 
     ``first``: the first (page_id, table_ord); ``examples``: up to three pages.
     Without ``similar`` a group is a section, and all is one aggregation. With it
-    the fold over the distinct sections, in order of appearance, runs in one
-    task; more than ``VOCABULARY`` of them are refused rather than gathered.
+    sections that contain each other, directly or over others, are found first,
+    and only these are folded together, in order of appearance: no others can
+    come into one group. An empty name is contained in all.
     """
     used = refined.where("n_rows > 1 and status <> 'E2'")
     pages = used.groupBy("section", "resource").agg(F.min(F.struct("page_id", "table_ord")).alias("first"))
@@ -48,16 +96,17 @@ def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
     found = found.select("section", "first", F.array_join("x.resource", ", ").alias("examples"))
     if not similar:
         return found.withColumn("group", F.col("section"))
-    many = found.select("section").limit(VOCABULARY + 1).count()
-    if many > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} sections: group without similarity")
+    scratch = Scratch(refined.sparkSession, "sections")
+    found = scratch.save(found, "sections")
+    own = connected_components(may_join(found.select("section"), scratch), scratch).select(F.col("node").alias("section"), "component")
+    order = found.select("section", F.col("first.page_id").alias("page_id"), F.col("first.table_ord").alias("table_ord")).join(own, "section", "left")
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [s for f in frames for s in f["section"].tolist()]
-        yield pd.DataFrame(list(group_similar(names).items()), columns=["section", "group"])
+    def fold(names: pd.DataFrame) -> pd.DataFrame:
+        listed = names.sort_values(["page_id", "table_ord", "section"])["section"].tolist()
+        return pd.DataFrame(list(group_similar(listed).items()), columns=["section", "group"])
 
-    order = found.select("section", "first").orderBy("first.page_id", "first.table_ord", "section").coalesce(1).select("section")
-    return found.join(order.mapInPandas(fold, "section string, group string"), "section")
+    groups = order.where("component is not null").groupBy("component").applyInPandas(fold, "section string, group string")
+    return found.join(groups, "section", "left").withColumn("group", F.coalesce("group", "section"))
 
 
 def header_vocabulary(refined: DataFrame, sections: DataFrame, rules: DataFrame, kb: DataFrame | None = None, lang: str = "en") -> DataFrame:
@@ -95,13 +144,13 @@ def template(sections: DataFrame, headers: DataFrame, rules: DataFrame, output_f
     return top.unionByName(rest).select("section", "header", "property", "examples")
 
 
-def check_arguments(chapter: str, output_format: int, single: str | None = None, topic: str | None = None, where: str | None = None, languages: tuple[str, ...] = ("en", "it", "fr", "de", "pt", "es")) -> None:
-    """Raise ValueError for arguments that name no chapter, class or format, or not exactly one choice of pages."""
+def check_arguments(chapter: str, output_format: int, single: str | None = None, topic: str | None = None, where: str | None = None, languages: tuple[str, ...] = ("en", "it", "fr", "de", "pt", "es"), one: bool = True) -> None:
+    """Raise ValueError for arguments that name no chapter, class or format, or, if ``one``, not exactly one choice of pages."""
     if chapter not in languages:
         raise ValueError(f"chapter is one of {', '.join(languages)}")
     if output_format not in (1, 2):
         raise ValueError("output format is 1 or 2")
-    if sum(x is not None for x in (single, topic, where)) != 1:
+    if one and sum(x is not None for x in (single, topic, where)) != 1:
         raise ValueError("one of a single resource, a class and a pattern")
     if topic is not None and not topic.isalpha():
         raise ValueError("a class is letters only")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import is_float, is_int, plain_accents, resource_key
+from factloom.plans.scratch import Scratch
+from factloom.plans.skew import salted_join
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -51,10 +53,12 @@ def mapped_rows(rows: DataFrame, rules: DataFrame, base: str) -> DataFrame:
 
     ``rules``: of one chapter; ``base``: where addresses of resources begin. Only rows that stay take a number. The numbering
     is a sum over tables, not over rows; the rows are taken apart behind it.
+    A page without a name is named by its id.
     """
+    rows = rows.withColumn("resource", F.coalesce("resource", F.concat(F.lit("page_"), F.col("page_id").cast("string"))))
     sections = rules.where("kind = 'section' and property <> ''").select(F.expr("substring(key, 9)").alias("section"), F.col("property").alias("section_property"))
     kept = F.filter("rows", lambda r: ~r["removed"])
-    subject = F.concat(F.lit(base), F.replace(plain_accents(F.coalesce("resource", F.lit(""))), F.lit("'"), F.lit("")))
+    subject = F.concat(F.lit(base), F.replace(plain_accents(F.col("resource")), F.lit("'"), F.lit("")))
     tables = rows.join(sections, "section").select(subject.alias("subject"), "resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
     place = Window.partitionBy("resource").orderBy("page_id", "table_ord").rowsBetween(Window.unboundedPreceding, -1)
     counted = tables.withColumn("before", F.coalesce(F.sum(F.size("kept")).over(place), F.lit(0)))
@@ -76,16 +80,18 @@ def literal_kind(value: Column) -> Column:
     return F.when(is_float(value), F.lit(XSD + "float")).when(is_int(value), F.lit(XSD + "int")).otherwise(F.lit(XSD + "string"))
 
 
-def link_entities(cells: DataFrame, kb: DataFrame, base: str, is_text: Column, other: Column, value_col: str = "value") -> DataFrame:
+def link_entities(cells: DataFrame, kb: DataFrame, base: str, is_text: Column, by: Column, value_col: str = "value") -> DataFrame:
     """``cells`` with ``entity``: the address of a text that is a subject of ``kb`` (s, p, o), else null.
 
-    By equality. ``other`` is a key that spreads the rows that are no text.
+    By equality, of distinct texts; the answers come back to the cells, a text of
+    many cells in pieces that ``by`` tells apart. The cells are a table meanwhile.
     """
     key = resource_key(F.col(value_col))
-    keyed = cells.withColumn("__s", F.when(is_text, F.concat(F.lit(base), plain_accents(key))).otherwise(other))
-    known = kb.select(F.col("s").alias("__s")).distinct().withColumn("__known", F.lit(True))
-    found = keyed.join(known, "__s", "left")
-    return found.withColumn("entity", F.when(F.col("__known") & is_text, F.concat(F.lit(base), key))).drop("__s", "__known")
+    saved = Scratch(cells.sparkSession, "cells").save(cells.withColumn("_address", F.when(is_text, F.concat(F.lit(base), plain_accents(key)))), "cells")
+    asked = saved.select("_address").where("_address is not null").distinct()
+    known = asked.join(kb.select(F.col("s").alias("_address")).distinct(), "_address", "left_semi").withColumn("_known", F.lit(True))
+    found = salted_join(saved, known, "_address", by, saved.count(), "left")
+    return found.withColumn("entity", F.when(F.col("_known"), F.concat(F.lit(base), key))).drop("_address", "_known")
 
 
 def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), fallback: str | None = None, prefer_link: bool = False) -> DataFrame:
@@ -105,7 +111,7 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
     flat = each.select("subject", "row_of", "section", "section_property", F.col("cell").isNull().alias("own"), F.coalesce("cell.header", apart).alias("header"), value.alias("value"))
     found = with_property(flat, own).where("own or (value <> '-' and property <> '')")
     is_text = ~F.col("own") & ~is_float(F.col("value"))
-    found = link_entities(found, kb, base, is_text, apart) if kb is not None else found.withColumn("entity", F.lit(None).cast("string"))
+    found = link_entities(found, kb, base, is_text, F.concat_ws("\0", "row_of", "header")) if kb is not None else found.withColumn("entity", F.lit(None).cast("string"))
     address = F.col("own") | F.col("entity").isNotNull()
     return found.select(
         F.when(F.col("own"), F.col("subject")).otherwise(F.col("row_of")).alias("s"),

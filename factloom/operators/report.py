@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from factloom.operators.mapping import chapter_rules
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """Frames of one row and different columns as one row."""
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r, allowMissingColumns=True)
+    return every.agg(*(F.max(c).alias(c) for c in every.columns))
+
+
 def extraction_metrics(pages: DataFrame, refined: DataFrame, rows: DataFrame) -> DataFrame:
     """Pages, tables, rows and cells extracted, cells to map, and tables with each error."""
     seen = pages.agg(F.count(F.lit(1)).alias("resources_analysed"))
@@ -25,15 +33,15 @@ def extraction_metrics(pages: DataFrame, refined: DataFrame, rows: DataFrame) ->
         F.coalesce(F.sum(filled(F.col("r.cells"))), F.lit(0)).cast("long").alias("cells_extracted"),
         F.coalesce(F.sum(filled(F.col("r.cells"))) - F.sum(F.when(F.col("r.removed"), values).otherwise(0)), F.lit(0)).cast("long").alias("cells_to_map"),
     )
-    return seen.join(tables, F.lit(True)).join(data, F.lit(True))
+    return beside(seen, tables, data)
 
 
-def unmapped(rows: DataFrame, rules: DataFrame, chapter: str) -> DataFrame:
+def unmapped(rows: DataFrame, rules: DataFrame, chapter: str, fallback: str | None = None) -> DataFrame:
     """(unmapped_sections, unmapped_headers): counted once a table for each key without a property.
 
     All headers of a table count whose section has none.
     """
-    own = chapter_rules(rules, chapter)
+    own = chapter_rules(rules, chapter, fallback)
     by = lambda kind, name: own.where(F.col("kind").isin(kind, "any")).select(F.col("key").alias(f"{name}_key"), F.col("property").alias(name))
     first = F.filter("rows", lambda r: ~r["removed"])
     tables = rows.select("resource", "table_ord", "section", first.alias("rows"), F.concat(F.lit("SECTION_"), "section").alias("section_key"))
@@ -45,17 +53,17 @@ def unmapped(rows: DataFrame, rules: DataFrame, chapter: str) -> DataFrame:
     met = heads.join(by("strict", "strict"), "strict_key", "left").join(by("loose", "loose"), "loose_key", "left")
     chosen = F.when(F.col("strict").isNotNull(), F.col("strict")).otherwise(F.coalesce("loose", F.lit("")))
     of_headers = met.agg(F.count_if(chosen == "").alias("n"))
-    return of_sections.join(of_headers, F.lit(True)).select("unmapped_sections", (F.col("w") + F.col("n")).alias("unmapped_headers"))
+    return beside(of_sections, of_headers).select("unmapped_sections", (F.col("w") + F.col("n")).alias("unmapped_headers"))
 
 
 def mapping_metrics(triples: DataFrame) -> DataFrame:
     """(row_triples, cell_triples, triples, graph_size): the graph counts a triple once."""
     counted = triples.agg(F.count_if(F.col("kind") == "row").alias("row_triples"), F.count_if(F.col("kind") == "cell").alias("cell_triples"), F.count(F.lit(1)).alias("triples"))
     size = triples.select("s", "p", "o", "o_kind", "datatype").distinct().agg(F.count(F.lit(1)).alias("graph_size"))
-    return counted.join(size, F.lit(True))
+    return beside(counted, size)
 
 
-def full_report(pages: DataFrame, refined: DataFrame, rows: DataFrame, rules: DataFrame, triples: DataFrame, chapter: str = "en") -> DataFrame:
+def full_report(pages: DataFrame, refined: DataFrame, rows: DataFrame, rules: DataFrame, triples: DataFrame, chapter: str = "en", fallback: str | None = None) -> DataFrame:
     """All metrics, and effectiveness: cell triples of cells to map, 0 if there are none, to 3 decimals."""
-    every = extraction_metrics(pages, refined, rows).join(unmapped(rows, rules, chapter), F.lit(True)).join(mapping_metrics(triples), F.lit(True))
+    every = beside(extraction_metrics(pages, refined, rows), unmapped(rows, rules, chapter, fallback), mapping_metrics(triples))
     return every.withColumn("effectiveness", F.round(F.coalesce(F.try_divide(F.col("cell_triples"), F.col("cells_to_map")), F.lit(0.0)), 3))

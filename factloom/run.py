@@ -7,12 +7,16 @@
 
 Pages are Parquet (page_id, resource, html); rules and templates JSON; a store of
 triples is Parquet (s, p, o, lang). Pages are chosen by --single NAME, --topic
-CLASS or --where PATTERN over the store, or all are taken.
+CLASS or --where PATTERN over the store, --list FILE of names, or all are taken.
+--check refuses a class that the store doesn't know; --fallback names the chapter
+whose rules hold where the own one has none. ``update`` takes the chapter and
+the format of a template from what ``explore`` wrote with it.
 """
 
 from __future__ import annotations
 
 import argparse
+import logging
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +29,12 @@ from factloom.operators.mapping import Names, chapter_rules, graph, make_triples
 from factloom.operators.refine import refine
 from factloom.operators.report import full_report
 from factloom.operators.rows import table_rows
-from factloom.operators.rules import read_rules, update_rules, write_rules
+from factloom.operators.rules import check_ontology, parse_rules, read_rules, upsert_rules, write_rules
 from factloom.plans.scratch import Scratch
 from factloom.sources import sinks
-from factloom.sources.pages import parse_tables, with_status
+from factloom.sources.pages import parse_tables, read_resources, with_status
+
+log = logging.getLogger("factloom")
 
 
 class Extraction(NamedTuple):
@@ -36,14 +42,14 @@ class Extraction(NamedTuple):
     report: DataFrame
 
 
-def extract(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), mode: str = "compat", drop_summaries: bool = True, fallback: str | None = None) -> Extraction:
+def extract(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), mode: str = "compat", drop_summaries: bool = True, fallback: str | None = None, prefer_link: bool = False) -> Extraction:
     """The graph of the pages' tables, and the metrics of its extraction. Parsing runs once."""
     scratch = Scratch(pages.sparkSession, "extract")
     good = with_status(pages).where("status = 'OK'").drop("status")
     refined = scratch.save(refine(parse_tables(good, mode)), "tables")
     rows = scratch.save(table_rows(refined, mode, drop_summaries), "rows")
-    triples = scratch.save(make_triples(rows, rules, chapter, kb, names, fallback), "triples")
-    return Extraction(graph(triples), full_report(good, refined, rows, rules, triples, chapter))
+    triples = scratch.save(make_triples(rows, rules, chapter, kb, names, fallback, prefer_link), "triples")
+    return Extraction(graph(triples), full_report(good, refined, rows, rules, triples, chapter, fallback))
 
 
 def explore(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, output_format: int = 1, similar: bool = False, mode: str = "compat") -> DataFrame:
@@ -54,14 +60,21 @@ def explore(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFra
     return vocabulary.template(sections, vocabulary.header_vocabulary(refined, sections, own, kb, chapter), own, output_format)
 
 
-def choose(pages: DataFrame, kb: DataFrame | None = None, single: str | None = None, topic: str | None = None, where: str | None = None, names: Names = Names()) -> DataFrame:
-    """The pages of one resource, of a class, or of a pattern over the store."""
+def choose(pages: DataFrame, kb: DataFrame | None = None, single: str | None = None, topic: str | None = None, where: str | None = None, names: Names = Names(), listed: DataFrame | None = None, check: bool = False) -> DataFrame:
+    """The pages of one resource, of a list (resource), of a class, or of a pattern over the store.
+
+    ``check``: raise ValueError for a class that is no subject of the store.
+    """
     if single is not None:
         return pages.where(F.col("resource") == single)
+    if listed is not None:
+        return pages.join(listed.select("resource").distinct(), "resource", "left_semi").select(*pages.columns)
     if topic is None and where is None:
         return pages
     if kb is None:
         raise ValueError("a class or a pattern needs a store")
+    if check and topic is not None and not store.class_exists(kb, names.ontology + topic):
+        raise ValueError(f"the store has no class {topic}")
     subjects = store.of_class(kb, names.ontology + topic) if topic is not None else store.topic_subjects(kb, where, names.ontology)
     return pages.join(store.resource_names(subjects), "resource", "left_semi").select(*pages.columns)
 
@@ -69,33 +82,47 @@ def choose(pages: DataFrame, kb: DataFrame | None = None, single: str | None = N
 def main(args: list[str] | None = None) -> None:
     given = argparse.ArgumentParser(prog="factloom")
     given.add_argument("program", choices=("extract", "explore", "stats", "update"))
-    for name in ("pages", "rules", "template", "kb", "out", "version", "single", "topic", "where"):
+    for name in ("pages", "rules", "template", "kb", "out", "version", "single", "topic", "where", "list", "chapter", "fallback"):
         given.add_argument(f"--{name}")
-    given.add_argument("--chapter", default="en")
-    given.add_argument("--format", type=int, default=1)
+    given.add_argument("--format", type=int)
     given.add_argument("--host", default=Names.host)
     given.add_argument("--mode", choices=("compat", "clean"), default="compat")
-    given.add_argument("--similar", action="store_true")
-    given.add_argument("--turtle", action="store_true")
+    for name in ("similar", "turtle", "check", "keep-summaries", "prefer-link"):
+        given.add_argument(f"--{name}", action="store_true")
     x = given.parse_args(args)
     names = Names(x.host)
-    if x.single or x.topic or x.where:
-        vocabulary.check_arguments(x.chapter, x.format, x.single, x.topic, x.where)
+    if x.single or x.topic or x.where or x.chapter:
+        vocabulary.check_arguments(x.chapter or "en", x.format or 1, x.single, x.topic, x.where, one=bool(x.single or x.topic or x.where))
     spark = SparkSession.builder.getOrCreate()
     kb = spark.read.parquet(x.kb) if x.kb else None
     if x.program == "update":
-        write_rules(update_rules(read_rules(spark, x.rules), spark.read.json(x.template), x.chapter, x.format, kb), x.out, x.version)
+        template, made_for = sinks.read_template(spark, x.template)
+        new = parse_rules(template, x.chapter or made_for.get("chapter", "en"), x.format or int(made_for.get("format", 1)))
+        good, bad = check_ontology(new, kb) if kb is not None else (new, None)
+        if bad is not None and not bad.isEmpty():
+            sinks.write_report(bad, f"{x.out}/rejected={x.version}")
+            log.warning("%d rules name no property of the store: %s/rejected=%s", bad.count(), x.out, x.version)
+        write_rules(upsert_rules(read_rules(spark, x.rules), good), x.out, x.version)
         return
-    pages = choose(spark.read.parquet(x.pages), kb, x.single, x.topic, x.where, names)
+    listed = read_resources(spark, x.list) if x.list else None
+    pages = choose(spark.read.parquet(x.pages), kb, x.single, x.topic, x.where, names, listed, x.check)
+    chapter = x.chapter or "en"
     if x.program == "stats":
-        stats.totals(pages).show(truncate=False)
+        total = stats.totals(pages)
+        log.warning("%s", total.first().asDict())
+        total.show(truncate=False)
+        stats.lost_pages(pages).orderBy(F.desc("n"), "reason").show(truncate=False)
     elif x.program == "explore":
-        sinks.write_template(explore(pages, read_rules(spark, x.rules), x.chapter, kb, x.format, x.similar, x.mode), x.out, chapter=x.chapter, topic=x.topic or x.single or x.where or "")
+        form = x.format or 1
+        found = explore(pages, read_rules(spark, x.rules), chapter, kb, form, x.similar, x.mode)
+        sinks.write_template(found, x.out, chapter=chapter, topic=x.topic or x.single or x.where or "", format=str(form))
     else:
-        found = extract(pages, read_rules(spark, x.rules), x.chapter, kb, names, x.mode)
+        found = extract(pages, read_rules(spark, x.rules), chapter, kb, names, x.mode, not x.keep_summaries, x.fallback, x.prefer_link)
         sinks.write_graph(found.triples, f"{x.out}/graph", "turtle" if x.turtle else "ntriples")
         sinks.write_report(found.report, f"{x.out}/report")
+        log.warning("%s", found.report.first().asDict())
 
 
 if __name__ == "__main__":
+    logging.basicConfig(format="%(asctime)s %(message)s")
     main()

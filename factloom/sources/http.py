@@ -1,4 +1,8 @@
-"""Pages over HTTP as a Spark data source: each name is one fetch in some task."""
+"""Pages over HTTP: each name is one fetch in some task.
+
+``fetch_pages`` takes names as a frame of any size; the data source takes a
+short list as an option.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "page_id long, resource string, url string, html string"
@@ -16,14 +22,37 @@ TRIES, PAUSE, TIMEOUT = 3, 2.0, 30.0
 
 def fetch(url: str, tries: int = TRIES, pause: float = PAUSE, timeout: float = TIMEOUT) -> str | None:
     """The body at ``url``; None when every try failed."""
+    return fetch_counted(url, tries, pause, timeout)[0]
+
+
+def fetch_counted(url: str, tries: int = TRIES, pause: float = PAUSE, timeout: float = TIMEOUT) -> tuple[str | None, int]:
+    """The body at ``url``, None when every try failed, and the number of tries."""
     for i in range(tries):
         try:
             with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
-                return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+                return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace"), i + 1
         except (urllib.error.URLError, TimeoutError, OSError):
             if i + 1 < tries:
                 time.sleep(pause)
-    return None
+    return None, tries
+
+
+def fetch_pages(names: DataFrame, base: str, tries: int = TRIES, pause: float = PAUSE, timeout: float = TIMEOUT, batch: int = 50) -> DataFrame:
+    """(page_id, resource, url, html, tries) of names (resource_ord, resource): pages that come are passed on ``batch`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                some, out = whole.slice(at, batch), []
+                for page, name in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    url = None if name is None else base + urllib.parse.quote(name)
+                    body, n = (None, 0) if url is None else fetch_counted(url, tries, pause, timeout)
+                    out.append((page, name, url, body, n))
+                columns = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "resource", "url", "html", "tries"])
+
+    return names.selectExpr("cast(resource_ord as long)", "resource").mapInArrow(run, SCHEMA + ", tries int")
 
 
 def compose(base: str, **parameters: str) -> str:

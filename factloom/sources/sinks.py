@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Objects of a block of Turtle at most.
+OBJECTS = 1000
+
 
 def _escaped(text: Column) -> Column:
     for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -27,9 +30,12 @@ def ntriples_lines(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat_ws(" ", _address(F.col("s")), _address(F.col("p")), _object(), F.lit(".")).alias("value"))
 
 
-def turtle_blocks(triples: DataFrame) -> DataFrame:
-    """A block for each subject and property, with its objects in order, as ``value``."""
-    objects = triples.select("s", "p", _object().alias("x")).groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set("x")), ",\n        ").alias("x"))
+def turtle_blocks(triples: DataFrame, most: int = OBJECTS) -> DataFrame:
+    """A block for each subject and property, with its objects in order, as ``value``; of many objects some blocks."""
+    lines = triples.select("s", "p", _object().alias("x"))
+    blocks = lines.groupBy("s", "p").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("blocks")).where("blocks > 1")
+    cut = lines.join(blocks, ["s", "p"], "left").withColumn("block", F.pmod(F.xxhash64("x"), F.coalesce("blocks", F.lit(1))))
+    objects = cut.groupBy("s", "p", "block").agg(F.array_join(F.array_sort(F.collect_set("x")), ",\n        ").alias("x"))
     return objects.select(F.concat(_address(F.col("s")), F.lit(" "), _address(F.col("p")), F.lit(" "), "x", F.lit(" .")).alias("value"))
 
 
@@ -53,5 +59,13 @@ def write_template(template: DataFrame, path: str, **heading: str) -> None:
     template.write.mode("errorifexists").json(path)
 
 
+def read_template(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """A written template (section, header, property), and what it was made for."""
+    rows = spark.read.json(path)
+    own = [c for c in rows.columns if c not in ("section", "header", "property", "examples")]
+    first = rows.select(*own).first() if own else None
+    return rows.select("section", "header", "property"), first.asDict() if first else {}
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("errorifexists").json(path)
