@@ -11,12 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import run
 from factloom.functions import text as fn
-from factloom.operators import explore, kb, mapping, report, rules, stats
+from factloom.operators import explore, kb, mapping, rules, stats
 from factloom.operators.refine import refine
 from factloom.operators.rows import table_rows
-from factloom.plans.render import collected, escaped, head_html, row_html, table_html
-from factloom.sources.pages import parse_tables
+from factloom.plans.render import collected, escaped, head_html, row_html, table_html, tags
+from factloom.plans.scratch import Scratch
+from factloom.sources import sinks
+from factloom.sources.pages import one_resource, parse_tables, read_resources, with_status
 from factloom.sources.sinks import ntriples_lines, turtle_blocks
 
 BASE, ONTOLOGY = "http://kb.example.org/resource/", "http://kb.example.org/ontology/"
@@ -301,10 +304,159 @@ SELECT pages AS resources_analysed, pages AS tables_found, CAST(0 AS BIGINT) AS
 """)
 def full_report(spark, sf_dir):
     """Metrics of an extraction with one header unmapped."""
-    pages, own = nation_pages(spark, sf_dir), rule_frame(spark, *NATION_RULES[:3])
-    refined = refine(parse_tables(pages))
-    rows = table_rows(refined)
-    return report.full_report(pages, refined, rows, own, mapping.make_triples(rows, own))
+    return run.extract(nation_pages(spark, sf_dir), rule_frame(spark, *NATION_RULES[:3])).report
+
+
+@query("""
+WITH o AS (SELECT count(*) AS k, count(DISTINCT o_custkey) AS pages FROM orders)
+SELECT pages AS resources_analysed, pages AS tables_found, CAST(0 AS BIGINT) AS no_header_tables, CAST(0 AS BIGINT) AS data_errors, CAST(0 AS BIGINT) AS unresolved_headers,
+       k AS rows_extracted, 4 * k AS cells_extracted, 4 * k AS cells_to_map, CAST(0 AS BIGINT) AS unmapped_sections, pages AS unmapped_headers,
+       k AS row_triples, 3 * k AS cell_triples, 4 * k AS triples, 4 * k AS graph_size, 0.75::DOUBLE AS effectiveness FROM o
+""")
+def order_report(spark, sf_dir):
+    """Metrics of the extraction of a page for each customer, one header without a rule."""
+    return run.extract(order_pages(spark, sf_dir), rule_frame(spark, *ORDER_RULES[:4])).report
+
+
+def part_pages(spark, sf_dir, html) -> DataFrame:
+    """A page for each part."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("Part_"), F.col("p_partkey").cast("string")).alias("resource"), html.alias("html"))
+
+
+@query("""
+SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 'E2' WHEN 1 THEN 'E3' WHEN 2 THEN 'E3' ELSE 'OK' END AS status, CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) AS header_rows FROM part
+""")
+def table_status(spark, sf_dir):
+    """Tables without headers, without data, with headers that can't be merged, and good ones."""
+    name, head = escaped(F.col("p_name")), head_html("A", "B")
+    body = F.when(F.col("p_partkey") % 4 == 0, row_html(name, name)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit(head + "<tr><th>C</th></tr>"), row_html(name, name))).when(F.col("p_partkey") % 4 == 2, F.lit(head))
+    body = F.coalesce(body, F.concat(F.lit(head + "<tr><th>C</th><th>D</th></tr>"), row_html(name, name)))
+    found = refine(parse_tables(part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable">'), body, F.lit("</table>")))))
+    return found.select("page_id", "status", F.size("headers_raw").alias("header_rows"))
+
+
+def vertical_pages(spark, sf_dir):
+    """A table for each part with its headers beside the data, one of them with a space that doesn't break."""
+    line = lambda head, value: F.concat(F.lit("<tr>"), tags("th", F.lit(head)), tags("td", value), F.lit("</tr>"))
+    rows = F.concat(line("Na&nbsp;me", escaped(F.col("p_name"))), line("Brand?", escaped(F.col("p_brand"))), line("Size", F.col("p_size").cast("string")))
+    return part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable">'), rows, F.lit("</table>")))
+
+
+@query("SELECT p_partkey AS page_id, true AS vertical, 'Name|Brand.|Size' AS headers_refined FROM part")
+def vertical_headers(spark, sf_dir):
+    """Headers beside their data: the first cell of every row."""
+    found = refine(parse_tables(vertical_pages(spark, sf_dir)))
+    return found.select("page_id", "vertical", F.array_join("headers_refined", "|").alias("headers_refined"))
+
+
+@query("""
+SELECT p_partkey AS page_id, CAST(r.row_ord AS INTEGER) AS row_ord, 'Name' AS header,
+       CASE r.row_ord WHEN 0 THEN 'Na me' WHEN 1 THEN p_name WHEN 2 THEN 'Brand?' WHEN 3 THEN p_brand WHEN 4 THEN 'Size' ELSE p_size || '.0' END AS value
+FROM part, range(6) r(row_ord)
+""")
+def vertical_rows(spark, sf_dir):
+    """Rows of such a table as they join its one header row: a cell each."""
+    return long_cells(joined(vertical_pages(spark, sf_dir))).select("page_id", "row_ord", F.col("cell.header").alias("header"), F.col("cell.value").alias("value"))
+
+
+@query("SELECT p_partkey AS page_id, h.header, p_brand AS value FROM part, (VALUES ('A'), ('B'), ('C')) h(header)")
+def data_colspan(spark, sf_dir):
+    """A cell over three columns is a cell of each."""
+    html = F.concat(F.lit('<table class="wikitable"><tr><th>A</th><th>B</th><th>C</th></tr><tr><td colspan="3">'), escaped(F.col("p_brand")), F.lit("</td></tr></table>"))
+    return long_cells(joined(part_pages(spark, sf_dir, html))).select("page_id", F.col("cell.header").alias("header"), F.col("cell.value").alias("value"))
+
+
+@query("SELECT p_partkey AS page_id, p_name AS value, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name || ' (part)', ' ', '_') ELSE replace(p_name, ' ', '_') END AS link FROM part")
+def new_links(spark, sf_dir):
+    """Anchors to pages that don't exist have their text as link, others their title."""
+    name = escaped(F.col("p_name"))
+    link = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<a href="/x" title="'), name, F.lit(' (part)">'), name, F.lit("</a>"))).otherwise(F.concat(F.lit('<a class="new" href="/x" title="no such page">'), name, F.lit("</a>")))
+    found = long_cells(joined(part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable"><tr><th>Part</th></tr>'), row_html(link), F.lit("</table>")))))
+    return found.select("page_id", F.col("cell.value").alias("value"), F.get("cell.links", F.lit(0)).alias("link"))
+
+
+_LETTERS = "[lower({0}[i:i]) FOR i IN range(1, length({0}) + 1) IF {0}[i:i] <> lower({0}[i:i]) OR NOT contains(lower({0}[1:i-1]), {0}[i:i])]"
+_DISTANCE = "CAST(len([c FOR c IN x IF NOT list_contains(y, c)]) + len([c FOR c IN y IF NOT list_contains(x, c)]) AS INTEGER)"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS a, replace(p_brand || ' ' || upper(p_name), ' ', '') AS b FROM part)
+SELECT p_partkey, {_DISTANCE} AS distance FROM (SELECT p_partkey, {_LETTERS.format("a")} AS x, {_LETTERS.format("b")} AS y FROM p)
+""")
+def letter_distances(spark, sf_dir):
+    """How far a part's name is from its brand with the name in upper case."""
+    return table(spark, sf_dir, "part").select("p_partkey", fn.letter_distance(F.col("p_name"), F.concat("p_brand", F.lit(" "), F.upper("p_name"))).alias("distance"))
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, replace(p_name, ' ', '') AS a, replace(CASE WHEN p_partkey % 3 = 0 THEN p_name || 'z' ELSE p_type END, ' ', '') AS b FROM part)
+SELECT p_partkey AS page_id, {_DISTANCE} >= 7 AS removed FROM (SELECT p_partkey, {_LETTERS.format("b")} AS x, {_LETTERS.format("a")} AS y FROM p)
+""")
+def summary_by_name(spark, sf_dir):
+    """A last row with the sums of those above is no data if its name is far from the one above."""
+    last = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("z"))).otherwise(F.col("p_type"))
+    rows = F.concat(row_html(F.lit("first"), F.lit("3"), F.lit("4")), row_html(escaped(F.col("p_name")), F.lit("5"), F.lit("6")), row_html(escaped(last), F.lit("8"), F.lit("10")))
+    found = joined(part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable">' + head_html("Name", "X", "Y")), rows, F.lit("</table>"))))
+    return found.select("page_id", F.element_at("rows", -1)["removed"].alias("removed"))
+
+
+@query("""
+WITH n AS (SELECT count(*) AS p FROM part)
+SELECT p AS resources_analysed, p AS tables_found, 3 * p AS rows_extracted, 9 * p - (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) AS cells_extracted,
+       6 * p - (SELECT count(*) FROM part WHERE p_partkey % 5 = 0) AS cells_to_map FROM n
+""")
+def removed_rows_report(spark, sf_dir):
+    """Cells of removed rows are extracted and not to be mapped; empty cells are neither."""
+    first = F.when(F.col("p_partkey") % 5 == 0, "").otherwise("one")
+    rows = F.concat(row_html(first, F.lit("3"), F.lit("4")), row_html(F.lit("two"), F.lit("5"), F.lit("6")), F.lit(""))
+    rows = F.concat(rows, row_html(F.lit("Grand sum of all"), F.lit("8"), F.lit("10")))
+    pages = part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable">' + head_html("Name", "X", "Y")), rows, F.lit("</table>")))
+    return run.extract(pages, rule_frame(spark, ("loose", "X", "x"))).report.select("resources_analysed", "tables_found", "rows_extracted", "cells_extracted", "cells_to_map")
+
+
+def mixed_pages(spark, sf_dir):
+    """A page for each customer: two tables with a rule, and between them one without, of one, two and three rows."""
+    block = lambda section, n: table_html(F.concat(*(row_html(F.concat("c_name", F.lit(f" {section}{i}"))) for i in range(n))), head_html("Item"), F.lit(section))
+    html = F.concat(block("First", 1), block("Unknown", 2), block("Last", 3))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("It's_"), F.col("c_custkey").cast("string")).alias("resource"), html.alias("html"))
+
+
+@query(f"""
+SELECT '{BASE}Its_' || c_custkey AS s, '{ONTOLOGY}' || t.p AS p, '{BASE}Its_' || c_custkey || '__' || t.i AS o, c_name || t.item AS item
+FROM customer, (VALUES (1, 'a', ' First0'), (2, 'b', ' Last0'), (3, 'b', ' Last1'), (4, 'b', ' Last2')) t(i, p, item)
+""")
+def row_numbers(spark, sf_dir):
+    """Rows are numbered over the tables that have a rule, and only over these; quotes are no part of a subject."""
+    found = mapping.make_triples(joined(mixed_pages(spark, sf_dir)), rule_frame(spark, ("section", "SECTION_First", "a"), ("section", "SECTION_Last", "b"), ("loose", "Item", "item")))
+    items = found.where("kind = 'cell'").select(F.col("s").alias("o"), F.col("o").alias("item"))
+    return found.where("kind = 'row'").select("s", "p", "o").join(items, "o").select("s", "p", "o", "item")
+
+
+@query("SELECT count(*) AS resources_analysed, 3 * count(*) AS tables_found, count(*) AS unmapped_sections, 2 * count(*) AS unmapped_headers FROM customer")
+def unmapped_report(spark, sf_dir):
+    """Sections and headers without a rule, counted once a table."""
+    found = run.extract(mixed_pages(spark, sf_dir), rule_frame(spark, ("section", "SECTION_First", "a"), ("section", "SECTION_Last", "b"), ("strict", "First_Item", "item"))).report
+    return found.select("resources_analysed", "tables_found", "unmapped_sections", "unmapped_headers")
+
+
+@query(f"SELECT DISTINCT '{BASE}P' AS s, '{ONTOLOGY}brand' AS p, p_brand AS o FROM part")
+def graph_is_a_set(spark, sf_dir):
+    """A triple that many rows give is one."""
+    cells = table(spark, sf_dir, "part").select(F.lit(BASE + "P").alias("s"), F.lit(ONTOLOGY + "brand").alias("p"), F.col("p_brand").alias("o"), F.lit("literal").alias("o_kind"), F.lit(STRING).alias("datatype"))
+    return mapping.graph(cells).select("s", "p", "o")
+
+
+@query("""
+SELECT CASE WHEN p LIKE '%order' THEN 'own' WHEN p LIKE '%label' THEN 'own' ELSE 'fallback' END AS source, count(*) AS n
+FROM orders, (VALUES ('order'), ('label'), ('status')) t(p) GROUP BY 1
+""")
+def fallback_chapter(spark, sf_dir):
+    """Rules of a chapter, and of the main one where it has none."""
+    own = rule_frame(spark, ("section", "SECTION_Orders", "order"), ("loose", "Order", "label"), chapter="it")
+    other = rule_frame(spark, ("section", "SECTION_Orders", "no"), ("loose", "Order", "no"), ("loose", "Status", "status"))
+    found = run.extract(order_pages(spark, sf_dir), own.unionByName(other), "it", fallback="en").triples
+    good = found.where(F.col("s").startswith("http://it.kb.example.org/resource/"))
+    return good.groupBy(F.when(F.col("p").isin(ONTOLOGY + "order", ONTOLOGY + "label"), "own").when(F.col("p") == ONTOLOGY + "status", "fallback").otherwise("wrong").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- rules
@@ -407,10 +559,10 @@ def bgp_chain(spark, sf_dir):
     return found.groupBy("order", "nation").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("SELECT c_name AS header, replace(c_name, '#', '') AS property FROM customer WHERE c_custkey % 7 = 0")
+@query("SELECT c_name AS header, replace(c_name, '#', '') AS property FROM customer")
 def label_lookup(spark, sf_dir):
     """Properties by the label of a header, as written or in lower case."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    c = table(spark, sf_dir, "customer")
     make = lambda base, name: c.select(F.concat(F.lit(base), name).alias("s"), F.lit(kb.LABEL).alias("p"), F.lower("c_name").alias("o"), F.lit("en").alias("lang"))
     name = F.replace("c_name", F.lit("#"), F.lit(""))
     return kb.property_by_label(c.select(F.col("c_name").alias("header")), make(ONTOLOGY, name).unionByName(make("http://aa.example.org/entity/", name)), "en")
@@ -423,6 +575,128 @@ def resource_exists(spark, sf_dir):
     return kb.exists_in(n.select("resource"), n.where("n_nationkey % 2 = 0").select(F.col("resource").alias("s")), "resource")
 
 
+@query("""
+SELECT 'Class' || n AS class, n IN (SELECT c_nationkey FROM customer) AS known FROM range(30) t(n)
+""")
+def class_check(spark, sf_dir):
+    """Classes that are subjects of the store."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit(ONTOLOGY + "Class"), F.col("c_nationkey").cast("string")).alias("s")).distinct()
+    known = Scratch(spark, "classes").save(c, "classes")
+    return spark.createDataFrame([(f"Class{n}", kb.class_exists(known, f"{ONTOLOGY}Class{n}")) for n in range(30)], "class string, known boolean")
+
+
+@query(f"""
+SELECT c_name AS who, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 9000 THEN 'rich' END AS state, o_orderpriority AS priority
+FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%')
+""")
+def pattern_options(spark, sf_dir):
+    """Prefixes, lists of properties and objects, an option, and either of two."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    make = lambda df, s, p, value: df.select(F.concat(F.lit(BASE), s).alias("s"), F.lit(ONTOLOGY + p).alias("p"), value.cast("string").alias("o"))
+    state = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") > 9000, "rich")
+    one, order = F.concat(F.lit("C"), F.col("c_custkey").cast("string")), F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    store = make(c, one, "name", F.col("c_name")).unionByName(make(c, one, "segment", F.col("c_mktsegment"))).unionByName(make(c.where(state.isNotNull()), one, "state", state))
+    store = store.unionByName(make(o, order, "by", F.concat(F.lit(BASE + "C"), F.col("o_custkey").cast("string")))).unionByName(make(o, order, "priority", F.col("o_orderpriority")))
+    where = f"""PREFIX k: <{ONTOLOGY}> ?c k:segment "BUILDING" ; k:name ?who . ?o k:by ?c ; k:priority ?priority . OPTIONAL {{ ?c k:state ?state }}
+    {{ ?o k:priority "1-URGENT" }} UNION {{ ?o k:priority "5-LOW" }}"""
+    return kb.match_patterns(store, where).select("who", "state", "priority")
+
+
+@query("""
+SELECT t.topic, count(*) AS n FROM customer, (VALUES ('soccer', 0), ('act', 1), ('writer', 2), ('dir', 3)) t(topic, k) WHERE c_custkey % 4 = t.k GROUP BY 1
+""")
+def topics(spark, sf_dir):
+    """Members of each named topic; directors by their films."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(BASE), "c_name").alias("s"), F.concat(F.lit(BASE + "Film"), F.col("c_custkey").cast("string")).alias("film"))
+    kind = F.element_at(F.array(*(F.lit(ONTOLOGY + x) for x in ("SoccerPlayer", "Actor", "Writer", "Director"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    store = c.select("s", F.lit(kb.TYPE).alias("p"), kind.alias("o")).unionByName(c.select("s", F.lit(ONTOLOGY + "wikiPageID").alias("p"), F.col("c_custkey").cast("string").alias("o")))
+    films = c.where("c_custkey % 4 = 3")
+    store = store.unionByName(films.select(F.col("film").alias("s"), F.lit(kb.TYPE).alias("p"), F.lit(ONTOLOGY + "Film").alias("o"))).unionByName(films.select(F.col("film").alias("s"), F.lit(ONTOLOGY + "director").alias("p"), F.col("s").alias("o")))
+    each = [kb.topic_subjects(store, topic, ONTOLOGY).groupBy(F.lit(topic).alias("topic")).agg(F.count(F.lit(1)).alias("n")) for topic in ("soccer", "act", "writer", "dir")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+# ---------------------------------------------------------------- lists, rules and templates as files
+
+
+def written(spark, name: str) -> str:
+    """A new path for a file of a query, in the shared folder, that goes when the program ends."""
+    scratch = Scratch(spark, "files")
+    scratch.save(spark.range(0), "empty")
+    return f"{scratch.root}/{name}"
+
+
+@query("SELECT 'Customer_' || c_custkey AS resource FROM customer")
+def resource_list(spark, sf_dir):
+    """A list of names, written and read."""
+    path = written(spark, "names")
+    sinks.write_resources(table(spark, sf_dir, "customer").select(F.concat(F.lit("Customer_"), F.col("c_custkey").cast("string")).alias("resource")), path)
+    return read_resources(spark, path).select("resource")
+
+
+@query("SELECT o_custkey AS page_id, count(*) AS n FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1")
+def chosen_pages(spark, sf_dir):
+    """The page of one name and those of a list, and their rows."""
+    first = table(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
+    pages = Scratch(spark, "pages").save(order_pages(spark, sf_dir), "pages")
+    listed = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.concat(F.lit("Customer_"), F.col("c_custkey").cast("string")).alias("resource"))
+    single = one_resource(spark, f"Customer_{first}").join(run.choose(pages, single=f"Customer_{first}"), "resource").select(*pages.columns)
+    both = single.unionByName(run.choose(pages, listed=listed)).distinct()
+    return joined(both).select("page_id", F.size("rows").cast("long").alias("n"))
+
+
+@query("SELECT 'part' AS kind, p_name || '_' || p_partkey AS key, replace(p_brand, '#', '') AS property FROM part")
+def rule_versions(spark, sf_dir):
+    """A rule base, written as a version and read."""
+    own = table(spark, sf_dir, "part").select(F.lit("en").alias("chapter"), F.lit("part").alias("kind"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("header"), F.concat_ws("_", "p_name", "p_partkey").alias("key"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("property"))
+    return rules.read_rules(spark, rules.write_rules(own, written(spark, "rules"), "1")).select("kind", "key", "property")
+
+
+@query("""
+WITH s AS (SELECT *, unnest([replace(n_name, '_', ' '), replace(n_name, '_', ' ') || ' 2']) AS section FROM nation)
+SELECT 'section' AS kind, 'SECTION_' || section AS key, 'p' || n_nationkey || 'x' AS property, 'it' AS chapter FROM s WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'strict', section || '_H ' || n_regionkey, 'someProp', 'it' FROM s WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'loose', 'old', 'kept', 'it'
+""")
+def rules_update(spark, sf_dir):
+    """A filled-in template read from its file: parsed, checked against a store, upserted into the rule base."""
+    path = written(spark, "template")
+    sinks.write_template(nation_template(spark, sf_dir), path, chapter="it", topic="Nation", format="1")
+    template, made_for = sinks.read_template(spark, path)
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string"), F.lit("x")).alias("x"))
+    known = n.unionByName(spark.createDataFrame([("someProp",)], "x string")).select(F.concat(F.lit(ONTOLOGY), "x").alias("s"), F.lit("type").alias("p"), F.lit("http://www.w3.org/2002/07/owl#ObjectProperty").alias("o"))
+    old = rule_frame(spark, ("loose", "old", "kept"), chapter="it")
+    return rules.update_rules(old, template, made_for["chapter"], int(made_for["format"]), known).where("property <> ''").select("kind", "key", "property", "chapter")
+
+
+@query("SELECT 'S ' || r_regionkey AS section, r_name AS header, 'http' AS property, 'Topic' AS topic, 'en' AS chapter, '2' AS format FROM region")
+def settings_file(spark, sf_dir):
+    """A template with what it was made for, written and read."""
+    path = written(spark, "settings")
+    made = table(spark, sf_dir, "region").select(F.concat(F.lit("S "), F.col("r_regionkey").cast("string")).alias("section"), F.col("r_name").alias("header"), F.lit("http").alias("property"))
+    sinks.write_template(made, path, topic="Topic", chapter="en", format="2")
+    template, heading = sinks.read_template(spark, path)
+    return template.select("*", *(F.lit(v).alias(k) for k, v in heading.items()))
+
+
+@query("""
+SELECT * FROM (VALUES ('en', 1, 'topic', 'Actor', true), ('xx', 1, 'topic', 'Actor', false), ('it', 2, 'single', 'A b', true), ('en', 3, 'single', 'A', false), ('en', 1, 'topic', 'A1', false), ('en', 1, 'none', '', false), ('en', 1, 'where', '?s a <x>', true))
+t(chapter, output_format, choice, value, valid)
+""")
+def argument_checks(spark, sf_dir):
+    """Which arguments a program takes."""
+    given = [("en", 1, "topic", "Actor"), ("xx", 1, "topic", "Actor"), ("it", 2, "single", "A b"), ("en", 3, "single", "A"), ("en", 1, "topic", "A1"), ("en", 1, "none", ""), ("en", 1, "where", "?s a <x>")]
+
+    def valid(chapter, form, choice, value):
+        try:
+            explore.check_arguments(chapter, form, **({} if choice == "none" else {choice: value}))
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(*g, valid(*g)) for g in given], "chapter string, output_format int, choice string, value string, valid boolean")
+
+
 # ---------------------------------------------------------------- exploration
 
 
@@ -473,9 +747,42 @@ def explore_similar(spark, sf_dir):
     return explored(spark, sf_dir, " stats", True, 1)
 
 
+@query("""
+WITH s AS (SELECT DISTINCT c_mktsegment AS section FROM customer), e AS (
+  SELECT c_mktsegment, string_agg('Customer_' || c_custkey, ', ' ORDER BY c_custkey) AS examples
+  FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) WHERE r <= 3 GROUP BY 1)
+SELECT section, 'sectionProperty' AS header, '' AS property, examples FROM s JOIN e ON section = c_mktsegment
+UNION ALL SELECT section, h.header, h.property, NULL FROM s JOIN e ON section = c_mktsegment, (VALUES ('Order', 'orderNumber'), ('Status', ''), ('Total', 'total'), ('Priority', '')) h(header, property)
+""")
+def order_vocab(spark, sf_dir):
+    """The template of a page for each customer with orders, sections by segment; one property by label, one by rule."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    pages = order_pages(spark, sf_dir).join(c, F.col("page_id") == F.col("c_custkey")).select("page_id", "resource", F.replace("html", F.lit(">Orders</span>"), F.concat(F.lit(">"), escaped(F.col("c_mktsegment")), F.lit("</span>"))).alias("html"))
+    labels = spark.createDataFrame([(ONTOLOGY + "orderNumber", kb.LABEL, "order", "en"), (ONTOLOGY + "bestellung", kb.LABEL, "status", "de"), ("http://aa.example.org/x", kb.LABEL, "priority", "en")], "s string, p string, o string, lang string")
+    return run.explore(pages, rule_frame(spark, ("loose", "Total", "total")), kb=labels)
+
+
+@query("""
+SELECT section, 'sectionProperty' AS header, '' AS property, examples FROM (
+  SELECT CASE WHEN k % 2 = 0 THEN 'Item_' || k || 'x_tte_Item_' || k || 'x_list' ELSE 'Entry_' || k || 'x' END AS section,
+         CASE WHEN k % 2 = 0 THEN 'Part_' || k || ', Part_' || k || '__b' ELSE NULL END AS pages, 'Part_' || k AS examples
+  FROM (SELECT p_partkey AS k FROM part))
+UNION ALL SELECT CASE WHEN k % 2 = 0 THEN 'Item_' || k || 'x_tte_Item_' || k || 'x_list' ELSE 'Entry_' || k || 'x' END, 'A', '', NULL FROM (SELECT p_partkey AS k FROM part)
+""")
+def many_similar_sections(spark, sf_dir):
+    """Two sections of each even part of which one contains the other, and one of each odd part: as many groups as parts."""
+    block = lambda section: table_html(row_html(F.lit("1")), head_html("A"), section)
+    key = F.col("p_partkey").cast("string")
+    even = F.concat(block(F.concat(F.lit("Item "), key, F.lit("x"))), block(F.concat(F.lit("Item "), key, F.lit("x list"))))
+    pages = part_pages(spark, sf_dir, F.when(F.col("p_partkey") % 2 == 0, even).otherwise(block(F.concat(F.lit("Entry "), key, F.lit("x")))))
+    return run.explore(pages, rule_frame(spark, ("loose", "none", "none")), similar=True)
+
+
 # ---------------------------------------------------------------- page statistics
 
-_COUNT = "CASE WHEN html IS NULL OR trim(html) = '' THEN 0 ELSE len(regexp_extract_all(html, '<{}[ >]')) END"
+# tags of the text without comments and scripts, counted by what lies between them
+_SHOWN = r"regexp_replace(regexp_replace(regexp_replace(lower(html), '(?s)<!--.*?(-->|$)', ' ', 'g'), '(?s)<script[\s/>].*?(</script\s*>|$)', ' ', 'g'), '(?s)<style[\s/>].*?(</style\s*>|$)', ' ', 'g')"
+_COUNT = f"CASE WHEN html IS NULL OR trim(html) = '' THEN 0 ELSE len(regexp_split_to_array({_SHOWN}, '<{{}}[\\s/>]')) - 1 END"
 
 
 @query(f"SELECT page_id, CAST({_COUNT.format('li')} AS BIGINT) AS n, html IS NULL OR trim(html) = '' AS lost FROM pages")
@@ -498,6 +805,36 @@ def stats_total(spark, sf_dir):
     return stats.totals(table(spark, sf_dir, "pages"))
 
 
+def odd_pages(spark, sf_dir):
+    """A page for each part: lost in some way, or with tags in any case, and in comments and scripts."""
+    k = F.col("p_partkey") % 6
+    body = F.concat(F.lit("<TABLE\nclass='x'><tr><td>"), escaped(F.col("p_name")), F.lit("</TABLE><!-- <table> --><script>var t = '<table><li>';</script><ul><LI>a<li\tid='b'>b</ul><table/><link><tables>"))
+    message = F.concat(F.lit("Error "), F.col("p_size").cast("string"), F.lit(": no page"))
+    return part_pages(spark, sf_dir, F.when(k == 0, F.lit(None)).when(k == 1, F.lit("  ")).when(k == 2, message).otherwise(body))
+
+
+@query("""
+SELECT CASE p_partkey % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'empty' ELSE 'Error ' || p_size END AS reason, count(*) AS n, count(*) AS calls FROM part WHERE p_partkey % 6 < 3 GROUP BY 1
+""")
+def lost_pages(spark, sf_dir):
+    """Lost pages by what came in their place."""
+    return stats.lost_pages(odd_pages(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS page_id, CAST(CASE WHEN p_partkey % 6 < 3 THEN 0 ELSE 2 END AS BIGINT) AS tables, CAST(CASE WHEN p_partkey % 6 < 3 THEN 0 ELSE 2 END AS BIGINT) AS lists, CASE WHEN p_partkey % 6 < 3 THEN 'LOST' ELSE 'OK' END AS status FROM part")
+def tags_in_any_case(spark, sf_dir):
+    """Tables and list items of untidy pages."""
+    pages = odd_pages(spark, sf_dir)
+    both = stats.count_structures(pages, "table").select("page_id", F.col("n").alias("tables")).join(stats.count_structures(pages, "list").select("page_id", F.col("n").alias("lists")), "page_id")
+    return both.join(with_status(pages).select("page_id", "status"), "page_id")
+
+
+@query("SELECT o_custkey AS page_id, CAST(1 AS BIGINT) AS n, CAST(count(*) OVER (ORDER BY o_custkey) AS BIGINT) AS total FROM orders")
+def repeated_running_total(spark, sf_dir):
+    """A running total over ids that repeat: those of one id have one total."""
+    return stats.running_total(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), F.lit(1).cast("long").alias("n")))
+
+
 # ---------------------------------------------------------------- scalar functions
 
 
@@ -526,20 +863,16 @@ def date_stamps(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", fn.date_time_stamp(F.col("o_orderdate")).alias("minute"), fn.date_stamp(F.col("o_orderdate")).alias("day"))
 
 
-@query("""
-SELECT a.n_nationkey AS a, b.n_nationkey AS b, CAST(len([c FOR c IN x IF NOT list_contains(y, c)]) + len([c FOR c IN y IF NOT list_contains(x, c)]) AS INTEGER) AS distance
-FROM (SELECT n_nationkey, n_regionkey, list_distinct(string_split(lower(replace(n_name, ' ', '')), '')) AS x FROM nation) a
-JOIN (SELECT n_nationkey, n_regionkey, list_distinct(string_split(lower(replace(n_name, ' ', '')), '')) AS y FROM nation) b USING (n_regionkey)
-""")
-def char_distances(spark, sf_dir):
-    """Distances of the letters of nations of one region."""
-    n = table(spark, sf_dir, "nation")
-    a = n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"), "n_regionkey")
-    b = n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"), "n_regionkey")
-    return a.join(b, "n_regionkey").select("a", "b", fn.char_distance(F.col("x"), F.col("y")).alias("distance"))
+@query("SELECT doc_id, CAST(length(x) AS BIGINT) AS n, md5(x) AS digest FROM (SELECT doc_id, regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g') AS x FROM documents)")
+def accents(spark, sf_dir):
+    """Accents dropped in every whole text, as a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", fn.plain_accents(F.coalesce("text", F.lit(""))).alias("x"))
+    return docs.select("doc_id", F.length("x").cast("long").alias("n"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
-@query("SELECT DISTINCT lang, strip_accents(lang || ' Città perché') AS plain FROM documents")
-def accents(spark, sf_dir):
-    """Accents dropped."""
-    return table(spark, sf_dir, "documents").select("lang").distinct().select("lang", fn.plain_accents(F.concat("lang", F.lit(" Città perché"))).alias("plain"))
+@query("SELECT DISTINCT p_type AS name, 'Citta_' || replace(p_type, ' ', '_') AS key FROM part")
+def section_names(spark, sf_dir):
+    """Names of sections as a template has them: no accents, blanks as underscores."""
+    heads = table(spark, sf_dir, "part").select(F.col("p_type").alias("name"), F.concat(F.lit("Città "), "p_type").alias("group"), F.lit("x").alias("examples"), F.struct(F.lit(1).alias("page_id")).alias("first")).distinct()
+    made = explore.template(heads, spark.createDataFrame([], "group string, header string, property string"), rule_frame(spark, ("loose", "a", "b")).select("kind", "key", "property"))
+    return made.select(F.replace(F.expr("substring(section, 7)"), F.lit("_"), F.lit(" ")).alias("name"), F.col("section").alias("key"))
