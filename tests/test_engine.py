@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import http.server
+import random
 import re
 import threading
 import unicodedata
+from unittest.mock import Mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 from factloom.functions import text as fn
 from factloom.operators import explore, kb, mapping, report, rules, stats
 from factloom.operators.refine import refine
-from factloom.operators.rows import table_rows
+from factloom.operators.rows import letter_distance, table_rows
+from factloom.plans.scratch import Scratch, shared_folder
+from factloom.plans.skew import salted_join, sized
 from factloom.sources import pages as scan
 from factloom.sources import sinks
-from factloom.sources.http import PagesSource, fetch
+from factloom.sources.http import PagesSource, fetch, fetch_pages
 from factloom.streaming.extract import start_extraction, stream_tables
 
 PAGE = "page_id long, resource string, html string"
@@ -122,6 +126,120 @@ def test_patterns(spark):
     assert values(kb.topic_subjects(t, "?s <q> ?z", ""), "s") == [("b",)]
 
 
+def test_patterns_in_full(spark):
+    t = spark.createDataFrame(
+        [("http://k/a", kb.TYPE, "http://k/K", None), ("http://k/a", "http://k/p", "one", "en"), ("http://k/a", "http://k/p", "uno", "it"), ("http://k/a", "http://k/q", "5", None), ("http://k/b", kb.TYPE, "http://k/K", None), ("http://k/b", "http://k/q", "7", None), ("http://k/b", kb.LABEL, "bee", "en")],
+        "s string, p string, o string, lang string",
+    )
+    head = "PREFIX k: <http://k/> PREFIX : <http://k/> "
+    found = lambda where, *names: values(kb.match_patterns(t, head + where), *names)
+    assert found("?s a k:K ; k:q ?q", "s", "q") == [("http://k/a", "5"), ("http://k/b", "7")]
+    assert found('?s k:p "uno", "one" ; a :K .', "s") == [("http://k/a",)]
+    assert found('?s k:p "one"@en', "s") == [("http://k/a",)] and found('?s k:p "one"@it', "s") == []
+    assert found("{ ?s a k:K OPTIONAL { ?s k:p ?x . FILTER(?q > 0) } . ?s k:q ?q }", "s", "x") == [("http://k/a", "one"), ("http://k/a", "uno"), ("http://k/b", None)]
+    assert found("?s a k:K . { ?s k:p ?x } UNION { ?s rdfs:label ?x }", "s", "x") == [("http://k/a", "one"), ("http://k/a", "uno"), ("http://k/b", "bee")]
+    assert found("?s k:q 7 ; a ?c FILTER(?c = <http://k/K>)", "s", "c") == [("http://k/b", "http://k/K")]
+    for bad in ("?s no:p ?o", "?s a", "?s a k:K OPTIONAL { ?x k:q ?y }", "OPTIONAL { ?s a k:K }", "{ ?s a k:K", "?s a k:K ?p", "?s a k:K FILTER(?z > 1)", "{ ?s a k:K } UNION ?x"):
+        with pytest.raises(ValueError):
+            kb.match_patterns(t, head + bad)
+
+
+def test_groups_of_sections_by_the_plain_fold(spark):
+    """Grouping over components, and its index, against the fold over all names in order."""
+
+    def plain(sections):
+        groups: list[list[str]] = []
+        for section in dict.fromkeys(sections):
+            low = section.lower()
+            near = next((g for g in groups if any(low in m.lower() for m in g) or len(g) == 1 and g[0].lower() in low), None)
+            if near is not None:
+                groups.remove(near)
+            groups.append([*(near or []), section])
+        return {s: "_tte_".join(g) for g in groups for s in g}
+
+    rng = random.Random(5)
+    for size in (3, 20, 60):
+        names = list(dict.fromkeys("".join(rng.choice("abcA ") for _ in range(rng.randrange(1, 9))) for _ in range(size)))
+        for own in (names, [*names, ""], ["", *names]):
+            assert explore.group_similar(own) == plain(own)
+    names = list(dict.fromkeys("".join(rng.choice("abcdeA ") for _ in range(rng.randrange(1, 9))) for _ in range(150)))
+    for own in (names, [*names[:70], "", *names[70:]]):
+        refined = spark.createDataFrame([(i, f"P{i}", 0, s, 3, "OK") for i, s in enumerate(own)], "page_id long, resource string, table_ord int, section string, n_rows int, status string")
+        assert {r["section"]: r["group"] for r in explore.section_vocabulary(refined, True).collect()} == plain(own)
+    assert explore.section_vocabulary(refined.limit(0), True).count() == 0
+
+
+def test_letter_distances_are_one(spark):
+    rng = random.Random(3)
+    pairs = [tuple("".join(rng.choice("aAbBcC dé1-") for _ in range(rng.randrange(12))) for _ in range(2)) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r["d"] == letter_distance(r["a"], r["b"]) for r in df.select("a", "b", fn.letter_distance(F.col("a"), F.col("b")).alias("d")).collect())
+
+
+def test_running_totals(spark):
+    rng = random.Random(2)
+    ids = [rng.randrange(300) if i % 2 else 7 for i in range(2000)] + [10**15]
+    rows = [(i, rng.randrange(5)) for i in ids]
+    df = spark.createDataFrame([*rows, (None, 3)], "page_id long, n long")
+    got = stats.running_total(df, 40).collect()
+    assert len(got) == 2002
+    for r in got:
+        assert r["total"] == (None if r["page_id"] is None else sum(n for i, n in rows if i <= r["page_id"]))
+    once = spark.createDataFrame([(i, 2) for i in range(1000)], "page_id long, n long")
+    assert all(r["total"] == 2 * (r["page_id"] + 1) for r in stats.running_total(once, 30).collect())
+
+
+def test_entities_of_a_hot_text(spark):
+    html = TABLE.format("S", "<tr><td>Yes</td><td>1</td></tr>" * 700 + "<tr><td>No</td><td>1</td></tr>" * 30)
+    rows = table_rows(refine(scan.parse_tables(frame(spark, html))), drop_summaries=False)
+    base = "http://kb.example.org/resource/"
+    known = spark.createDataFrame([(base + "Yes", "p", "o")] * 3, "s string, p string, o string")
+    found = mapping.make_triples(rows, spark.createDataFrame(RULES, rules.RULES), kb=known).where("p like '%/name'")
+    assert values(found.groupBy("o", "o_kind").count(), "o", "o_kind", "count") == [("No", "literal", 30), (base + "Yes", "iri", 700)]
+
+
+def test_pages_without_a_name(spark):
+    html = TABLE.format("S", ROWS)
+    pages = spark.createDataFrame([(1, None, html), (2, None, html), (3, "A", html)], PAGE)
+    rows = table_rows(refine(scan.parse_tables(pages)))
+    found = mapping.make_triples(rows, spark.createDataFrame(RULES, rules.RULES)).where("kind = 'row'")
+    base = "http://kb.example.org/resource/"
+    assert values(found, "o") == sorted((f"{base}{x}__{i}",) for x in ("page_1", "page_2", "A") for i in (1, 2))
+
+
+def test_blocks_of_many_objects(spark):
+    shape = "s string, p string, o string, o_kind string, datatype string"
+    t = spark.createDataFrame([("s", "p", f"o{i}", "iri", None) for i in range(250)] + [("t", "p", "x", "iri", None)], shape)
+    blocks = [r["value"] for r in sinks.turtle_blocks(t, 100).collect()]
+    assert 3 <= len(blocks) <= 4 and all(b.endswith(" .") for b in blocks)
+    assert sorted(re.findall(r"<(o\d+)>", "".join(blocks))) == sorted(f"o{i}" for i in range(250))
+
+
+def test_hot_keys_are_dealt(spark):
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)] + [(None, i) for i in range(300)], "k long, x long")
+    one = spark.createDataFrame([(1, "a"), (3, "b"), (4, "c"), (4, "d")], "k long, y string")
+    for how in ("inner", "left"):
+        got, expected = salted_join(many, one, "k", F.col("x"), 1200, how), many.join(one, "k", how)
+        assert got.columns == expected.columns and values(got, "k", "x", "y") == values(expected, "k", "x", "y")
+    assert salted_join(many.limit(0), one, "k", F.col("x"), 0).count() == 0
+    few = Scratch(spark, "t").save(one.select("y"), "y")
+    assert sized(few) is not few
+
+
+def test_no_local_folder_on_a_cluster():
+    session = Mock()
+    session.conf.get.return_value = None
+    session.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    for master in ("spark://somewhere:7077", "yarn", "local-cluster[2,1,1024]"):
+        session.sparkContext.master = master
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(session)
+    session.sparkContext.master = "local[4]"
+    assert shared_folder(session).startswith("file://")
+    session.conf.get.return_value = "hdfs://x/y/"
+    assert shared_folder(session) == "hdfs://x/y"
+
+
 def test_similar_sections():
     assert explore.group_similar(["College", "College statistics", "Coach", "college"]) == {"College": "College_tte_College statistics_tte_college", "College statistics": "College_tte_College statistics_tte_college", "Coach": "Coach", "college": "College_tte_College statistics_tte_college"}
     assert explore.group_similar(["A", ""]) == {"A": "A_tte_", "": "A_tte_"}
@@ -189,6 +307,12 @@ def test_pages_over_http(spark):
     df = spark.read.format("factloom_pages").option("base", base).option("names", "good a\nbad").option("pause", "0").load()
     assert values(df, "resource", "html") == [("bad", None), ("good a", "<p>/good%20a</p>")]
     assert fetch(base + "bad", pause=0) is None
+    names = spark.createDataFrame([(i, f"good {i}" if i % 3 else "bad") for i in range(120)] + [(500, None)], "resource_ord long, resource string")
+    got = fetch_pages(names, base, tries=2, pause=0.0, batch=7)
+    assert got.where("html is null").count() == 41 and got.where("resource like 'good%' and html = concat('<p>/', replace(resource, ' ', '%20'), '</p>')").count() == 80
+    assert values(got.groupBy("tries").count(), "tries", "count") == [(0, 1), (1, 80), (2, 40)]
+    assert values(stats.lost_pages(got), "reason", "n", "calls") == [("missing", 41, 80)]
+    assert fetch_pages(names.limit(0), base).count() == 0
     server.shutdown()
 
 

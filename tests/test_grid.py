@@ -127,3 +127,13 @@ def test_numbers(text, number):
 @pytest.mark.parametrize(("x", "text"), [(20.0, "20.0"), (0.1 + 0.2, "0.3"), (1e16, "1e+16"), (1234567890123.0, "1.23456789012e+12"), (float("inf"), "inf"), (float("nan"), "nan"), (-0.5, "-0.5")])
 def test_number_text(x, text):
     assert number_text(x) == text
+
+
+def test_spans_without_bounds():
+    from factloom.sources import grid
+
+    html = '<table class="wikitable"><tr><th colspan="5000">A</th><th rowspan="100000">B</th></tr><tr><td colspan="2">x</td></tr></table>'
+    (found,) = grid.parse_page(html, "t")
+    (row,) = found["headers_raw"]
+    assert [(h["colspan"], h["rowspan"]) for h in row] == [(grid.WIDEST, 1), (1, 100_000)]
+    assert len(found["header_grid"][0]) == grid.WIDEST + 1
