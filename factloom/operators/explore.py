@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from factloom.plans.skew import salted_join
 
 #: Example pages of a section, and letters by which names are found that may contain each other.
 EXAMPLES, GRAM = 3, 3
+#: Sections whose components are folded in one call.
+FOLDED = 1000
 
 
 def grams(low: str) -> set[str]:
@@ -102,10 +106,13 @@ def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
     order = found.select("section", F.col("first.page_id").alias("page_id"), F.col("first.table_ord").alias("table_ord")).join(own, "section", "left")
 
     def fold(names: pd.DataFrame) -> pd.DataFrame:
-        listed = names.sort_values(["page_id", "table_ord", "section"])["section"].tolist()
-        return pd.DataFrame(list(group_similar(listed).items()), columns=["section", "group"])
+        listed = sorted(names[["component", "page_id", "table_ord", "section"]].itertuples(index=False, name=None))
+        out = [x for _, rows in groupby(listed, key=itemgetter(0)) for x in group_similar([r[3] for r in rows]).items()]
+        return pd.DataFrame(out, columns=["section", "group"])
 
-    groups = order.where("component is not null").groupBy("component").applyInPandas(fold, "section string, group string")
+    # components are folded some at a time
+    part = F.pmod(F.xxhash64("component"), F.lit(found.count() // FOLDED + 1)).alias("part")
+    groups = order.where("component is not null").groupBy(part).applyInPandas(fold, "section string, group string")
     return found.join(groups, "section", "left").withColumn("group", F.coalesce("group", "section"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.plans.arrow import slices
+from factloom.plans.arrow import giving_back, slices
 
 CELL = T.StructType(
     [T.StructField("header", T.StringType()), T.StructField("value", T.StringType()), T.StructField("empty", T.BooleanType()), T.StructField("links", T.ArrayType(T.StringType()))]
@@ -165,4 +165,4 @@ def table_rows(refined: DataFrame, mode: str = "compat", drop_summaries: bool =
                 kept = [c.cast(target.field(n).type) for n, c in zip(names, batch.columns, strict=True) if n != "data"]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, target.field("rows").type)], schema=target)
 
-    return tables.mapInArrow(run, schema)
+    return tables.mapInArrow(giving_back(run), schema)

@@ -7,6 +7,7 @@ a time, so that memory is bounded by bytes and not by a count of rows.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,19 @@ def no_cycles() -> Iterator[None]:
             gc.enable()
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives its memory back to the system at its end: the worker waits for its next task beside others that need it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the system's library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: StructType) -> DataFrame:
     """``df`` through ``make()``, called once a task; what it returns is called with a list for each column.
 
@@ -55,4 +69,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: Str
                     out = work(*(c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)

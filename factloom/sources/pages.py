@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import strip_punctuation
-from factloom.plans.arrow import slices
+from factloom.plans.arrow import giving_back, slices
 from factloom.sources.grid import TABLE_CLASSES, parse_page
 
 HEADER = T.StructType([T.StructField("th", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType())])
@@ -73,4 +73,4 @@ def parse_tables(pages: DataFrame, mode: str = "compat", data: bool = True) -> D
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    return asked.mapInArrow(run, TABLES)
+    return asked.mapInArrow(giving_back(run), TABLES)
