@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.plans.arrow import map_rows, no_cycles, slices
+from factloom.plans.arrow import giving_back, map_rows, no_cycles, slices
 
 #: Bytes that are merged directly at the leaves, entries kept of each store, tokens joined at a leaf of decoding.
 LEAF, KEPT, BLOCK = 4, 300_000, 4096
@@ -206,7 +206,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     found = [bpe.decode(values[i:j].tolist()) for i, j in zip(ends, ends[1:])]  # noqa: B905
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), lists.cast(target.field(1).type), pa.array(found, pa.binary())], schema=target)
 
-    return encoded.select("id", "ids").mapInArrow(run, schema)
+    return encoded.select("id", "ids").mapInArrow(giving_back(run), schema)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from factloom.plans.arrow import no_cycles, slices
+from factloom.plans.arrow import giving_back, no_cycles, slices
 from factloom.llm.words import WordTokens
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 128, 1
@@ -219,7 +219,7 @@ def pack(
         packer.finish()
         yield from placed()
 
-    return df.select(id_col, text_col, *([loss_col] if loss_col else [])).mapInArrow(run, schema)
+    return df.select(id_col, text_col, *([loss_col] if loss_col else [])).mapInArrow(giving_back(run), schema)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

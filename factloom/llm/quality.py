@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.plans.arrow import map_rows, slices
+from factloom.plans.arrow import giving_back, map_rows, slices
 from factloom.plans import skew
 from factloom.plans.scratch import Scratch
 
@@ -235,7 +235,7 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 keep = [model.shift + float(np.dot(slopes, features(t or ""))) >= floor for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(giving_back(run), df.schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

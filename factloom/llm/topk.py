@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from factloom.plans.arrow import giving_back
 from factloom.plans.scratch import Scratch
 
 #: Bytes and rows of a shard at most, rows of a tree's leaf, cells at most, queries whose bounds are computed at once.
@@ -158,7 +159,7 @@ def _visit(points: DataFrame, queries: DataFrame, shards: int, width: int, scale
 
     blank = F.lit(None).cast("double").alias("floor")
     both = points.select("shard", F.lit(0).alias("asks"), "row", "id", "v", blank).unionByName(queries.select("shard", F.lit(1).alias("asks"), "row", "id", "v", "floor"))
-    return both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, FOUND)
+    return both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "asks").mapInArrow(giving_back(run), FOUND)
 
 
 def _near(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

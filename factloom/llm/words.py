@@ -18,7 +18,7 @@ import re
 import numpy as np
 
 #: Parts kept at most; beyond it the store starts anew. Words that are encoded in one row.
-KEPT, ROW = 400_000, 512
+KEPT, ROW = 200_000, 512
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
