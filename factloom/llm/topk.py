@@ -17,14 +17,16 @@ and rows with a null id, take no part; every other row is a candidate of every
 query but its own row, also if ids are repeated, and each row that asks is a
 query; a shorter vector counts as filled up with zeros; ties go to the smaller
 id; an empty table or one without queries gives no rows; other columns are
-ignored. Scores are exact while they fit 63 bits; larger ones are cut to them,
-and are then ties.
+ignored. Scores are exact, and ranked exactly, up to 37 decimal digits (beyond
+it they are cut to that and ties, as are components beyond 1e100); those that no long holds are returned as the
+largest or smallest long.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ from factloom.plans.scratch import Scratch
 
 #: Bytes and rows of a shard at most, rows of a tree's leaf, cells at most, queries whose bounds are computed at once.
 SHARD_BYTES, SHARD, LEAF, CELLS, BATCH = 32 << 20, 1 << 16, 256, 256, 256
+#: Scores, and components, are cut to these.
+MOST, WIDEST = 10**37, 1e100
 
 
 def matrix(vectors: pa.ListArray, width: int, scale: float) -> np.ndarray:
@@ -47,7 +51,7 @@ def matrix(vectors: pa.ListArray, width: int, scale: float) -> np.ndarray:
     sizes, flat = np.diff(ends), vectors.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
     out = np.zeros((len(sizes), width))
     out[np.arange(width) < sizes[:, None]] = flat
-    return np.floor(scale * out)
+    return np.floor(np.clip(scale * out, -WIDEST, WIDEST))
 
 
 class BallTree:
@@ -84,9 +88,9 @@ class BallTree:
     def _scores(self, query: np.ndarray, own: np.ndarray) -> np.ndarray:
         if float(np.abs(query).max(initial=0)) * self.largest * max(1, len(query)) < 2.0**52:
             return self.points[own] @ query
-        whole, edge = [int(x) for x in query], (1 << 63) - 1
+        whole = [int(x) for x in query]
         exact = [sum(a * int(b) for a, b in zip(whole, p, strict=True)) for p in self.points[own]]
-        return np.array([max(-edge - 1, min(edge, x)) for x in exact], dtype=object)
+        return np.array([max(-MOST, min(MOST, x)) for x in exact], dtype=object)
 
     def search(self, queries: np.ndarray, own_rows: list, k: int, floors: list) -> Iterator[list[tuple[int, int]]]:
         """For each query at most k (score, id), best first, of those that can be in the result given its kth score so far."""
@@ -126,12 +130,21 @@ class BallTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-FOUND = T.StructType([T.StructField(k, T.LongType()) for k in ("query_row", "query_id", "vec_id", "score")])
+def found_schema(large: bool) -> T.StructType:
+    """Found rows; ``large``: scores that a long may not hold."""
+    return T.StructType([*(T.StructField(k, T.LongType()) for k in ("query_row", "query_id", "vec_id")), T.StructField("score", T.DecimalType(38, 0) if large else T.LongType())])
 
 
-def _visit(points: DataFrame, queries: DataFrame, shards: int, width: int, scale: float, k: int) -> DataFrame:
-    """``FOUND`` of queries (shard, row, id, v, floor) in the trees over points (shard, row, id, v)."""
-    target = to_arrow_schema(FOUND)
+def _floors(given: pa.Array) -> np.ndarray:
+    """Scores that a result must reach: none for null, and no more than the exact one where a double is coarse."""
+    floor = np.array([-np.inf if x is None else x for x in given.to_pylist()], float)
+    return np.where(np.abs(floor) < 2.0**53, floor, np.nextafter(floor, -np.inf))
+
+
+def _visit(points: DataFrame, queries: DataFrame, shards: int, width: int, scale: float, k: int, large: bool) -> DataFrame:
+    """What queries (shard, row, id, v, floor) find in the trees over points (shard, row, id, v)."""
+    shape = found_schema(large)
+    target = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, tree = None, [], None
@@ -152,14 +165,14 @@ def _visit(points: DataFrame, queries: DataFrame, shards: int, width: int, scale
                     tree, held = BallTree(*(np.concatenate([h[i] for h in held]) for i in (1, 2, 0))), []
                 if tree is None:
                     continue
-                floor = [-np.inf if x is None else x for x in floors.to_pylist()]
-                out = [(r, q, point, score) for r, q, best in zip(own[0].tolist(), own[1].tolist(), tree.search(own[2], own[0].tolist(), k, floor), strict=True) for score, point in best]
+                floor = _floors(floors).tolist()
+                out = [(r, q, point, Decimal(score) if large else score) for r, q, best in zip(own[0].tolist(), own[1].tolist(), tree.search(own[2], own[0].tolist(), k, floor), strict=True) for score, point in best]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=target)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
     blank = F.lit(None).cast("double").alias("floor")
     both = points.select("shard", F.lit(0).alias("asks"), "row", "id", "v", blank).unionByName(queries.select("shard", F.lit(1).alias("asks"), "row", "id", "v", "floor"))
-    return both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "asks").mapInArrow(giving_back(run), FOUND)
+    return both.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "asks").mapInArrow(giving_back(run), shape)
 
 
 def _near(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,10 +188,11 @@ def top_inner_products(df: DataFrame, is_query, k: int = 10, scale: float = 1024
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     given = df.where(F.col(id_col).isNotNull() & vector.isNotNull() & whole)
     rows = scratch.save(given.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
-    n, asking, width = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v"))).first()
+    n, asking, width, most = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not n or not asking:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, width)
+    large = width * min(scale * (most or 0.0) + 1, WIDEST) ** 2 >= 2.0**62
     size = max(1, min(SHARD, SHARD_BYTES // (8 * width)))
     chosen = rows.orderBy(F.xxhash64("row"), "row").select("v").limit(min(CELLS, -(-n // size))).toArrow()["v"].combine_chunks()
     centres = matrix(chosen, width, scale)
@@ -212,7 +226,7 @@ def top_inner_products(df: DataFrame, is_query, k: int = 10, scale: float = 1024
                 if wave == 1:
                     at, shard = np.arange(len(q)), best
                 else:
-                    floor = np.array([-np.inf if x is None else x for x in b.column(3).to_pylist()])
+                    floor = _floors(b.column(3))
                     at, shard = np.nonzero(np.repeat(bounds >= floor[:, None], pieces, axis=1))
                     at, shard = at[shard != best[at]], shard[shard != best[at]]
                 for i in range(0, len(at), 4096):
@@ -224,13 +238,15 @@ def top_inner_products(df: DataFrame, is_query, k: int = 10, scale: float = 1024
     asked = rows.where("asks").select("row", "id", "v")
     shards = int(start[-1])
     ahead = asked.withColumn("floor", F.lit(None).cast("double")).mapInArrow(aim(1), shape)
-    one = scratch.save(_visit(points.where(F.col("shard").isin([int(x) for x in start[:-1]])), ahead, len(cells), width, scale, k), "ahead")
+    one = scratch.save(_visit(points.where(F.col("shard").isin([int(x) for x in start[:-1]])), ahead, len(cells), width, scale, k, large), "ahead")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     kth = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
     rest = asked.join(kth, "row", "left").select("row", "id", "v", "floor").mapInArrow(aim(2), shape)
-    every = one.unionByName(_visit(points, rest, shards, width, scale, k))
+    every = one.unionByName(_visit(points, rest, shards, width, scale, k, large))
     ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    edge = (1 << 63) - 1
+    score = F.greatest(F.lit(-edge - 1).cast("decimal(38,0)"), F.least(F.lit(edge).cast("decimal(38,0)"), F.col("score"))).cast("long") if large else F.col("score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op5_topk(spark, sf_dir: str) -> DataFrame:

@@ -219,6 +219,19 @@ def test_few_cells_are_visited(spark, monkeypatch):
     assert visited[0] == 16 and visited[1] < 16 * 32 / 2
 
 
+def test_huge_scores_are_ranked_exactly(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 9)
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randrange(-(2**50), 2**50)) for _ in range(3)] if i % 3 else [2.0**45 + i, 2.0**45, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    expected = [(q, r, i, cut(s)) for q, r, i, s in brute_top(vectors)]
+    found = topk.top_inner_products(df, F.col("vec_id") == 0)
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    beyond = df.select("vec_id", F.transform("embedding", lambda x: x * 1e280).alias("embedding"))
+    assert topk.top_inner_products(beyond, F.col("vec_id") == 0).count() == 10
+
+
 def test_huge_components_are_exact():
     tree = topk.BallTree(np.array([1, 2]), np.array([[2.0**40, 1.0], [2.0**40, 0.0]]))
     assert list(tree.search(np.array([[2.0**20, 1.0]]), [0], 1, [-np.inf])) == [[(2**60 + 1, 1)]]
