@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is heavy that holds more than one of so many parts of the rows, so there are fewer heavy keys than parts; rows of a part at least.
 PARTS, LEAST = 1024, 64
+#: Rows that one task may well hold, so that no key of them is heavy.
+SMALL = 4096
 #: Bytes of keys up to which they are broadcast, counted before.
 FEW_BYTES = 16 << 20
 
@@ -27,6 +29,8 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: Column, total: in
     pieces, less than ``parts`` rows, are broadcast. Rows with a null key are
     spread too. No column may be named ``_pieces`` or ``_piece``.
     """
+    if total <= SMALL:
+        return many.join(one, key, how)
     parts = min(parts, total // LEAST + 1)
     sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("_pieces")).where(F.col("_pieces") > total / parts)
     heavy = F.broadcast(sizes.select(key, F.ceil(F.col("_pieces") * F.lit(parts / max(total, 1))).cast("int").alias("_pieces")))

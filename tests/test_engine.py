@@ -16,6 +16,7 @@ from factloom.functions import text as fn
 from factloom.operators import explore, kb, mapping, report, rules, stats
 from factloom.operators.refine import refine
 from factloom.operators.rows import letter_distance, table_rows
+from factloom.plans import skew
 from factloom.plans.scratch import Scratch, shared_folder
 from factloom.plans.skew import salted_join, sized
 from factloom.sources import pages as scan
@@ -176,7 +177,8 @@ def test_letter_distances_are_one(spark):
     assert all(r["d"] == letter_distance(r["a"], r["b"]) for r in df.select("a", "b", fn.letter_distance(F.col("a"), F.col("b")).alias("d")).collect())
 
 
-def test_running_totals(spark):
+def test_running_totals(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL", 0)
     rng = random.Random(2)
     ids = [rng.randrange(300) if i % 2 else 7 for i in range(2000)] + [10**15]
     rows = [(i, rng.randrange(5)) for i in ids]
@@ -189,7 +191,8 @@ def test_running_totals(spark):
     assert all(r["total"] == 2 * (r["page_id"] + 1) for r in stats.running_total(once, 30).collect())
 
 
-def test_entities_of_a_hot_text(spark):
+def test_entities_of_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL", 0)
     html = TABLE.format("S", "<tr><td>Yes</td><td>1</td></tr>" * 700 + "<tr><td>No</td><td>1</td></tr>" * 30)
     rows = table_rows(refine(scan.parse_tables(frame(spark, html))), drop_summaries=False)
     base = "http://kb.example.org/resource/"
@@ -215,7 +218,8 @@ def test_blocks_of_many_objects(spark):
     assert sorted(re.findall(r"<(o\d+)>", "".join(blocks))) == sorted(f"o{i}" for i in range(250))
 
 
-def test_hot_keys_are_dealt(spark):
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL", 0)
     many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(900)] + [(None, i) for i in range(300)], "k long, x long")
     one = spark.createDataFrame([(1, "a"), (3, "b"), (4, "c"), (4, "d")], "k long, y string")
     for how in ("inner", "left"):
