@@ -42,10 +42,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens, with their token ids."""
+    """The pieces of all documents in sequences of at most 2048 tokens, with their token ids.
+
+    The workers of the stages before are still there, so that this one keeps less at hand.
+    """
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), store=packing.LEAN).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", good_quality), ("near_dedup", near_dedup), ("secrets", without_secrets), ("packing", packed)]

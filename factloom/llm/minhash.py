@@ -295,3 +295,24 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on four-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+
+
+#: All pairs that share a shingle, and what is reachable over those alike: for small tables, as groups are squared.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS g FROM words
+), each AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(node, root) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT e.v, r.root FROM reach r JOIN edges e ON e.u = r.node
+), least AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON node = doc_id
+"""

@@ -33,8 +33,10 @@ from factloom.plans.arrow import giving_back, no_cycles, slices
 from factloom.llm.words import WordTokens
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 128, 1
-#: Examples that wait for a place at most, and at which filling stops; bytes of text that are encoded at once.
-OPEN, LOW, PART = 768, 384, 2 << 20
+#: Examples that wait for a place at most, and at which filling stops.
+OPEN, LOW = 768, 384
+#: Words that a task keeps the ids of, and bytes of text that it encodes at once: as fast as can be, and in half the memory.
+FAST, LEAN = (600_000, 8 << 20), (200_000, 2 << 20)
 
 
 class Packer:
@@ -164,11 +166,13 @@ def pack(
     max_loss: int | None = None,
     end_id: int = END_ID,
     keep_ids: bool = True,
+    store: tuple[int, int] = FAST,
 ) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, piece_ids.
 
     ``loss_col``: a boolean for the row, or an array with one for each token, the
-    end token included; ``keep_ids`` False leaves piece_ids null.
+    end token included; ``keep_ids`` False leaves piece_ids null; ``store``: how
+    much a task keeps at hand, with the same result (``FAST``, ``LEAN``).
     """
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *PIECES])
     target = to_arrow_schema(schema)
@@ -176,7 +180,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(vocabulary)
+        tokens = WordTokens(vocabulary, store[0])
         packer = Packer(max_tokens, max_segments, most_loss, first=TaskContext.get().partitionId() << 33)
 
         def placed() -> Iterator[pa.RecordBatch]:
@@ -200,7 +204,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, target)), pieces], schema=target)  # noqa: B905
 
         for whole in batches:
-            for batch in slices(whole, PART):
+            for batch in slices(whole, store[1]):
                 ids, texts, *loss = (c.to_pylist() for c in batch.columns)
                 with no_cycles():
                     encoded = [x + end for x in tokens.encode([t or "" for t in texts])]

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": minhash.OP1_SQL,
     "op5_topk": topk.OP5_SQL,
     "op6_urlfilter": urlfilter.OP6_SQL,
     "op8_licenses": licenses.OP8_SQL,

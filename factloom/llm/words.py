@@ -17,19 +17,19 @@ import re
 
 import numpy as np
 
-#: Parts kept at most; beyond it the store starts anew. Words that are encoded in one row.
-KEPT, ROW = 200_000, 512
+#: Parts kept at most, unless told otherwise; beyond it the store starts anew. Words that are encoded in one row.
+KEPT, ROW = 600_000, 512
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 class WordTokens:
     """``encode`` gives the ids of texts as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)  # of the tokens that end a word
         self.ends[[i for x, i in names.items() if x.endswith("</w>")]] = True
@@ -80,9 +80,9 @@ class WordTokens:
         split = [x.replace("\n", " ").split(" ") for x in texts]
         new = set().union(*split) - self.parts.keys()
         if new:
-            if len(self.parts) + len(new) > KEPT:
+            if len(self.parts) + len(new) > self.kept:
                 self.parts = {"": b""}
-                self.words = {"": b""} if len(self.words) > KEPT else self.words
+                self.words = {"": b""} if len(self.words) > self.kept else self.words
                 new = set().union(*split) - {""}
             self._learn(list(new))
         get = self.parts.__getitem__
