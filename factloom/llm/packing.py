@@ -35,8 +35,8 @@ from factloom.llm.words import WordTokens
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 2048, 128, 1
 #: Examples that wait for a place at most, and at which filling stops.
 OPEN, LOW = 768, 384
-#: Words that a task keeps the ids of, and bytes of text that it encodes at once: as fast as can be, and in half the memory.
-FAST, LEAN = (600_000, 8 << 20), (200_000, 2 << 20)
+#: Words that a task keeps the ids of, and bytes of text that it encodes at once: as fast as can be, and in little memory.
+FAST, LEAN = (600_000, 8 << 20), (100_000, 1 << 20)
 
 
 class Packer:
