@@ -265,7 +265,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     scratch.clear(sketches, classes, labels)  # all that the result reads
     of_class = classes.join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    found = salted_join(sketches.select("id", "n", "set_hash"), of_class, "set_hash", F.col("id"), sketches.count(), "left")
+    found = salted_join(sketches.select("id", "n", "set_hash"), of_class, "set_hash", F.monotonically_increasing_id(), sketches.count(), "left")
     return found.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
