@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from factloom.llm import minhash, packing, quality, queries, sharding, topk, urlfilter
+from factloom.llm import minhash, packing, quality, queries, sharding, topk, urlfilter, words
 from factloom.plans import components, skew
 from factloom.plans.scratch import Scratch, shared_folder
 
@@ -524,6 +524,22 @@ def test_loss_of_conversations(spark, sf_dir):
     assert all(len(ps) <= 16 and sum(p["length"] for p in ps if role[p["doc_id"]] == "assistant") <= 1024 for ps in sequences.values())
 
 
+def test_words_that_do_not_come_apart():
+    """A row whose word ends don't fit its words, by number or by bytes, is encoded word by word."""
+    tool = words.WordTokens(WORDS)
+    ids = lambda *given: np.frombuffer(b"".join(tool._plain(list(given))), "<u4")
+    right = tool._plain(["abc", "xy", "d"])
+    for found in (ids("abc", "x y", "d"), ids("abcx", "y", "d"), ids("ab", "cxy", "d"), ids("abc", "xy"), ids("abc", "xy", "d")[:-1]):
+        assert tool._apart(["abc", "xy", "d"], found) == right
+    assert tool._apart(["abc", "xy", "d"], ids("abc", "xy", "d")) == right
+
+
+def test_small_stores_give_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = [sorted(map(str, packing.pack(docs, WORDS, store=store).collect())) for store in (packing.FAST, packing.LEAN, (50, 1000))]
+    assert pieces[0] == pieces[1] == pieces[2]
+
+
 def next_fit(examples, limits):
     """Sequences that the plain rule takes: pieces in order, a new sequence where a limit would break."""
     count, used = 1, [0, 0, 0]
