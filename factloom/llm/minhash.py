@@ -193,7 +193,7 @@ def _by_rarest(active: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     small = probe.where(F.col("at") <= F.col("n") - least(low))
     small = small.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "bits", "component")))
     need = F.ceil((F.col("n") + F.col("n_a")) * F.lit(percent / (100 + percent)) - 1e-6)
-    room = 1 + F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) - 1 >= need
+    room = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) >= need
     once = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("node_a") < F.col("node")))
     met = salted_join(probe, small, "key", F.col("node"), probe.count())
     pairs = met.where(once & (F.col("component") != F.col("component_a")) & room & _near(percent))
