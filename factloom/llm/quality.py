@@ -182,7 +182,7 @@ def smallest(df: DataFrame, n: int, sample: int) -> list:
 def learn(described: DataFrame, marks: DataFrame, cut: float, sample: int) -> Model | None:
     """The model of the rows of ``described`` that ``marks`` (id, y) label; None without labels of both kinds."""
     scratch = Scratch(described.sparkSession, "quality")
-    used = scratch.save(described.where(F.col("id").isNotNull()).join(marks, "id"), "used")
+    used = scratch.save(skew.salted_join(described.where(F.col("id").isNotNull()), marks, "id", F.monotonically_increasing_id(), described.count()), "used")
     known = smallest(used.withColumn("h", F.xxhash64("id")), used.count(), sample)
     y = np.array([r["y"] for r in known])
     if len(set(y.tolist())) < 2:
