@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, licenses, media, minhash, ngramjoin, packing, quality, secrets, sharding, topk, urlfilter, whitening
+from factloom.llm import bpe, licenses, media, minhash, ngramjoin, packing, quality, repair, secrets, sharding, topk, urlfilter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
+    "op11_repair": repair.op11_repair,
     "op12_whitening": whitening.op12_whitening,
     "op13_ngram_join": ngramjoin.op13_ngram_join,
     "packing_turns": packing.packing_turns,
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_topk": topk.OP5_SQL,
     "op6_urlfilter": urlfilter.OP6_SQL,
     "op8_licenses": licenses.OP8_SQL,
+    "op11_repair": repair.OP11_SQL,
     "op13_ngram_join": ngramjoin.OP13_SQL,
 }
