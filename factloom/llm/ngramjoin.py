@@ -11,8 +11,9 @@ orders are
    n - t + k that some other node has among its own first ones;
 2. by hash, falling, the same among those kept; who meets here is compared to a
    centre, so that a group of near copies is one component before pairs are made;
-3. the rarest first among those kept: pairs of different components that share a
-   token among the first n - t + 1, at places that leave room for the rest.
+3. the rarest first among those that still share as much with another component:
+   pairs of different components that share a token among the first n - t + 1, at
+   places that leave room for the rest.
 
 A pair is a candidate if it passes all three; the first two are tested on the
 sorted sets at hand, as slices from either end, before the sets are intersected
@@ -101,22 +102,31 @@ def heads(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def _common(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (node, n, token): the tokens of rows (node, n, prefix) that more than one prefix has.
+    """The rows of (prefix, and others) for each token that more than one prefix has, as token in place of the prefix.
 
     A token of more than one part in 1024 of all is found by a broadcast of fewer than 1024 such.
     """
     total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    posted = prefixes.select("node", "n", F.explode("prefix").alias("token"))
+    posted = prefixes.withColumn("token", F.explode("prefix")).drop("prefix")
     counts = scratch.save(posted.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "counts")
     heavy = F.col("f") > F.lit(total / 1024)
     marked = posted.join(F.broadcast(counts.where(heavy).select("token", F.lit(True).alias("hot"))), "token", "left")
     rest = marked.where("hot is null").join(counts.where(~heavy).select("token"), "token", "left_semi")
-    return marked.where("hot").unionByName(rest).select("node", "n", "token")
+    return marked.where("hot").unionByName(rest).drop("hot")
 
 
-def _keeping(common: DataFrame, percent: int) -> DataFrame:
-    """The nodes of which enough tokens are common."""
-    return common.groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.min("n").alias("n")).where(F.col("hits") >= _shared(F.col("n"), percent)).select("node")
+def _keeping(common: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The nodes of which enough tokens are common; ``sizes``: (node, n)."""
+    hits = common.groupBy("node").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "node")
+    return hits.where(F.col("hits") >= _shared(F.col("n"), percent)).select("node").distinct()
+
+
+def _still_apart(common: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The nodes that have enough tokens in common with nodes of other components; of rows (node, n, token)."""
+    own = common.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    met = salted_join(common, mixed, "token", F.col("node"), common.count())
+    return _keeping(met.select("node", "token"), met.groupBy("node").agg(F.min("n").alias("n")), percent)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -152,9 +162,10 @@ def _by_rarest(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratc
     Tokens of one node alone come before all others, and are no keys. Shared at
     place i of x and j of y, what follows must suffice for the overlap.
     """
-    each = scratch.save(sets.select("node", "n", "which", F.explode("shingles").alias("token")), "tokens")
+    whole = [c for c in ("node", "n", "which") if c in sets.columns]
+    each = scratch.save(sets.select(*whole, F.explode("shingles").alias("token")), "tokens")
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ranked = salted_join(each, counts, "token", F.col("node"), each.count()).groupBy("node", "n", "which").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("x"))
+    ranked = salted_join(each, counts, "token", F.col("node"), each.count()).groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("x"))
     lone = F.col("n") - F.size("x")
     first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - lone).cast("int")
     places = ranked.select("node", "n", lone.alias("lone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "t"))
@@ -193,23 +204,28 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.distinct() if repeated else nodes
 
     # the first order
-    kept = scratch.save(_keeping(_common(nodes, scratch), percent), "kept")
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("n")) if repeated else nodes.select("node", "n")
+    kept = scratch.save(_keeping(_common(nodes.select("node", "prefix"), scratch), sizes, percent), "kept")
     wanted = sized(scratch.save(kept.select(F.col("node").alias("id")), "wanted"))
-    sets = shingle_sets(docs.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), shingle).where("n > 0")
-    sets = scratch.save(sets.distinct() if repeated else sets, "sets")
+    first = shingle_sets(docs.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), shingle).where("n > 0")
+    first = scratch.save(first.distinct() if repeated else first.drop("which"), "sets")
 
     # the second, among those kept by the first
     long = F.least(_length(F.col("n"), percent), F.col("n").cast("int"))
-    common = scratch.save(_common(sets.select("node", "n", F.slice("shingles", -long, long).alias("prefix")), scratch), "common")
-    kept = scratch.save(_keeping(common, percent), "kept")
-    sets = scratch.save(sets.join(sized(kept), "node", "left_semi"), "sets")
+    common = scratch.save(_common(first.select("node", "n", F.slice("shingles", -long, long).alias("prefix")), scratch), "common")
+    sizes = first.groupBy("node").agg(F.min("n").alias("n")) if repeated else first.select("node", "n")
+    kept = scratch.save(_keeping(common, sizes, percent), "kept")
+    sets = scratch.save(first.join(sized(kept), "node", "left_semi"), "sets")
+    scratch.drop(first)
     common = scratch.save(common.join(sized(kept), "node", "left_semi"), "common")
     links = _confirmed(_to_centres(common, percent), sets, percent, scratch)
     by_id = with_set.join(again.where("lo <> hi").select("id"), "id", "left_semi").join(classes, "set_hash").where("node <> id").select(F.col("id").alias("u"), F.col("node").alias("v"))
     labels = scratch.save(connected_components(links.unionByName(by_id), scratch), "labels")
 
     # the third, of what is still apart
-    links = _confirmed(_by_rarest(sets, labels, percent, scratch), sets, percent, scratch)
+    apart = scratch.save(_still_apart(common, labels, percent), "apart")
+    rest = sets.join(sized(apart), "node", "left_semi")
+    links = _confirmed(_by_rarest(rest, labels, percent, scratch), sets, percent, scratch)
     if not links.isEmpty():
         labels = scratch.save(merge_components(labels, links, scratch), "labels")
 
