@@ -29,6 +29,8 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of compressed pixels in one IDAT chunk.
 CHUNK = 1 << 16
+#: Bytes that a packed byte stands for at most: two bits for a match of 258.
+DENSEST = 1032
 #: Side of the block means that are transformed, and of the low-frequency corner that is kept.
 GRID, CORNER = 32, 8
 
@@ -145,13 +147,18 @@ def decode_png(stored: bytes) -> np.ndarray:
         at += 12 + n
     if size is None or not ended:
         raise ValueError("a chunk is missing")
-    wanted = size[0] * (size[1] + 1)
+    wanted, packed = size[0] * (size[1] + 1), b"".join(parts)
+    if wanted > DENSEST * len(packed):
+        raise ValueError("more pixels than the file can hold")
+    stream = zlib.decompressobj()
     try:  # no more is unpacked than the header says
-        raw = zlib.decompressobj().decompress(b"".join(parts), wanted + 1)
+        raw = stream.decompress(packed, wanted + 1)
     except zlib.error as e:
         raise ValueError(f"pixels can't be unpacked: {e}") from e
     if len(raw) != wanted:
         raise ValueError("wrong number of pixels")
+    if not stream.eof or stream.unused_data:
+        raise ValueError("the pixels don't end where their stream does")
     lines = np.frombuffer(raw, np.uint8).reshape(size[0], size[1] + 1)
     return unfilter(lines[:, 0], lines[:, 1:])
 

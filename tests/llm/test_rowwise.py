@@ -95,16 +95,44 @@ def test_media_that_cannot_be_read(spark):
     huge = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes(50_000_000))) + media._chunk(b"IEND", b"")
     odd = _png(np.zeros((1, 7), np.uint8), [4])
     bad_filter = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(bytes([9] + [0] * 64))) + media._chunk(b"IEND", b"")
-    files = [good, None, b"", b"no image", good[:-1], good[:30] + b"x" + good[31:], huge, odd, bad_filter, good.replace(media._chunk(b"IHDR", good[16:29]), media._chunk(b"IHDR", good[16:20]))]
+    vast = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 4294967295, 4294967295, 8, 0, 0, 0, 0)) + good[33:]
+    packed = zlib.compress(bytes(65))
+    cut, more = (media.SIGNATURE + good[8:33] + media._chunk(b"IDAT", x) + media._chunk(b"IEND", b"") for x in (packed[:-4], packed + b"more"))
+    files = [good, None, b"", b"no image", good[:-1], good[:30] + b"x" + good[31:], huge, odd, bad_filter, good.replace(media._chunk(b"IHDR", good[16:29]), media._chunk(b"IHDR", good[16:20])), vast, cut, more]
     df = spark.createDataFrame([(i, 3, x, "clash") for i, x in enumerate(files)], "id int, n_bytes long, media binary, error string")
     rows = {r["id"]: r for r in media.load(df).collect()}
     assert rows[0]["payload"] == media.pad(b"abc") and rows[0]["error"] is None
     assert rows[7]["payload"] == bytes(7) and len(rows[7]["feature"]) == 16
-    for i in (1, 2, 3, 4, 5, 6, 8, 9):
+    for i in (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12):
         assert rows[i]["payload"] is None and rows[i]["feature"] is None and rows[i]["error"] and rows[i]["n_bytes"] == 3
         assert (rows[i]["media_bytes"], rows[i]["media_sha256"]) == ((None, None) if i == 1 else (len(files[i]), hashlib.sha256(files[i]).hexdigest()))
 
 
+def plain_hash(image):
+    """Means of 32 x 32 blocks, the cosine transform by its sum, the 8 x 8 lowest frequencies against their median."""
+    height, width = image.shape
+    blocks = [[image[min(y * height // 32, height - 1) : max((y + 1) * height // 32, min(y * height // 32, height - 1) + 1), x * width // 32 : (x + 1) * width // 32].mean() for x in range(32)] for y in range(32)]
+    wave = [[np.cos(np.pi * (2 * x + 1) * k / 64) * np.sqrt((1 if k else 0.5) / 16) for x in range(32)] for k in range(8)]
+    low = [sum(wave[u][y] * wave[v][x] * blocks[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    rest = sorted(low[1:])
+    bits = "0" + "".join("1" if round(c, 6) > round(rest[31], 6) else "0" for c in low[1:])
+    return f"{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("height", [1, 2, 31, 32, 33, 70])
+def test_cosine_hash_by_its_sum(height):
+    rng = np.random.default_rng(height)
+    for width in (64, 96):
+        image = rng.integers(0, 256, (height, width), dtype=np.uint8)
+        assert media.cosine_hash(image) == plain_hash(image)
+
+
+def test_largest_pixels_are_unpacked():
+    """A file packed as densely as can be is no damaged one."""
+    payload = bytes(64 * 300_000)
+    assert media.decode_png(media.encode_png(payload, 9)).tobytes() == payload
+
+
 def test_op2(spark, sf_dir):
     rows = {r["doc_id"]: r for r in media.op2_media(spark, sf_dir).collect()}
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():

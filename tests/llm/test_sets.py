@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -494,6 +495,31 @@ def test_packing_edge_cases(spark):
     assert packing.pack(frame(spark, given).limit(0), WORDS).count() == 0
 
 
+@pytest.mark.parametrize("limits", [(100, 4, 30), (64, 64, 64), (50, 3, 7)])
+def test_the_largest_dot_product_is_chosen(limits):
+    """Whatever is taken fits if anything does, and no other that does has a larger dot product with the room left."""
+    taken = []
+
+    class Watched(packing.Packer):
+        def _take(self, i):
+            room = [Fraction(int(m) - u, int(m)) for m, u in zip(self.limits, self.used, strict=True)]
+            share = [[Fraction(int(d), int(m)) for d, m in zip((e - s, 1, int(b[e] - b[s])), self.limits, strict=True)] for _, s, e, b in self.waiting]
+            fits = [all(d <= r for d, r in zip(x, room, strict=True)) for x in share]
+            score = [sum(d * r for d, r in zip(x, room, strict=True)) for x in share]
+            best = max(x for x, ok in zip(score, fits, strict=True) if ok or not any(fits))
+            taken.append(fits[i] or not any(fits))
+            assert taken[-1] and float(best - score[i]) < 1e-12
+            return super()._take(i)
+
+    rng = random.Random(sum(limits))
+    packer = Watched(*limits)
+    for i in range(1200):
+        n = rng.randrange(1, 120)
+        packer.add(i, n, np.concatenate([[0], np.cumsum([rng.random() < 0.3 for _ in range(n)])]))
+    packer.finish()
+    assert len(taken) > 1000
+
+
 @pytest.mark.parametrize("limits", [(100, 4, 30), (64, 64, 64), (100, 1, 100), (50, 3, 7)])
 def test_all_limits_hold(limits):
     rng = random.Random(sum(limits))
