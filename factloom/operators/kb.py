@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import last_segment, segment_after
+from factloom.operators.patterns import TYPE, match_patterns
 
 LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
-TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-#: Values that the pattern language has of itself. Fixed values.
-_PREFIXES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
-_TOKEN = re.compile(
-    r"""\s*(?:
-      \?(?P<variable>\w+)
-    | <(?P<address>[^>]*)>
-    | "(?P<text>(?:[^"\\]|\\.)*)"(?:@(?P<lang>[\w-]+)|\^\^(?:<[^>]*>|\w*:\w+))?
-    | (?P<number>[+-]?\d+(?:\.\d+)?)
-    | (?P<prefix>\w*):(?P<local>[\w.-]*\w)
-    | (?P<word>\b(?:a|OPTIONAL|UNION)\b)
-    | (?P<mark>[.;,{}])
-    )""",
-    re.X,
-)
-_FILTER = re.compile(r"FILTER\s*\(\s*\?(\w+)\s*(=|!=|<=|>=|<|>)\s*(<[^>]*>|\"[^\"]*\"|-?\d+(?:\.\d+)?)\s*\)", re.I)
-_PREFIX = re.compile(r"PREFIX\s+(\w*):\s*<([^>]*)>", re.I)
 
 
 def of_class(triples: DataFrame, class_iri: str) -> DataFrame:
@@ -35,152 +17,6 @@ def of_class(triples: DataFrame, class_iri: str) -> DataFrame:
     return triples.where(F.col("o") == class_iri).select("s").distinct()
 
 
-class _Reader:
-    """A graph pattern, as a list of triple patterns, groups, options and unions."""
-
-    def __init__(self, text: str) -> None:
-        known = _PREFIXES | dict(_PREFIX.findall(text))
-        text = _FILTER.sub(" . ", _PREFIX.sub(" ", text)).strip()
-        self.tokens: list[tuple[str, object]] = []
-        at = 0
-        while at < len(text):
-            m = _TOKEN.match(text, at)
-            if m is None:
-                raise ValueError(f"can't be read: {text[at : at + 40]!r}")
-            at = m.end()
-            if m["variable"]:
-                self.tokens.append(("term", (m["variable"], None, None)))
-            elif m["prefix"] is not None:
-                if m["prefix"] not in known:
-                    raise ValueError(f"no prefix {m['prefix']!r}")
-                self.tokens.append(("term", (None, known[m["prefix"]] + m["local"], None)))
-            elif m["word"] == "a":
-                self.tokens.append(("term", (None, TYPE, None)))
-            elif m["word"] or m["mark"]:
-                self.tokens.append((m["word"] or m["mark"], None))
-            else:
-                value = next(m[k] for k in ("address", "text", "number") if m[k] is not None)
-                self.tokens.append(("term", (None, value, m["lang"])))
-        self.at = 0
-
-    def peek(self) -> str:
-        return self.tokens[self.at][0] if self.at < len(self.tokens) else ""
-
-    def take(self, *kinds: str):
-        if self.peek() not in kinds:
-            raise ValueError(f"expected {' or '.join(kinds)}, found {self.peek() or 'the end'}")
-        self.at += 1
-        return self.tokens[self.at - 1][1]
-
-    def group(self, end: str) -> list[tuple]:
-        out: list[tuple] = []
-        while self.peek() != end:
-            kind = self.peek()
-            if kind == ".":
-                self.take(".")
-            elif kind == "OPTIONAL":
-                self.take("OPTIONAL")
-                self.take("{")
-                out.append(("option", self.group("}")))
-                self.take("}")
-            elif kind == "{":
-                parts = []
-                while not parts or self.peek() == "UNION":
-                    if parts:
-                        self.take("UNION")
-                    self.take("{")
-                    parts.append(self.group("}"))
-                    self.take("}")
-                out += parts[0] if len(parts) == 1 else [("union", parts)]
-            else:
-                out += self.triples()
-        return out
-
-    def triples(self) -> list[tuple]:
-        """Patterns of one subject: ; goes on with another property, a comma with another object."""
-        subject, out = self.take("term"), []
-        while True:
-            verb = self.take("term")
-            out.append(("triple", (subject, verb, self.take("term"))))
-            while self.peek() == ",":
-                self.take(",")
-                out.append(("triple", (subject, verb, self.take("term"))))
-            while self.peek() == ";":
-                self.take(";")
-            if self.peek() != "term":
-                return out
-            if self.tokens[self.at - 1][0] != ";":
-                raise ValueError("a pattern has three terms")
-
-
-def _triple(triples: DataFrame, pattern: tuple) -> DataFrame:
-    """The bindings of one triple pattern."""
-    frame, named = triples, {}
-    for column, (variable, constant, lang) in zip(("s", "p", "o"), pattern, strict=True):
-        if variable is None:
-            frame = frame.where(F.col(column) == constant)
-            if lang is not None:
-                frame = frame.where(F.col("lang") == lang) if "lang" in triples.columns else frame.limit(0)
-        elif variable in named:
-            frame = frame.where(F.col(column) == F.col(named[variable]))
-        else:
-            named[variable] = column
-    return frame.select(*(F.col(c).alias(v) for v, c in named.items()))
-
-
-def _solve(triples: DataFrame, group: list[tuple]) -> DataFrame:
-    """The bindings of a group: its patterns in an order in which each shares a variable with those before it, options last."""
-    parts = []
-    for kind, what in group:
-        if kind == "triple":
-            parts.append(_triple(triples, what))
-        elif kind == "union":
-            either = [_solve(triples, g) for g in what]
-            whole = either[0]
-            for other in either[1:]:
-                whole = whole.unionByName(other, allowMissingColumns=True)
-            parts.append(whole)
-    if not parts:
-        raise ValueError("a group has a pattern")
-    out = parts.pop(0)
-    while parts:
-        i = next((i for i, p in enumerate(parts) if set(p.columns) & set(out.columns)), None)
-        if i is None:
-            raise ValueError("a pattern shares no variable with the others")
-        found = parts.pop(i)
-        out = out.join(found, [c for c in found.columns if c in out.columns])
-    for kind, what in group:
-        if kind == "option":
-            found = _solve(triples, what)
-            shared = [c for c in found.columns if c in out.columns]
-            if not shared:
-                raise ValueError("an option shares no variable with the others")
-            out = out.join(found, shared, "left")
-    return out
-
-
-def match_patterns(triples: DataFrame, where: str) -> DataFrame:
-    """The bindings of a graph pattern: triple patterns that share variables, and FILTER comparisons.
-
-    Prefixed names, ``;`` and ``,``, OPTIONAL and UNION are read; a language tag
-    asks for the triple's ``lang``. Each pattern is a filtered scan; patterns are
-    joined on shared variables; one that shares none can't be joined, and is
-    refused. FILTERs hold for the whole.
-    """
-    reader = _Reader(where)
-    out = _solve(triples, reader.group(""))
-    for variable, sign, value in _FILTER.findall(where):
-        if variable not in out.columns:
-            raise ValueError(f"no variable {variable!r}")
-        column = F.col(variable)
-        if value[0] in '<"':
-            other: Column = F.lit(value[1:-1])
-        else:
-            column, other = column.try_cast("double"), F.lit(float(value))
-        out = out.where({"=": column == other, "!=": column != other, "<": column < other, "<=": column <= other, ">": column > other, ">=": column >= other}[sign])
-    return out
-
-
 def count_resources(subjects: DataFrame) -> DataFrame:
     """The number of distinct subjects, as ``res_num``."""
     return subjects.agg(F.countDistinct("s").alias("res_num"))

@@ -6,10 +6,12 @@ pages, run the engine over these, and the SQL computes the same from the rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom import run
 from factloom.functions import text as fn
@@ -602,6 +604,81 @@ def pattern_options(spark, sf_dir):
     return kb.match_patterns(store, where).select("who", "state", "priority")
 
 
+def property_of(df: DataFrame, subject, name: str, value) -> DataFrame:
+    """A property of each row as a triple."""
+    return df.select(F.concat(F.lit(BASE), subject).alias("s"), F.lit(ONTOLOGY + name).alias("p"), value.cast("string").alias("o"))
+
+
+def order_store(spark, sf_dir) -> DataFrame:
+    """Orders and their customers as triples: by, status, priority, part of each line, the customer's next order; segment, name and, of some, state."""
+    c, o, lines = (table(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
+    one = lambda name: F.concat(F.lit("C"), F.col(name).cast("string"))
+    order = lambda name: F.concat(F.lit("O"), F.col(name).cast("string"))
+    state = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") > 9000, "rich")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    every = [
+        property_of(c, one("c_custkey"), "name", F.col("c_name")),
+        property_of(c, one("c_custkey"), "segment", F.col("c_mktsegment")),
+        property_of(c.where(state.isNotNull()), one("c_custkey"), "state", state),
+        property_of(o, order("o_orderkey"), "by", F.concat(F.lit(BASE), one("o_custkey"))),
+        property_of(o, order("o_orderkey"), "status", F.col("o_orderstatus")),
+        property_of(o, order("o_orderkey"), "priority", F.col("o_orderpriority")),
+        property_of(o.withColumn("after", after).where("after is not null"), order("o_orderkey"), "next", F.concat(F.lit(BASE), order("after"))),
+        property_of(lines, order("l_orderkey"), "part", F.concat(F.lit("P"), F.col("l_partkey").cast("string"))),
+    ]
+    return functools.reduce(DataFrame.unionByName, every)
+
+
+@query(f"""
+WITH c AS (SELECT *, CASE WHEN c_acctbal < 0 THEN 'debt' END AS state FROM customer)
+SELECT c_name AS who, state, '{BASE}O' || o_orderkey AS o, o_orderpriority AS priority FROM c LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority > '2' WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT c_name, state, '{BASE}O' || o_orderkey, NULL FROM c JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'
+""")
+def pattern_unbound(spark, sf_dir):
+    """Filters that decide on an option, a variable that one branch of a union leaves unbound, and an option that meets it."""
+    where = f"""PREFIX k: <{ONTOLOGY}> ?c k:name ?who OPTIONAL {{ ?c k:state ?state . FILTER(?state != "rich") }}
+    {{ ?c k:segment "BUILDING" }} UNION {{ ?o k:by ?c ; k:priority "1-URGENT" }} OPTIONAL {{ ?o k:by ?c ; k:priority ?priority FILTER(?priority > "2") }}"""
+    return kb.match_patterns(order_store(spark, sf_dir), where).select("who", "state", "o", "priority")
+
+
+@query("""
+SELECT c_name AS who FROM customer WHERE c_acctbal BETWEEN 0 AND 9000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority >= '4')
+""")
+def pattern_excluded(spark, sf_dir):
+    """What a pattern excludes, what must not exist, and what must."""
+    where = f"""PREFIX k: <{ONTOLOGY}> ?c k:name ?who MINUS {{ ?c k:state ?state }} FILTER NOT EXISTS {{ ?o k:by ?c . ?o k:priority "1-URGENT" }}
+    FILTER EXISTS {{ ?o k:by ?c ; k:status ?status ; k:priority ?priority FILTER(?status = "F" || ?priority >= "4") }}"""
+    return kb.match_patterns(order_store(spark, sf_dir), where).select("who")
+
+
+@query(f"""
+SELECT '{BASE}O' || o_orderkey AS o, '{BASE}C' || o_custkey AS c, o_orderstatus AS status, o_orderpriority AS priority, 'P' || l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'
+""")
+def star_properties(spark, sf_dir):
+    """Properties of one subject at once, one of which may have many values."""
+    where = f"""PREFIX k: <{ONTOLOGY}> ?o k:by ?c ; k:status ?status ; k:priority ?priority ; k:part ?part . FILTER(?status != "P")"""
+    return kb.match_patterns(order_store(spark, sf_dir), where).select("o", "c", "status", "priority", "part")
+
+
+@query(f"""
+SELECT '{BASE}O' || a.o_orderkey AS a, '{BASE}O' || b.o_orderkey AS b, b.o_orderstatus AS status FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+""")
+def path_closure(spark, sf_dir):
+    """All later orders of a customer, by as many steps as it takes."""
+    return kb.match_patterns(order_store(spark, sf_dir), f"PREFIX k: <{ONTOLOGY}> ?a k:next+ ?b . ?b k:status ?status").select("a", "b", "status")
+
+
+@query("""
+SELECT a.c_name AS one, b.c_name AS other FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') x
+JOIN (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P') y ON x.l_partkey = y.l_partkey JOIN customer a ON a.c_custkey = x.o_custkey JOIN customer b ON b.c_custkey = y.o_custkey
+WHERE a.c_name < b.c_name GROUP BY 1, 2
+""")
+def path_sequence(spark, sf_dir):
+    """Customers whose orders under way have a part in common: a way there and back along inverse steps."""
+    where = f"""PREFIX k: <{ONTOLOGY}> ?o k:status "P" ; k:part ?part ; k:by/k:name ?one . ?part ^k:part ?p . ?p k:status "P" ; k:by/k:name ?other . FILTER(?one < ?other)"""
+    return kb.match_patterns(order_store(spark, sf_dir), where).select("one", "other").distinct()
+
+
 @query("""
 SELECT t.topic, count(*) AS n FROM customer, (VALUES ('soccer', 0), ('act', 1), ('writer', 2), ('dir', 3)) t(topic, k) WHERE c_custkey % 4 = t.k GROUP BY 1
 """)

@@ -137,7 +137,9 @@ def test_patterns_in_full(spark):
     assert found("?s a k:K ; k:q ?q", "s", "q") == [("http://k/a", "5"), ("http://k/b", "7")]
     assert found('?s k:p "uno", "one" ; a :K .', "s") == [("http://k/a",)]
     assert found('?s k:p "one"@en', "s") == [("http://k/a",)] and found('?s k:p "one"@it', "s") == []
-    assert found("{ ?s a k:K OPTIONAL { ?s k:p ?x . FILTER(?q > 0) } . ?s k:q ?q }", "s", "x") == [("http://k/a", "one"), ("http://k/a", "uno"), ("http://k/b", None)]
+    assert found("{ ?s a k:K . ?s k:q ?q OPTIONAL { ?s k:p ?x . FILTER(?q > 0) } }", "s", "x") == [("http://k/a", "one"), ("http://k/a", "uno"), ("http://k/b", None)]
+    # an option's filter sees what stands before the option, and not what comes after it
+    assert found("{ ?s a k:K OPTIONAL { ?s k:p ?x . FILTER(?q > 0) } . ?s k:q ?q }", "s", "x") == [("http://k/a", None), ("http://k/b", None)]
     assert found("?s a k:K . { ?s k:p ?x } UNION { ?s rdfs:label ?x }", "s", "x") == [("http://k/a", "one"), ("http://k/a", "uno"), ("http://k/b", "bee")]
     assert found("?s k:q 7 ; a ?c FILTER(?c = <http://k/K>)", "s", "c") == [("http://k/b", "http://k/K")]
     for bad in ("?s no:p ?o", "?s a", "?s a k:K OPTIONAL { ?x k:q ?y }", "OPTIONAL { ?s a k:K }", "{ ?s a k:K", "?s a k:K ?p", "?s a k:K FILTER(?z > 1)", "{ ?s a k:K } UNION ?x"):
