@@ -9,11 +9,12 @@ orders are
 
 1. by hash, rising: nodes are kept with at least k tokens among their first
    n - t + k that some other node has among its own first ones;
-2. by hash, falling, the same among those kept; who meets here is compared to a
-   centre, so that a group of near copies is one component before pairs are made;
+2. by hash, falling, with a larger k, the same among those kept; who meets here is
+   compared to a centre, so that a group of near copies is one component before
+   pairs are made;
 3. the rarest first among those that still share as much with another component:
    pairs of different components that share a token among the first n - t + 1, at
-   places that leave room for the rest.
+   places that leave room for the rest, and whose bitmaps don't differ too much.
 
 A pair is a candidate if it passes all three; the first two are tested on the
 sorted sets at hand, as slices from either end, before the sets are intersected
@@ -42,14 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.minhash import Sketcher, shingle_sets
+from factloom.llm.minhash import WORDS, Sketcher, _near
 from factloom.plans.arrow import map_rows
 from factloom.plans.components import connected_components, merge_components
 from factloom.plans.scratch import Scratch
 from factloom.plans.skew import salted_join, sized
 
-#: Tokens looked at beyond the shortest prefix, as a share of it: the first two orders ask for as many more in common.
-MORE = 0.15
+#: Tokens looked at beyond the shortest prefix, as a share of it, by the first order and the second: they ask for as many more in common.
+FIRST, SECOND = 0.15, 0.6
 #: Centres that a node is compared to at most, those that it shares most tokens with; what they miss, the third order finds.
 CENTRES = 3
 
@@ -63,15 +64,19 @@ def _slack(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / F.lit(100))).cast("int")
 
 
-def _length(n: Column, percent: int) -> Column:
-    """Tokens of a prefix under the first two orders."""
-    return (_slack(n, percent) + F.ceil(_slack(n, percent) * F.lit(MORE)) + 1).cast("int")
+def _more(n: Column, percent: int, share: float) -> Column:
+    """The tokens that similar sets of n have in common at least, in prefixes that are longer by ``share``."""
+    return (F.ceil(_slack(n, percent) * F.lit(share)) + 1).cast("int")
 
 
-def _shared(n: Column, percent: int) -> Column:
-    """How many of them the prefix of a similar set has at least: the smallest such set asks for the fewest."""
-    least = F.ceil(n * percent / F.lit(100))
-    return F.ceil(_slack(least, percent) * F.lit(MORE)) + 1
+def _length(n: Column, percent: int, share: float) -> Column:
+    """The tokens of such a prefix."""
+    return F.least(_slack(n, percent) + _more(n, percent, share), n.cast("int"))
+
+
+def _shared(n: Column, percent: int, share: float) -> Column:
+    """How many of them the prefix of any similar set has at least: the smallest such set asks for the fewest."""
+    return _more(F.ceil(n * percent / F.lit(100)), percent, share)
 
 
 def heads(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -85,7 +90,7 @@ def heads(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
         def first(x: np.ndarray) -> np.ndarray:
             slack = len(x) - needed(len(x), percent)
-            return x[: slack + math.ceil(slack * MORE) + 1].view(np.int64)
+            return x[: slack + math.ceil(slack * FIRST) + 1].view(np.int64)
 
         def work(ids, texts):
             sets = [tool.shingles(x or "") for x in texts]
@@ -101,8 +106,31 @@ def heads(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return map_rows(docs.select("id", "text"), make, schema)
 
 
+def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, n, which, bits, shingles) of rows (node, text) with a set: its hash, a bitmap in which each token turns over one bit, its sorted tokens."""
+    kinds = (("n", T.LongType()), ("which", T.LongType()), ("bits", T.ArrayType(T.LongType())), ("shingles", T.ArrayType(T.LongType())))
+    schema = T.StructType([T.StructField("node", docs.schema["node"].dataType)] + [T.StructField(k, t) for k, t in kinds])
+
+    def make():
+        tool = Sketcher(shingle, 1, 1)
+
+        def work(nodes, texts):
+            sets = [tool.shingles(x or "") for x in texts]
+            return {
+                "node": nodes,
+                "n": [len(x) for x in sets],
+                "which": [int.from_bytes(tool.digest(x.tobytes())[:8], "little", signed=True) for x in sets],
+                "bits": [tool.bitmap(x) if len(x) else [0] * WORDS for x in sets],
+                "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+            }
+
+        return work
+
+    return map_rows(docs.select("node", "text"), make, schema).where("n > 0")
+
+
 def _common(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of (prefix, and others) for each token that more than one prefix has, as token in place of the prefix.
+    """The rows of (prefix, and others) for each token that more than one prefix has, with token and f, how many have it, in place of the prefix.
 
     A token of more than one part in 1024 of all is found by a broadcast of fewer than 1024 such.
     """
@@ -110,23 +138,24 @@ def _common(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
     posted = prefixes.withColumn("token", F.explode("prefix")).drop("prefix")
     counts = scratch.save(posted.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "counts")
     heavy = F.col("f") > F.lit(total / 1024)
-    marked = posted.join(F.broadcast(counts.where(heavy).select("token", F.lit(True).alias("hot"))), "token", "left")
-    rest = marked.where("hot is null").join(counts.where(~heavy).select("token"), "token", "left_semi")
-    return marked.where("hot").unionByName(rest).drop("hot")
+    marked = posted.join(F.broadcast(counts.where(heavy)), "token", "left")
+    rest = marked.where("f is null").drop("f").join(counts.where(~heavy), "token")
+    return marked.where("f is not null").unionByName(rest)
 
 
-def _keeping(common: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _keeping(common: DataFrame, sizes: DataFrame, percent: int, share: float) -> DataFrame:
     """The nodes of which enough tokens are common; ``sizes``: (node, n)."""
     hits = common.groupBy("node").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "node")
-    return hits.where(F.col("hits") >= _shared(F.col("n"), percent)).select("node").distinct()
+    return hits.where(F.col("hits") >= _shared(F.col("n"), percent, share)).select("node").distinct()
 
 
-def _still_apart(common: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The nodes that have enough tokens in common with nodes of other components; of rows (node, n, token)."""
-    own = common.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _still_apart(common: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The nodes that have enough tokens in common with other components."""
+    own = scratch.save(common.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "own")
     mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    met = salted_join(common, mixed, "token", F.col("node"), common.count())
-    return _keeping(met.select("node", "token"), met.groupBy("node").agg(F.min("n").alias("n")), percent)
+    met = salted_join(own.select("token", "node", "n"), mixed, "token", F.col("node"), own.count())
+    hits = met.groupBy("node").agg(F.count(F.lit(1)).alias("hits"), F.min("n").alias("n"))
+    return scratch.save(hits.where(F.col("hits") >= _shared(F.col("n"), percent, SECOND)).select("node"), "apart")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -147,45 +176,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
 
 
 def _to_centres(common: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each node and the few centres that it shares most tokens with; the centre of a token is its smallest node."""
-    centre = common.groupBy("token").agg(F.min(F.struct("node", "n")).alias("x")).select("token", F.col("x.node").alias("a"), F.col("x.n").alias("na"))
+    """Pairs (a, b) of each node and the few centres that it shares most tokens with.
+
+    The centre of a token is the node whose tokens most others have: the page that
+    others are copies of has no token of its own, as they have.
+    """
+    typical = common.groupBy("node").agg((F.sum("f") / _length(F.min("n"), percent, SECOND)).alias("weight"))
+    known = common.join(typical, "node")
+    best = F.max(F.struct(F.col("weight"), (-F.col("node")).alias("order"), F.col("n")))
+    centre = known.groupBy("token").agg(best.alias("x")).select("token", (-F.col("x.order")).alias("a"), F.col("x.n").alias("na"))
     met = salted_join(common.select("token", F.col("node").alias("b"), "n"), centre, "token", F.col("b"), common.count())
     near = met.where((F.col("a") != F.col("b")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na")))
     shared = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, CENTRES).alias("x"))
-    return best.select(F.explode("x.a").alias("a"), "b")
+    few = shared.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, CENTRES).alias("x"))
+    return few.select(F.explode("x.a").alias("a"), "b")
 
 
 def _by_rarest(sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix token where the rarest come first.
 
     Tokens of one node alone come before all others, and are no keys. Shared at
-    place i of x and j of y, what follows must suffice for the overlap.
+    place i of x and j of y, what follows must suffice for the overlap; and the bitmaps
+    must not differ in more bits than similar sets can in tokens.
     """
     whole = [c for c in ("node", "n", "which") if c in sets.columns]
     each = scratch.save(sets.select(*whole, F.explode("shingles").alias("token")), "tokens")
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = salted_join(each, counts, "token", F.col("node"), each.count()).groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("x"))
     lone = F.col("n") - F.size("x")
-    first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - lone).cast("int")
-    places = ranked.select("node", "n", lone.alias("lone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "t"))
-    keyed = places.select("node", "n", (F.col("lone") + F.col("at")).alias("at"), F.col("t.token").alias("token"))
+    first = (_slack(F.col("n"), percent) + 1 - lone).cast("int")
+    places = ranked.select(*whole, lone.alias("lone"), F.posexplode(F.slice("x", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "t"))
+    keyed = places.select(*whole, (F.col("lone") + F.col("at")).alias("at"), F.col("t.token").alias("token"))
     keyed = scratch.save(keyed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "keyed")
     # a bucket's largest component, and the buckets that hold another
     part = keyed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     most = part.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "most")
-    total = keyed.count()
-    mixed = scratch.save(salted_join(keyed, most, "token", F.col("node"), total), "mixed")
-    total = mixed.count()
-    names = ("node", "n", "at", "component")
+    mixed = salted_join(keyed, most, "token", F.col("node"), keyed.count())
+    mixed = scratch.save(mixed.join(sets.select(*whole, "bits"), whole), "mixed")
+    names = ("node", "n", "at", "bits", "component")
     others = mixed.where("component <> most").select("token", *(F.col(c).alias(f"{c}_a") for c in names))
-    met = salted_join(mixed, others, "token", F.col("node"), total).where("component <> component_a")
+    met = salted_join(mixed, others, "token", F.col("node"), mixed.count()).where("component <> component_a")
     # two that are neither of the largest meet once
     met = met.where((F.col("component") == F.col("most")) | (F.col("node") < F.col("node_a")))
     need = F.ceil((F.col("n") + F.col("n_a")) * percent / F.lit(100 + percent))
     room = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) >= need
-    sizes = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
-    return met.where(room & sizes).select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
+    return met.where(room & _near(percent)).select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct()
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -205,16 +240,16 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the first order
     sizes = nodes.groupBy("node").agg(F.min("n").alias("n")) if repeated else nodes.select("node", "n")
-    kept = scratch.save(_keeping(_common(nodes.select("node", "prefix"), scratch), sizes, percent), "kept")
+    kept = scratch.save(_keeping(_common(nodes.select("node", "prefix"), scratch), sizes, percent, FIRST), "kept")
     wanted = sized(scratch.save(kept.select(F.col("node").alias("id")), "wanted"))
-    first = shingle_sets(docs.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), shingle).where("n > 0")
+    first = full_sets(docs.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), shingle)
     first = scratch.save(first.distinct() if repeated else first.drop("which"), "sets")
 
     # the second, among those kept by the first
-    long = F.least(_length(F.col("n"), percent), F.col("n").cast("int"))
-    common = scratch.save(_common(first.select("node", "n", F.slice("shingles", -long, long).alias("prefix")), scratch), "common")
+    long = _length(F.col("n"), percent, SECOND)
+    common = scratch.save(_common(first.select(*(c for c in first.columns if c not in ("shingles", "bits")), F.slice("shingles", -long, long).alias("prefix")), scratch), "common")
     sizes = first.groupBy("node").agg(F.min("n").alias("n")) if repeated else first.select("node", "n")
-    kept = scratch.save(_keeping(common, sizes, percent), "kept")
+    kept = scratch.save(_keeping(common, sizes, percent, SECOND), "kept")
     sets = scratch.save(first.join(sized(kept), "node", "left_semi"), "sets")
     scratch.drop(first)
     common = scratch.save(common.join(sized(kept), "node", "left_semi"), "common")
@@ -223,9 +258,8 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = scratch.save(connected_components(links.unionByName(by_id), scratch), "labels")
 
     # the third, of what is still apart
-    apart = scratch.save(_still_apart(common, labels, percent), "apart")
-    rest = sets.join(sized(apart), "node", "left_semi")
-    links = _confirmed(_by_rarest(rest, labels, percent, scratch), sets, percent, scratch)
+    apart = _still_apart(common, labels, percent, scratch)
+    links = _confirmed(_by_rarest(sets.join(sized(apart), "node", "left_semi"), labels, percent, scratch), sets, percent, scratch)
     if not links.isEmpty():
         labels = scratch.save(merge_components(labels, links, scratch), "labels")
 

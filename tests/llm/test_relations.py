@@ -70,8 +70,8 @@ def test_ngram_join_empty(spark):
 def test_prefixes_are_exact():
     """Whatever the order, similar sets share as many tokens of their prefixes as the filters ask for."""
     rng = random.Random(2)
-    for _ in range(400):
-        n = rng.randint(1, 90)
+    for i in range(400):
+        n, share = rng.randint(1, 90), (ngramjoin.FIRST, ngramjoin.SECOND)[i % 2]
         x = set(rng.sample(range(400), n))
         y = set(list(x)[: rng.randint(max(1, n - 12), n)]) | set(rng.sample(range(400, 500), rng.randint(0, 9)))
         if 100 * len(x & y) < 80 * len(x | y):
@@ -80,7 +80,7 @@ def test_prefixes_are_exact():
         rng.shuffle(order)
         place = {t: i for i, t in enumerate(order)}
         slack = lambda k: k - ngramjoin.needed(k, 80)
-        more = lambda k: int(np.ceil(slack(k) * ngramjoin.MORE)) + 1
+        more = lambda k: int(np.ceil(slack(k) * share)) + 1  # noqa: B023, E731
         head = lambda s: set(sorted(s, key=place.get)[: slack(len(s)) + more(len(s))])  # noqa: B023, E731
         for s in (x, y):
             assert len(head(x) & head(y)) >= more(ngramjoin.needed(len(s), 80))
