@@ -81,7 +81,7 @@ def date_stamp(t: Column) -> Column:
 def letter_distance(a: Column, b: Column) -> Column:
     """How many letters one text has and the other lacks, spaces and case apart.
 
-    As ``rows.letter_distance``: a letter counts once, but in upper case each time.
+    A letter counts once, but in upper case each time.
     """
     letters = lambda x: F.split(F.replace(x, F.lit(" "), F.lit("")), "")
     met = lambda found, c: F.when(F.array_contains(found, c), found).otherwise(F.concat(found, F.array(F.lower(c))))

@@ -45,6 +45,7 @@ def refine(tables: DataFrame, tag: str = TOTAL) -> DataFrame:
         F.transform(c["links"], underscored).alias("links"),
         F.when(to_float(c["td"]).isNull(), c["td"]).alias("text"),
         to_float(c["td"]).alias("num"),
+        c["number"].alias("shown"),
     )
     typed = F.transform(kept, lambda r: F.transform(expand_colspan(r), cell))
     return (

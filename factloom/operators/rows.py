@@ -1,168 +1,155 @@
-"""Data rows joined to their headers by position, and summary rows told apart.
-
-Both are folds over the rows of one table, in order. A table is one row of the
-frame, so that the folds run in an Arrow batch and nothing is shuffled.
-
-``compat`` mode: a row longer than the headers goes on as another row, and a
-row that ends short stays open, is counted, and is filled further by the next
-row, so that both are then the same. ``clean`` mode: surplus cells are cut off
-and short rows are short.
+"""Data rows joined to their headers by position, and summary rows told apart, as column expressions over the table's arrays.
+
+A table is one row of the frame, so that nothing is shuffled, and all is done
+where refinement is, without another pass through Python.
+
+``compat`` mode: a data row is cut into pieces as long as the headers, and each
+piece is a row. A piece that is shorter leaves its row open: it and the pieces up
+to and with the next that is not shorter are one and the same row, once for each
+piece, with the last cell that any of them has in a place. ``clean`` mode:
+surplus cells are cut off and short rows are short. Of headers with one name the
+last counts, in the place of the first.
+
+Summary rows: row ``t`` is judged by the values of row ``t + d``, ``d`` being the
+rows removed before it. Each column has a running sum, which begins with its first
+number; a number that is the sum, or to 12 digits the mean over the rows kept so far,
+matches, and any other is added. The first two rows of a longer table match
+nothing. Row ``t`` is removed if two columns match and it names something else
+than the last row kept: it has no column more, and some text of it is far from
+the one there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from collections.abc import Callable
 
-from factloom.plans.arrow import giving_back, slices
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-CELL = T.StructType(
-    [T.StructField("header", T.StringType()), T.StructField("value", T.StringType()), T.StructField("empty", T.BooleanType()), T.StructField("links", T.ArrayType(T.StringType()))]
-)
-ROW = T.StructType([T.StructField("row_ord", T.IntegerType()), T.StructField("removed", T.BooleanType()), T.StructField("cells", T.ArrayType(CELL))])
+from factloom.functions.text import letter_distance, to_float
 
 #: Matching columns, and distance of the texts, from which on a row is a summary.
 MATCHES, DISTANCE = 2, 7
+_ROWS = "array<struct<row_ord:int,removed:boolean,cells:array<struct<header:string,value:string,empty:boolean,links:array<string>>>>>"
+#: Two numbers may be one to 12 digits only if they are as near as this part of them.
+NEAR = 1e-10
 
 
-def number_text(x: float) -> str:
-    """A double with up to 12 digits, and with a point."""
-    text = f"{x:.12g}"
-    return text if any(c in text for c in ".en") else text + ".0"
-
-
-def as_number(text: str) -> float | None:
-    """The number that ``text`` reads as; no underscores between digits."""
-    if "_" in text:
-        return None
-    try:
-        return float(text)
-    except ValueError:
-        return None
-
-
-def cell_value(cell: dict) -> str:
-    """The last part of a cell: its number, its text, or else its last link."""
-    if cell["num"] is not None:
-        return number_text(cell["num"])
-    return cell["text"] if cell["text"] else cell["links"][-1] if cell["links"] else ""
-
-
-def join_headers(headers: list[str], data: list[list[dict]], mode: str = "compat") -> list[dict[str, dict]]:
-    """The rows as {header: cell}. In compat mode rows may be one and the same object."""
-    out: list[dict[str, dict]] = []
-    if not headers:
-        return out
-    now: dict[str, dict] = {}
-    for row in data:
-        if mode == "clean":
-            out.append(dict(zip(headers, row)))  # noqa: B905
-            continue
-        at = 0
-        for cell in row:
-            now[headers[at]] = cell
-            at += 1
-            if at == len(headers):
-                out.append(now)
-                now, at = {}, 0
-        if now:
-            out.append(now)
-    return out
-
-
-def unique_letters(text: str) -> list[str]:
-    """Letters in lower case; a letter that was met in upper case before is listed again."""
-    found: list[str] = []
-    for c in text.replace(" ", ""):
-        if c not in found:
-            found.append(c.lower())
-    return found
-
-
-def letter_distance(a: str, b: str) -> int:
-    x, y = unique_letters(a), unique_letters(b)
-    return sum(c not in y for c in x) + sum(c not in x for c in y)
-
-
-def mark_summaries(rows: list[dict[str, dict]]) -> list[bool]:
-    """Which rows repeat the running sum or mean of the rows before them and name something else.
-
-    A row that follows a removed one is not looked at.
-    """
-    left, places = list(rows), list(range(len(rows)))
-    removed = [False] * len(rows)
-    sums: dict[str, float] = {}
-    seen = at = 0
-    while seen < len(left):
-        row, matches = left[seen], 0
-        for header, cell in row.items():
-            value = as_number(cell_value(cell))
-            if value is None:
-                continue
-            if header not in sums:
-                sums[header] = value
-                continue
-            total = sums[header]
-            same = value == total or bool(at) and number_text(value) == number_text(total / at)
-            if same and (at > 1 or len(left) <= 2):
-                matches += 1
-            else:
-                sums[header] = value + total
-        if matches >= MATCHES and _differs(left, at):
-            removed[places[at]] = True
-            del left[at], places[at]
-            at -= 1
-        at += 1
-        seen += 1
-    return removed
-
-
-def _differs(rows: list[dict[str, dict]], at: int) -> bool:
-    """Whether some text of the row is far from the one above it."""
-    found = False
-    for header, cell in rows[at].items():
-        if header not in rows[at - 1]:
-            return False
-        now, before = cell_value(cell), cell_value(rows[at - 1][header])
-        found |= as_number(now) is None and as_number(before) is None and letter_distance(now, before) >= DISTANCE
-    return found
-
-
-def _empty(cell: dict) -> bool:
-    first = cell["links"][0] if cell["links"] else cell["text"] if cell["num"] is None else None
-    return first == "-"
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _upto(n: Column) -> Column:
+    """The places 0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _cell(header: Column, c: Column) -> Column:
+    """A cell under a header: its value is its number, its text or else its last link."""
+    value = F.coalesce(c["shown"], F.nullif(c["text"], F.lit("")), F.get(c["links"], F.size(c["links"]) - 1), F.lit(""))
+    empty = F.coalesce(F.coalesce(F.get(c["links"], F.lit(0)), c["text"]) == "-", F.lit(False))
+    return F.struct(header.alias("header"), value.alias("value"), empty.alias("empty"), c["links"].alias("links"))
+
+
+def _named(entries: Column, headers: Column) -> Column:
+    """Entries (piece, cell) by place as cells by name: of one name the entry of the last piece, and there of the last place."""
+    names = F.slice(headers, F.lit(1), F.size(entries))
+    last = lambda h: F.array_max(F.transform(F.filter(_upto(F.size(entries)), lambda p: F.get(headers, p) == h), lambda p: F.struct(F.get(entries, p)["piece"].alias("piece"), p.alias("p"))))
+    plain = F.transform(entries, lambda x, p: _cell(F.get(headers, p), x["cell"]))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), plain).otherwise(F.transform(F.array_distinct(names), lambda h: _cell(h, F.get(entries, last(h)["p"])["cell"])))
+
+
+def _laid_over(run: Column) -> Column:
+    """By place, the cell of the last of a run's pieces that reaches it."""
+    last = lambda p: F.array_max(F.transform(run, lambda c, i: F.when(F.size(c) > p, i)))
+    entry = lambda p: _with(last(p), lambda k: F.struct(k.alias("piece"), F.get(F.get(run, k), p).alias("cell")))
+    return F.transform(_upto(F.array_max(F.transform(run, F.size))), entry)
+
+
+def joined_rows(headers: Column, data: Column, mode: str = "compat") -> Column:
+    """Rows of cells (header, value, empty, links)."""
+    width = F.size(headers)
+    if mode == "clean":
+        entries = lambda row: F.transform(F.slice(row, F.lit(1), width), lambda c: F.struct(F.lit(0).alias("piece"), c.alias("cell")))
+        return F.transform(data, lambda row: _with(entries(row), lambda x: _named(x, headers)))
+
+    def of_runs(pieces: Column, ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
+        runs = F.zip_with(starts, ends, lambda s, e: F.slice(pieces, s + 1, e - s + 1))
+        return F.flatten(F.transform(runs, lambda run: F.array_repeat(_with(_laid_over(run), lambda x: _named(x, headers)), F.size(run))))
+
+    def of_pieces(pieces: Column) -> Column:
+        n = F.size(pieces)
+        ends = F.filter(_upto(n), lambda i: (F.size(F.get(pieces, i)) == width) | (i == n - 1))
+        return _with(ends, lambda found: of_runs(pieces, found))
+
+    pieces = F.flatten(F.transform(data, lambda row: F.transform(_upto(F.ceil(F.size(row) / width).cast("int")), lambda k: F.slice(row, k * width + 1, width))))
+    return _with(pieces, of_pieces)
+
+
+def _same(number: Column, total: Column, kept: Column) -> Column:
+    """Whether a number is the sum, or to 12 digits the mean."""
+    mean = total / kept
+    digits = lambda x: F.format_string("%.11e", x)
+    return (number == total) | ((kept > 0) & (F.abs(number - mean) <= F.abs(number) * NEAR) & (digits(number) == digits(mean)))
+
+
+def removed_places(joined: Column, numbers: Column, width: Column) -> Column:
+    """The places of the summary rows; ``numbers`` are the values as numbers, null where they are none, ``width`` the most columns."""
+    n = F.size(joined)
+
+    def differs(t: Column, before: Column) -> Column:
+        now, above = F.get(joined, t), F.get(joined, before)
+        number = lambda i, k: F.get(F.get(numbers, i), k)
+        far = lambda k: number(t, k).isNull() & number(before, k).isNull() & (letter_distance(F.get(now, k)["value"], F.get(above, k)["value"]) >= DISTANCE)
+        return F.coalesce((F.size(now) <= F.size(above)) & F.exists(_upto(F.size(now)), far), F.lit(False))
+
+    def step(state: Column, t: Column) -> Column:
+        kept = t - state["skipped"]
+        may = (kept > 1) | (n - state["skipped"] <= 2)
+
+        def column(total: Column, number: Column) -> Column:
+            match = F.coalesce(_same(number, total, kept) & may, F.lit(False))
+            after = F.when(number.isNull() | match, total).when(total.isNull(), number).otherwise(total + number)
+            return F.struct(after.alias("total"), match.alias("match"))
+
+        looked = F.zip_with(state["totals"], F.coalesce(F.get(numbers, t + state["skipped"]), F.array().cast("array<double>")), column)
+
+        def judged(columns: Column) -> Column:
+            gone = F.when(F.size(F.filter(columns, lambda c: c["match"])) >= MATCHES, differs(t, state["before"])).otherwise(F.lit(False))
+            return _with(
+                gone,
+                lambda out: F.struct(
+                    (state["skipped"] + out.cast("int")).alias("skipped"),
+                    F.when(out, state["before"]).otherwise(t).alias("before"),
+                    F.transform(columns, lambda c: c["total"]).alias("totals"),
+                    F.when(out, F.concat(state["places"], F.array(t))).otherwise(state["places"]).alias("places"),
+                ),
+            )
+
+        return _with(looked, judged)
+
+    start = F.struct(F.lit(0).alias("skipped"), F.lit(-1).alias("before"), F.array_repeat(F.lit(None).cast("double"), width).alias("totals"), F.array().cast("array<int>").alias("places"))
+    return F.aggregate(_upto(n), start, step, lambda state: state["places"])
 
 
 def table_rows(refined: DataFrame, mode: str = "compat", drop_summaries: bool = True) -> DataFrame:
-    """Refined tables of status OK with ``rows``: each with its order, whether it is removed, and its cells."""
+    """Refined tables of status OK with ``rows``: each with its order, whether it is removed, and its cells.
+
+    All of it is one expression that names each of its columns once, so that no
+    part of it is computed again where filters on the rows are pushed below it.
+    """
     tables = refined.where("status = 'OK'").drop("header_grid", "data_raw", "headers_raw")
-    names = tables.columns
-    schema = T.StructType([f for f in tables.schema if f.name != "data"] + [T.StructField("rows", T.ArrayType(ROW))])
-    target = to_arrow_schema(schema)
-    headers_at, data_at = names.index("headers"), names.index("data")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                found = []
-                for headers, data in zip(batch.column(headers_at).to_pylist(), batch.column(data_at).to_pylist(), strict=True):
-                    rows = join_headers(headers, data, mode)
-                    gone = mark_summaries(rows) if drop_summaries else [False] * len(rows)
-                    found.append(
-                        [
-                            {
-                                "row_ord": i,
-                                "removed": x,
-                                "cells": [{"header": h, "value": cell_value(c), "empty": _empty(c), "links": c["links"]} for h, c in row.items()],
-                            }
-                            for i, (row, x) in enumerate(zip(rows, gone, strict=True))
-                        ]
-                    )
-                kept = [c.cast(target.field(n).type) for n, c in zip(names, batch.columns, strict=True) if n != "data"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, target.field("rows").type)], schema=target)
-
-    return tables.mapInArrow(giving_back(run), schema)
+
+    def rows(joined: Column, places: Column) -> Column:
+        return F.transform(joined, lambda row, i: F.struct(i.alias("row_ord"), F.array_contains(places, i).alias("removed"), row.alias("cells")))
+
+    def judged(joined: Column, headers: Column) -> Column:
+        if not drop_summaries:
+            return rows(joined, F.array().cast("array<int>"))
+        numbers = F.transform(joined, lambda row: F.transform(row, lambda c: to_float(c["value"])))
+        return _with(numbers, lambda found: _with(removed_places(joined, found, F.size(headers)), lambda places: rows(joined, places)))
+
+    found = _with(F.col("headers"), lambda headers: F.when(F.size(headers) > 0, _with(joined_rows(headers, F.col("data"), mode), lambda joined: judged(joined, headers))).otherwise(F.array().cast(_ROWS)))
+    return tables.select(*(c for c in tables.columns if c != "data"), found.alias("rows"))

@@ -190,6 +190,44 @@ def clean_rows(spark, sf_dir):
     return long_cells(joined(pages, "clean")).where("cell.header = 'Nation'").select("page_id", "row_ord", F.col("cell.value").alias("nation"))
 
 
+def spanned_pages(spark, sf_dir):
+    """A page for each customer: orders by status, the status a cell over all its rows, the total a cell over two columns, below headers of two rows."""
+    o = table(spark, sf_dir, "orders")
+    each = Window.partitionBy("o_custkey", "o_orderstatus")
+    o = o.withColumn("k", F.row_number().over(each.orderBy("o_orderkey"))).withColumn("n", F.count(F.lit(1)).over(each))
+    status = F.when(F.col("k") == 1, F.concat(F.lit('<td rowspan="'), F.col("n").cast("string"), F.lit('">'), "o_orderstatus", F.lit("</td>"))).otherwise("")
+    row = F.concat(F.lit("<tr>"), status, F.lit("<td>No "), F.col("o_orderkey").cast("string"), F.lit('</td><td colspan="2">'), F.col("o_totalprice").cast("string"), F.lit("</td></tr>"))
+    head = '<tr><th rowspan="2">Status</th><th colspan="3">Order</th></tr><tr><th>No</th><th>Total</th><th>Again</th></tr>'
+    pages = collected(o.select("o_custkey", F.struct("o_orderstatus", "o_orderkey").alias("place"), row.alias("row")), ["o_custkey"], "place")
+    html = table_html(F.col("rows"), head, F.lit("Orders"), "wikitable plainrowheaders")
+    return pages.select(F.col("o_custkey").alias("page_id"), F.concat(F.lit("Customer_"), F.col("o_custkey").cast("string")).alias("resource"), html.alias("html"))
+
+
+_SPANNED = "SELECT o_custkey AS page_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS i, * FROM orders"
+
+
+@query(f"""
+SELECT page_id, CAST(i - 1 AS INTEGER) AS row_ord, h.header, CASE h.k WHEN 0 THEN o_orderstatus WHEN 1 THEN 'No ' || o_orderkey ELSE CAST(o_totalprice AS VARCHAR) END AS value
+FROM ({_SPANNED}), (VALUES (0, 'Status'), (1, 'Order - No'), (2, 'Order - Total'), (2, 'Order - Again')) h(k, header)
+""")
+def clean_spans(spark, sf_dir):
+    """Clean mode: cells over rows and columns are cells of each place that they hold."""
+    return long_cells(joined(spanned_pages(spark, sf_dir), "clean")).select("page_id", "row_ord", F.col("cell.header").alias("header"), F.col("cell.value").alias("value"))
+
+
+@query(f"""
+WITH o AS (SELECT *, '{BASE}Customer_' || o_custkey || '__' || i AS row_iri FROM ({_SPANNED}))
+SELECT '{BASE}Customer_' || o_custkey AS s, '{ONTOLOGY}order' AS p, row_iri AS o, 'iri' AS o_kind, NULL AS datatype FROM o
+UNION ALL SELECT row_iri, '{ONTOLOGY}status', o_orderstatus, 'literal', '{STRING}' FROM o
+UNION ALL SELECT row_iri, '{ONTOLOGY}label', 'No ' || o_orderkey, 'literal', '{STRING}' FROM o
+UNION ALL SELECT row_iri, '{ONTOLOGY}total', CAST(o_totalprice AS VARCHAR), 'literal', '{FLOAT}' FROM o
+""")
+def clean_triples(spark, sf_dir):
+    """The graph of these pages."""
+    given = (("section", "SECTION_Orders", "order"), ("loose", "Status", "status"), ("loose", "Order - No", "label"), ("strict", "Orders_Order - Total", "total"))
+    return mapping.graph(mapping.make_triples(table_rows(refine(parse_tables(spanned_pages(spark, sf_dir), "clean")), "clean", drop_summaries=False), rule_frame(spark, *given)))
+
+
 @query("""
 SELECT CAST(n_nationkey AS BIGINT) AS page_id, n_name AS value, replace(n_name || ' (country)', ' ', '_') AS link FROM nation
 """)

@@ -2,7 +2,8 @@
 
 The tree builder closes what page authors leave open inside tables, lists and
 paragraphs. Tables are those of the three data-table classes; ``clean`` mode
-takes any table with the class token, in document order.
+takes any table with the class token, in document order, and lays headers and
+data into places that spans of rows and columns hold.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ _INLINE = frozenset("a abbr b big cite code em font i p s small span strike stro
 _SECTIONS = frozenset(("tbody", "thead", "tfoot"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _EDGES = re.compile(r"^[ \t\r\f]*\n\s*|\s*\n[ \t\r\f]*$")
+_NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan)\s*", re.I | re.A)
 _PUNCTUATION = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -169,6 +171,17 @@ def _span(attrs: dict[str, str], name: str) -> int:
     return min(n, WIDEST if name == "colspan" else (1 << 31) - 1)
 
 
+def as_number(text: str) -> float | None:
+    """The number that ``text`` reads as."""
+    return float(text) if _NUMBER.fullmatch(text) else None
+
+
+def number_text(x: float) -> str:
+    """A number with up to 12 digits, and with a point."""
+    text = f"{x:.12g}"
+    return text if any(c in text for c in ".en") else text + ".0"
+
+
 def header_rows(table: Node) -> tuple[list[list[tuple[str, int, int]]], bool, int]:
     """(rows of (text, colspan, rowspan), whether headers stand beside data, headers without text)."""
     found, vertical, bare, data = [], False, 0, False
@@ -198,32 +211,89 @@ def span_grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     return [[text for text, _ in row] for row in grid]
 
 
+def data_cell(cell: Node) -> dict:
+    """A cell as links, text, what the text is as a number, and colspan."""
+    links = []
+    for a in cell.children():
+        if a.tag == "a":
+            link = a.first_text() if a.attrs.get("class") == "new" else a.attrs.get("title")
+            if link:
+                links.append(link)
+    text = _EDGES.sub("", cell.text().replace(NBSP, " ")).replace("\n", "/")
+    td = text or (None if links else EMPTY)
+    number = None if td is None else as_number(td)
+    return {"links": links, "td": td, "number": None if number is None else number_text(number), "colspan": _span(cell.attrs, "colspan") if text else 1}
+
+
 def data_rows(table: Node) -> list[list[dict]]:
-    """Rows with a data cell; each cell of them as links, text and colspan."""
+    """Rows with a data cell, with all their cells."""
+    return [[data_cell(x) for x in row.children()] for row in table.rows() if any(x.tag == "td" for x in row.children())]
+
+
+def places(rows: list[Node], most: int) -> list[list[tuple[Node, bool] | None]]:
+    """For each row, by columns up to ``most``, the cell that holds the place and whether it begins in this row.
+
+    A cell begins at the first free place of its row, and holds the columns and
+    rows of its spans as far as no other does; what none holds is None.
+    """
     out = []
-    for row in table.rows():
-        cells = row.children()
-        if not any(x.tag == "td" for x in cells):
-            continue
-        line = []
-        for cell in cells:
-            links = []
-            for a in cell.children():
-                if a.tag == "a":
-                    link = a.first_text() if a.attrs.get("class") == "new" else a.attrs.get("title")
-                    if link:
-                        links.append(link)
-            text = _EDGES.sub("", cell.text().replace(NBSP, " ")).replace("\n", "/")
-            line.append({"links": links, "td": text or (None if links else EMPTY), "colspan": _span(cell.attrs, "colspan") if text else 1})
-        out.append(line)
+    above: dict[int, tuple[Node, int]] = {}  # column: the cell from above, and for how many rows more
+    for row in rows:
+        held = {c: (cell, False) for c, (cell, _) in above.items()}
+        above = {c: (cell, left - 1) for c, (cell, left) in above.items() if left > 1}
+        at = 0
+        for cell in row.children():
+            if cell.tag not in ("td", "th"):
+                continue
+            while at in held:
+                at += 1
+            wide, high = _span(cell.attrs, "colspan"), _span(cell.attrs, "rowspan")
+            for c in range(at, min(at + wide, most)):
+                if c not in held:
+                    held[c] = (cell, True)
+                    if high > 1:
+                        above[c] = (cell, high - 1)
+            at += wide
+        out.append([held.get(c) for c in range(max(held, default=-1) + 1)])
     return out
 
 
+def laid_out(table: Node, heads: list[list[tuple[str, int, int]]]) -> tuple[list[list[str]], list[list[dict]]]:
+    """Header rows and data rows by the places that cells hold, as wide as the header rows can be.
+
+    A header's text is in the first of its rows, once for each column; a data
+    cell is in each place that it holds. A place that none holds is empty.
+    """
+    rows = table.rows()
+    tags = [{x.tag for x in row.children()} for row in rows]
+    grid = places(rows, sum(wide for row in heads for _, wide, _ in row))
+    header, data, seen = [], [], False
+    known: dict[int, dict] = {}
+    empty = {"links": [], "td": EMPTY, "number": None, "colspan": 1}
+
+    def cell(place: tuple[Node, bool] | None) -> dict:
+        if place is None:
+            return empty
+        if id(place[0]) not in known:
+            known[id(place[0])] = data_cell(place[0]) | {"colspan": 1}
+        return known[id(place[0])]
+
+    for own, line in zip(tags, grid, strict=True):
+        if "th" in own and ("td" in own or not seen):
+            of_heads = [x for x in line if x is None or x[0].tag == "th"]
+            header.append([x[0].text().replace("\n", " ").replace("'", ".") if x is not None and x[1] else "" for x in of_heads])
+        if "td" in own:
+            data.append([cell(x) for x in line])
+            seen |= "th" not in own
+    return header, data
+
+
 def parse_page(html: str, title: str, mode: str = "compat", data: bool = True) -> list[dict]:
     """One dictionary for each data table of a page."""
     found = []
     for i, table in enumerate(find_tables(tree(html), mode)):
         heads, vertical, bare = header_rows(table)
+        grid, cells = laid_out(table, heads) if mode == "clean" else (span_grid(heads), data_rows(table) if data else [])
         found.append(
             {
                 "table_ord": i,
@@ -232,8 +302,8 @@ def parse_page(html: str, title: str, mode: str = "compat", data: bool = True) -
                 "n_rows": len(table.rows()),
                 "attrs": table.attrs,
                 "headers_raw": [[{"th": t, "colspan": c, "rowspan": r} for t, c, r in row] for row in heads],
-                "header_grid": span_grid(heads),
-                "data_raw": data_rows(table) if data else [],
+                "header_grid": grid,
+                "data_raw": cells if data else [],
                 "headers_not_resolved": bare,
             }
         )

@@ -15,7 +15,7 @@ from factloom.plans.arrow import giving_back, slices
 from factloom.sources.grid import TABLE_CLASSES, parse_page
 
 HEADER = T.StructType([T.StructField("th", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType())])
-CELL = T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.StructField("td", T.StringType()), T.StructField("colspan", T.IntegerType())])
+CELL = T.StructType([T.StructField("links", T.ArrayType(T.StringType())), T.StructField("td", T.StringType()), T.StructField("number", T.StringType()), T.StructField("colspan", T.IntegerType())])
 TABLES = T.StructType(
     [
         T.StructField("page_id", T.LongType()),

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from factloom.operators.rows import as_number, cell_value, join_headers, letter_distance, mark_summaries, number_text
-from factloom.sources.grid import NBSP, parse_page, tree
+from factloom.sources.grid import NBSP, as_number, number_text, parse_page, tree
 
 
 def one(html: str, title: str = "Foo Bar", **options) -> dict:
@@ -17,66 +16,23 @@ def wiki(body: str, kind: str = "wikitable") -> str:
     return f'<table class="{kind}">{body}</table>'
 
 
-def cell(x) -> dict:
-    number = as_number(x)
-    return {"links": [], "text": None if number is not None else x, "num": number}
-
-
-def rows_of(headers, data, mode="compat"):
-    return [{h: cell_value(c) for h, c in row.items()} for row in join_headers(headers, [[cell(x) for x in r] for r in data], mode)]
-
-
 def test_spans_in_header_rows():
     t = one(wiki('<tr><th rowspan="2">Year</th><th colspan="2">Stats</th></tr><tr><th>G</th><th>PTS</th></tr>'))
     assert t["header_grid"] == [["Year", "Stats", "Stats"], ["", "G", "PTS"]]
 
 
-def test_short_rows_are_filled_by_the_next():
-    assert rows_of(["A", "B"], [["1", "2"], ["3"], ["4", "5"]]) == [{"A": "1.0", "B": "2.0"}, {"A": "4.0", "B": "5.0"}, {"A": "4.0", "B": "5.0"}]
-
-
-def test_long_rows_go_on():
-    assert rows_of(["A", "B"], [["1", "2", "3"]]) == [{"A": "1.0", "B": "2.0"}, {"A": "3.0"}]
-    assert rows_of(["A", "B"], [["1", "2", "3"]], "clean") == [{"A": "1.0", "B": "2.0"}]
-
-
-def test_repeated_headers_keep_the_last():
-    assert rows_of(["A", "A"], [["x", "y"]]) == [{"A": "y"}]
-
-
 def test_headers_beside_data():
     t = one(wiki("<tr><th>K1</th><td>v1</td></tr><tr><th>K2</th><td>v2</td></tr>"))
     assert t["vertical"] and t["header_grid"] == [["K1"], ["K2"]]
     data = [[c["td"] for c in r] for r in t["data_raw"]]
-    assert rows_of(["K1"], data) == [{"K1": "K1"}, {"K1": "v1"}, {"K1": "K2"}, {"K1": "v2"}]
-
-
-SUMS = [["Boston", "10", "5"], ["Chicago Bulls", "20", "7"], ["-", "30", "12"]]
-
-
-def test_summary_rows():
-    table = lambda data: join_headers(["Team", "G", "PTS"], [[cell(x) for x in r] for r in data])
-    assert mark_summaries(table(SUMS)) == [False, False, True]
-    assert mark_summaries(table([SUMS[0], ["Bulls", "20", "7"], SUMS[2]])) == [False, False, False]
-    assert mark_summaries([]) == []
-
-
-def test_row_behind_a_removed_one_is_not_looked_at():
-    data = [*SUMS, ["Somebody else", "60", "24"], ["And one more", "1", "2"]]
-    rows = join_headers(["Team", "G", "PTS"], [[cell(x) for x in r] for r in data])
-    assert mark_summaries(rows) == [False, False, True, False, False]
-
-
-def test_letter_distance_counts_capitals_again():
-    assert letter_distance("-", "Chicago Bulls") == 11
-    assert letter_distance("AA", "") == 2
+    assert data == [["K1", "v1"], ["K2", "v2"]]
 
 
 def test_links_and_text():
     t = one(wiki('<tr><th>T</th></tr><tr><td><a title="Los Angeles Lakers">L.A. Lakers</a></td><td><a class="new">Red</a></td><td><a class="new"></a></td></tr>'))
     first, second, third = t["data_raw"][0]
     assert (first["links"], first["td"]) == (["Los Angeles Lakers"], "L.A. Lakers")
-    assert second["links"] == ["Red"] and third == {"links": [], "td": "-", "colspan": 1}
+    assert second["links"] == ["Red"] and third == {"links": [], "td": "-", "number": None, "colspan": 1}
 
 
 def test_header_quotes_become_points():
@@ -137,3 +93,38 @@ def test_spans_without_bounds():
     (row,) = found["headers_raw"]
     assert [(h["colspan"], h["rowspan"]) for h in row] == [(grid.WIDEST, 1), (1, 100_000)]
     assert len(found["header_grid"][0]) == grid.WIDEST + 1
+
+
+def shown(t):
+    return t["header_grid"], [[c["td"] for c in r] for r in t["data_raw"]]
+
+
+def test_places_that_spans_hold():
+    """Cells that reach into rows below and over columns, in headers and data; none takes a place that another holds."""
+    head = '<tr><th rowspan="2">Year</th><th colspan="2" rowspan="2">Both</th><th>Top</th></tr><tr><th>Low</th></tr>'
+    body = '<tr><td rowspan="3">1999</td><td>a</td><td rowspan="2">b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td colspan="3">f</td></tr><tr><td>2000</td></tr>'
+    header, data = shown(one(wiki(head + body), mode="clean"))
+    assert header == [["Year", "Both", "Both", "Top"], ["", "", "", "Low"]]
+    assert data == [["1999", "a", "b", "c"], ["1999", "d", "b", "e"], ["1999", "f", "f", "f"], ["2000"]]
+    assert shown(one(wiki(head + body)))[1][1] == ["d", "e"]
+
+
+def test_spans_that_overlap():
+    body = '<tr><th>A</th><th>B</th><th>C</th><th>D</th></tr><tr><td>1</td><td>2</td><td rowspan="2">x</td></tr><tr><td colspan="3">wide</td><td>9</td></tr>'
+    assert shown(one(wiki(body), mode="clean"))[1] == [["1", "2", "x"], ["wide", "wide", "x", "9"]]
+    gap = '<tr><th>A</th><th>B</th><th>C</th></tr><tr><td>1</td><td>2</td><td rowspan="9">x</td></tr><tr><td></td></tr>'
+    assert shown(one(wiki(gap), mode="clean"))[1] == [["1", "2", "x"], ["-", "-", "x"]]
+
+
+def test_spans_beyond_all_bounds_in_clean_mode():
+    """A table of long and wide cells is as wide as its headers at most."""
+    body = "<tr><th>A</th><th>B</th></tr>" + '<tr><td rowspan="99999999" colspan="1000">x</td></tr>' * 300
+    _, data = shown(one(wiki(body), mode="clean"))
+    assert len(data) == 300 and data[-1] == ["x", "x"]
+
+
+def test_headers_in_the_middle_of_data_are_none():
+    body = "<tr><th>A</th></tr><tr><td>1</td></tr><tr><th>B</th></tr><tr><td>2</td></tr>"
+    assert shown(one(wiki(body), mode="clean")) == shown(one(wiki(body))) == ([["A"]], [["1"], ["2"]])
+    beside = "<tr><th>K1</th><td>v1</td></tr><tr><th>K2</th><td>v2</td></tr>"
+    assert shown(one(wiki(beside), mode="clean")) == ([["K1"], ["K2"]], [["K1", "v1"], ["K2", "v2"]])
