@@ -80,21 +80,22 @@ def literal_kind(value: Column) -> Column:
     return F.when(is_float(value), F.lit(XSD + "float")).when(is_int(value), F.lit(XSD + "int")).otherwise(F.lit(XSD + "string"))
 
 
-def link_entities(cells: DataFrame, kb: DataFrame, base: str, is_text: Column, by: Column, value_col: str = "value") -> DataFrame:
+def link_entities(cells: DataFrame, kb: DataFrame, base: str, is_text: Column, by: Column, value_col: str = "value", scratch: Scratch | None = None) -> DataFrame:
     """``cells`` with ``entity``: the address of a text that is a subject of ``kb`` (s, p, o), else null.
 
     By equality, of distinct texts; the answers come back to the cells, a text of
-    many cells in pieces that ``by`` tells apart. The cells are a table meanwhile.
+    many cells in pieces that ``by`` tells apart. The cells are a table meanwhile,
+    in ``scratch`` if it is given, to be closed by who gives it.
     """
     key = resource_key(F.col(value_col))
-    saved = Scratch(cells.sparkSession, "cells").save(cells.withColumn("_address", F.when(is_text, F.concat(F.lit(base), plain_accents(key)))), "cells")
+    saved = (scratch or Scratch(cells.sparkSession, "cells")).save(cells.withColumn("_address", F.when(is_text, F.concat(F.lit(base), plain_accents(key)))), "cells")
     asked = saved.select("_address").where("_address is not null").distinct()
     known = asked.join(kb.select(F.col("s").alias("_address")).distinct(), "_address", "left_semi").withColumn("_known", F.lit(True))
     found = salted_join(saved, known, "_address", by, saved.count(), "left")
     return found.withColumn("entity", F.when(F.col("_known"), F.concat(F.lit(base), key))).drop("_address", "_known")
 
 
-def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), fallback: str | None = None, prefer_link: bool = False) -> DataFrame:
+def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), fallback: str | None = None, prefer_link: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """All triples (s, p, o, o_kind, datatype) of joined rows, each with ``kind`` row or cell, duplicates included.
 
     Empty cells (-) and cells without a property give none; a row gives its own
@@ -111,7 +112,7 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
     flat = each.select("subject", "row_of", "section", "section_property", F.col("cell").isNull().alias("own"), F.coalesce("cell.header", apart).alias("header"), value.alias("value"))
     found = with_property(flat, own).where("own or (value <> '-' and property <> '')")
     is_text = ~F.col("own") & ~is_float(F.col("value"))
-    found = link_entities(found, kb, base, is_text, F.concat_ws("\0", "row_of", "header")) if kb is not None else found.withColumn("entity", F.lit(None).cast("string"))
+    found = link_entities(found, kb, base, is_text, F.concat_ws("\0", "row_of", "header"), scratch=scratch) if kb is not None else found.withColumn("entity", F.lit(None).cast("string"))
     address = F.col("own") | F.col("entity").isNotNull()
     return found.select(
         F.when(F.col("own"), F.col("subject")).otherwise(F.col("row_of")).alias("s"),

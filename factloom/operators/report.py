@@ -56,14 +56,14 @@ def unmapped(rows: DataFrame, rules: DataFrame, chapter: str, fallback: str | No
     return beside(of_sections, of_headers).select("unmapped_sections", (F.col("w") + F.col("n")).alias("unmapped_headers"))
 
 
-def mapping_metrics(triples: DataFrame) -> DataFrame:
-    """(row_triples, cell_triples, triples, graph_size): the graph counts a triple once."""
+def mapping_metrics(triples: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """(row_triples, cell_triples, triples, graph_size): the graph, their set, counts a triple once."""
     counted = triples.agg(F.count_if(F.col("kind") == "row").alias("row_triples"), F.count_if(F.col("kind") == "cell").alias("cell_triples"), F.count(F.lit(1)).alias("triples"))
-    size = triples.select("s", "p", "o", "o_kind", "datatype").distinct().agg(F.count(F.lit(1)).alias("graph_size"))
+    size = (triples.select("s", "p", "o", "o_kind", "datatype").distinct() if graph is None else graph).agg(F.count(F.lit(1)).alias("graph_size"))
     return beside(counted, size)
 
 
-def full_report(pages: DataFrame, refined: DataFrame, rows: DataFrame, rules: DataFrame, triples: DataFrame, chapter: str = "en", fallback: str | None = None) -> DataFrame:
+def full_report(pages: DataFrame, refined: DataFrame, rows: DataFrame, rules: DataFrame, triples: DataFrame, chapter: str = "en", fallback: str | None = None, graph: DataFrame | None = None) -> DataFrame:
     """All metrics, and effectiveness: cell triples of cells to map, 0 if there are none, to 3 decimals."""
-    every = beside(extraction_metrics(pages, refined, rows), unmapped(rows, rules, chapter, fallback), mapping_metrics(triples))
+    every = beside(extraction_metrics(pages, refined, rows), unmapped(rows, rules, chapter, fallback), mapping_metrics(triples, graph))
     return every.withColumn("effectiveness", F.round(F.coalesce(F.try_divide(F.col("cell_triples"), F.col("cells_to_map")), F.lit(0.0)), 3))

@@ -54,6 +54,13 @@ class Scratch:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+    def close(self) -> None:
+        """Delete all tables at once, when nothing reads them any more."""
+        if self.count:
+            self._delete(self.root)
+        self.paths.clear()
+        atexit.unregister(self._clean)
+
     def _clean(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended before
             if self.count and not self.spark.sparkContext._jsc.sc().isStopped():

@@ -20,9 +20,10 @@ from factloom.operators.refine import refine
 from factloom.operators.rows import table_rows
 from factloom.plans.render import collected, escaped, head_html, row_html, table_html, tags
 from factloom.plans.scratch import Scratch
-from factloom.sources import sinks
+from factloom.sources import answers, sinks
 from factloom.sources.pages import one_resource, parse_tables, read_resources, with_status
 from factloom.sources.sinks import ntriples_lines, turtle_blocks
+from factloom.sources.triples import read_triples
 
 BASE, ONTOLOGY = "http://kb.example.org/resource/", "http://kb.example.org/ontology/"
 FLOAT, STRING = mapping.XSD + "float", mapping.XSD + "string"
@@ -749,6 +750,61 @@ def resource_list(spark, sf_dir):
     return read_resources(spark, path).select("resource")
 
 
+@query(_ORDER_TRIPLES)
+def store_roundtrip(spark, sf_dir):
+    """The graph of the order pages written as Turtle and read again."""
+    path = written(spark, "turtle")
+    sinks.write_graph(order_triples(spark, sf_dir), path, "turtle")
+    return read_triples(spark, path).select("s", "p", "o", "o_kind", "datatype")
+
+
+@query(f"""
+SELECT '{BASE}C' || c_custkey AS s, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'
+""")
+def store_patterns(spark, sf_dir):
+    """Patterns over a store that was written as N-Triples, of which some properties alone are read."""
+    path = written(spark, "ntriples")
+    store = order_store(spark, sf_dir)
+    known = store.withColumn("o_kind", F.when(F.col("o").startswith("http"), "iri").otherwise("literal")).withColumn("datatype", F.lit(None).cast("string"))
+    sinks.write_graph(known, path)
+    read = read_triples(spark, path, [ONTOLOGY + "name", ONTOLOGY + "segment"])
+    return kb.match_patterns(read, f'PREFIX k: <{ONTOLOGY}> ?s k:name ?name ; k:segment ?segment . FILTER(?segment != "BUILDING")')
+
+
+def order_answers(spark, sf_dir) -> DataFrame:
+    """What a service may answer when it is asked for each customer's orders: bindings, a cut-off text, a message, nothing."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    term = lambda k: F.struct(F.struct(F.lit("uri").alias("type"), F.concat(F.lit(BASE + "O"), k.cast("string")).alias("value")).alias("res"))
+    whole = F.to_json(F.struct(F.struct(F.transform("keys", term).alias("bindings")).alias("results")))
+    message = F.lit('{"message": "Error: too many requests"}')
+    k = F.col("o_custkey") % 5
+    body = F.when(k == 0, F.substring(whole, F.lit(1), F.length(whole) - 7)).when(k == 1, message).when((k == 2) & (F.col("o_custkey") % 2 == 0), F.lit("Error 503")).when(k == 2, F.lit(" ")).otherwise(whole)
+    return o.select(F.col("o_custkey").alias("page_id"), body.alias("body"))
+
+
+@query(f"""
+SELECT page_id, status, CASE WHEN status = 'OK' THEN n ELSE 0 END AS n, CASE WHEN status = 'OK' THEN last END AS last
+FROM (SELECT o_custkey AS page_id, CASE WHEN o_custkey % 5 = 0 THEN 'MALFORMED' WHEN o_custkey % 5 = 1 OR o_custkey % 10 = 2 THEN 'ERROR' WHEN o_custkey % 5 = 2 THEN 'MISSING' ELSE 'OK' END AS status,
+        count(*) AS n, '{BASE}O' || max(o_orderkey) AS last FROM orders GROUP BY 1)
+""")
+def json_answers(spark, sf_dir):
+    """The bindings of good answers, and the status of the others."""
+    asked = order_answers(spark, sf_dir)
+    found = answers.bindings(asked).where("variable = 'res'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("value", "place").alias("last"))
+    return answers.parsed(asked).select("page_id", "status").join(found, "page_id", "left").select("page_id", "status", F.coalesce("n", F.lit(0)).alias("n"), "last")
+
+
+@query("""
+SELECT c_custkey AS page_id, CAST(CASE WHEN c_custkey % 4 < 2 THEN c_custkey % 7 ELSE 0 END AS BIGINT) AS n, c_custkey % 4 >= 2 AS lost FROM customer
+""")
+def json_structures(spark, sf_dir):
+    """Structures that answers list for pages, and pages whose answer is a message or no JSON."""
+    c = table(spark, sf_dir, "customer")
+    listed = F.to_json(F.struct(F.transform(F.slice(F.sequence(F.lit(1), F.lit(7)), F.lit(1), (F.col("c_custkey") % 7).cast("int")), lambda i: F.struct(i.alias("rows"), F.lit("wikitable").alias("class"))).alias("result")))
+    body = F.when(F.col("c_custkey") % 4 < 2, listed).when(F.col("c_custkey") % 4 == 2, F.lit('{"message": "no such page", "code": 404}')).otherwise(F.lit("<html>"))
+    return answers.structures(c.select(F.col("c_custkey").alias("page_id"), body.alias("body"))).select("page_id", "n", "lost")
+
+
 @query("SELECT o_custkey AS page_id, count(*) AS n FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1")
 def chosen_pages(spark, sf_dir):
     """The page of one name and those of a list, and their rows."""

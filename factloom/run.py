@@ -6,7 +6,7 @@
     python -m factloom.run update   --rules R --template T --out FOLDER --version V
 
 Pages are Parquet (page_id, resource, html); rules and templates JSON; a store of
-triples is Parquet (s, p, o, lang). Pages are chosen by --single NAME, --topic
+triples is Parquet (s, p, o, lang), or N-Triples or Turtle with --kb-form triples. Pages are chosen by --single NAME, --topic
 CLASS or --where PATTERN over the store, --list FILE of names, or all are taken.
 --check refuses a class that the store doesn't know; --fallback names the chapter
 whose rules hold where the own one has none. ``update`` takes the chapter and
@@ -33,23 +33,34 @@ from factloom.operators.rules import check_ontology, parse_rules, read_rules, up
 from factloom.plans.scratch import Scratch
 from factloom.sources import sinks
 from factloom.sources.pages import parse_tables, read_resources, with_status
+from factloom.sources.triples import read_triples
 
 log = logging.getLogger("factloom")
 
 
 class Extraction(NamedTuple):
+    """The graph and its report, tables of a scratch folder until ``close``, or the program's end."""
+
     triples: DataFrame
     report: DataFrame
+    scratch: Scratch
+
+    def close(self) -> None:
+        """Delete both, when they are written elsewhere."""
+        self.scratch.close()
 
 
 def extract(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), mode: str = "compat", drop_summaries: bool = True, fallback: str | None = None, prefer_link: bool = False) -> Extraction:
-    """The graph of the pages' tables, and the metrics of its extraction. Parsing runs once."""
+    """The graph of the pages' tables, and the metrics of its extraction. Parsing runs once, and only the results stay."""
     scratch = Scratch(pages.sparkSession, "extract")
     good = with_status(pages).where("status = 'OK'").drop("status")
     refined = scratch.save(refine(parse_tables(good, mode)), "tables")
     rows = scratch.save(table_rows(refined, mode, drop_summaries), "rows")
-    triples = scratch.save(make_triples(rows, rules, chapter, kb, names, fallback, prefer_link), "triples")
-    return Extraction(graph(triples), full_report(good, refined, rows, rules, triples, chapter, fallback))
+    triples = scratch.save(make_triples(rows, rules, chapter, kb, names, fallback, prefer_link, scratch), "triples")
+    found = scratch.save(graph(triples), "graph")
+    report = scratch.save(full_report(good, refined, rows, rules, triples, chapter, fallback, found), "report")
+    scratch.clear(found, report)
+    return Extraction(found, report, scratch)
 
 
 def explore(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, output_format: int = 1, similar: bool = False, mode: str = "compat") -> DataFrame:
@@ -87,6 +98,7 @@ def main(args: list[str] | None = None) -> None:
     given.add_argument("--format", type=int)
     given.add_argument("--host", default=Names.host)
     given.add_argument("--mode", choices=("compat", "clean"), default="compat")
+    given.add_argument("--kb-form", choices=("parquet", "triples"), default="parquet")
     for name in ("similar", "turtle", "check", "keep-summaries", "prefer-link"):
         given.add_argument(f"--{name}", action="store_true")
     x = given.parse_args(args)
@@ -94,7 +106,7 @@ def main(args: list[str] | None = None) -> None:
     if x.single or x.topic or x.where or x.chapter:
         vocabulary.check_arguments(x.chapter or "en", x.format or 1, x.single, x.topic, x.where, one=bool(x.single or x.topic or x.where))
     spark = SparkSession.builder.getOrCreate()
-    kb = spark.read.parquet(x.kb) if x.kb else None
+    kb = (read_triples(spark, x.kb).where("error is null") if x.kb_form == "triples" else spark.read.parquet(x.kb)) if x.kb else None
     if x.program == "update":
         template, made_for = sinks.read_template(spark, x.template)
         new = parse_rules(template, x.chapter or made_for.get("chapter", "en"), x.format or int(made_for.get("format", 1)))
@@ -121,6 +133,7 @@ def main(args: list[str] | None = None) -> None:
         sinks.write_graph(found.triples, f"{x.out}/graph", "turtle" if x.turtle else "ntriples")
         sinks.write_report(found.report, f"{x.out}/report")
         log.warning("%s", found.report.first().asDict())
+        found.close()
 
 
 if __name__ == "__main__":

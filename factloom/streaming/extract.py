@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factloom.operators.mapping import Names, graph, make_triples
 from factloom.operators.refine import refine
 from factloom.operators.rows import table_rows
+from factloom.plans.scratch import Scratch
 from factloom.sources.pages import parse_tables
 
 
@@ -23,12 +24,31 @@ def stream_tables(pages: DataFrame, mode: str = "compat") -> DataFrame:
     return refine(parse_tables(pages, mode))
 
 
-def start_extraction(pages: DataFrame, rules: DataFrame, path: str, checkpoint: str, chapter: str = "en", names: Names = Names(), kb: DataFrame | None = None, trigger: dict | None = None, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Start writing the triples of a stream of pages to ``path``, one folder a batch."""
+def start_extraction(
+    pages: DataFrame,
+    rules: DataFrame,
+    path: str,
+    checkpoint: str,
+    chapter: str = "en",
+    names: Names = Names(),
+    kb: DataFrame | None = None,
+    trigger: dict | None = None,
+    each: Callable[[DataFrame, int], None] | None = None,
+    mode: str = "compat",
+    drop_summaries: bool = True,
+    fallback: str | None = None,
+    prefer_link: bool = False,
+) -> StreamingQuery:
+    """Start writing the triples of a stream of pages to ``path``, one folder a batch; what a batch keeps meanwhile goes with it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        triples = graph(make_triples(table_rows(refine(parse_tables(batch))), rules, chapter, kb, names))
-        triples.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        scratch = Scratch(batch.sparkSession, "batch")
+        try:
+            rows = table_rows(refine(parse_tables(batch, mode)), mode, drop_summaries)
+            triples = graph(make_triples(rows, rules, chapter, kb, names, fallback, prefer_link, scratch))
+            triples.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            scratch.close()
         if each is not None:
             each(batch, number)
 
