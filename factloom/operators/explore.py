@@ -16,12 +16,14 @@ from factloom.operators.kb import property_by_label
 from factloom.operators.rules import SECTION_PREFIX, SECTION_PROPERTY, SEPARATOR
 from factloom.plans.components import connected_components
 from factloom.plans.scratch import Scratch
-from factloom.plans.skew import salted_join
+from factloom.plans.skew import salted_join, sized
 
 #: Example pages of a section, and letters by which names are found that may contain each other.
 EXAMPLES, GRAM = 3, 3
-#: Sections whose components are folded in one call.
-FOLDED = 1000
+#: Sections whose components are folded in one call, and the largest component that is.
+FOLDED, LARGEST = 1000, 5000
+#: Of larger components, the names whose work is measured together, and the relations that are folded in one call.
+STEP, WORK = 1000, 1_000_000
 
 
 def grams(low: str) -> set[str]:
@@ -68,11 +70,17 @@ def may_join(names: DataFrame, scratch: Scratch) -> DataFrame:
     A name is looked up by the rarest of its parts of ``GRAM`` letters, or by itself if it is shorter.
     """
     low = F.lower("section")
-    part = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - k + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(k)))
+    parts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - k + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(k)))
     every = names.select("section", low.alias("low"))
-    held = scratch.save(every.select("section", "low", F.explode(F.array_distinct(F.flatten(F.array(*(part(k) for k in range(1, GRAM + 1)))))).alias("gram")).where("gram <> ''"), "grams")
+    # parts shorter than GRAM are looked up by names that are no longer themselves
+    short = every.where((F.length("low") < GRAM) & (F.col("low") != "")).select(F.col("low").alias("gram")).distinct()
+    each = lambda *found: every.select("section", "low", F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("gram")).where("gram <> ''")
+    held = each(parts(GRAM)).where(F.length("gram") == GRAM)
+    if not short.isEmpty():
+        held = held.unionByName(each(*(parts(k) for k in range(1, GRAM))).join(sized(scratch.save(short, "short")), "gram", "left_semi").select("section", "low", "gram"))
+    held = scratch.save(held, "grams")
     n = held.count()
-    whole = held.where((F.length("gram") == GRAM) | ((F.length("low") < GRAM) & (F.col("gram") == F.col("low"))))
+    whole = held.where((F.length("gram") == GRAM) | (F.col("gram") == F.col("low")))
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
     rarest = salted_join(whole, counts, "gram", F.col("section"), n).groupBy("section", "low").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
     asked = rarest.select("gram", F.col("section").alias("u"), F.col("low").alias("short"))
@@ -83,14 +91,96 @@ def may_join(names: DataFrame, scratch: Scratch) -> DataFrame:
     return found.unionByName(every.where("low <> ''").select(F.lit("").alias("u"), F.col("section").alias("v")))
 
 
-def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
+def in_order(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (section, at): the places of names in the order of (page_id, table_ord, section), from 0, by ranges whose sizes come first."""
+    order = ["page_id", "table_ord", "section"]
+    cut = scratch.save(names.select(*order).repartitionByRange(names.count() // 100_000 + 1, *order).withColumn("part", F.spark_partition_id()), "ordered")
+    sizes = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return cut.withColumn("within", within).join(F.broadcast(before), "part").select("section", (F.col("before") + F.col("within")).cast("long").alias("at"))
+
+
+def _fold_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """(at, group) of a block of names, from rows (at, kind, other, place).
+
+    kind 0 is a name; 1 and 2 are groups from before that have a member which contains
+    it, or whose only member it contains; 3 and 4 are names of the block that contain
+    it or that it contains. A group is named by the place of its first member.
+    """
+    rows = rows.sort_values(["at", "kind"], kind="stable")
+    last: dict[int, int] = {}  # groups that the block joined, and when
+    alone: set[int] = set()
+    own: dict[int, int] = {}
+    for at, of_name in groupby(rows[["at", "kind", "other", "place"]].itertuples(index=False, name=None), key=itemgetter(0)):
+        best = None
+        for _, kind, other, place in of_name:
+            if kind == 1 or kind == 2 and other not in last:
+                near = (last.get(other, place), other)
+            elif kind == 3 or kind == 4 and own[other] in alone:
+                near = (last[own[other]], own[other])
+            else:
+                continue
+            best = near if best is None else min(best, near)
+        group = at if best is None else best[1]
+        alone.add(at) if best is None else alone.discard(group)
+        last[group], own[at] = at, group
+    return pd.DataFrame({"at": list(own), "group": list(own.values())}, columns=["at", "group"], dtype="int64")
+
+
+def fold_in_blocks(names: DataFrame, pairs: DataFrame, scratch: Scratch, step: int = STEP, work: int = WORK) -> DataFrame:
+    """``names`` (section, page_id, table_ord) with ``group``, as ``group_similar`` of all in order; nothing gathers them.
+
+    ``pairs`` (u, v): names of which v contains u. Names are folded in blocks, one
+    after another. What a block needs of the names before it is, for each of its own,
+    the groups that it may join, the longest unjoined first, and of these one more than the
+    block has names: so many can't all be joined before its turn.
+    """
+    order = scratch.save(in_order(names, scratch), "order")
+    n_pairs = pairs.count()
+    placed = salted_join(pairs, order.select(F.col("section").alias("u"), F.col("at").alias("at_u")), "u", F.col("v"), n_pairs)
+    placed = salted_join(placed, order.select(F.col("section").alias("v"), F.col("at").alias("at_v")), "v", F.col("u"), n_pairs)
+    later = lambda at, other, holds: placed.where(F.col(at) > F.col(other)).select(F.col(at).alias("at"), F.col(other).alias("other"), F.lit(holds).alias("holds"))
+    related = scratch.save(later("at_u", "at_v", True).unionByName(later("at_v", "at_u", False)), "related")
+    load = {r.k: r.n for r in related.groupBy(F.expr(f"at div {step}").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = order.count()
+    members: DataFrame | None = None
+    low = 0
+    while low < total:
+        high, cost = low + step, load.get(low // step, 0)
+        while high < total and cost + load.get(high // step, 0) <= work:
+            cost += load.get(high // step, 0)
+            high += step
+        block = related.where(F.col("at").between(low, high - 1))
+        rows = order.where(F.col("at").between(low, high - 1)).select("at", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("other"), F.lit(-1).cast("long").alias("place"))
+        inner = block.where(F.col("other") >= low).select("at", F.when(F.col("holds"), 3).otherwise(4).alias("kind"), "other", F.lit(-1).cast("long").alias("place"))
+        rows = rows.unionByName(inner)
+        if members is not None:
+            groups = members.groupBy("group").agg(F.max("at").alias("place"), F.count(F.lit(1)).alias("size"))
+            state = members.join(groups, "group").select(F.col("at").alias("other"), "group", "place", "size")
+            before = block.where(F.col("other") < low)
+            met = salted_join(before, state, "other", F.col("at"), before.count()).where(F.col("holds") | (F.col("size") == 1))
+            met = met.groupBy("at", "group").agg(F.max("holds").alias("holds"), F.first("place").alias("place"))
+            for by in ("at", F.pmod(F.xxhash64("group"), F.lit(64))), ("at",):
+                met = met.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("k") <= high - low + 1)
+            rows = rows.unionByName(met.select("at", F.when(F.col("holds"), 1).otherwise(2).alias("kind"), F.col("group").alias("other"), "place"))
+        found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fold_block, "at long, group long")
+        after = scratch.save(found if members is None else members.unionByName(found), "members")
+        if members is not None:
+            scratch.drop(members)
+        members, low = after, high
+    return order.join(members, "at").select("section", "at", "group")
+
+
+def section_vocabulary(refined: DataFrame, similar: bool = False, largest: int = LARGEST, work: int = WORK) -> DataFrame:
     """(section, group, first, examples) of tables with more than one row and headers.
 
     ``first``: the first (page_id, table_ord); ``examples``: up to three pages.
     Without ``similar`` a group is a section, and all is one aggregation. With it
     sections that contain each other, directly or over others, are found first,
     and only these are folded together, in order of appearance: no others can
-    come into one group. An empty name is contained in all.
+    come into one group. An empty name is contained in all. Components of more
+    than ``largest`` sections are folded in blocks of bounded work.
     """
     used = refined.where("n_rows > 1 and status <> 'E2'")
     pages = used.groupBy("section", "resource").agg(F.min(F.struct("page_id", "table_ord")).alias("first"))
@@ -102,8 +192,12 @@ def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
         return found.withColumn("group", F.col("section"))
     scratch = Scratch(refined.sparkSession, "sections")
     found = scratch.save(found, "sections")
-    own = connected_components(may_join(found.select("section"), scratch), scratch).select(F.col("node").alias("section"), "component")
-    order = found.select("section", F.col("first.page_id").alias("page_id"), F.col("first.table_ord").alias("table_ord")).join(own, "section", "left")
+    pairs = scratch.save(may_join(found.select("section"), scratch), "pairs")
+    own = scratch.save(connected_components(pairs, scratch).select(F.col("node").alias("section"), "component"), "components")
+    large = own.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > largest).select("component")
+    of_large = scratch.save(salted_join(own, large, "component", F.col("section"), own.count()).select("section"), "large")
+    order = found.select("section", F.col("first.page_id").alias("page_id"), F.col("first.table_ord").alias("table_ord"))
+    small = order.join(own, "section").join(of_large, "section", "left_anti")
 
     def fold(names: pd.DataFrame) -> pd.DataFrame:
         listed = sorted(names[["component", "page_id", "table_ord", "section"]].itertuples(index=False, name=None))
@@ -112,7 +206,12 @@ def section_vocabulary(refined: DataFrame, similar: bool = False) -> DataFrame:
 
     # components are folded some at a time
     part = F.pmod(F.xxhash64("component"), F.lit(found.count() // FOLDED + 1)).alias("part")
-    groups = order.where("component is not null").groupBy(part).applyInPandas(fold, "section string, group string")
+    groups = small.groupBy(part).applyInPandas(fold, "section string, group string")
+    if not of_large.isEmpty():
+        ends = salted_join(pairs, of_large.select(F.col("section").alias("u")), "u", F.col("v"), pairs.count())
+        held = scratch.save(fold_in_blocks(order.join(of_large, "section", "left_semi"), ends, scratch, min(STEP, work), work), "folded")
+        named = held.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "section"))), lambda x: x["section"]), SEPARATOR).alias("name"))
+        groups = groups.unionByName(salted_join(held, named, "group", F.col("at"), held.count()).select("section", F.col("name").alias("group")))
     return found.join(groups, "section", "left").withColumn("group", F.coalesce("group", "section"))
 
 

@@ -933,6 +933,21 @@ def order_vocab(spark, sf_dir):
     return run.explore(pages, rule_frame(spark, ("loose", "Total", "total")), kb=labels)
 
 
+@query("""
+WITH c AS (SELECT replace(c_name, '#', '') AS section, c_custkey = (SELECT min(c_custkey) FROM customer) AS first FROM customer)
+SELECT section, CASE WHEN first THEN section || '_tte_Customer' ELSE section END AS "group" FROM c
+UNION ALL SELECT 'Customer', section || '_tte_Customer' FROM c WHERE first
+""")
+def hub_sections(spark, sf_dir):
+    """A section that all others contain makes one component of them, and joins the group that was joined the longest ago."""
+    c = table(spark, sf_dir, "customer")
+    rows, head = F.lit("<tr><td>1</td></tr><tr><td>2</td></tr>"), head_html("A")
+    half = c.agg(F.max("c_custkey")).first()[0] // 2
+    hub = F.when(F.col("c_custkey") == half, table_html(rows, head, F.lit("Customer"))).otherwise("")
+    pages = c.select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("resource"), F.concat(table_html(rows, head, F.col("c_name")), hub).alias("html"))
+    return explore.section_vocabulary(refine(parse_tables(pages, data=False)), True, largest=1000).select("section", "group")
+
+
 @query("""
 SELECT section, 'sectionProperty' AS header, '' AS property, examples FROM (
   SELECT CASE WHEN k % 2 = 0 THEN 'Item_' || k || 'x_tte_Item_' || k || 'x_list' ELSE 'Entry_' || k || 'x' END AS section,
