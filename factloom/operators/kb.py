@@ -42,6 +42,12 @@ def class_exists(kb: DataFrame, class_iri: str) -> bool:
     return not kb.where(F.col("s") == class_iri).isEmpty()
 
 
+def known_classes(classes: DataFrame, kb: DataFrame) -> DataFrame:
+    """``classes`` (s) with ``known``: whether each is a subject of ``kb``."""
+    subjects = kb.select("s").distinct().withColumn("known", F.lit(True))
+    return classes.join(subjects, "s", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def property_by_label(headers: DataFrame, kb: DataFrame, lang: str, word: str = "ontology", limit: int = 10) -> DataFrame:
     """(header, property): of the first ``limit`` subjects labelled as the header, as written or in lower case, the first of an address with ``word``."""
     labels = kb.where((F.col("p") == LABEL) & (F.col("lang") == lang)).select("s", F.col("o").alias("label"))

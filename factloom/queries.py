@@ -622,8 +622,8 @@ SELECT 'Class' || n AS class, n IN (SELECT c_nationkey FROM customer) AS known F
 def class_check(spark, sf_dir):
     """Classes that are subjects of the store."""
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit(ONTOLOGY + "Class"), F.col("c_nationkey").cast("string")).alias("s")).distinct()
-    known = Scratch(spark, "classes").save(c, "classes")
-    return spark.createDataFrame([(f"Class{n}", kb.class_exists(known, f"{ONTOLOGY}Class{n}")) for n in range(30)], "class string, known boolean")
+    asked = spark.range(30).select(F.concat(F.lit("Class"), F.col("id").cast("string")).alias("class"), F.concat(F.lit(ONTOLOGY + "Class"), F.col("id").cast("string")).alias("s"))
+    return kb.known_classes(asked, c).select("class", "known")
 
 
 @query(f"""

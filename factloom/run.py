@@ -8,6 +8,7 @@
 Pages are Parquet (page_id, resource, html); rules and templates JSON; a store of
 triples is Parquet (s, p, o, lang), or N-Triples or Turtle with --kb-form triples. Pages are chosen by --single NAME, --topic
 CLASS or --where PATTERN over the store, --list FILE of names, or all are taken.
+--log FOLDER adds what is reported to a file there, on the driver.
 --check refuses a class that the store doesn't know; --fallback names the chapter
 whose rules hold where the own one has none. ``update`` takes the chapter and
 the format of a template from what ``explore`` wrote with it.
@@ -16,7 +17,10 @@ the format of a template from what ``explore`` wrote with it.
 from __future__ import annotations
 
 import argparse
+import datetime
 import logging
+import os
+import re
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,10 +94,23 @@ def choose(pages: DataFrame, kb: DataFrame | None = None, single: str | None = N
     return pages.join(store.resource_names(subjects), "resource", "left_semi").select(*pages.columns)
 
 
+def log_to(folder: str, program: str, chapter: str, topic: str) -> str:
+    """Log to a new file of the driver from now on, in place of the one before, named by the time, the program, the chapter and the topic. Returns its path."""
+    for old in [h for h in log.handlers if isinstance(h, logging.FileHandler)]:
+        log.removeHandler(old)
+        old.close()
+    named = "_".join([f"{datetime.datetime.now():%Y_%m_%d-%H_%M}", "LOG", program, chapter, re.sub(r"\W+", "_", topic)[:40]]).rstrip("_")
+    os.makedirs(folder, exist_ok=True)
+    handler = logging.FileHandler(os.path.join(folder, f"{named}.log"), encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.addHandler(handler)
+    return handler.baseFilename
+
+
 def main(args: list[str] | None = None) -> None:
     given = argparse.ArgumentParser(prog="factloom")
     given.add_argument("program", choices=("extract", "explore", "stats", "update"))
-    for name in ("pages", "rules", "template", "kb", "out", "version", "single", "topic", "where", "list", "chapter", "fallback"):
+    for name in ("pages", "rules", "template", "kb", "out", "version", "single", "topic", "where", "list", "chapter", "fallback", "log"):
         given.add_argument(f"--{name}")
     given.add_argument("--format", type=int)
     given.add_argument("--host", default=Names.host)
@@ -105,6 +122,8 @@ def main(args: list[str] | None = None) -> None:
     names = Names(x.host)
     if x.single or x.topic or x.where or x.chapter:
         vocabulary.check_arguments(x.chapter or "en", x.format or 1, x.single, x.topic, x.where, one=bool(x.single or x.topic or x.where))
+    if x.log:
+        log_to(x.log, x.program, x.chapter or "en", x.topic or x.single or x.where or "")
     spark = SparkSession.builder.getOrCreate()
     kb = (read_triples(spark, x.kb).where("error is null") if x.kb_form == "triples" else spark.read.parquet(x.kb)) if x.kb else None
     if x.program == "update":

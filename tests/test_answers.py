@@ -135,6 +135,12 @@ def test_an_extraction_keeps_its_results_only(spark):
     found.close()
 
 
+def test_known_classes(spark):
+    store = spark.createDataFrame([("A", "p", "o"), ("A", "q", "o"), ("B", "p", "o")], "s string, p string, o string")
+    asked = spark.createDataFrame([("A", 1), ("C", 2), (None, 3)], "s string, x int")
+    assert values(kb.known_classes(asked, store), "s", "x", "known") == [("A", 1, True), ("C", 2, False), (None, 3, False)]
+
+
 def test_scratch_tables_close(spark):
     scratch = Scratch(spark, "closing")
     scratch.save(spark.range(3), "x")
@@ -150,5 +156,7 @@ def test_programs_read_a_store_of_triples(spark, tmp_path):
     path = rules.write_rules(spark.createDataFrame(RULES, rules.RULES), f"{tmp_path}/rules", "1")
     names = mapping.Names()
     sinks.write_graph(spark.createDataFrame([(names.resource("en") + "Page_1", kb.TYPE, names.ontology + "Person", "iri", None)], SHAPE), f"{tmp_path}/kb")
-    run.main(["extract", "--pages", f"{tmp_path}/pages", "--rules", path, "--kb", f"{tmp_path}/kb", "--kb-form", "triples", "--topic", "Person", "--out", f"{tmp_path}/out"])
+    run.main(["extract", "--pages", f"{tmp_path}/pages", "--rules", path, "--kb", f"{tmp_path}/kb", "--kb-form", "triples", "--topic", "Person", "--out", f"{tmp_path}/out", "--log", f"{tmp_path}/logs"])
+    (name,) = os.listdir(f"{tmp_path}/logs")
+    assert name.endswith("_LOG_extract_en_Person.log") and "'row_triples': 2" in (tmp_path / "logs" / name).read_text()
     assert spark.read.json(f"{tmp_path}/out/report").first()["row_triples"] == 2
