@@ -48,12 +48,13 @@ def chapter_rules(rules: DataFrame, chapter: str, fallback: str | None = None) -
     return found.groupBy("kind", "key").agg(F.min(F.struct("rank", "property")).alias("best")).select("kind", "key", F.col("best.property").alias("property"))
 
 
-def mapped_rows(rows: DataFrame, rules: DataFrame, base: str) -> DataFrame:
+def mapped_rows(rows: DataFrame, rules: DataFrame, base: str, numbered: DataFrame | None = None) -> DataFrame:
     """Rows of tables whose section has a property, numbered from 1 within a resource, and their subject.
 
     ``rules``: of one chapter; ``base``: where addresses of resources begin. Only rows that stay take a number. The numbering
     is a sum over tables, not over rows; the rows are taken apart behind it.
-    A page without a name is named by its id.
+    A page without a name is named by its id. ``numbered`` (resource, rows): how many rows of
+    a resource have a number already, where others came before.
     """
     rows = rows.withColumn("resource", F.coalesce("resource", F.concat(F.lit("page_"), F.col("page_id").cast("string"))))
     sections = rules.where("kind = 'section' and property <> ''").select(F.expr("substring(key, 9)").alias("section"), F.col("property").alias("section_property"))
@@ -62,10 +63,18 @@ def mapped_rows(rows: DataFrame, rules: DataFrame, base: str) -> DataFrame:
     tables = rows.join(sections, "section").select(subject.alias("subject"), "resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
     place = Window.partitionBy("resource").orderBy("page_id", "table_ord").rowsBetween(Window.unboundedPreceding, -1)
     counted = tables.withColumn("before", F.coalesce(F.sum(F.size("kept")).over(place), F.lit(0)))
+    if numbered is not None:
+        counted = counted.join(numbered.select("resource", F.col("rows").alias("earlier")), "resource", "left").withColumn("before", F.col("before") + F.coalesce("earlier", F.lit(0)))
     each = counted.select("subject", "resource", "table_ord", "section", "section_property", "before", F.posexplode("kept").alias("at", "row"))
     return each.select("subject", "resource", "table_ord", "section", "section_property", (F.col("before") + F.col("at") + 1).alias("row_index"), F.col("row.cells").alias("cells"))
 
 
+def row_counts(rows: DataFrame, rules: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """(resource, rows): how many rows of each resource have a number, after those of ``numbered``; ``rules``: of one chapter."""
+    last = mapped_rows(rows, rules, "", numbered).groupBy("resource").agg(F.max("row_index").alias("rows"))
+    return last.select("resource", F.col("rows").cast("long").alias("rows"))
+
+
 def with_property(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """``cells`` (section, header) with ``property``: of the strict rule if there is one, even an empty one, else of the loose rule."""
     strict = rules.where("kind in ('strict', 'any')").select(F.col("key").alias("strict_key"), F.col("property").alias("strict_property"))
@@ -95,7 +104,7 @@ def link_entities(cells: DataFrame, kb: DataFrame, base: str, is_text: Column, b
     return found.withColumn("entity", F.when(F.col("_known"), F.concat(F.lit(base), key))).drop("_address", "_known")
 
 
-def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), fallback: str | None = None, prefer_link: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, names: Names = Names(), fallback: str | None = None, prefer_link: bool = False, scratch: Scratch | None = None, numbered: DataFrame | None = None) -> DataFrame:
     """All triples (s, p, o, o_kind, datatype) of joined rows, each with ``kind`` row or cell, duplicates included.
 
     Empty cells (-) and cells without a property give none; a row gives its own
@@ -105,7 +114,7 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
     """
     own = chapter_rules(rules, chapter, fallback)
     base = names.resource(chapter)
-    numbered = mapped_rows(rows, own, base).withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
+    numbered = mapped_rows(rows, own, base, numbered).withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
     each = numbered.select("subject", "row_of", "section", "section_property", F.explode(F.concat(F.array(F.lit(None)), "cells")).alias("cell"))
     apart = F.concat(F.lit("\0"), "row_of")  # no key; spreads rows over a join
     value = F.coalesce(F.get("cell.links", F.lit(0)), "cell.value") if prefer_link else F.col("cell.value")

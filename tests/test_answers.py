@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import http.server
 import json
 import os
+import re
+import threading
+import time
+
+import pytest
 
 from factloom import run
 from factloom.operators import kb, mapping, rules
-from factloom.plans.scratch import Scratch, shared_folder
+from factloom.plans.scratch import Scratch
 from factloom.sources import answers, sinks
+from factloom.sources.http import fetch_pages
 from factloom.sources.triples import read_triples
 from factloom.streaming.extract import start_extraction
 from tests.test_engine import PAGE, ROWS, RULES, TABLE, frame, values
@@ -100,13 +107,24 @@ def test_statements_over_the_edge_of_a_range(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
-def left(spark):
-    """Folders of scratch tables that are there now."""
-    root = shared_folder(spark).removeprefix("file://")
-    return {x for x in os.listdir(root) if os.path.isdir(f"{root}/{x}")}
+def local(path):
+    return re.sub("^file:/*", "/", path)
+
+
+@pytest.fixture
+def left(monkeypatch):
+    """The folders of scratch tables made from now on that are there."""
+    roots, begin = [], Scratch.__init__
+
+    def made(self, spark, label):
+        begin(self, spark, label)
+        roots.append(local(self.root))
 
+    monkeypatch.setattr(Scratch, "__init__", made)
+    return lambda: {x for x in roots if os.path.isdir(x)}
 
-def test_streams_leave_no_scratch_tables(spark, tmp_path):
+
+def test_streams_leave_no_scratch_tables(spark, tmp_path, left):
     """Three batches with a store: what each kept is gone, and the triples are those of one run."""
     store = spark.createDataFrame([("http://kb.example.org/resource/Ann", "p", "o")], "s string, p string, o string")
     own = spark.createDataFrame(RULES, rules.RULES)
@@ -114,23 +132,21 @@ def test_streams_leave_no_scratch_tables(spark, tmp_path):
     for i, h in enumerate(html):
         spark.createDataFrame([(i, f"Page_{i}", h)], PAGE).coalesce(1).write.json(f"{tmp_path}/in{i}")
     pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in*/")
-    before, seen = left(spark), []
-    query = start_extraction(pages, own, f"{tmp_path}/out", f"{tmp_path}/check", kb=store, each=lambda batch, n: seen.append(left(spark) - before), prefer_link=True, drop_summaries=False)
+    seen = []
+    query = start_extraction(pages, own, f"{tmp_path}/out", f"{tmp_path}/check", kb=store, each=lambda batch, n: seen.append(left()), prefer_link=True, drop_summaries=False)
     query.awaitTermination(120)
-    assert len(seen) == 3 and all(not x for x in seen) and left(spark) == before
+    assert len(seen) == 3 and seen == [set()] * 3 and not left()
     once = run.extract(frame(spark, *html), own, kb=store)
     names = ("s", "p", "o", "o_kind")
     assert values(spark.read.parquet(f"{tmp_path}/out"), *names) == values(once.triples, *names)
     once.close()
-    assert left(spark) == before
+    assert not left()
 
 
-def test_an_extraction_keeps_its_results_only(spark):
-    before = left(spark)
+def test_an_extraction_keeps_its_results_only(spark, left):
     found = run.extract(frame(spark, TABLE.format("S", ROWS)), spark.createDataFrame(RULES, rules.RULES))
-    (own,) = left(spark) - before
-    root = shared_folder(spark).removeprefix("file://")
-    assert sorted(x.split("-")[1] for x in os.listdir(f"{root}/{own}")) == ["graph", "report"]
+    (own,) = left()
+    assert sorted(x.split("-")[1] for x in os.listdir(own)) == ["graph", "report"]
     assert found.report.first()["graph_size"] == found.triples.count() == 5
     found.close()
 
@@ -141,13 +157,12 @@ def test_known_classes(spark):
     assert values(kb.known_classes(asked, store), "s", "x", "known") == [("A", 1, True), ("C", 2, False), (None, 3, False)]
 
 
-def test_scratch_tables_close(spark):
+def test_scratch_tables_close(spark, left):
     scratch = Scratch(spark, "closing")
     scratch.save(spark.range(3), "x")
-    name = scratch.root.rsplit("/", 1)[1]
-    assert name in left(spark)
+    assert left() == {local(scratch.root)}
     scratch.close()
-    assert name not in left(spark)
+    assert not left()
     Scratch(spark, "never").close()
 
 
@@ -160,3 +175,62 @@ def test_programs_read_a_store_of_triples(spark, tmp_path):
     (name,) = os.listdir(f"{tmp_path}/logs")
     assert name.endswith("_LOG_extract_en_Person.log") and "'row_triples': 2" in (tmp_path / "logs" / name).read_text()
     assert spark.read.json(f"{tmp_path}/out/report").first()["row_triples"] == 2
+
+
+def test_rows_are_numbered_over_batches(spark, tmp_path):
+    """Pages of one resource in several batches, and after a restart, give the graph of one batch; a batch may be run again."""
+    own = spark.createDataFrame(RULES, rules.RULES)
+    pages = [(0, "A", TABLE.format("S", ROWS)), (1, "B", TABLE.format("T", ROWS)), (2, "A", TABLE.format("S", ROWS * 2)), (3, "B", TABLE.format("S", ROWS)), (4, None, TABLE.format("S", ROWS)), (5, "A", "<p>"), (6, "A", TABLE.format("S", ROWS))]
+
+    def go(new, whole):
+        for page in new:
+            spark.createDataFrame([page], PAGE).coalesce(1).write.json(f"{tmp_path}/in{page[0]}")
+        stream = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in*/")
+        start_extraction(stream, own, f"{tmp_path}/out", f"{tmp_path}/check", whole=whole).awaitTermination(200)
+
+    go(pages[:4], 2)
+    go(pages[4:], 2)
+    once = run.extract(spark.createDataFrame(pages, PAGE), own)
+    names = ("s", "p", "o", "o_kind")
+    found = spark.read.parquet(*(f"{tmp_path}/out/batch={i}" for i in range(7)))
+    assert values(found, *names) == values(once.triples, *names) and found.where("p like '%/member'").count() == 2 + 4 + 2 + 2 + 2
+    assert values(spark.read.parquet(f"{tmp_path}/out/_rows/batch=4"), "resource", "rows") == [("A", 6), ("B", 2), ("page_4", 2)]
+    once.close()
+
+
+def test_hosts_are_asked_a_few_at_once(spark):
+    now, most, asked = [0], [0], []
+    lock = threading.Lock()
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                asked.append(self.path)
+            time.sleep(0.02)
+            self.send_response(404 if "bad" in self.path else 200)
+            with lock:
+                now[0] -= 1
+            self.end_headers()
+            self.wfile.write(b"<p>")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    names = spark.createDataFrame([(i, f"bad{i}" if i % 10 == 0 else f"good{i}") for i in range(60)], "resource_ord long, resource string").repartition(4)
+    scratch = Scratch(spark, "fetched")
+    first = scratch.save(fetch_pages(names, base, tries=2, pause=0.0, at_once=2, interval=0.001), "pages")
+    assert first.where("html is not null").count() == 54 and most[0] <= 2
+    assert values(first.where("html is null").groupBy("tries").count(), "tries", "count") == [(2, 6)]
+    asked.clear()
+    more = names.unionByName(spark.createDataFrame([(100, "good100")], names.schema))
+    again = scratch.save(fetch_pages(more, base, tries=3, pause=0.0, at_once=2, earlier=first), "pages")
+    assert len(asked) == 6 + 1 and again.count() == 61
+    assert values(again.groupBy("tries").count(), "tries", "count") == [(1, 55), (3, 6)]
+    assert most[0] <= 2
+    server.shutdown()
+    scratch.close()
