@@ -9,6 +9,8 @@ Pages are Parquet (page_id, resource, html); rules and templates JSON; a store o
 triples is Parquet (s, p, o, lang), or N-Triples or Turtle with --kb-form triples. Pages are chosen by --single NAME, --topic
 CLASS or --where PATTERN over the store, --list FILE of names, or all are taken.
 --log FOLDER adds what is reported to a file there, on the driver.
+--run NAME adds the graph and the report to those of other runs, each whole or not
+at all; a run that is there already is not written again.
 --check refuses a class that the store doesn't know; --fallback names the chapter
 whose rules hold where the own one has none. ``update`` takes the chapter and
 the format of a template from what ``explore`` wrote with it.
@@ -110,7 +112,7 @@ def log_to(folder: str, program: str, chapter: str, topic: str) -> str:
 def main(args: list[str] | None = None) -> None:
     given = argparse.ArgumentParser(prog="factloom")
     given.add_argument("program", choices=("extract", "explore", "stats", "update"))
-    for name in ("pages", "rules", "template", "kb", "out", "version", "single", "topic", "where", "list", "chapter", "fallback", "log"):
+    for name in ("pages", "rules", "template", "kb", "out", "version", "single", "topic", "where", "list", "chapter", "fallback", "log", "run"):
         given.add_argument(f"--{name}")
     given.add_argument("--format", type=int)
     given.add_argument("--host", default=Names.host)
@@ -149,8 +151,8 @@ def main(args: list[str] | None = None) -> None:
         sinks.write_template(found, x.out, chapter=chapter, topic=x.topic or x.single or x.where or "", format=str(form))
     else:
         found = extract(pages, read_rules(spark, x.rules), chapter, kb, names, x.mode, not x.keep_summaries, x.fallback, x.prefer_link)
-        sinks.write_graph(found.triples, f"{x.out}/graph", "turtle" if x.turtle else "ntriples")
-        sinks.write_report(found.report, f"{x.out}/report")
+        sinks.write_graph(found.triples, f"{x.out}/graph", "turtle" if x.turtle else "ntriples", x.run)
+        sinks.write_report(found.report, f"{x.out}/report", x.run)
         log.warning("%s", found.report.first().asDict())
         found.close()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.commit import commit_lines
+
 #: Objects of a block of Turtle at most.
 OBJECTS = 1000
 
@@ -39,12 +41,15 @@ def turtle_blocks(triples: DataFrame, most: int = OBJECTS) -> DataFrame:
     return objects.select(F.concat(_address(F.col("s")), F.lit(" "), _address(F.col("p")), F.lit(" "), "x", F.lit(" .")).alias("value"))
 
 
-def write_graph(triples: DataFrame, path: str, form: str = "ntriples") -> bool:
-    """Write a graph; an empty one is not written. Returns whether it was."""
+def write_graph(triples: DataFrame, path: str, form: str = "ntriples", run: str | None = None) -> bool:
+    """Write a graph; an empty one is not written. Returns whether it was. With ``run`` it is committed as that run below ``path``."""
     if triples.isEmpty():
         return False
     lines = {"ntriples": ntriples_lines, "turtle": turtle_blocks}[form](triples)
-    lines.write.mode("errorifexists").text(path)
+    if run is None:
+        lines.write.mode("errorifexists").text(path)
+    else:
+        commit_lines(lines, path, run)
     return True
 
 
@@ -67,5 +72,9 @@ def read_template(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     return rows.select("section", "header", "property"), first.asDict() if first else {}
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("errorifexists").json(path)
+def write_report(report: DataFrame, path: str, run: str | None = None) -> None:
+    """Write a report as JSON, with ``run`` as that run below ``path``."""
+    if run is None:
+        report.write.mode("errorifexists").json(path)
+    else:
+        commit_lines(report.select(F.to_json(F.struct("*")).alias("value")), path, run)

@@ -1,0 +1,133 @@
+"""The sink that commits: whole runs or nothing, and no run twice."""
+
+from __future__ import annotations
+
+import glob
+import json
+import os
+
+import pyarrow as pa
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from factloom.operators.refine import refine
+from factloom.sources import commit, sinks
+from factloom.sources.commit import LinesSink, _Lines, commit_lines
+from factloom.sources.pages import parse_tables
+from factloom.sources.triples import read_triples
+
+
+def lines(spark, n, parts=3):
+    return spark.range(0, n, 1, parts).select(F.concat(F.lit("líne "), F.col("id").cast("string")).alias("value"))
+
+
+def held(spark, path):
+    return sorted(r.value for r in spark.read.text(path).select("value").collect())
+
+
+def names(path):
+    return sorted(os.listdir(path))
+
+
+def test_runs_are_whole_and_repeats_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    commit_lines(lines(spark, 1000), path, "a")
+    commit_lines(lines(spark, 7), path, "a")  # a repeat, whatever it holds
+    assert held(spark, path) == sorted(f"líne {i}" for i in range(1000))
+    commit_lines(lines(spark, 2), path, "b")
+    assert names(path) == ["run=a", "run=b"]
+    assert len(held(spark, path)) == 1002
+    assert json.load(open(f"{path}/run=a/_committed")) == {"rows": 1000, "files": 3}
+
+
+def test_runs_without_a_name_are_new(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    commit_lines(lines(spark, 5), path)
+    commit_lines(lines(spark, 5), path)
+    assert len(held(spark, path)) == 10
+
+
+def test_overwrite_puts_one_run_in_place_of_all(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for run, n in ("a", 4), ("b", 5), ("a", 6):
+        commit_lines(lines(spark, n), path, run, "overwrite")
+        assert names(path) == [f"run={run}"]
+        assert len(held(spark, path)) == n
+
+
+def test_a_failing_task_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    commit_lines(lines(spark, 3), path, "a")
+    bad = lines(spark, 50_000, 4).withColumn("value", F.when(F.col("value") == "líne 49999", F.raise_error(F.lit("stop"))).otherwise(F.col("value")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(PySparkException):
+            commit_lines(bad, path, "b", mode)
+        assert names(path) == ["run=a"]
+        assert len(held(spark, path)) == 3
+
+
+def test_nulls_empty_texts_and_empty_frames(spark, tmp_path):
+    path = str(tmp_path / "out")
+    commit_lines(spark.createDataFrame([("",), (None,), ("a",), ("x" * 300_000,)], "value string").coalesce(1), path, "a")
+    assert held(spark, path) == ["", "a", "x" * 300_000]
+    commit_lines(lines(spark, 0), path, "none")
+    assert names(f"{path}/run=none") == ["_committed"]
+    commit_lines(lines(spark, 3), path, "none")
+    assert len(held(spark, path)) == 3
+
+
+def test_a_run_is_named_plainly(spark, tmp_path):
+    with pytest.raises(PySparkException):
+        commit_lines(lines(spark, 1), str(tmp_path / "out"), "../x")
+
+
+def test_what_a_lost_attempt_left_is_not_committed(tmp_path, monkeypatch):
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(commit.TaskContext, "get", staticmethod(Task))
+    made = _Lines(str(tmp_path), "a")
+    part = lambda *texts: iter([pa.record_batch([pa.array(texts)], names=["value"]).slice(1)])
+    made.stage(part("-", "lost"))
+    kept = made.stage(part("-", "kept", "too"))
+    made.finish([kept, None], "a")
+    (file,) = glob.glob(f"{tmp_path}/run=a/part-*")
+    assert open(file).read() == "kept\ntoo\n"
+    assert names(tmp_path) == ["run=a"]
+
+
+def test_graph_as_a_run(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    triples = spark.createDataFrame([("s", "p", 'a "b"\n', "literal", None), ("s", "p", "http://x/o", "iri", None)], "s string, p string, o string, o_kind string, datatype string")
+    for form in "ntriples", "turtle":
+        for _ in range(2):
+            assert sinks.write_graph(triples, path, form, run=form)
+    read = read_triples(spark, f"{path}/run=turtle").select("s", "p", "o", "o_kind", "datatype")
+    assert sorted(read.collect(), key=str) == sorted(triples.collect(), key=str)
+    assert read_triples(spark, path).count() == 4
+    assert not sinks.write_graph(triples.limit(0), path, run="none")
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema = "page_id long, resource string, html string"
+    page = "<h2><span id='S'>S</span></h2><table class='wikitable'><tr><th>A</th></tr><tr><td>{}</td></tr></table>"
+    spark.dataSource.register(LinesSink)
+    for i in range(3):
+        spark.createDataFrame([(i, f"R{i}", page.format(i))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
+        out = refine(parse_tables(pages)).select(F.to_json(F.struct("page_id", "section")).alias("value"))
+        run = out.writeStream.format("factloom_lines").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination(60)
+        assert run.exception() is None
+    assert names(tmp_path / "out") == ["run=0", "run=1", "run=2"]
+    assert sorted(json.loads(v)["page_id"] for v in held(spark, str(tmp_path / "out"))) == [0, 1, 2]
+    # a batch that is written again, as after a loss between its write and its mark in the checkpoint
+    os.remove(tmp_path / "state" / "commits" / "2")
+    for crc in glob.glob(str(tmp_path / "state" / "commits" / ".2.crc")):
+        os.remove(crc)
+    run = out.writeStream.format("factloom_lines").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination(60)
+    assert run.exception() is None
+    assert len(held(spark, str(tmp_path / "out"))) == 3
