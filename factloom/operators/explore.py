@@ -16,7 +16,7 @@ from factloom.operators.kb import property_by_label
 from factloom.operators.rules import SECTION_PREFIX, SECTION_PROPERTY, SEPARATOR
 from factloom.plans.components import connected_components
 from factloom.plans.scratch import Scratch
-from factloom.plans.skew import salted_join, sized
+from factloom.plans.skew import lookup, salted_join, sized
 
 #: Example pages of a section, and letters by which names are found that may contain each other.
 EXAMPLES, GRAM = 3, 3
@@ -224,7 +224,8 @@ def header_vocabulary(refined: DataFrame, sections: DataFrame, rules: DataFrame,
     pairs = used.join(sections.select("section", "group"), "section").select("group", F.replace("header", F.lit("'"), F.lit("")).alias("header")).distinct()
     strict = rules.where("kind in ('strict', 'any')").select(F.col("key").alias("strict_key"), F.col("property").alias("a"))
     loose = rules.where("kind in ('loose', 'any')").select(F.col("key").alias("header"), F.col("property").alias("b"))
-    found = pairs.withColumn("strict_key", F.concat_ws("_", "group", "header")).join(strict, "strict_key", "left").join(loose, "header", "left")
+    found = lookup(pairs.withColumn("strict_key", F.concat_ws("_", "group", "header")), strict, "strict_key", F.col("group"))
+    found = lookup(found, loose, "header", F.col("group"))
     if kb is not None:
         found = found.join(property_by_label(found.where("a is null and b is null").select("header"), kb, lang).withColumnRenamed("property", "c"), "header", "left")
     else:

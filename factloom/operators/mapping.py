@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions.text import is_float, is_int, plain_accents, resource_key
 from factloom.plans.scratch import Scratch
-from factloom.plans.skew import salted_join
+from factloom.plans.skew import FEW_BYTES, lookup, salted_join
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -75,11 +75,15 @@ def row_counts(rows: DataFrame, rules: DataFrame, numbered: DataFrame | None = N
     return last.select("resource", F.col("rows").cast("long").alias("rows"))
 
 
-def with_property(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """``cells`` (section, header) with ``property``: of the strict rule if there is one, even an empty one, else of the loose rule."""
+def with_property(cells: DataFrame, rules: DataFrame, by: Column, few_bytes: int = FEW_BYTES) -> DataFrame:
+    """``cells`` (section, header) with ``property``: of the strict rule if there is one, even an empty one, else of the loose rule.
+
+    A header may be that of most cells; ``by`` tells its cells apart where the rules are too many to be broadcast.
+    """
     strict = rules.where("kind in ('strict', 'any')").select(F.col("key").alias("strict_key"), F.col("property").alias("strict_property"))
     loose = rules.where("kind in ('loose', 'any')").select(F.col("key").alias("header"), F.col("property").alias("loose_property"))
-    found = cells.withColumn("strict_key", F.concat_ws("_", "section", "header")).join(strict, "strict_key", "left").join(loose, "header", "left")
+    found = lookup(cells.withColumn("strict_key", F.concat_ws("_", "section", "header")), strict, "strict_key", by, few_bytes)
+    found = lookup(found, loose, "header", by, few_bytes)
     chosen = F.when(F.col("strict_property").isNotNull(), F.col("strict_property")).otherwise(F.col("loose_property"))
     return found.withColumn("property", chosen).drop("strict_key", "strict_property", "loose_property")
 
@@ -119,7 +123,7 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
     apart = F.concat(F.lit("\0"), "row_of")  # no key; spreads rows over a join
     value = F.coalesce(F.get("cell.links", F.lit(0)), "cell.value") if prefer_link else F.col("cell.value")
     flat = each.select("subject", "row_of", "section", "section_property", F.col("cell").isNull().alias("own"), F.coalesce("cell.header", apart).alias("header"), value.alias("value"))
-    found = with_property(flat, own).where("own or (value <> '-' and property <> '')")
+    found = with_property(flat, own, F.concat_ws("\0", "row_of", "value")).where("own or (value <> '-' and property <> '')")
     is_text = ~F.col("own") & ~is_float(F.col("value"))
     found = link_entities(found, kb, base, is_text, F.concat_ws("\0", "row_of", "header"), scratch=scratch) if kb is not None else found.withColumn("entity", F.lit(None).cast("string"))
     address = F.col("own") | F.col("entity").isNotNull()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.mapping import chapter_rules
+from factloom.plans.skew import lookup
 
 
 def beside(*rows: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def unmapped(rows: DataFrame, rules: DataFrame, chapter: str, fallback: str | No
     of_sections = tables.agg(F.count_if("bare").alias("unmapped_sections"), F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("w"))
     cells = tables.where("not bare").select("resource", "table_ord", "section", F.explode("rows").alias("r")).select("resource", "table_ord", "section", F.explode("r.cells").alias("c")).where("c.value <> '-'")
     heads = cells.select("resource", "table_ord", "section", F.col("c.header").alias("loose_key")).distinct().withColumn("strict_key", F.concat_ws("_", "section", "loose_key"))
-    met = heads.join(by("strict", "strict"), "strict_key", "left").join(by("loose", "loose"), "loose_key", "left")
+    apart = F.concat_ws("\0", "resource", "table_ord", "section")
+    met = lookup(lookup(heads, by("strict", "strict"), "strict_key", apart), by("loose", "loose"), "loose_key", apart)
     chosen = F.when(F.col("strict").isNotNull(), F.col("strict")).otherwise(F.coalesce("loose", F.lit("")))
     of_headers = met.agg(F.count_if(chosen == "").alias("n"))
     return beside(of_sections, of_headers).select("unmapped_sections", (F.col("w") + F.col("n")).alias("unmapped_headers"))

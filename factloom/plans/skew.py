@@ -38,3 +38,18 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: Column, total: in
     dealt = many.join(heavy, key, "left").withColumn("_piece", piece).drop("_pieces")
     copies = one.join(heavy, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     return dealt.join(copies, [key, "_piece"], how).drop("_piece")
+
+
+def lookup(many: DataFrame, one: DataFrame, key: str, by: Column, few_bytes: int = FEW_BYTES, parts: int = 32) -> DataFrame:
+    """``many`` joined left to ``one``, which has a row for each ``key`` and mostly is small, as ``many.join(one, key, "left")``.
+
+    ``one`` is broadcast if its counted bytes are few. Beyond that each of its rows is
+    copied ``parts`` times, and the rows of ``many`` are dealt by the hash of ``by``: so no key
+    is hot, without ``many`` being counted before. No column may be named ``_piece``.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string").cast("binary")), F.lit(0)) + 16 for c in one.columns), F.lit(0))
+    if (one.agg(F.sum(size)).first()[0] or 0) <= few_bytes:
+        return many.join(F.broadcast(one), key, "left")
+    dealt = many.withColumn("_piece", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    copies = one.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, [key, "_piece"], "left").drop("_piece")

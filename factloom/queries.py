@@ -758,6 +758,17 @@ def store_roundtrip(spark, sf_dir):
     return read_triples(spark, path).select("s", "p", "o", "o_kind", "datatype")
 
 
+@query(f"SELECT run, s, p, o, o_kind, datatype FROM ({_ORDER_TRIPLES}), (VALUES ('a'), ('b')) AS runs(run) WHERE (o_kind = 'iri') = (run = 'a')")
+def committed_runs(spark, sf_dir):
+    """The graph of the order pages committed in two runs, one of them twice, and read again."""
+    path = written(spark, "runs")
+    found = Scratch(spark, "graph").save(order_triples(spark, sf_dir), "graph")
+    for run, kind in ("a", "iri"), ("b", "literal"), ("a", "iri"):
+        sinks.write_graph(found.where(F.col("o_kind") == kind), path, run=run)
+    parts = [read_triples(spark, f"{path}/run={x}").select(F.lit(x).alias("run"), "s", "p", "o", "o_kind", "datatype") for x in "ab"]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""
 SELECT '{BASE}C' || c_custkey AS s, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'
 """)

@@ -225,6 +225,30 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
     assert sized(few) is not few
 
 
+def test_lookups_in_few_and_in_many_rules(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 7 == 0, F.lit(None)).when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("Name").alias("k"), "id")
+    one = spark.createDataFrame([("Name", "p"), ("3", None), ("6", "q"), ("-", "r")], "k string, v string")
+    expected = sorted(many.join(one, "k", "left").collect(), key=str)
+    few, dealt = (skew.lookup(many, one, "k", F.col("id"), few_bytes=n, parts=5) for n in (skew.FEW_BYTES, -1))
+    for found in few, dealt:
+        assert found.columns == ["k", "id", "v"]
+        assert sorted(found.collect(), key=str) == expected
+    assert "_piece" not in few._jdf.queryExecution().toString()
+    assert "_piece" in dealt._jdf.queryExecution().toString()
+    assert skew.lookup(many, one.limit(0), "k", F.col("id")).where("v is not null").isEmpty()
+
+
+def test_properties_by_many_rules(spark):
+    """Strict before loose, an empty strict rule too, whether the rules are broadcast or dealt."""
+    own = spark.createDataFrame([("strict", "S_A", ""), ("any", "A", "a"), ("loose", "B", "b"), ("any", "S_C", "c")], "kind string, key string, property string")
+    cells = spark.createDataFrame([("S", h, i) for i in range(40) for h in ("A", "B", "C", "D")] + [("T", "A", 0), (None, "B", 0)], "section string, header string, at int")
+    plain = {("S", "A"): "", ("S", "B"): "b", ("S", "C"): "c", ("S", "D"): None, ("T", "A"): "a", (None, "B"): "b"}
+    for few in (skew.FEW_BYTES, -1):
+        found = mapping.with_property(cells, own, F.col("at"), few).collect()
+        assert len(found) == cells.count()
+        assert all(r.property == plain[r.section, r.header] for r in found)
+
+
 def test_no_local_folder_on_a_cluster():
     session = Mock()
     session.conf.get.return_value = None
