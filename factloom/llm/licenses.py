@@ -8,8 +8,8 @@ within a sentence, or stand behind comment marks, and the clauses of whole
 licences (``BODIES``), are found by windows over the words of the whole text, but
 for the parts that match already. The bound gives the lengths of windows, and
 how many bigrams of a template a text must hold before any window is looked at;
-texts without any of some rare words, of which every match has one, are passed
-by. All of it is one projection over a row, in DataFrame functions, so nothing
+texts without any of some rare words, of which every match has one, are not even
+cut. All of it is one projection over a row, in DataFrame functions, so nothing
 is shuffled.
 
 Defined results: null and empty texts match nothing; texts of any length are
@@ -53,7 +53,9 @@ BODIES = (("mit", "Licensed under the MIT License."), *clauses())
 THRESHOLD = 0.8
 _CUT = r"\n|[.!?] "
 _GAP = r"[^\p{L}\p{N}]+"
+_LETTERLESS = r"[^\p{L}\p{N}]"
 _WALL = "\n \n"
+_MATCHES = "array<struct<segment:int,license:string,dice:double>>"
 #: Words that tell little, tried last.
 _COMMON = ("a", "any", "by", "for", "in", "is", "of", "or", "the", "this", "to", "use", "with", "work")
 
@@ -129,7 +131,7 @@ def _windows(rest: Column, templates, threshold: float) -> Column:
 
 
 def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bodies: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """One row for each row of ``df``: id, and matches (segment, license, dice), a segment counted from 0.
+    """One row for each row of ``df``: id, and matches (segment, license, dice), a segment counted from 0; ``threshold`` is above 0.
 
     ``bodies``: windows over what no segment matches are compared to these and ``templates``
     as well, and counted at the segment in which they begin; None: segments only.
@@ -139,8 +141,15 @@ def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     reach = threshold / (2 - threshold)
     least = min((math.ceil(len(b) * reach - 1e-9) for _, b in sets), default=1)
     most = max((math.floor(len(b) / reach + 1e-9) for _, b in sets), default=0)
-    known = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for n, b in sets])
-    parts = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _CUT)
+    known = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n")) for n, b in sets]).cast("array<struct<license:string,b:array<string>,n:int>>")
+    low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    parts = F.split(low, _CUT)
+    # a match holds one of these words; most texts hold none, and are not taken apart
+    rare = _rare([*sets, *((n, _bigrams(t)) for n, t in bodies or ())], reach)
+    if not rare:  # no templates
+        return df.select(F.col(id_col).alias(id_col), F.array().cast(_MATCHES).alias("matches"))
+    some = F.arrays_overlap(F.split(low, _LETTERLESS), F.array(*map(F.lit, rare)))
+    found = lambda matches: F.when(some, matches).otherwise(F.array().cast(_MATCHES)).alias("matches")
     every_word: Column = F.transform(parts, lambda s, i: F.struct(i.alias("segment"), F.split(F.trim(F.regexp_replace(s, _GAP, " ")), " ").alias("w")))
     pair = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
 
@@ -157,15 +166,13 @@ def match_licenses(df: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         return F.filter(F.flatten(F.transform(paired, against)), lambda m: m["dice"] >= threshold)
 
     if bodies is None:
-        return df.select(F.col(id_col).alias(id_col), by_parts(every_word).alias("matches"))
+        return df.select(F.col(id_col).alias(id_col), found(by_parts(every_word)))
     wall = F.array(F.lit("\n"), F.lit("\n"))  # no window reaches over a match
     plain = lambda x, done: F.when(F.array_contains(done, x["segment"]), wall).otherwise(F.filter(x["w"], lambda w: w != ""))
     rest = lambda words, done: F.flatten(F.transform(words, lambda x: F.transform(plain(x, done), lambda w: F.struct(w.alias("w"), x["segment"].alias("segment")))))
-    rare = _rare([*sets, *((n, _bigrams(t)) for n, t in bodies)], reach)
-    some = lambda words: F.exists(words, lambda x: F.exists(x["w"], lambda w: w.isin(rare)))
     more = lambda words, m: _let(F.transform(m, lambda x: x["segment"]), lambda done: _windows(rest(words, done), (*templates, *bodies), threshold))
-    both = lambda words: _let(by_parts(words), lambda m: F.when(some(words), F.concat(m, more(words, m))).otherwise(m))
-    return df.select(F.col(id_col).alias(id_col), _let(every_word, both).alias("matches"))
+    both = lambda words: _let(by_parts(words), lambda m: F.concat(m, more(words, m)))
+    return df.select(F.col(id_col).alias(id_col), found(_let(every_word, both)))
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:

@@ -377,6 +377,18 @@ def test_license_rows(spark):
     assert licenses.match_licenses(texts(spark, "a").limit(0)).count() == 0
 
 
+def test_license_words_that_every_match_has(spark):
+    """Texts are passed by for want of rare words only where nothing can match; without templates nothing does."""
+    one = (("x", "the beta gamma of delta"),)
+    texts = ["The BETA, gamma of delta", "betas gammas of deltas", "the beta gamma of", "of the", "", None, "alpha beta_gamma of delta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lambda *given, **named: {r.doc_id: [m.license for m in r.matches] for r in licenses.match_licenses(docs, *given, **named).collect()}
+    for bodies, hits in (None, [0, 2]), ((), [0, 2, 6]):  # only a window leaves out the alpha
+        found = got(one, bodies=bodies)
+        assert [i for i, m in found.items() if m] == hits
+        assert got((), bodies=bodies) == {i: [] for i in range(len(texts))}
+
+
 def test_license_dice_by_brute_force(spark):
     rng = random.Random(7)
     words = "licensed under the mit apache license version 2 0 gnu public released this work is".split()
