@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ _FLOAT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?|nan
 _INT = r"^\s*[+-]?\d+\s*$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; an aggregate's end, as a transform would copy all of what ``use`` gives."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
+
+
 def is_float(x: Column) -> Column:
     """Whether a text reads as a number: digits, exponent, nan and inf; no grouping, suffix or hex."""
     return F.coalesce(x.rlike(_FLOAT), F.lit(False))
@@ -81,14 +87,14 @@ def date_stamp(t: Column) -> Column:
 def letter_distance(a: Column, b: Column) -> Column:
     """How many letters one text has and the other lacks, spaces and case apart.
 
-    A letter counts once, but in upper case each time.
+    A letter counts once, but in upper case each time. The letters of each text are
+    found once, and not again for each letter of the other.
     """
     letters = lambda x: F.split(F.replace(x, F.lit(" "), F.lit("")), "")
     met = lambda found, c: F.when(F.array_contains(found, c), found).otherwise(F.concat(found, F.array(F.lower(c))))
     unique = lambda x: F.aggregate(F.filter(letters(x), lambda c: c != ""), F.array().cast("array<string>"), met)
     lacking = lambda x, y: F.size(F.filter(x, lambda c: ~F.array_contains(y, c)))
-    x, y = unique(a), unique(b)
-    return lacking(x, y) + lacking(y, x)
+    return once(F.struct(unique(a).alias("a"), unique(b).alias("b")), lambda both: lacking(both["a"], both["b"]) + lacking(both["b"], both["a"]))
 
 
 @functools.cache

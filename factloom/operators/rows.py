@@ -21,12 +21,10 @@ the one there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import letter_distance, to_float
+from factloom.functions.text import letter_distance, once, to_float
 
 #: Matching columns, and distance of the texts, from which on a row is a summary.
 MATCHES, DISTANCE = 2, 7
@@ -35,11 +33,6 @@ _ROWS = "array<struct<row_ord:int,removed:boolean,cells:array<struct<header:stri
 NEAR = 1e-10
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _upto(n: Column) -> Column:
     """The places 0 to n - 1."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -63,7 +56,7 @@ def _named(entries: Column, headers: Column) -> Column:
 def _laid_over(run: Column) -> Column:
     """By place, the cell of the last of a run's pieces that reaches it."""
     last = lambda p: F.array_max(F.transform(run, lambda c, i: F.when(F.size(c) > p, i)))
-    entry = lambda p: _with(last(p), lambda k: F.struct(k.alias("piece"), F.get(F.get(run, k), p).alias("cell")))
+    entry = lambda p: once(last(p), lambda k: F.struct(k.alias("piece"), F.get(F.get(run, k), p).alias("cell")))
     return F.transform(_upto(F.array_max(F.transform(run, F.size))), entry)
 
 
@@ -72,20 +65,20 @@ def joined_rows(headers: Column, data: Column, mode: str = "compat") -> Column:
     width = F.size(headers)
     if mode == "clean":
         entries = lambda row: F.transform(F.slice(row, F.lit(1), width), lambda c: F.struct(F.lit(0).alias("piece"), c.alias("cell")))
-        return F.transform(data, lambda row: _with(entries(row), lambda x: _named(x, headers)))
+        return F.transform(data, lambda row: once(entries(row), lambda x: _named(x, headers)))
 
     def of_runs(pieces: Column, ends: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
         runs = F.zip_with(starts, ends, lambda s, e: F.slice(pieces, s + 1, e - s + 1))
-        return F.flatten(F.transform(runs, lambda run: F.array_repeat(_with(_laid_over(run), lambda x: _named(x, headers)), F.size(run))))
+        return F.flatten(F.transform(runs, lambda run: F.array_repeat(once(_laid_over(run), lambda x: _named(x, headers)), F.size(run))))
 
     def of_pieces(pieces: Column) -> Column:
         n = F.size(pieces)
         ends = F.filter(_upto(n), lambda i: (F.size(F.get(pieces, i)) == width) | (i == n - 1))
-        return _with(ends, lambda found: of_runs(pieces, found))
+        return once(ends, lambda found: of_runs(pieces, found))
 
     pieces = F.flatten(F.transform(data, lambda row: F.transform(_upto(F.ceil(F.size(row) / width).cast("int")), lambda k: F.slice(row, k * width + 1, width))))
-    return _with(pieces, of_pieces)
+    return once(pieces, of_pieces)
 
 
 def _same(number: Column, total: Column, kept: Column) -> Column:
@@ -118,7 +111,7 @@ def removed_places(joined: Column, numbers: Column, width: Column) -> Column:
 
         def judged(columns: Column) -> Column:
             gone = F.when(F.size(F.filter(columns, lambda c: c["match"])) >= MATCHES, differs(t, state["before"])).otherwise(F.lit(False))
-            return _with(
+            return once(
                 gone,
                 lambda out: F.struct(
                     (state["skipped"] + out.cast("int")).alias("skipped"),
@@ -128,7 +121,7 @@ def removed_places(joined: Column, numbers: Column, width: Column) -> Column:
                 ),
             )
 
-        return _with(looked, judged)
+        return once(looked, judged)
 
     start = F.struct(F.lit(0).alias("skipped"), F.lit(-1).alias("before"), F.array_repeat(F.lit(None).cast("double"), width).alias("totals"), F.array().cast("array<int>").alias("places"))
     return F.aggregate(_upto(n), start, step, lambda state: state["places"])
@@ -149,7 +142,7 @@ def table_rows(refined: DataFrame, mode: str = "compat", drop_summaries: bool =
         if not drop_summaries:
             return rows(joined, F.array().cast("array<int>"))
         numbers = F.transform(joined, lambda row: F.transform(row, lambda c: to_float(c["value"])))
-        return _with(numbers, lambda found: _with(removed_places(joined, found, F.size(headers)), lambda places: rows(joined, places)))
+        return once(numbers, lambda found: once(removed_places(joined, found, F.size(headers)), lambda places: rows(joined, places)))
 
-    found = _with(F.col("headers"), lambda headers: F.when(F.size(headers) > 0, _with(joined_rows(headers, F.col("data"), mode), lambda joined: judged(joined, headers))).otherwise(F.array().cast(_ROWS)))
+    found = once(F.col("headers"), lambda headers: F.when(F.size(headers) > 0, once(joined_rows(headers, F.col("data"), mode), lambda joined: judged(joined, headers))).otherwise(F.array().cast(_ROWS)))
     return tables.select(*(c for c in tables.columns if c != "data"), found.alias("rows"))
