@@ -53,3 +53,17 @@ def lookup(many: DataFrame, one: DataFrame, key: str, by: Column, few_bytes: int
     dealt = many.withColumn("_piece", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     copies = one.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return dealt.join(copies, [key, "_piece"], "left").drop("_piece")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt to as many tasks as the session shuffles to, and at least two for each core, by the hash of ``by``.
+
+    For rows that are few bytes and much work: a scan cuts files by their bytes, and the
+    adaptive plan joins small partitions, so that one task would do the work of all.
+    Streams stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, F.xxhash64(*by))

@@ -20,8 +20,9 @@ from factloom.operators.refine import refine
 from factloom.operators.rows import table_rows
 from factloom.plans.render import collected, escaped, head_html, row_html, table_html, tags
 from factloom.plans.scratch import Scratch
+from factloom.plans.skew import spread
 from factloom.sources import answers, sinks
-from factloom.sources.pages import one_resource, parse_tables, read_resources, with_status
+from factloom.sources.pages import dealt, one_resource, parse_tables, read_resources, with_status
 from factloom.sources.sinks import ntriples_lines, turtle_blocks
 from factloom.sources.triples import read_triples
 
@@ -79,9 +80,14 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_RULES = (("section", "SECTION_Orders", "order"), ("loose", "Order", "label"), ("loose", "Status", "status"), ("strict", "Orders_Total", "total"), ("loose", "Priority", "priority"))
 
 
+def parsed(pages: DataFrame, mode: str = "compat", data: bool = True) -> DataFrame:
+    """Pages to refined tables, by all tasks."""
+    return refine(parse_tables(dealt(pages), mode, data))
+
+
 def joined(pages: DataFrame, mode: str = "compat") -> DataFrame:
     """Pages to joined rows."""
-    return table_rows(refine(parse_tables(pages, mode)), mode)
+    return table_rows(parsed(pages, mode), mode)
 
 
 def long_cells(rows: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ FROM (SELECT r_regionkey, r_name, count(*) AS n FROM region JOIN nation ON n_reg
 def table_scan_sections(spark, sf_dir):
     """Tables numbered by class before place, sections from headings or the page's name."""
     extra = '<hr><table class="wikitable sortable"><thead><tr><th>Only</th></tr></thead><tbody><tr><td>x</td></tr></tbody></table><table class="infobox"><tr><th>no</th></tr></table>'
-    found = refine(parse_tables(nation_pages(spark, sf_dir, extra=extra)))
+    found = parsed(nation_pages(spark, sf_dir, extra=extra))
     return found.select("page_id", "table_ord", "section", "n_rows", F.size("headers_refined").alias("n_headers"), "vertical")
 
 
@@ -115,7 +121,7 @@ def header_colspan_merge(spark, sf_dir):
     head = F.concat(F.lit('<tr><th rowspan="2">'), name, F.lit('</th><th colspan="2">'), name, F.lit(" account</th></tr><tr><th>Balance</th><th>Segment</th></tr>"))
     html = F.concat(F.lit('<table class="wikitable">'), head, F.lit("<tr><td>1</td><td>2</td><td>3</td></tr></table>"))
     pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.col("n_name").alias("resource"), html.alias("html"))
-    return refine(parse_tables(pages)).select("page_id", F.posexplode("headers_refined").alias("header_ord", "header"))
+    return parsed(pages).select("page_id", F.posexplode("headers_refined").alias("header_ord", "header"))
 
 
 @query("""
@@ -125,7 +131,7 @@ def header_citation_ascii(spark, sf_dir):
     """Headers without citations, in ASCII with points."""
     html = F.concat(F.lit('<table class="wikitable"><tr><th>'), escaped(F.col("n_name")), F.lit(" Città it's? ["), F.col("n_nationkey").cast("string"), F.lit("]</th></tr><tr><td>1</td></tr></table>"))
     pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.col("n_name").alias("resource"), html.alias("html"))
-    return refine(parse_tables(pages)).select("page_id", F.explode("headers").alias("header"))
+    return parsed(pages).select("page_id", F.explode("headers").alias("header"))
 
 
 # ---------------------------------------------------------------- cells
@@ -152,7 +158,7 @@ SELECT CAST(o_custkey AS BIGINT) AS page_id, count(*) AS n_cells, CAST(sum(CAST(
 """)
 def numeric_typing(spark, sf_dir):
     """Texts that read as numbers are numbers."""
-    found = refine(parse_tables(order_pages(spark, sf_dir)))
+    found = parsed(order_pages(spark, sf_dir))
     numbers = found.select("page_id", F.explode(F.flatten("data")).alias("c")).where("c.num is not null")
     return numbers.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.round(F.col("c.num") * 100).cast("long")).alias("cents"))
 
@@ -162,7 +168,7 @@ SELECT CAST(n_regionkey AS BIGINT) AS page_id, count(*) AS n_rows, CAST(sum(n_na
 """)
 def totale_filter(spark, sf_dir):
     """Rows marked as a total are no data."""
-    found = refine(parse_tables(nation_pages(spark, sf_dir, last="<tr><td>Totale</td><td>999</td><td>-</td></tr>")))
+    found = parsed(nation_pages(spark, sf_dir, last="<tr><td>Totale</td><td>999</td><td>-</td></tr>"))
     rows = found.select("page_id", F.explode("data").alias("r"))
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.get("r", F.lit(1))["num"].cast("long")).alias("keys"))
 
@@ -226,7 +232,7 @@ UNION ALL SELECT row_iri, '{ONTOLOGY}total', CAST(o_totalprice AS VARCHAR), 'lit
 def clean_triples(spark, sf_dir):
     """The graph of these pages."""
     given = (("section", "SECTION_Orders", "order"), ("loose", "Status", "status"), ("loose", "Order - No", "label"), ("strict", "Orders_Order - Total", "total"))
-    return mapping.graph(mapping.make_triples(table_rows(refine(parse_tables(spanned_pages(spark, sf_dir), "clean")), "clean", drop_summaries=False), rule_frame(spark, *given)))
+    return mapping.graph(mapping.make_triples(table_rows(parsed(spanned_pages(spark, sf_dir), "clean"), "clean", drop_summaries=False), rule_frame(spark, *given)))
 
 
 @query("""
@@ -372,7 +378,7 @@ def table_status(spark, sf_dir):
     name, head = escaped(F.col("p_name")), head_html("A", "B")
     body = F.when(F.col("p_partkey") % 4 == 0, row_html(name, name)).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit(head + "<tr><th>C</th></tr>"), row_html(name, name))).when(F.col("p_partkey") % 4 == 2, F.lit(head))
     body = F.coalesce(body, F.concat(F.lit(head + "<tr><th>C</th><th>D</th></tr>"), row_html(name, name)))
-    found = refine(parse_tables(part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable">'), body, F.lit("</table>")))))
+    found = parsed(part_pages(spark, sf_dir, F.concat(F.lit('<table class="wikitable">'), body, F.lit("</table>"))))
     return found.select("page_id", "status", F.size("headers_raw").alias("header_rows"))
 
 
@@ -386,7 +392,7 @@ def vertical_pages(spark, sf_dir):
 @query("SELECT p_partkey AS page_id, true AS vertical, 'Name|Brand.|Size' AS headers_refined FROM part")
 def vertical_headers(spark, sf_dir):
     """Headers beside their data: the first cell of every row."""
-    found = refine(parse_tables(vertical_pages(spark, sf_dir)))
+    found = parsed(vertical_pages(spark, sf_dir))
     return found.select("page_id", "vertical", F.array_join("headers_refined", "|").alias("headers_refined"))
 
 
@@ -426,7 +432,7 @@ SELECT p_partkey, {_DISTANCE} AS distance FROM (SELECT p_partkey, {_LETTERS.form
 """)
 def letter_distances(spark, sf_dir):
     """How far a part's name is from its brand with the name in upper case."""
-    return table(spark, sf_dir, "part").select("p_partkey", fn.letter_distance(F.col("p_name"), F.concat("p_brand", F.lit(" "), F.upper("p_name"))).alias("distance"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", fn.letter_distance(F.col("p_name"), F.concat("p_brand", F.lit(" "), F.upper("p_name"))).alias("distance"))
 
 
 @query(f"""
@@ -469,8 +475,9 @@ FROM customer, (VALUES (1, 'a', ' First0'), (2, 'b', ' Last0'), (3, 'b', ' Last1
 def row_numbers(spark, sf_dir):
     """Rows are numbered over the tables that have a rule, and only over these; quotes are no part of a subject."""
     found = mapping.make_triples(joined(mixed_pages(spark, sf_dir)), rule_frame(spark, ("section", "SECTION_First", "a"), ("section", "SECTION_Last", "b"), ("loose", "Item", "item")))
-    items = found.where("kind = 'cell'").select(F.col("s").alias("o"), F.col("o").alias("item"))
-    return found.where("kind = 'row'").select("s", "p", "o").join(items, "o").select("s", "p", "o", "item")
+    of_row = lambda c: F.max(F.when(F.col("kind") == "row", F.col(c))).alias(c)
+    rows = found.groupBy(F.when(F.col("kind") == "row", F.col("o")).otherwise(F.col("s")).alias("row_of")).agg(of_row("s"), of_row("p"), F.collect_list(F.when(F.col("kind") == "cell", F.col("o"))).alias("items"))
+    return rows.select("s", "p", F.col("row_of").alias("o"), F.explode("items").alias("item"))
 
 
 @query("SELECT count(*) AS resources_analysed, 3 * count(*) AS tables_found, count(*) AS unmapped_sections, 2 * count(*) AS unmapped_headers FROM customer")
@@ -890,7 +897,7 @@ def section_pages(spark, sf_dir, suffix: str = ""):
 
 
 def explored(spark, sf_dir, suffix, similar, output_format):
-    refined = refine(parse_tables(section_pages(spark, sf_dir, suffix), data=True))
+    refined = parsed(section_pages(spark, sf_dir, suffix), data=True)
     own = mapping.chapter_rules(rule_frame(spark, ("loose", "Name", "name"), ("section", "SECTION_ASIA", "asia")), "en")
     sections = explore.section_vocabulary(refined, similar)
     return explore.template(sections, explore.header_vocabulary(refined, sections, own), own, output_format)
@@ -956,7 +963,7 @@ def hub_sections(spark, sf_dir):
     half = c.agg(F.max("c_custkey")).first()[0] // 2
     hub = F.when(F.col("c_custkey") == half, table_html(rows, head, F.lit("Customer"))).otherwise("")
     pages = c.select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("resource"), F.concat(table_html(rows, head, F.col("c_name")), hub).alias("html"))
-    return explore.section_vocabulary(refine(parse_tables(pages, data=False)), True, largest=1000).select("section", "group")
+    return explore.section_vocabulary(parsed(pages, data=False), True, largest=1000).select("section", "group")
 
 
 @query("""

@@ -38,7 +38,7 @@ from factloom.operators.rows import table_rows
 from factloom.operators.rules import check_ontology, parse_rules, read_rules, upsert_rules, write_rules
 from factloom.plans.scratch import Scratch
 from factloom.sources import sinks
-from factloom.sources.pages import parse_tables, read_resources, with_status
+from factloom.sources.pages import dealt, parse_tables, read_resources, with_status
 from factloom.sources.triples import read_triples
 
 log = logging.getLogger("factloom")
@@ -60,7 +60,7 @@ def extract(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFra
     """The graph of the pages' tables, and the metrics of its extraction. Parsing runs once, and only the results stay."""
     scratch = Scratch(pages.sparkSession, "extract")
     good = with_status(pages).where("status = 'OK'").drop("status")
-    refined = scratch.save(refine(parse_tables(good, mode)), "tables")
+    refined = scratch.save(refine(parse_tables(dealt(good), mode)), "tables")
     rows = scratch.save(table_rows(refined, mode, drop_summaries), "rows")
     triples = scratch.save(make_triples(rows, rules, chapter, kb, names, fallback, prefer_link, scratch), "triples")
     found = scratch.save(graph(triples), "graph")
@@ -71,7 +71,7 @@ def extract(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFra
 
 def explore(pages: DataFrame, rules: DataFrame, chapter: str = "en", kb: DataFrame | None = None, output_format: int = 1, similar: bool = False, mode: str = "compat") -> DataFrame:
     """The template of the pages' sections and headers. No data cell is read."""
-    refined = Scratch(pages.sparkSession, "explore").save(refine(parse_tables(pages, mode, data=False)), "tables")
+    refined = Scratch(pages.sparkSession, "explore").save(refine(parse_tables(dealt(pages), mode, data=False)), "tables")
     own = chapter_rules(rules, chapter)
     sections = vocabulary.section_vocabulary(refined, similar)
     return vocabulary.template(sections, vocabulary.header_vocabulary(refined, sections, own, kb, chapter), own, output_format)

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import strip_punctuation
 from factloom.plans.arrow import giving_back, slices
+from factloom.plans.skew import spread
 from factloom.sources.grid import TABLE_CLASSES, parse_page
 
 HEADER = T.StructType([T.StructField("th", T.StringType()), T.StructField("colspan", T.IntegerType()), T.StructField("rowspan", T.IntegerType())])
@@ -32,6 +33,9 @@ TABLES = T.StructType(
     ]
 )
 
+#: Bytes of pages that are parsed at once; as Python's objects they are many times that.
+PARSED_BYTES = 1 << 20
+
 
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
     """(resource_ord, resource) of a text file with a name on each line; a blank last line is none."""
@@ -50,6 +54,11 @@ def with_status(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.withColumn("status", F.when(lost, "LOST").otherwise("OK"))
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, resource, html) over all tasks, as many pages, and much work, may be few bytes of one file. What ``parse_tables`` drops is dropped before."""
+    return spread(pages, "page_id", "resource", "html")
+
+
 def parse_tables(pages: DataFrame, mode: str = "compat", data: bool = True) -> DataFrame:
     """The data tables of pages (page_id, resource, html), one row each, as ``TABLES``.
 
@@ -64,7 +73,7 @@ def parse_tables(pages: DataFrame, mode: str = "compat", data: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, PARSED_BYTES):
                 rows = [
                     {"page_id": page, "resource": resource, **table, "attrs": list(table["attrs"].items())}
                     for page, resource, name, html in zip(*(c.to_pylist() for c in batch.columns), strict=True)

@@ -20,7 +20,7 @@ from factloom.operators.mapping import Names, chapter_rules, graph, make_triples
 from factloom.operators.refine import refine
 from factloom.operators.rows import table_rows
 from factloom.plans.scratch import Scratch
-from factloom.sources.pages import parse_tables
+from factloom.sources.pages import dealt, parse_tables
 
 #: Batches after which all counts are written as one, so that those before it are read no more.
 WHOLE = 50
@@ -62,7 +62,7 @@ def start_extraction(
         spark = batch.sparkSession
         scratch = Scratch(spark, "batch")
         try:
-            rows = scratch.save(table_rows(refine(parse_tables(batch, mode)), mode, drop_summaries), "rows")
+            rows = scratch.save(table_rows(refine(parse_tables(dealt(batch), mode)), mode, drop_summaries), "rows")
             before = _counts(spark, f"{path}/_rows", number, whole)
             met = None if before is None else scratch.save(before.join(rows.select(F.coalesce("resource", F.concat(F.lit("page_"), F.col("page_id").cast("string"))).alias("resource")).distinct(), "resource", "left_semi"), "met")
             triples = graph(make_triples(rows, rules, chapter, kb, names, fallback, prefer_link, scratch, met))
