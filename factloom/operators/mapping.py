@@ -60,7 +60,8 @@ def mapped_rows(rows: DataFrame, rules: DataFrame, base: str, numbered: DataFram
     sections = rules.where("kind = 'section' and property <> ''").select(F.expr("substring(key, 9)").alias("section"), F.col("property").alias("section_property"))
     kept = F.filter("rows", lambda r: ~r["removed"])
     subject = F.concat(F.lit(base), F.replace(plain_accents(F.col("resource")), F.lit("'"), F.lit("")))
-    tables = rows.join(sections, "section").select(subject.alias("subject"), "resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
+    met = lookup(rows, sections, "section", F.concat_ws("\0", "page_id", "table_ord")).where("section_property is not null")  # which side is small is counted: by its files' bytes Spark may take the tables for it
+    tables = met.select(subject.alias("subject"), "resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
     place = Window.partitionBy("resource").orderBy("page_id", "table_ord").rowsBetween(Window.unboundedPreceding, -1)
     counted = tables.withColumn("before", F.coalesce(F.sum(F.size("kept")).over(place), F.lit(0)))
     if numbered is not None:
