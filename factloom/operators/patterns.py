@@ -441,7 +441,8 @@ class _Solver:
         """Patterns (property, object) of one subject variable, by one grouping.
 
         It gives the subjects that have one value each; those with more of some
-        property are joined, as their values would not fit into one row.
+        property are joined, as their values would not fit into one row. Its rows are
+        counted with all of these, so that no order of joins takes it for smaller than it is.
         """
         tests = [(F.col("p") == p.value) & (_is("o", o, self.triples) if o.variable is None else F.lit(True)) for p, o in patterns]
         some = self.triples.where(F.col("p").isin(sorted({p.value for p, _ in patterns})))
@@ -459,8 +460,9 @@ class _Solver:
             each = [_bound(own.where(F.col("p") == p.value), {"s": subject, "o": o}) for p, o in patterns]
             rest = reduce(_join, each)
             solutions = Solutions(solutions.frame.unionByName(rest.frame), solutions.sure)
-        rows = float(found.count())
-        return Part(solutions, rows, dict.fromkeys(solutions.variables, rows))
+        each = reduce(lambda a, b: a * b, (x.cast("double") for x in n))
+        row = found.agg(F.coalesce(F.sum(each), F.lit(0.0)).alias("rows"), *(F.approx_count_distinct(c).alias(c) for c in ends)).first()
+        return Part(solutions, row["rows"], {t.variable: float(row[c]) for c, t in ends.items()})
 
     def pairs(self, path: Term | tuple, start: Term, end: Term) -> DataFrame:
         """Rows (s, o) of the ends of a path; constant ends only bound what a closure looks at."""
@@ -528,8 +530,11 @@ class _Solver:
         for e in elements:
             if e[0] == "triple" and not isinstance(e[2], Term):
                 found = self.scratch.save(self.pairs(e[2], e[1], e[3]), "path")
-                solutions = _bound(found, {"s": e[1], "o": e[3]})
-                n = float(found.count())
+                ends = {"s": e[1], "o": e[3]}
+                solutions = _bound(found, ends)
+                row = found.agg(F.count(F.lit(1)).alias("rows"), *(F.approx_count_distinct(c).alias(c) for c in ends)).first()
+                out.append(Part(solutions, float(row["rows"]), {t.variable: float(row[c]) for c, t in ends.items() if t.variable is not None}))
+                continue
             elif e[0] == "union":
                 solutions, n = self.union([self.group(g) for g in e[1]]), 1e12  # nothing is known of it
             else:

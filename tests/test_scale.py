@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.functions.text import letter_distance
+from factloom.operators.patterns import Term, _Solver
 from factloom.plans.skew import spread
 from factloom.sources.pages import dealt, parse_tables
 
@@ -41,3 +42,12 @@ def test_letters_of_a_text_are_found_once(spark):
     asked = spark.createDataFrame([("Abc", "abd"), ("", "xyz"), (None, "a")], "a string, b string").select(letter_distance(F.col("a"), F.col("b")).alias("n"))
     assert plan_of(asked).count("split(") <= 2
     assert [r.n for r in asked.collect()] == [2, 3, None]
+
+
+def test_parts_of_a_pattern_are_counted_by_rows_and_values(spark):
+    few = [(f"s{i}", "kind", "x") for i in range(3)] + [(f"s{i}", "part", f"p{j}") for i in range(3) for j in range(20)]
+    solver = _Solver(spark.createDataFrame(few, "s string, p string, o string"))
+    star = solver.star(Term("v0"), [(Term(value="kind"), Term(value="x")), (Term(value="part"), Term("v1"))])
+    assert (star.rows, star.values["v0"]) == (60, 3)
+    (way,) = solver.parts([("triple", Term("v1"), ("^", Term(value="part")), Term("v0"))])
+    assert (way.rows, way.values) == (60, {"v1": 20, "v0": 3})
