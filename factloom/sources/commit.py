@@ -167,5 +167,9 @@ class LinesSink(DataSource):
 def commit_lines(lines: DataFrame, path: str, run: str | None = None, mode: str = "append") -> None:
     """Write ``lines`` (value) as a run below ``path``: all of it, or nothing; a run that is there stays as it is."""
     lines.sparkSession.dataSource.register(LinesSink)
+    if run is not None and mode == "append":
+        files, root = file_system(path)
+        if _is_there(files, f"{root}/run={run}"):  # a repeat, whose lines need not be made
+            return
     named = {} if run is None else {"run": run}
     lines.select("value").write.format(LinesSink.name()).options(**named).mode(mode).save(path)

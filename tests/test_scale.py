@@ -6,6 +6,7 @@ from factloom import queries
 from factloom.functions.text import letter_distance
 from factloom.operators.patterns import Term, _Solver
 from factloom.plans.skew import spread
+from factloom.sources.commit import commit_lines
 from factloom.sources.pages import dealt, parse_tables
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -51,3 +52,9 @@ def test_parts_of_a_pattern_are_counted_by_rows_and_values(spark):
     assert (star.rows, star.values["v0"]) == (60, 3)
     (way,) = solver.parts([("triple", Term("v1"), ("^", Term(value="part")), Term("v0"))])
     assert (way.rows, way.values) == (60, {"v1": 20, "v0": 3})
+
+
+def test_a_repeated_run_makes_no_lines(spark, tmp_path):
+    commit_lines(spark.createDataFrame([("a",)], "value string"), str(tmp_path), "one")
+    commit_lines(spark.range(3).select(F.raise_error(F.lit("made again")).cast("string").alias("value")), str(tmp_path), "one")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/run=one").collect()] == ["a"]
