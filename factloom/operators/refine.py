@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import ascii_dots, strip_citations, strip_nbsp, to_float, underscored
+from factloom.functions.text import ascii_dots, once, strip_citations, strip_nbsp, to_float, underscored
 
 #: The text that marks a total in a row. Fixed value.
 TOTAL = "Totale"
@@ -41,18 +41,24 @@ def refine(tables: DataFrame, tag: str = TOTAL) -> DataFrame:
     beside = F.transform(row, lambda t, i: F.when(i == 0, ascii_dots(t)).otherwise(t))
     above = F.transform(merged_headers(F.col("grid")), ascii_dots)
     kept = F.filter("data_raw", lambda r: ~F.exists(r, lambda c: F.coalesce(c["td"] == tag, F.lit(False))))
-    cell = lambda c: F.struct(
+    typed_cell = lambda c, num: F.struct(
         F.transform(c["links"], underscored).alias("links"),
-        F.when(to_float(c["td"]).isNull(), c["td"]).alias("text"),
-        to_float(c["td"]).alias("num"),
+        F.when(num.isNull(), c["td"]).alias("text"),
+        num.alias("num"),
         c["number"].alias("shown"),
     )
-    typed = F.transform(kept, lambda r: F.transform(expand_colspan(r), cell))
+    # only what the parser shows as a number can be one, and is read once
+    cell = lambda c: F.when(c["number"].isNull(), typed_cell(c, F.lit(None).cast("double"))).otherwise(once(to_float(c["td"]), lambda num: typed_cell(c, num)))
+    wide = lambda r: F.when(F.exists(r, lambda c: c["colspan"] > 1), expand_colspan(r)).otherwise(r)
+    typed = F.transform(kept, lambda r: F.transform(wide(r), cell))
+    # the status asks the parsed grids: a filter on it would compute headers and data a second time
+    uneven = ~F.col("vertical") & ~F.forall("header_grid", lambda row: F.size(row) == F.size(F.get("header_grid", F.lit(0))))
+    no_data = ~F.exists("data_raw", lambda r: (F.size(r) > 0) & ~F.exists(r, lambda c: F.coalesce(c["td"] == tag, F.lit(False))))
     return (
         tables.withColumn("grid", grid)
         .withColumn("headers", F.when(F.col("vertical"), beside).otherwise(above))
         .withColumn("headers_refined", F.when(F.col("vertical"), first).otherwise(F.col("headers")))
         .withColumn("data", F.filter(typed, lambda r: F.size(r) > 0))
-        .withColumn("status", F.when(F.size("grid") == 0, "E2").when(F.col("headers").isNull() | (F.size("data") == 0), "E3").otherwise("OK"))
+        .withColumn("status", F.when(F.size("header_grid") == 0, "E2").when(uneven | no_data, "E3").otherwise("OK"))
         .drop("grid")
     )

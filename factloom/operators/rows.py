@@ -45,6 +45,11 @@ def _cell(header: Column, c: Column) -> Column:
     return F.struct(header.alias("header"), value.alias("value"), empty.alias("empty"), c["links"].alias("links"))
 
 
+def _even(row: Column, headers: Column) -> Column:
+    """Cells of a row under headers that are all different."""
+    return F.transform(row, lambda c, p: _cell(F.get(headers, p), c))
+
+
 def _named(entries: Column, headers: Column) -> Column:
     """Entries (piece, cell) by place as cells by name: of one name the entry of the last piece, and there of the last place."""
     names = F.slice(headers, F.lit(1), F.size(entries))
@@ -63,9 +68,10 @@ def _laid_over(run: Column) -> Column:
 def joined_rows(headers: Column, data: Column, mode: str = "compat") -> Column:
     """Rows of cells (header, value, empty, links)."""
     width = F.size(headers)
+    different = F.size(F.array_distinct(headers)) == width
     if mode == "clean":
         entries = lambda row: F.transform(F.slice(row, F.lit(1), width), lambda c: F.struct(F.lit(0).alias("piece"), c.alias("cell")))
-        return F.transform(data, lambda row: once(entries(row), lambda x: _named(x, headers)))
+        return F.when(different, F.transform(data, lambda row: _even(F.slice(row, F.lit(1), width), headers))).otherwise(F.transform(data, lambda row: once(entries(row), lambda x: _named(x, headers))))
 
     def of_runs(pieces: Column, ends: Column) -> Column:
         starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
@@ -78,7 +84,9 @@ def joined_rows(headers: Column, data: Column, mode: str = "compat") -> Column:
         return once(ends, lambda found: of_runs(pieces, found))
 
     pieces = F.flatten(F.transform(data, lambda row: F.transform(_upto(F.ceil(F.size(row) / width).cast("int")), lambda k: F.slice(row, k * width + 1, width))))
-    return once(pieces, of_pieces)
+    # rows as long as headers that are all different are their own pieces
+    plain = different & F.forall(data, lambda row: F.size(row) == width)
+    return F.when(plain, F.transform(data, lambda row: _even(row, headers))).otherwise(once(pieces, of_pieces))
 
 
 def _same(number: Column, total: Column, kept: Column) -> Column:
@@ -142,7 +150,10 @@ def table_rows(refined: DataFrame, mode: str = "compat", drop_summaries: bool =
         if not drop_summaries:
             return rows(joined, F.array().cast("array<int>"))
         numbers = F.transform(joined, lambda row: F.transform(row, lambda c: to_float(c["value"])))
-        return once(numbers, lambda found: once(removed_places(joined, found, F.size(headers)), lambda places: rows(joined, places)))
+        # a summary matches in so many numbers, so a table without a row of these has none
+        some = lambda found: F.exists(found, lambda row: F.size(F.filter(row, lambda x: x.isNotNull())) >= MATCHES)
+        places = lambda found: F.when(some(found), removed_places(joined, found, F.size(headers))).otherwise(F.array().cast("array<int>"))
+        return once(numbers, lambda found: once(places(found), lambda gone: rows(joined, gone)))
 
     found = once(F.col("headers"), lambda headers: F.when(F.size(headers) > 0, once(joined_rows(headers, F.col("data"), mode), lambda joined: judged(joined, headers))).otherwise(F.array().cast(_ROWS)))
     return tables.select(*(c for c in tables.columns if c != "data"), found.alias("rows"))

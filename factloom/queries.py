@@ -91,8 +91,11 @@ def joined(pages: DataFrame, mode: str = "compat") -> DataFrame:
 
 
 def long_cells(rows: DataFrame) -> DataFrame:
-    """(page_id, row_ord, removed, cell): a row for each cell."""
-    each = rows.select("page_id", F.explode("rows").alias("r"))
+    """(page_id, row_ord, removed, cell): a row for each cell.
+
+    Of a plain explode Spark infers that rows are not empty, and asks this of the expression that makes them, once more before they are made.
+    """
+    each = rows.select("page_id", F.explode_outer("rows").alias("r")).where("r is not null")
     return each.select("page_id", F.col("r.row_ord").alias("row_ord"), F.col("r.removed").alias("removed"), F.explode("r.cells").alias("cell"))
 
 

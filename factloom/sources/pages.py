@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import strip_punctuation
-from factloom.plans.arrow import giving_back, slices
+from factloom.plans.arrow import giving_back, no_cycles, slices
 from factloom.plans.skew import spread
 from factloom.sources.grid import TABLE_CLASSES, parse_page
 
@@ -74,11 +74,12 @@ def parse_tables(pages: DataFrame, mode: str = "compat", data: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, PARSED_BYTES):
-                rows = [
-                    {"page_id": page, "resource": resource, **table, "attrs": list(table["attrs"].items())}
-                    for page, resource, name, html in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                    for table in parse_page(html, name or "", mode, data)
-                ]
+                with no_cycles():
+                    rows = [
+                        {"page_id": page, "resource": resource, **table, "attrs": list(table["attrs"].items())}
+                        for page, resource, name, html in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                        for table in parse_page(html, name or "", mode, data)
+                    ]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=target)
 

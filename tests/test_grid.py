@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from factloom.sources import grid
 from factloom.sources.grid import NBSP, as_number, number_text, parse_page, tree
 
 
@@ -128,3 +129,26 @@ def test_headers_in_the_middle_of_data_are_none():
     assert shown(one(wiki(body), mode="clean")) == shown(one(wiki(body))) == ([["A"]], [["1"], ["2"]])
     beside = "<tr><th>K1</th><td>v1</td></tr><tr><th>K2</th><td>v2</td></tr>"
     assert shown(one(wiki(beside), mode="clean")) == ([["K1"], ["K2"]], [["K1", "v1"], ["K2", "v2"]])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<table class="wikitable"><tr><td colspan="2" colspan="3">a<td>b</table>',
+        '<p>x<p>y<h2><span id="s">A &amp; b</span></h2><ul><li>1<li>2</ul><br/><b><i>z</b></i></p>',
+        "<tr><td>&nbsp;5 > 3\n</td></br><div/>&lt</table>",
+        '<a href="/x" title="A b">c</a><td></td ><TD>',
+        "<td class='x'>a</td><!-- <td> --><td a>",
+        "<script>var t = '<table>';</script>a < b <",
+    ],
+)
+def test_plain_pages_are_cut_as_the_parser_does(page):
+    def listed(node):
+        return node.tag, node.attrs, [x if isinstance(x, str) else listed(x) for x in node.items]
+
+    builder = grid._Builder()
+    builder.feed(page)
+    builder.close()
+    found = grid._plain_tree(page)
+    assert (found is None) == any(x in page for x in ("<TD>", "<!--", "<script>"))
+    assert listed(grid.tree(page)) == listed(builder.root)

@@ -58,3 +58,9 @@ def test_a_repeated_run_makes_no_lines(spark, tmp_path):
     commit_lines(spark.createDataFrame([("a",)], "value string"), str(tmp_path), "one")
     commit_lines(spark.range(3).select(F.raise_error(F.lit("made again")).cast("string").alias("value")), str(tmp_path), "one")
     assert [r.value for r in spark.read.text(f"{tmp_path}/run=one").collect()] == ["a"]
+
+
+def test_tables_and_rows_are_not_made_again_by_filters(spark):
+    for name in ("clean_spans", "order_triples"):
+        filters = [x.strip(" :") for x in plan_of(queries.QUERIES[name](spark, SMALLEST)).split("\n") if x.strip(" :").startswith("+- Filter")]
+        assert filters and max(map(len, filters)) < 2000
