@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from itertools import groupby
 from operator import itemgetter
@@ -20,6 +21,8 @@ from factloom.plans.skew import lookup, salted_join, sized
 
 #: Example pages of a section, and letters by which names are found that may contain each other.
 EXAMPLES, GRAM = 3, 3
+#: Letters by which names of at least that length are looked up: the more names, the more of them share a part of three.
+LEVELS = (GRAM, 6, 12)
 #: Sections whose components are folded in one call, and the largest component that is.
 FOLDED, LARGEST = 1000, 5000
 #: Of larger components, the names whose work is measured together, and the relations that are folded in one call.
@@ -67,22 +70,30 @@ def group_similar(sections: list[str]) -> dict[str, str]:
 def may_join(names: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (u, v) of names (section) of which one contains the other, case apart.
 
-    A name is looked up by the rarest of its parts of ``GRAM`` letters, or by itself if it is shorter.
+    A name is looked up by the rarest of its parts of as many letters as the largest of
+    ``LEVELS`` that it has, or by itself if it is shorter than all.
     """
     low = F.lower("section")
     parts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - k + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(k)))
     every = names.select("section", low.alias("low"))
+    level = lambda use: functools.reduce(lambda when, k: when.when(F.length("low") >= k, use(k)), LEVELS[:0:-1], F.when(F.length("low") < LEVELS[0], use(LEVELS[0]))).otherwise(use(LEVELS[0]))
+    own = level(F.lit)
+    asks = every.agg(*(F.coalesce(F.bool_or((own == k) & (F.length("low") >= k)), F.lit(False)).alias(f"k{k}") for k in LEVELS)).first()
+    levels = [k for k in LEVELS if asks[f"k{k}"]]
     # parts shorter than GRAM are looked up by names that are no longer themselves
     short = every.where((F.length("low") < GRAM) & (F.col("low") != "")).select(F.col("low").alias("gram")).distinct()
     each = lambda *found: every.select("section", "low", F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("gram")).where("gram <> ''")
-    held = each(parts(GRAM)).where(F.length("gram") == GRAM)
+    held = each(*(parts(k) for k in levels or LEVELS[:1])).where(F.length("gram").isin(levels))
     if not short.isEmpty():
         held = held.unionByName(each(*(parts(k) for k in range(1, GRAM))).join(sized(scratch.save(short, "short")), "gram", "left_semi").select("section", "low", "gram"))
     held = scratch.save(held, "grams")
     n = held.count()
-    whole = held.where((F.length("gram") == GRAM) | (F.col("gram") == F.col("low")))
+    whole = held.where((F.length("gram") == own) | (F.col("gram") == F.col("low")))
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    rarest = salted_join(whole, counts, "gram", F.col("section"), n).groupBy("section", "low").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
+    # the rarest as a number, and then the part that has it: numbers are compared without sorting the names
+    mark = lambda gram: F.pmod(F.xxhash64(gram), F.lit(1 << 20))
+    least = salted_join(whole, counts, "gram", F.col("section"), n).groupBy("section", "low").agg(F.min(F.col("f") * (1 << 20) + mark(F.col("gram"))).alias("least"))
+    rarest = least.select("section", "low", F.get(F.filter(level(parts), lambda x: mark(x) == F.pmod("least", F.lit(1 << 20))), F.lit(0)).alias("gram"))
     asked = rarest.select("gram", F.col("section").alias("u"), F.col("low").alias("short"))
     met = salted_join(held, asked, "gram", F.col("section"), n).where(F.col("low").contains(F.col("short")) & (F.col("section") != F.col("u")))
     found = met.select("u", F.col("section").alias("v"))

@@ -37,3 +37,19 @@ def test_one_component_of_many(spark):
     names = [*names[:900], "", *names[900:]]
     found = explore.section_vocabulary(refined(spark, names), True, largest=100, work=20_000).select("section", "group").collect()
     assert {r["section"]: r["group"] for r in found} == explore.group_similar(names)
+
+
+def test_names_are_looked_up_by_parts_as_long_as_they_have(spark):
+    """Many names of one pattern share their parts of three letters; longer parts tell them apart, and no pair is lost."""
+    from factloom.plans.scratch import Scratch
+
+    rng = random.Random(3)
+    names = [f"Entry number {i:07d}" for i in range(300)] + random_names(rng, 200, "aB", 20) + ["entry number 00000", "0123", "a", "", "ab", "ENTRY NUMBER 0000012x", "é" * 12]
+    names = list(dict.fromkeys(names))
+    scratch = Scratch(spark, "pairs")
+    found = explore.may_join(spark.createDataFrame([(s,) for s in names], "section string"), scratch)
+    expected = {(u, v) for u in names for v in names if u != v and u.lower() in v.lower()}
+    assert {(r.u, r.v) for r in found.collect()} - {(u, v) for u in names for v in names if u.lower() == v.lower()} == {(u, v) for u, v in expected if u.lower() != v.lower()}
+    held = spark.read.parquet(next(p for p in scratch.paths.values() if p.endswith("grams")))
+    assert held.where("length(gram) = 12 and low like 'entry number%'").groupBy("gram").count().where("count = 1").count() > 100
+    scratch.close()
