@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 
 from factloom.functions.text import is_float, is_int, plain_accents, resource_key
 from factloom.plans.scratch import Scratch
-from factloom.plans.skew import FEW_BYTES, lookup, salted_join
+from factloom.plans.skew import FEW_BYTES, lookup, salted_join, tasks
 
+#: Parts of the tables whose rows are numbered, for each task of a shuffle.
+PIECES = 4
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
 
@@ -48,26 +50,30 @@ def chapter_rules(rules: DataFrame, chapter: str, fallback: str | None = None) -
     return found.groupBy("kind", "key").agg(F.min(F.struct("rank", "property")).alias("best")).select("kind", "key", F.col("best.property").alias("property"))
 
 
-def mapped_rows(rows: DataFrame, rules: DataFrame, base: str, numbered: DataFrame | None = None) -> DataFrame:
+def mapped_rows(rows: DataFrame, rules: DataFrame, base: str, numbered: DataFrame | None = None, links: bool = False) -> DataFrame:
     """Rows of tables whose section has a property, numbered from 1 within a resource, and their subject.
 
     ``rules``: of one chapter; ``base``: where addresses of resources begin. Only rows that stay take a number. The numbering
     is a sum over tables, not over rows; the rows are taken apart behind it.
-    A page without a name is named by its id. ``numbered`` (resource, rows): how many rows of
+    A page without a name is named by its id. ``links``: cells (header, value) have their first ``link`` too. ``numbered`` (resource, rows): how many rows of
     a resource have a number already, where others came before.
     """
     rows = rows.withColumn("resource", F.coalesce("resource", F.concat(F.lit("page_"), F.col("page_id").cast("string"))))
     sections = rules.where("kind = 'section' and property <> ''").select(F.expr("substring(key, 9)").alias("section"), F.col("property").alias("section_property"))
-    kept = F.filter("rows", lambda r: ~r["removed"])
+    # of a cell only what triples are made of goes through the shuffle
+    cell = lambda c: F.struct(c["header"].alias("header"), c["value"].alias("value"), *([F.get(c["links"], F.lit(0)).alias("link")] if links else []))
+    kept = F.transform(F.filter("rows", lambda r: ~r["removed"]), lambda r: F.transform(r["cells"], cell))
     subject = F.concat(F.lit(base), F.replace(plain_accents(F.col("resource")), F.lit("'"), F.lit("")))
     met = lookup(rows, sections, "section", F.concat_ws("\0", "page_id", "table_ord")).where("section_property is not null")  # which side is small is counted: by its files' bytes Spark may take the tables for it
     tables = met.select(subject.alias("subject"), "resource", "page_id", "table_ord", "section", "section_property", kept.alias("kept"))
+    if not tables.isStreaming:  # tables carry all their cells: a task sorts a part of them
+        tables = tables.repartition(PIECES * tasks(tables.sparkSession), "resource")
     place = Window.partitionBy("resource").orderBy("page_id", "table_ord").rowsBetween(Window.unboundedPreceding, -1)
     counted = tables.withColumn("before", F.coalesce(F.sum(F.size("kept")).over(place), F.lit(0)))
     if numbered is not None:
         counted = counted.join(numbered.select("resource", F.col("rows").alias("earlier")), "resource", "left").withColumn("before", F.col("before") + F.coalesce("earlier", F.lit(0)))
     each = counted.select("subject", "resource", "table_ord", "section", "section_property", "before", F.posexplode("kept").alias("at", "row"))
-    return each.select("subject", "resource", "table_ord", "section", "section_property", (F.col("before") + F.col("at") + 1).alias("row_index"), F.col("row.cells").alias("cells"))
+    return each.select("subject", "resource", "table_ord", "section", "section_property", (F.col("before") + F.col("at") + 1).alias("row_index"), F.col("row").alias("cells"))
 
 
 def row_counts(rows: DataFrame, rules: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
@@ -119,10 +125,10 @@ def make_triples(rows: DataFrame, rules: DataFrame, chapter: str = "en", kb: Dat
     """
     own = chapter_rules(rules, chapter, fallback)
     base = names.resource(chapter)
-    numbered = mapped_rows(rows, own, base, numbered).withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
+    numbered = mapped_rows(rows, own, base, numbered, prefer_link).withColumn("row_of", F.concat("subject", F.lit("__"), F.col("row_index").cast("string")))
     each = numbered.select("subject", "row_of", "section", "section_property", F.explode(F.concat(F.array(F.lit(None)), "cells")).alias("cell"))
     apart = F.concat(F.lit("\0"), "row_of")  # no key; spreads rows over a join
-    value = F.coalesce(F.get("cell.links", F.lit(0)), "cell.value") if prefer_link else F.col("cell.value")
+    value = F.coalesce("cell.link", "cell.value") if prefer_link else F.col("cell.value")
     flat = each.select("subject", "row_of", "section", "section_property", F.col("cell").isNull().alias("own"), F.coalesce("cell.header", apart).alias("header"), value.alias("value"))
     found = with_property(flat, own, F.concat_ws("\0", "row_of", "value")).where("own or (value <> '-' and property <> '')")
     is_text = ~F.col("own") & ~is_float(F.col("value"))

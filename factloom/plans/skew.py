@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy that holds more than one of so many parts of the rows, so there are fewer heavy keys than parts; rows of a part at least.
@@ -55,6 +55,11 @@ def lookup(many: DataFrame, one: DataFrame, key: str, by: Column, few_bytes: int
     return dealt.join(copies, [key, "_piece"], "left").drop("_piece")
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many tasks as the session shuffles to, and at least two for each core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """``df`` dealt to as many tasks as the session shuffles to, and at least two for each core, by the hash of ``by``.
 
@@ -64,6 +69,4 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, F.xxhash64(*by))
+    return df.repartition(tasks(df.sparkSession), F.xxhash64(*by))

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.functions.text import letter_distance
+from factloom.operators import mapping
 from factloom.operators.patterns import Term, _Solver
+from factloom.operators.refine import refine
+from factloom.operators.rows import table_rows
 from factloom.plans.skew import spread
 from factloom.sources.commit import commit_lines
 from factloom.sources.pages import dealt, parse_tables
@@ -64,3 +67,14 @@ def test_tables_and_rows_are_not_made_again_by_filters(spark):
     for name in ("clean_spans", "order_triples"):
         filters = [x.strip(" :") for x in plan_of(queries.QUERIES[name](spark, SMALLEST)).split("\n") if x.strip(" :").startswith("+- Filter")]
         assert filters and max(map(len, filters)) < 2000
+
+
+def test_numbered_tables_are_dealt_in_more_parts_without_links(spark):
+    plan = queries.QUERIES["order_triples"](spark, SMALLEST)._jdf.queryExecution().optimizedPlan()
+    dealt_by = [x for x in plan.toString().split("\n") if "RepartitionByExpression [resource" in x]
+    assert len(dealt_by) == 1 and int(dealt_by[0].rsplit(",", 1)[1]) >= 4 * 8
+    rows = parse_tables(spark.createDataFrame([(1, "A", HTML.replace("<td>1", '<td><a title="T t">1</a>'))], "page_id long, resource string, html string"))
+    found = mapping.mapped_rows(table_rows(refine(rows)), mapping.chapter_rules(queries.rule_frame(spark, ("section", "SECTION_A", "a")), "en"), "b/", links=True)
+    (row,) = found.collect()
+    assert [c.asDict() for c in row["cells"]] == [{"header": "A", "value": "1.0", "link": "T_t"}]
+    assert "link" not in mapping.mapped_rows(table_rows(refine(rows)), mapping.chapter_rules(queries.rule_frame(spark, ("section", "SECTION_A", "a")), "en"), "b/").schema["cells"].dataType.elementType.names
