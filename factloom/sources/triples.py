@@ -8,6 +8,8 @@ term comes next. What can't be read is a row with ``error``, and no triple.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,14 @@ def _address(token: Column, prefixes: dict[str, str]) -> Column:
     return F.when(token.startswith("<"), F.substring(token, F.lit(2), F.length(token) - 2)).when(token.startswith("_:"), token).when(token == "a", TYPE).otherwise(named)
 
 
-def statements(spark: SparkSession, path: str) -> DataFrame:
-    """The statements of the files, without comments and points, as ``value``."""
+def statements(spark: SparkSession, path: str, holds: Column | None = None) -> DataFrame:
+    """The statements of the files, without comments and points, as ``value``; ``holds``: only of records, as they are read, for which this is true."""
     lines = spark.read.option("lineSep", ".\n").text(path)
-    return lines.select(F.trim(F.regexp_replace(F.regexp_replace("value", _COMMENT, ""), r"\.\s*\z", "")).alias("value")).where("value rlike '\\\\S'")
+    lines = lines if holds is None else lines.where(holds)
+    plain = F.when(F.col("value").contains("#"), F.regexp_replace("value", _COMMENT, "")).otherwise(F.col("value"))
+    ends = F.rtrim(F.col("value"), F.lit(" \t\n\r\f\x0b")).endswith(".")
+    whole = lines.select(plain.alias("value")).select(F.trim(F.when(ends, F.regexp_replace("value", r"\.\s*\z", "")).otherwise(F.col("value"))).alias("value"))
+    return whole.where("value rlike '\\\\S'")
 
 
 def read_triples(spark: SparkSession, path: str, predicates: list[str] | None = None) -> DataFrame:
@@ -48,11 +54,12 @@ def read_triples(spark: SparkSession, path: str, predicates: list[str] | None =
     don't name one, and no prefix, the scan keeps nothing. A statement that can't
     be read is a row with its text as ``error`` and nulls besides.
     """
-    every = statements(spark, path)
-    heads = every.where(F.col("value").rlike(_PREFIX))
+    heads = statements(spark, path, F.lower("value").contains("prefix")).where(F.col("value").rlike(_PREFIX))
     prefixes = {r.name: r.base for r in heads.select(F.regexp_extract("value", _PREFIX, 1).alias("name"), F.regexp_extract("value", _PREFIX, 2).alias("base")).distinct().collect()}
-    asked = every.where(~F.col("value").rlike(_PREFIX))
-    if predicates is not None and not prefixes:
+    few = predicates is not None and not prefixes
+    named = functools.reduce(lambda a, b: a | b, (F.col("value").contains(f"<{x}>") for x in predicates), F.lit(False)) if few else None
+    asked = statements(spark, path, named).where(~F.col("value").rlike(_PREFIX))
+    if few:
         asked = asked.where(F.arrays_overlap(F.regexp_extract_all("value", F.lit("<([^>]*)>"), F.lit(1)), F.lit(predicates)))
     tokens = F.regexp_extract_all("value", F.lit(_TOKEN), F.lit(1))
     rest = F.trim(F.regexp_replace(F.regexp_replace("value", _TOKEN, ""), r"\s+", ""))

@@ -11,6 +11,7 @@ from factloom.operators.rows import table_rows
 from factloom.plans.skew import spread
 from factloom.sources.commit import commit_lines
 from factloom.sources.pages import dealt, parse_tables
+from factloom.sources.triples import read_triples
 
 SMALLEST = "/root/testdata/sf0.001"
 HTML = '<table class="wikitable"><tr><th>A</th></tr><tr><td>1</td></tr></table>'
@@ -78,3 +79,10 @@ def test_numbered_tables_are_dealt_in_more_parts_without_links(spark):
     (row,) = found.collect()
     assert [c.asDict() for c in row["cells"]] == [{"header": "A", "value": "1.0", "link": "T_t"}]
     assert "link" not in mapping.mapped_rows(table_rows(refine(rows)), mapping.chapter_rules(queries.rule_frame(spark, ("section", "SECTION_A", "a")), "en"), "b/").schema["cells"].dataType.elementType.names
+
+
+def test_records_without_an_asked_address_are_not_taken_apart(spark, tmp_path):
+    (tmp_path / "t.nt").write_text('# <k:a> PREFIX x\n<s:1> <k:a> "1" .\n<s:2> <k:b> "<k:a>" .\n<s:3> <k:c> "3. #" .\n')
+    found = read_triples(spark, str(tmp_path / "t.nt"), ["k:a"])
+    assert [(r.s, r.p, r.o, r.error) for r in found.collect()] == [("s:1", "k:a", "1", None)]
+    assert "Contains(value" in plan_of(found) or "<k:a>)" in plan_of(found).split("Relation")[0].split("\n")[-1]
