@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.plans.scratch import Scratch
 from factloom.sources.commit import commit_lines
 
 #: Objects of a block of Turtle at most.
@@ -43,13 +44,18 @@ def turtle_blocks(triples: DataFrame, most: int = OBJECTS) -> DataFrame:
 
 def write_graph(triples: DataFrame, path: str, form: str = "ntriples", run: str | None = None) -> bool:
     """Write a graph; an empty one is not written. Returns whether it was. With ``run`` it is committed as that run below ``path``."""
+    scratch = Scratch(triples.sparkSession, "graph")
+    if form == "turtle":  # blocks read the graph twice, and whether there is any asks for all of it: it is made once
+        triples = scratch.save(triples, "graph")
     if triples.isEmpty():
+        scratch.close()
         return False
     lines = {"ntriples": ntriples_lines, "turtle": turtle_blocks}[form](triples)
     if run is None:
         lines.write.mode("errorifexists").text(path)
     else:
         commit_lines(lines, path, run)
+    scratch.close()
     return True
 
 

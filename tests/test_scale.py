@@ -11,6 +11,7 @@ from factloom.operators.rows import table_rows
 from factloom.plans.skew import spread
 from factloom.sources.commit import commit_lines
 from factloom.sources.pages import dealt, parse_tables
+from factloom.sources.sinks import write_graph
 from factloom.sources.triples import read_triples
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -86,3 +87,25 @@ def test_records_without_an_asked_address_are_not_taken_apart(spark, tmp_path):
     found = read_triples(spark, str(tmp_path / "t.nt"), ["k:a"])
     assert [(r.s, r.p, r.o, r.error) for r in found.collect()] == [("s:1", "k:a", "1", None)]
     assert "Contains(value" in plan_of(found) or "<k:a>)" in plan_of(found).split("Relation")[0].split("\n")[-1]
+
+
+def test_a_closure_writes_each_pair_once(spark):
+    chain = [(f"n{i:02d}", "next", f"n{i + 1:02d}") for i in range(12)]
+    solver = _Solver(spark.createDataFrame(chain, "s string, p string, o string"))
+    found = solver.pairs(("+", Term(value="next")), Term("a"), Term("b"))
+    assert sorted((r.s, r.o) for r in found.collect()) == sorted((f"n{i:02d}", f"n{j:02d}") for i in range(13) for j in range(i + 1, 13))
+    rounds = [p for p in solver.scratch.paths.values() if not p.endswith("step")]
+    assert sum(spark.read.parquet(p).count() for p in rounds) == 78
+
+
+def test_a_graph_is_made_once_to_be_written_as_turtle(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    graph = spark.createDataFrame([("s:1", "p:1", "a", "literal", None)], "s string, p string, o string, o_kind string, datatype string")
+    assert write_graph(graph.mapInArrow(counted, graph.schema), str(tmp_path / "t"), "turtle")
+    assert made.value == 1 and spark.read.text(str(tmp_path / "t")).first()[0] == '<s:1> <p:1> "a" .'
