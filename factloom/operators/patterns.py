@@ -505,15 +505,15 @@ class _Solver:
         if flip:
             step = step.select(F.col("o").alias("s"), F.col("s").alias("o"))
         fixed = end if flip else start
-        known = new = self.scratch.save(step if fixed.variable is not None else step.where(F.col("s") == fixed.value), "known")
+        new = self.scratch.save(step if fixed.variable is not None else step.where(F.col("s") == fixed.value), "new")
+        found = [new]  # a table for each round: what is known is not written again
+        known = new
         while not new.isEmpty():
             reach = known if fixed.variable is not None else step
             met = salted_join(new.select("s", F.col("o").alias("by")), reach.select(F.col("s").alias("by"), "o"), "by", F.col("s"), new.count())
             fresh = self.scratch.save(met.select("s", "o").distinct().join(known, ["s", "o"], "left_anti"), "new")
-            before, known = known, self.scratch.save(known.unionByName(fresh), "known")
-            self.scratch.drop(before)
-            self.scratch.drop(new)
-            new = fresh
+            found.append(fresh)
+            known, new = reduce(DataFrame.unionByName, found), fresh
         return known.select(F.col("o").alias("s"), F.col("s").alias("o")) if flip else known
 
     def parts(self, elements: list[tuple]) -> list[Part]:
